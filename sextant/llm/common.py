@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 #: The characters that separate words, as a Java character class.
 SPACE = r"[\x20\x09-\x0D]"
 
-#: Largest table, in rows, that an operator hands to F.broadcast (about 16 bytes a row).
-BROADCAST_ROWS = 2_000_000
+#: Largest table, in rows, that an operator hands to F.broadcast (under 200 bytes a row: 40 MB at most).
+BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,3 +52,41 @@ def fold(doc_id: Column, mod: int) -> Column:
 def let(value: Column, body) -> Column:
     """body(value) with the value computed once per row: a lambda variable isn't inlined again."""
     return F.transform(F.array(value), body)[0]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int) -> list[tuple[str, int]]:
+    """Whole texts of at most per_class labelled documents of each class, in the order of a hash of the id.
+
+    labels: (doc_id, label) rows that may be learned from.  The two bounds are parameters of the fit alone.
+    Repeated texts count once.
+    """
+    rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_y"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    ids = rows.where("_y = 1").orderBy(*order).limit(per_class).unionByName(rows.where("_y = 0").orderBy(*order).limit(per_class))
+    texts = docs.select("doc_id", "text").where(F.length(F.coalesce("text", F.lit(""))) <= max_chars).join(F.broadcast(ids), "doc_id")
+    found = texts.select(F.xxhash64("text", "doc_id").alias("h"), F.coalesce("text", F.lit("")).alias("text"), "_y").collect()
+    return list({r.text: (r.text, r._y) for r in sorted(found, key=lambda r: (r.h, r._y), reverse=True)}.values())
+
+
+def map_texts(docs: DataFrame, columns: list[str], score, schema: str) -> DataFrame:
+    """mapInArrow over (columns..., text): score(list of texts) gives a list of lists, the new columns."""
+    import pyarrow as pa
+
+    rows = docs.select(*columns, F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    kept = len(columns)
+
+    def run(batches):
+        for b in batches:
+            new = score(b.column(kept).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[:kept], *map(pa.array, new)], names=[str(i) for i in range(kept + len(new))])
+
+    def named(batches):
+        for b in run(batches):
+            yield b.rename_columns(names)
+
+    from pyspark.sql.types import StructType
+
+    extra = StructType.fromDDL(schema)
+    out = StructType([rows.schema[c] for c in columns] + extra.fields)
+    names = out.names
+    return rows.mapInArrow(named, out)

@@ -57,7 +57,7 @@ def mix(docs: DataFrame, *, seed: str = SEED, weights=WEIGHTS, share: float = SH
     """docs (doc_id, text, source, ...) plus size, source_size, target, copies and taken."""
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
     rows = docs.withColumn("size", n_words(F.col("text"))).withColumn("_src", source_key(F.col("source")))
-    rows = rows.withColumn("_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("_cell", F.substring("_h", 1, 2))
+    rows = rows.withColumn("_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("_cell", F.substring("_h", 1, 1))
     cells = rows.groupBy("_src", "size", "_cell").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_src").orderBy("size", "_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))

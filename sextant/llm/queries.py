@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import mixing, topk
+from sextant.llm import byte_cnn, mixing, topk
+from sextant.llm import toxicity as tox
 from sextant.llm.common import table
 from sextant.llm.quality_rules import quality_rules
 
@@ -26,5 +27,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_exact_topk, op7_mixing)}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tox.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_cnn.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op4_byte_cnn, op5_exact_topk, op7_mixing)}
 ORACLE_SQL = {"op5_exact_topk": topk.SQL, "op7_mixing": mixing.SQL}
