@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sextant.llm.common import fold, labelled_sample, map_texts
 
 FILTERS, WIDTH, CHUNK, PAD = 16, 6, 512, 256
-SAMPLE, SAMPLE_CHARS, EPOCHS, BATCH, RATE = 1200, 12_000, 8, 32, 0.01
+SAMPLE, SAMPLE_CHARS, EPOCHS, BATCH, RATE = 2500, 12_000, 8, 32, 0.01
 LAGS, WINDOW = range(2, 26), 64
 #: Chunks in one step of a scoring pass (bounds its memory: about 512 x 512 x 16 floats).
 STEP = 512

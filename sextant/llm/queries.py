@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import byte_cnn, mixing, topk
+from sextant.llm import byte_cnn, mixing, packing, ppm, topk
 from sextant.llm import toxicity as tox
 from sextant.llm.common import table
 from sextant.llm.quality_rules import quality_rules
@@ -35,5 +35,15 @@ def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op4_byte_cnn, op5_exact_topk, op7_mixing)}
+def op8_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.scored(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op4_byte_cnn, op5_exact_topk, op7_mixing, op8_packing, op10_ppm)}
 ORACLE_SQL = {"op5_exact_topk": topk.SQL, "op7_mixing": mixing.SQL}
