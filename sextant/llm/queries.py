@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import byte_cnn, mixing, packing, ppm, topk
+from sextant.llm import byte_cnn, license_scan, minhash, mixing, packing, ppm, suffix_dedup, topk
 from sextant.llm import toxicity as tox
 from sextant.llm.common import table
 from sextant.llm.quality_rules import quality_rules
@@ -45,5 +45,17 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.scored(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op4_byte_cnn, op5_exact_topk, op7_mixing, op8_packing, op10_ppm)}
-ORACLE_SQL = {"op5_exact_topk": topk.SQL, "op7_mixing": mixing.SQL}
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_minhash, op4_byte_cnn, op5_exact_topk, op6_license_scan, op7_mixing, op8_packing, op9_suffix_dedup, op10_ppm)}
+ORACLE_SQL = {"op3_minhash": minhash.SQL, "op5_exact_topk": topk.SQL, "op7_mixing": mixing.SQL}
