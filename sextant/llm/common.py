@@ -72,12 +72,12 @@ def map_texts(docs: DataFrame, columns: list[str], score, schema: str) -> DataFr
     """mapInArrow over (columns..., text): score(list of texts) gives a list of lists, the new columns."""
     import pyarrow as pa
 
-    rows = docs.select(*columns, F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    kept = len(columns)
+    rows = docs.select(*columns, *(["text"] if "text" not in columns else []))
+    kept, at = len(columns), rows.columns.index("text")
 
     def run(batches):
         for b in batches:
-            new = score(b.column(kept).to_pylist())
+            new = score([t or "" for t in b.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns[:kept], *map(pa.array, new)], names=[str(i) for i in range(kept + len(new))])
 
     def named(batches):

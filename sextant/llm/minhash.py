@@ -85,17 +85,17 @@ def normal(text: str) -> bytes:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, ck, n, sig, odd) of each row; ck tells the word sequence."""
+    """(doc_id, row_key, ck, n, sig, odd) of each row; ck tells the word sequence."""
     import pyarrow as pa
 
     def one(row):
         t = normal(row[1])
         h = shingle_hashes(t)
-        yield row[0], hashlib.md5(t).digest(), len(h), signature(h) if len(h) else None, odd_sketch(h)
+        yield row[0], row[2], hashlib.md5(t).digest(), len(h), signature(h) if len(h) else None, odd_sketch(h)
 
-    types = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(lambda b: _batched(_rows(b), one, ["doc_id", "ck", "n", "sig", "odd"], types, 2000), "doc_id long, ck binary, n long, sig array<int>, odd array<long>")
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), row_key().alias("row_key"))
+    return rows.mapInArrow(lambda b: _batched(_rows(b), one, ["doc_id", "row_key", "ck", "n", "sig", "odd"], types, 2000), "doc_id long, row_key long, ck binary, n long, sig array<int>, odd array<long>")
 
 
 def may_link(s1: str, s2: str, n1: str, n2: str, o1: str, o2: str) -> Column:
@@ -241,24 +241,42 @@ def cross_pairs(posts: DataFrame, classes: DataFrame, labels: DataFrame) -> Data
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row for each row of docs."""
+def row_key() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """doc_id, row_key, n, grp (the component; null for an empty set), component_id (its least id): a row for each row."""
     signed = materialize(_signed(docs))
     low = F.coalesce("doc_id", F.lit(-(2**63)))
     classes = signed.groupBy("ck").agg(F.min("doc_id").alias("least"), F.min(low).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("odd").alias("odd"))
-    classes = materialize(classes.withColumn("empty", F.col("n") == 0))
+    classes = materialize(classes)
     some = classes.where("n > 0")
     posts = posted(some)
     links = confirmed(hub_pairs(posts), some, docs)
     more = confirmed(cross_pairs(posts, some, components(links)), some, docs)
     labels = components(links.unionByName(more))
-    of = classes.join(labels, "ck", "left").select("ck", "n", "least", "empty", F.coalesce("comp", "ck").alias("comp"))
-    least = of.groupBy("comp").agg(F.min("least").alias("component_id"))
-    found = of.join(least, "comp").select("ck", F.col("n").alias("n_shingles"), "component_id", "empty")
-    out = signed.select("doc_id", "ck").join(found, "ck")
+    of = some.join(labels, "ck", "left").select("ck", "least", F.coalesce("comp", "ck").alias("grp"))
+    least = of.groupBy("grp").agg(F.min("least").alias("component_id"))
+    found = of.join(least, "grp").select("ck", "grp", "component_id")
+    return signed.select("doc_id", "row_key", "ck", "n").join(found, "ck", "left").drop("ck")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: a row for each row of docs."""
     # An empty set is linked with nothing, not even an equal text.
-    component = F.when(F.col("empty"), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    component = F.when(F.col("grp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return groups(docs).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The rows of docs with one document of each group: the least id, then the least hash.  Empty sets all stay."""
+    g = groups(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
+    one = g.where(F.col("grp").isNotNull()).groupBy("grp").agg(first.alias("m")).select(F.col("m.row_key").alias("_key"))
+    empty = g.where(F.col("grp").isNull()).select(F.col("row_key").alias("_key"))
+    keyed = docs.withColumn("_key", row_key())
+    return keyed.join(one.unionByName(empty).distinct(), "_key").dropDuplicates(["_key"]).drop("_key")
 
 
 SQL = r"""
