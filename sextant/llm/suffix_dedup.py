@@ -4,7 +4,9 @@
    twice and has 200 bytes is removed entirely, but still stands as a place where others' strings may occur).
 2. Anchors: over every 200-byte window the 50-byte grams with the smallest hash are chosen.  The choice depends on the
    window's bytes alone, so two equal windows choose the same grams at the same places: each repeated string holds an
-   anchor whose hash occurs at least twice.  Anchors that occur once are dropped by a join on the hash.
+   anchor whose hash occurs at least twice.  Hashes that occur twice are marked in a bit table of fixed size, which is
+   broadcast and drops the other anchors where the texts are read.  If the table is over half full it isn't used: then
+   the anchors are joined with the hashes that occur twice.
 3. The remaining anchors get their context, up to 150 bytes before and 200 from the anchor, and meet by hash.  The
    suffixes that start at the anchors are sorted deep-shallow: multikey quicksort to a shallow depth, then blind tries
    for groups that still agree.  On the LCP intervals of that order the longest common extension to the left is found
@@ -25,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPAN, GRAM, SHALLOW = 200, 50, 96
+#: Bits of the broadcast table (8 MB).
+BITS = 1 << 26
 LEFT = SPAN - GRAM
 BLOCK = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -275,52 +279,96 @@ def _rows(batches: Iterator) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in b.columns))
 
 
-def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(texts: th, text, n; spans: th, spans array of (s, e), unmerged) of the distinct texts of docs."""
+def _texts_in_blocks(batches: Iterator) -> Iterator[list[tuple[bytes, bytes]]]:
+    """(key, bytes) of the texts that are long enough, BLOCK bytes or one text at a time."""
+    held: list[tuple[bytes, bytes]] = []
+    size = 0
+    for b in batches:
+        for k, t in zip(b.column(0), b.column(1)):
+            x = t.as_py().encode()
+            if len(x) >= SPAN:
+                held.append((k.as_py(), x))
+                size += len(x)
+                if size >= BLOCK:
+                    yield held
+                    held, size = [], 0
+    if held:
+        yield held
+
+
+def repeated_hashes(keyed: DataFrame) -> DataFrame:
+    """(h): hashes of anchors found at two places, equal texts counting as one.  keyed: th, text."""
     import pyarrow as pa
 
-    text = F.coalesce(F.col("text"), F.lit(""))
-    # The text is shuffled once: both uses below read the same exchange.
-    texts = docs.select(F.unhex(F.md5(text)).alias("th"), text.alias("text")).groupBy("th").agg(F.first("text").alias("text"), F.count("*").alias("n"))
-
     def find(batches):
-        names, types = ["h", "th", "pos"], [pa.int64(), pa.binary(), pa.int32()]
-        held: list[tuple[bytes, bytes]] = []
-        size = 0
-
-        def out():
-            found = anchors([t for _, t in held])
-            n = [len(p) for p, _ in found]
-            th = pa.array([k for k, _ in held], pa.binary()).take(pa.array(np.repeat(np.arange(len(held)), n)))
-            h = np.concatenate([v for _, v in found]) if held else np.zeros(0, np.uint64)
-            p = np.concatenate([v for v, _ in found]) if held else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), th, pa.array(p.astype(np.int32))], names=names)
-
-        for b in batches:
-            for k, t in zip(b.column(0), b.column(1)):
-                x = t.as_py().encode()
-                if len(x) >= SPAN:
-                    held.append((k.as_py(), x))
-                    size += len(x)
-                    if size >= BLOCK:
-                        yield out()
-                        held, size = [], 0
-        if held:
-            yield out()
+        for held in _texts_in_blocks(batches):
+            hs, ts, twos = [], [], []
+            for (k, _), (_, h) in zip(held, anchors([t for _, t in held])):
+                u, n = np.unique(h, return_counts=True)
+                hs.append(u.view(np.int64))
+                ts.append(np.full(len(u), int.from_bytes(k[:8], "big", signed=True), np.int64))
+                twos.append((n > 1).astype(np.int8))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, ts, twos)], names=["h", "t", "two"])
+
+    found = keyed.mapInArrow(find, "h long, t long, two byte")
+    return found.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.max("two").alias("two")).where("lo <> hi or two > 0").select("h")
+
+
+def bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
+    """Two bits for each hash, as 64-bit words; at most bits / 64 rows reach the driver."""
+    at = F.explode(F.array(F.col("h").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(bits - 1)))).alias("i")
+    words = hashes.select(at).groupBy(F.shiftright("i", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(i & 63 as int))")).alias("v")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words.column("w").to_numpy()] = words.column("v").to_numpy().view(np.uint64)
+    return out
 
-    found = texts.select("th", "text").mapInArrow(find, "h long, th binary, pos int")
-    twice = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    places = found.join(twice, "h").groupBy("th").agg(F.collect_list(F.struct("pos", "h")).alias("a"))
 
-    def cut(row):
-        th, t, a = row
-        x = t.encode()
-        for p in a:
-            s = max(0, p["pos"] - LEFT)
-            yield p["h"], th, p["pos"], p["pos"] - s, x[s : p["pos"] + SPAN]
+def marked(h: np.ndarray, table: np.ndarray) -> np.ndarray:
+    bits = np.uint64(len(table) * 64 - 1)
+    hit = lambda i: (table[(i >> np.uint64(6)).astype(np.int64)] >> (i & np.uint64(63))) & np.uint64(1)
+    return (hit(h & bits) & hit((h >> np.uint64(32)) & bits)).astype(bool)
+
 
-    context_names, context_types = ["h", "th", "pos", "k", "ctx"], [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
-    contexts = texts.select("th", "text").join(places, "th").mapInArrow(lambda b: _batched(_rows(b), cut, context_names, context_types), "h long, th binary, pos int, k int, ctx binary")
+def removed_spans(docs: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """(texts: th, text, n; spans: th, spans array of (s, e), unmerged) of the distinct texts of docs."""
+    import pyarrow as pa
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.select(F.unhex(F.md5(text)).alias("th"), text.alias("text"))
+    # The text is shuffled once: both uses below read the same exchange.
+    texts = keyed.groupBy("th").agg(F.first("text").alias("text"), F.count("*").alias("n"))
+    names, types = ["h", "th", "pos", "k", "ctx"], [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
+    context = "h long, th binary, pos int, k int, ctx binary"
+
+    def around(th, x, pos, h):
+        s = max(0, pos - LEFT)
+        return h, th, pos, pos - s, x[s : pos + SPAN]
+
+    def find(table):
+        def run(batches):
+            for held in _texts_in_blocks(batches):
+                rows = []
+                for (th, x), (p, h) in zip(held, anchors([t for _, t in held])):
+                    keep = slice(None) if table is None else marked(h, table.value)
+                    rows += [around(th, x, i, j) for i, j in zip(p[keep].tolist(), h[keep].view(np.int64).tolist())]
+                yield from _batched(iter(rows), lambda r: (r,), names, types)
+
+        return run
+
+    twice = repeated_hashes(keyed)
+    table = bit_table(twice, bits)
+    if np.bitwise_count(table).sum() <= bits // 2:
+        shared = docs.sparkSession.sparkContext.broadcast(table)
+        contexts = texts.select("th", "text").mapInArrow(find(shared), context)
+    else:
+        every = texts.select("th", "text").mapInArrow(find(None), context).select("h", "th", "pos")
+        places = every.join(twice, "h").groupBy("th").agg(F.collect_list(F.struct("pos", "h")).alias("a"))
+
+        def cut(row):
+            x = row[1].encode()
+            return [around(row[0], x, p["pos"], p["h"]) for p in row[2]]
+
+        contexts = texts.select("th", "text").join(places, "th").mapInArrow(lambda b: _batched(_rows(b), cut, names, types), context)
 
     def meet(batches):
         """Rows come sorted by hash; each run of one hash is a group."""
@@ -348,10 +396,10 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return texts, parts.groupBy("th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
-def _result(docs: DataFrame, with_text: bool) -> DataFrame:
+def _result(docs: DataFrame, with_text: bool, bits: int) -> DataFrame:
     import pyarrow as pa
 
-    texts, spans = removed_spans(docs)
+    texts, spans = removed_spans(docs, bits)
 
     def cut(row):
         th, t, n, a = row
@@ -374,8 +422,8 @@ def _result(docs: DataFrame, with_text: bool) -> DataFrame:
     return texts.join(spans, "th", "left").select("th", "text", "n", "spans").mapInArrow(lambda b: _batched(_rows(b), cut, names, types, 500), ddl)
 
 
-def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, with_text: bool = False, bits: int = BITS) -> DataFrame:
     """The rows of docs (without text) with n_bytes, n_removed, n_spans, kept_sha256 (and kept_text, valid UTF-8)."""
     extra = [c for c in docs.columns if c not in ("text", "th", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")]
     keyed = docs.select(*extra, F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("th"))
-    return keyed.join(_result(docs, with_text), "th").drop("th")
+    return keyed.join(_result(docs, with_text, bits), "th").drop("th")

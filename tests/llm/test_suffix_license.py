@@ -26,9 +26,9 @@ def brute_removed(texts):
     return out
 
 
-def check(spark, rows):
+def check(spark, rows, bits=suffix_dedup.BITS):
     df = spark.createDataFrame(rows, DOCS)
-    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(df.select("doc_id", "text")).collect()), key=str)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(df.select("doc_id", "text"), bits=bits).collect()), key=str)
     want = sorted(((r[0], *w) for r, w in zip(rows, brute_removed([r[1] for r in rows]))), key=str)
     assert got == want
     return want
@@ -39,6 +39,7 @@ def test_suffix_edges(spark):
     mid = "é" * 90 + a[:300]
     rows = [(1, a, 1, "x", None), (1, a, 1, "x", None), (None, None, None, None, None), (2, "", 0, "", ""), (3, a[100:299], 0, "", ""), (4, "q" + a[250:450] + "z", 0, "", ""), (5, mid + "1", 0, "", ""), (6, "0" + mid, 0, "", ""), (7, "ab" * 400, 0, "", ""), (8, "word " * 100, 0, "", ""), (None, a[:199], 0, "", "")]
     want = check(spark, rows)
+    check(spark, rows, 64)  # too small a bit table: the join instead
     assert any(w[2] == 200 for w in want) and any(0 < w[2] < w[1] for w in want)
     assert suffix_dedup.suffix_dedup(spark.createDataFrame([], DOCS)).count() == 0
 
