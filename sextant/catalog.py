@@ -1,4 +1,431 @@
-"""Registry of the engine's queries and their SQL oracles."""
+"""The engine's registered queries, each with the DuckDB SQL that must give the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sextant.functions import scoring, text
+from sextant.operators import chunking, context, evaluate, filters, govern, graph, lexical, storage, vector
+from sextant.plans import search
+from sextant.streaming import events as ev
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- shared inputs -----------------------------------------------------------------------------------------------
+
+def q_text(spark, d) -> DataFrame:
+    return t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def vectors(spark, d) -> DataFrame:
+    return t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+
+
+def q_vec(spark, d) -> DataFrame:
+    ids = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    return ids.join(vectors(spark, d).withColumnRenamed("doc_id", "query_id"), "query_id")
+
+
+def q_both(spark, d) -> DataFrame:
+    return q_text(spark, d).join(q_vec(spark, d), "query_id", "left")
+
+
+def listing(spark, d) -> DataFrame:
+    """A result list per language: documents by length, longest first."""
+    docs = t(spark, d, "documents").select(F.col("lang").alias("query_id"), "doc_id", "text", "source", F.col("n_chars").cast("double").alias("score"))
+    return scoring.ranked(docs, F.desc("score"), F.col("doc_id"), name="pos")
+
+
+STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
+TOK = "list_filter(regexp_extract_all(lower(coalesce({}, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN (" + STOP + "))"
+BM25 = f"""
+toks AS (SELECT doc_id, {TOK.format('text')} AS t FROM documents),
+st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks),
+post AS (SELECT doc_id, len(t) AS dl, term, count(*) AS tf FROM (SELECT doc_id, t, unnest(t) AS term FROM toks) GROUP BY doc_id, len(t), term),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+qt AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({TOK.format('text')}) AS term FROM benchmark) GROUP BY ALL),
+sc AS (SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
+       FROM qt JOIN post USING (term) JOIN dfs USING (term), st GROUP BY query_id, doc_id),
+lex AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM sc)"""
+KNN = """
+vq AS (SELECT b.item_id AS query_id, e.embedding::DOUBLE[] AS v FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
+vd AS (SELECT query_id, vec_id AS doc_id, round(list_sum(list_transform(list_zip(v, embedding::DOUBLE[]), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS score FROM vq, embeddings),
+vec AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id)::INTEGER AS rank, doc_id, score FROM vd)"""
+
+
+def fused(leg: int, a: float, b: float) -> str:
+    return f"""
+fu AS (SELECT query_id, doc_id, v.rank AS v_rank, l.rank AS b_rank, v.score AS distance, l.score AS bm25_score,
+              round(coalesce({a} / (60 + v.rank), 0) + coalesce({b} / (60 + l.rank), 0), 6) AS score
+       FROM (SELECT * FROM vec WHERE rank <= {leg}) v FULL JOIN (SELECT * FROM lex WHERE rank <= {leg}) l USING (query_id, doc_id)),
+fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v_rank NULLS LAST, b_rank NULLS LAST)::INTEGER AS rank FROM fu)"""
+
+
+LISTING = "ls AS (SELECT lang AS query_id, doc_id, text, source, n_chars::DOUBLE AS score, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id)::INTEGER AS pos FROM documents)"
+
+
+# --- lexical, vector, hybrid -------------------------------------------------------------------------------------
+
+@query(f"WITH {BM25} SELECT * FROM lex WHERE rank <= 10")
+def bm25_topk(spark, d):
+    return lexical.bm25(q_text(spark, d), t(spark, d, "documents"), 10)
+
+
+@query(f"WITH {BM25} SELECT term, df FROM dfs")
+def inverted_index_stats(spark, d):
+    return lexical.index(t(spark, d, "documents"))[1]
+
+
+@query(f"WITH {KNN} SELECT * FROM vec WHERE rank <= 10")
+def knn_l2_topk(spark, d):
+    return vector.knn(q_vec(spark, d), vectors(spark, d), 10)
+
+
+@query("""WITH vq AS (SELECT b.item_id AS query_id, e.embedding::DOUBLE[] AS v FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
+vd AS (SELECT query_id, vec_id AS doc_id, round(1 - list_cosine_similarity(v, embedding::DOUBLE[]), 6) + 0.0 AS score FROM vq, embeddings),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id)::INTEGER AS rank, doc_id, score FROM vd) SELECT * FROM r WHERE rank <= 10""")
+def knn_cosine_topk(spark, d):
+    return vector.knn(q_vec(spark, d), vectors(spark, d), 10, "cosine")
+
+
+@query(f"WITH {BM25}, {KNN}, {fused(20, 0.5, 0.5)} SELECT query_id, doc_id, v_rank, b_rank, distance, bm25_score, score, rank FROM fr WHERE rank <= 5")
+def hybrid_search(spark, d):
+    return search.hybrid(q_both(spark, d), t(spark, d, "documents"), vectors(spark, d), 5)
+
+
+@query(f"WITH {BM25}, {KNN}, {fused(10, 0.7, 0.3)} SELECT query_id, doc_id, v_rank, b_rank, distance, bm25_score, score, rank FROM fr")
+def rrf_fuse(spark, d):
+    return scoring.rrf(knn_l2_topk(spark, d), bm25_topk(spark, d), 60, 0.7, 0.3)
+
+
+@query(f"""WITH {BM25}, {KNN}, {fused(40, 0.5, 0.5)},
+qd AS (SELECT item_id AS query_id, list_distinct({TOK.format('text')}) AS q FROM benchmark),
+rr AS (SELECT fr.query_id, fr.doc_id, fr.rank AS pos, coalesce(documents.text, '') AS text, documents.source, CASE WHEN len(q) > 0 THEN round(len(list_intersect(q, {TOK.format('documents.text')})) / len(q), 6) ELSE 0.0 END AS score
+       FROM fr LEFT JOIN documents USING (doc_id) JOIN qd ON qd.query_id = fr.query_id WHERE fr.rank <= 10),
+dd AS (SELECT *, row_number() OVER (PARTITION BY query_id, text ORDER BY pos) AS n FROM (SELECT query_id, doc_id, text, source, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS pos FROM rr)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos)::INTEGER AS rank FROM dd WHERE n = 1)
+SELECT query_id, rank, doc_id, score, text, source FROM rk WHERE rank <= 5""")
+def rag_pipeline(spark, d):
+    return search.run(q_both(spark, d), t(spark, d, "documents"), vectors(spark, d), "balanced")
+
+
+@query(f"WITH {KNN} SELECT query_id, rank, doc_id, round(CASE WHEN score <= 0 THEN 1.0 ELSE 1 / (1 + score) END, 6) AS score FROM vec WHERE rank <= 5")
+def vector_retriever(spark, d):
+    return search.vector_only(q_vec(spark, d), vectors(spark, d), 5)
+
+
+@query(f"""WITH {BM25}, {KNN}, c AS (SELECT * FROM (VALUES ('fast', 3, 8), ('balanced', 5, 20), ('accurate', 10, 60)) c(config, k, leg)),
+fu AS (SELECT config, k, query_id, doc_id, round(coalesce(CASE WHEN config = 'accurate' THEN 0.6 ELSE 0.5 END / (60 + v.rank), 0) + coalesce(CASE WHEN config = 'accurate' THEN 0.4 ELSE 0.5 END / (60 + l.rank), 0), 6) AS score, v.rank AS vr, l.rank AS lr
+       FROM (SELECT * FROM vec, c WHERE rank <= leg) v FULL JOIN (SELECT * FROM lex, c WHERE rank <= leg) l USING (config, k, leg, query_id, doc_id)),
+fr AS (SELECT *, row_number() OVER (PARTITION BY config, query_id ORDER BY score DESC, vr NULLS LAST, lr NULLS LAST) AS rank FROM fu)
+SELECT config, count(*) AS results, round(avg(score), 6) AS avg_score FROM fr WHERE rank <= k GROUP BY config""")
+def benchmark_configs(spark, d):
+    out = None
+    for name, p in search.PROFILES.items():
+        found = search.hybrid(q_both(spark, d), t(spark, d, "documents"), vectors(spark, d), p.top_k, p).withColumn("config", F.lit(name))
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("config").agg(F.count("*").alias("results"), F.round(F.avg("score"), 6).alias("avg_score"))
+
+
+@query("SELECT * FROM (VALUES ('fast', 3, 4, 8), ('balanced', 5, 10, 20), ('accurate', 10, 30, 60)) t(profile, top_k, fused, per_leg)")
+def profile_sizing(spark, d):
+    return spark.createDataFrame([(n, p.top_k, int(p.top_k * p.multiplier), 2 * int(p.top_k * p.multiplier)) for n, p in search.PROFILES.items()], "profile string, top_k int, fused int, per_leg int")
+
+
+# --- scoring -----------------------------------------------------------------------------------------------------
+
+@query("SELECT query_id, doc_id, CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END AS norm FROM (SELECT lang AS query_id, doc_id, n_chars::DOUBLE AS score, min(n_chars) OVER (PARTITION BY lang) AS lo, max(n_chars) OVER (PARTITION BY lang) AS hi FROM documents)")
+def normalize_minmax(spark, d):
+    return scoring.min_max(listing(spark, d)).select("query_id", "doc_id", "norm")
+
+
+@query(f"WITH {LISTING} SELECT query_id, doc_id, 1.0::DOUBLE - (pos - 1) / greatest(count(*) OVER (PARTITION BY query_id) - 1, 1)::DOUBLE AS norm FROM ls")
+def normalize_rank(spark, d):
+    return scoring.rank_norm(listing(spark, d), "pos").select("query_id", "doc_id", "norm")
+
+
+@query("SELECT o_orderkey, CASE WHEN x IS NULL THEN 0.0 WHEN x <= 0 THEN 1.0 ELSE 1 / (1 + x) END AS score FROM (SELECT o_orderkey, o_totalprice - 100000 AS x FROM orders)")
+def distance_to_score(spark, d):
+    return t(spark, d, "orders").select("o_orderkey", scoring.distance_to_score(F.col("o_totalprice") - 100000).alias("score"))
+
+
+# --- filters -----------------------------------------------------------------------------------------------------
+
+def _where(name: str, table: str, cols: str, spec: dict, sql: str, doc: dict | None = None):
+    def f(spark, d):
+        cond = filters.where(spec)
+        cond = cond & filters.where_document(doc) if doc else cond
+        return t(spark, d, table).where(cond).select(*cols.split(", "))
+
+    f.__name__ = name
+    query(f"SELECT {cols} FROM {table} WHERE {sql}")(f)
+
+
+_where("where_eq", "documents", "doc_id, source", {"source": "src1"}, "source = 'src1'")
+_where("where_range", "documents", "doc_id, n_chars", {"n_chars": {"$gte": 500, "$lt": 2000, "$contains": "x"}}, "n_chars >= 500 AND n_chars < 2000")
+_where("where_contains", "documents", "doc_id", {"text": {"$contains": "the"}}, "contains(text, 'the')")
+_where("where_and", "documents", "doc_id", {"lang": "en", "source": "src2", "n_chars": {"$gt": 100}, "lang_": {"$unknown": 1}}, "lang = 'en' AND source = 'src2' AND n_chars > 100")
+_where("where_nested", "documents", "doc_id", {"$or": [{"lang": {"$in": ["fr", "de"]}}, {"n_chars": {"$lte": 300}}], "source": {"$ne": "src0"}}, "(lang IN ('fr', 'de') OR n_chars <= 300) AND source <> 'src0'")
+_where("where_document", "documents", "doc_id", {"lang": "en"}, "lang = 'en' AND contains(text, 'and')", {"$contains": "and"})
+
+
+# --- context -----------------------------------------------------------------------------------------------------
+
+@query(f"WITH {LISTING} SELECT query_id, doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id, text ORDER BY pos) AS n FROM ls) WHERE n = 1")
+def dedup_exact(spark, d):
+    return context.dedup_exact(listing(spark, d)).select("query_id", "doc_id", "pos")
+
+
+MERGE = f"""WITH {LISTING}, c AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN 1 ELSE (source IS DISTINCT FROM lag(source) OVER w)::INT END AS c FROM ls WINDOW w AS (PARTITION BY query_id ORDER BY pos)),
+g AS (SELECT *, sum(c) OVER (PARTITION BY query_id ORDER BY pos) AS g FROM c),
+m AS (SELECT query_id, source, min(pos) AS pos, arg_min(doc_id, pos) AS doc_id, arg_min(score, pos) AS score, string_agg(text, chr(10) ORDER BY pos) AS text, count(*) AS chunks_merged FROM g GROUP BY query_id, g, source)"""
+
+
+@query(MERGE + " SELECT query_id, source, pos, doc_id, score, md5(text) AS h, chunks_merged FROM m")
+def merge_consecutive(spark, d):
+    return context.merge_consecutive(listing(spark, d)).select("query_id", "source", "pos", "doc_id", "score", F.md5("text").alias("h"), "chunks_merged")
+
+
+@query(MERGE + """, u AS (SELECT *, row_number() OVER (PARTITION BY query_id, text ORDER BY pos) AS n FROM m),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos)::INTEGER AS rank FROM u WHERE n = 1) SELECT query_id, rank, doc_id, score, chunks_merged FROM r WHERE rank <= 5""")
+def context_build(spark, d):
+    return context.build(listing(spark, d), 5, merge=True).select("query_id", "rank", "doc_id", "score", "chunks_merged")
+
+
+@query("""WITH l AS (SELECT l_returnflag AS query_id, l_partkey AS doc_id, l_extendedprice AS score, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice)::INTEGER AS pos FROM lineitem)
+SELECT query_id, doc_id, max(score) AS score, min(pos) AS pos FROM l GROUP BY query_id, doc_id""")
+def multi_query_best(spark, d):
+    rows = t(spark, d, "lineitem").select(F.col("l_returnflag").alias("query_id"), F.col("l_partkey").alias("doc_id"), F.col("l_extendedprice").alias("score"), "l_orderkey", "l_linenumber")
+    rows = scoring.ranked(rows, F.col("l_orderkey"), F.col("l_linenumber"), F.col("doc_id"), F.col("score"), name="pos")
+    return context.keep_best(rows.drop("l_orderkey", "l_linenumber")).select("query_id", "doc_id", "score", "pos")
+
+
+# --- chunking ----------------------------------------------------------------------------------------------------
+
+@query("""SELECT doc_id, i::INTEGER AS chunk_index, (i * 450)::INTEGER AS start, least(i * 450 + 500, length(text))::INTEGER AS "end", md5(substring(text, i * 450 + 1, 500)) AS h
+FROM (SELECT doc_id, text, unnest(range(0, greatest(0, ceil((length(text) - 500) / 450.0))::BIGINT + 1)) AS i FROM documents WHERE length(text) > 0)""")
+def chunk_simple(spark, d):
+    c = chunking.simple(t(spark, d, "documents"))
+    return c.select("doc_id", "chunk_index", "start", F.col("end").cast("int").alias("end"), F.md5("text").alias("h"))
+
+
+@query("""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE length(text) > 0),
+l AS (SELECT doc_id, CASE WHEN p[-1] = '' THEN list_transform(p[1:-2], lambda x: x || chr(10)) ELSE list_concat(list_transform(p[1:-2], lambda x: x || chr(10)), [p[-1]]) END AS l FROM s)
+SELECT doc_id, i::INTEGER AS chunk_index, (i * 8 + 1)::INTEGER AS line_start, least(i * 8 + 10, len(l))::INTEGER AS line_end, md5(array_to_string(l[i * 8 + 1:i * 8 + 10], '')) AS h
+FROM (SELECT doc_id, l, unnest(range(0, greatest(0, ceil((len(l) - 10) / 8.0))::BIGINT + 1)) AS i FROM l)""")
+def chunk_line(spark, d):
+    c = chunking.lines(t(spark, d, "documents"), 10, 2)
+    return c.select("doc_id", "chunk_index", "line_start", F.col("line_end").cast("int").alias("line_end"), F.md5("text").alias("h"))
+
+
+@query("""SELECT doc_id, heading, level, md5(h) AS h FROM (SELECT doc_id, source AS heading, 1 AS level, '# ' || source || chr(10) AS h FROM documents
+UNION ALL SELECT doc_id, 'Body', 2, '## Body' || chr(10) || lang FROM documents)""")
+def chunk_markdown_atx(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n## Body\n"), "lang").alias("text"))
+    return chunking.markdown(docs).select("doc_id", "heading", "level", F.md5("text").alias("h"))
+
+
+@query("""WITH c AS (SELECT doc_id, i, substring(x, i * 180 + 1, 200) AS text, count(*) OVER (PARTITION BY doc_id) AS chunk_count FROM (SELECT doc_id, x, unnest(range(0, greatest(0, ceil((length(x) - 200) / 180.0))::BIGINT + 1)) AS i FROM
+(SELECT doc_id, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS x FROM documents) WHERE length(x) > 0)) SELECT doc_id || ':chunk:' || i AS id, doc_id, chunk_count, md5(text) AS h FROM c""")
+def ingest_chunks(spark, d):
+    return chunking.ingest(t(spark, d, "documents"), 200).select("id", "doc_id", "chunk_count", F.md5("text").alias("h"))
+
+
+@query("SELECT source, sum(greatest(1, n_chars // 500))::BIGINT AS chunks FROM documents GROUP BY source")
+def estimated_chunks(spark, d):
+    return t(spark, d, "documents").groupBy("source").agg(F.sum(F.greatest(F.lit(1), F.floor(F.col("n_chars") / 500))).alias("chunks"))
+
+
+# --- files, sync, storage ----------------------------------------------------------------------------------------
+
+def _files(spark, d) -> DataFrame:
+    ext = F.element_at(F.array(*map(F.lit, ["py", "ts", "go", "MD", "bin"])), (F.col("page_id") % 5 + 1).cast("int"))
+    dirs = F.when(F.col("page_id") % 7 == 0, "node_modules").otherwise("src")
+    return t(spark, d, "pages").select(F.concat(F.lit("/repo/"), dirs, F.lit("/f"), F.col("page_id").cast("string"), F.lit("."), ext).alias("path"), F.length("html").alias("length"))
+
+
+FILES = "f AS (SELECT '/repo/' || CASE WHEN page_id % 7 = 0 THEN 'node_modules' ELSE 'src' END || '/f' || page_id || '.' || (['py', 'ts', 'go', 'MD', 'bin'])[page_id % 5 + 1] AS path, page_id, length(html) AS length FROM pages)"
+
+
+@query(f"WITH {FILES} SELECT path, (['python', 'typescript', 'go', 'markdown', 'text'])[page_id % 5 + 1] AS language FROM f")
+def language_map(spark, d):
+    return _files(spark, d).select("path", text.language(F.col("path")).alias("language"))
+
+
+@query(f"WITH {FILES} SELECT CASE WHEN path LIKE '%/node_modules/%' THEN 'excluded' WHEN lower(path) NOT SIMILAR TO '.*[.](py|ts|md)' THEN 'type' WHEN length > 900 THEN 'size' END AS reason, count(*) AS files FROM f GROUP BY 1")
+def scan_skips(spark, d):
+    from sextant.sources.files import skip_reason
+
+    return _files(spark, d).select(skip_reason(F.col("path"), F.col("length"), ["py", "ts", "md"], ["node_modules"], 900).alias("reason")).groupBy("reason").agg(F.count("*").alias("files"))
+
+
+@query("SELECT doc_id AS source, CASE WHEN lang = 'fr' THEN 'added' WHEN lang = 'es' THEN 'deleted' WHEN source = 'src5' THEN 'modified' ELSE 'unchanged' END AS change_type FROM documents")
+def sync_diff(spark, d):
+    """The index lacks the French texts, the disk the Spanish ones, and those of src5 have changed."""
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("source"), F.md5("text").alias("content_hash"), "lang", F.col("source").alias("s"))
+    new = docs.withColumn("content_hash", F.when(F.col("s") == "src5", F.lit("x")).otherwise(F.col("content_hash")))
+    return storage.sync_diff(docs.where("lang <> 'fr'"), new.where("lang <> 'es'"))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
+def upsert_latest(spark, d):
+    return storage.upsert_latest(t(spark, d, "events"), "user_id", "event_id").select("user_id", "event_id", "event_type")
+
+
+@query("SELECT doc_id, source FROM documents WHERE source <> 'src3' OR source IS NULL")
+def delete_by_source(spark, d):
+    return storage.delete(t(spark, d, "documents"), F.col("source") == "src3").select("doc_id", "source")
+
+
+@query("SELECT doc_id, (doc_id * 2)::BIGINT AS pos, 'new' AS text FROM documents WHERE lang = 'fr' UNION ALL SELECT doc_id, doc_id * 2, md5(text) FROM documents WHERE lang <> 'fr'")
+def bm25_upsert(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", (F.col("doc_id") * 2).alias("pos"), F.md5("text").alias("text"), "lang")
+    new = docs.where("lang = 'fr'").select("doc_id", F.lit(0).cast("long").alias("pos"), F.lit("new").alias("text"))
+    return lexical.upsert(docs.drop("lang"), new)
+
+
+@query("SELECT s.source AS collection, s.n AS source_count, coalesce(k.n, 0) AS target_count, s.n = coalesce(k.n, 0) AS ok FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1) s LEFT JOIN (SELECT source, count(*) AS n FROM documents WHERE lang <> 'es' GROUP BY 1) k USING (source)")
+def migration_verify(spark, d):
+    docs = t(spark, d, "documents").withColumnRenamed("source", "collection")
+    return storage.verify_copy(docs, docs.where("lang <> 'es'"))
+
+
+@query("SELECT count(*) AS collections, sum(n)::BIGINT AS documents, floor(avg(n) + 0.5)::BIGINT AS average FROM (SELECT count(*) AS n FROM documents GROUP BY source)")
+def collection_stats(spark, d):
+    return storage.collection_stats(t(spark, d, "documents"), "source")
+
+
+# --- events ------------------------------------------------------------------------------------------------------
+
+def _events(spark, d) -> DataFrame:
+    kind = F.create_map(*map(F.lit, ["signup", "created", "error", "deleted"]))
+    e = t(spark, d, "events").select("event_id", "ts", F.lit("w").alias("watcher"), F.col("user_id").cast("string").alias("path"), F.coalesce(F.try_element_at(kind, F.col("event_type")), F.lit("modified")).alias("event_type"), F.lit(False).alias("is_directory"))
+    return ev.debounce(e.withColumn("watcher", F.col("path")), "", 6 * 3600)
+
+
+EVENTS = """e AS (SELECT event_id, ts, user_id::VARCHAR AS path, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'modified' END AS kind FROM events),
+g AS (SELECT *, coalesce(ts - lag(ts) OVER w > INTERVAL 6 HOUR, false)::INT AS f FROM e WINDOW w AS (PARTITION BY path ORDER BY ts, event_id)),
+s AS (SELECT *, sum(f) OVER (PARTITION BY path ORDER BY ts, event_id)::BIGINT AS session FROM g)"""
+
+
+@query(f"WITH {EVENTS} SELECT path AS watcher, session, count(*) AS events FROM s GROUP BY ALL")
+def debounce_sessions(spark, d):
+    return _events(spark, d).groupBy("watcher", "session").agg(F.count("*").alias("events"))
+
+
+@query(f"""WITH {EVENTS}, k AS (SELECT path, session, list(kind ORDER BY ts, event_id) AS ks FROM s GROUP BY ALL),
+r AS (SELECT path, session, list_reduce(list_prepend('', ks), lambda st, x: CASE WHEN st = '' THEN CASE WHEN x = 'modified' THEN 'created' ELSE x END WHEN x = 'created' THEN 'created'
+ WHEN x = 'modified' THEN CASE WHEN st = 'deleted' THEN 'created' ELSE 'modified' END WHEN st = 'created' THEN '' ELSE 'deleted' END) AS event_type FROM k) SELECT path AS watcher, session, path, event_type FROM r WHERE event_type <> ''""")
+def coalesce_events(spark, d):
+    return ev.coalesce_events(_events(spark, d))
+
+
+# --- graph -------------------------------------------------------------------------------------------------------
+
+def _graph(spark, d) -> tuple[DataFrame, DataFrame]:
+    n = t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").cast("long").alias("r"))
+    calls = n.select(F.col("id").alias("source"), ((F.col("id") * 3 + 1) % 25).alias("target"), F.lit("calls").alias("edge_type"))
+    imports = n.select(F.col("id").alias("source"), ((F.col("id") + 7) % 30).alias("target"), F.lit("imports").alias("edge_type"))
+    return n, calls.unionByName(imports)
+
+
+GRAPH = "n AS (SELECT n_nationkey::BIGINT AS id FROM nation), ed AS (SELECT id AS source, (id * 3 + 1) % 25 AS target, 'calls' AS edge_type FROM n UNION ALL SELECT id, (id + 7) % 30, 'imports' FROM n)"
+
+
+@query(f"WITH {GRAPH} SELECT DISTINCT source AS id, target AS neighbor FROM ed WHERE target IN (SELECT id FROM n)")
+def neighbors(spark, d):
+    return graph.neighbors(*_graph(spark, d))
+
+
+@query(f"WITH {GRAPH} SELECT DISTINCT target AS id, source AS caller FROM ed WHERE edge_type = 'calls'")
+def callers(spark, d):
+    return graph.callers(*_graph(spark, d))
+
+
+@query(f"WITH {GRAPH} SELECT DISTINCT source AS id, target AS callee FROM ed WHERE edge_type = 'calls' AND target IN (SELECT id FROM n)")
+def callees(spark, d):
+    return graph.callees(*_graph(spark, d))
+
+
+PATHS = f"WITH RECURSIVE {GRAPH}, p AS (SELECT [2::BIGINT] AS path UNION ALL SELECT list_append(path, target) FROM p JOIN (SELECT DISTINCT source, target FROM ed WHERE source <> target) ON source = path[-1] WHERE path[-1] <> 20 AND len(path) <= 5 AND NOT list_contains(path, target))"
+
+
+@query(PATHS + " SELECT array_to_string(path, '>') AS path FROM p WHERE path[-1] = 20")
+def all_paths(spark, d):
+    return graph.paths(_graph(spark, d)[1], 2, 20, 5).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
+@query(PATHS + " SELECT array_to_string(min(path), '>') AS path FROM p WHERE path[-1] = 20 AND len(path) = (SELECT min(len(path)) FROM p WHERE path[-1] = 20)")
+def shortest_path(spark, d):
+    return graph.shortest_path(_graph(spark, d)[1], 2, 20).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
+@query(f"""WITH RECURSIVE {GRAPH}, r AS (SELECT DISTINCT source, target FROM ed UNION SELECT r.source, ed.target FROM r JOIN ed ON r.target = ed.source),
+v AS (SELECT id FROM n UNION SELECT target FROM ed), s AS (SELECT v.id, least(v.id, coalesce(min(a.target), v.id)) AS scc FROM v LEFT JOIN (SELECT a.source, a.target FROM r a JOIN r b ON a.source = b.target AND a.target = b.source) a ON a.source = v.id GROUP BY v.id)
+SELECT (SELECT count(*) FROM v) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT source, target FROM ed)) AS edges, (SELECT count(*) FROM r WHERE source = target) = 0 AS is_dag, (SELECT count(DISTINCT scc) FROM s) AS components""")
+def graph_stats(spark, d):
+    return graph.statistics(*_graph(spark, d))
+
+
+# --- evaluation, access, prompts ---------------------------------------------------------------------------------
+
+@query(f"""WITH {BM25}, q AS (SELECT item_id AS query_id, list_distinct({TOK.format('text')}) AS kw FROM benchmark),
+x AS (SELECT lex.query_id, lex.rank, lex.doc_id, len(list_filter(kw, lambda k: contains(lower(text), k))) AS m, len(kw) AS n FROM lex JOIN q USING (query_id) JOIN documents USING (doc_id) WHERE lex.rank <= 10),
+a AS (SELECT query_id, avg(CASE WHEN n > 0 THEN m / n ELSE 0 END) AS rel, avg((m = 0)::INT) AS noise, max((doc_id = query_id AND rank <= 5)::INT) AS hit FROM x GROUP BY query_id)
+SELECT round(avg(100.0 * coalesce(hit, 0)), 6) AS hit_rate, round(avg(coalesce(rel, 0)), 6) AS relevance, round(avg(coalesce(noise, 0)), 6) AS noise_ratio, count(*) AS queries FROM q LEFT JOIN a USING (query_id)""")
+def evaluate_pipeline(spark, d):
+    q = q_text(spark, d).select("query_id", F.array_distinct(text.tokens(F.col("text"))).alias("keywords"), F.array("query_id").alias("expected"))
+    found = bm25_topk(spark, d).withColumnRenamed("rank", "pos").join(t(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return evaluate.evaluate(q, found, 5)
+
+
+@query("SELECT c_custkey, coalesce(CASE WHEN c_nationkey % 3 = 0 THEN 't' || c_nationkey END, 'default-tenant') AS tenant FROM customer")
+def tenant_filter(spark, d):
+    c = t(spark, d, "customer")
+    return c.select("c_custkey", govern.tenant(F.when(F.col("c_nationkey") % 3 == 0, F.concat(F.lit("t"), F.col("c_nationkey").cast("string")))).alias("tenant"))
+
+
+@query("SELECT c_custkey, c_acctbal > 9000 OR c_mktsegment IN ('BUILDING', 'MACHINERY') AS allowed FROM customer")
+def rbac_check(spark, d):
+    role = F.when(F.col("c_mktsegment") == "BUILDING", "admin").when(F.col("c_mktsegment") == "MACHINERY", "editor").otherwise("viewer")
+    users = t(spark, d, "customer").select("c_custkey", role.alias("role"), (F.col("c_acctbal") > 9000).alias("is_superuser"))
+    return govern.has_permission(users, "write").select("c_custkey", "allowed")
+
+
+@query("SELECT p_partkey, array_to_string(list_filter([CASE WHEN length(p_name) < 8 THEN 'length' END, CASE WHEN NOT regexp_matches(p_name, '[A-Z]') THEN 'upper' END, CASE WHEN NOT regexp_matches(p_name, '[a-z]') THEN 'lower' END, CASE WHEN NOT regexp_matches(p_name, '[0-9]') THEN 'digit' END], lambda x: x IS NOT NULL), ',') AS problems FROM part")
+def password_rules(spark, d):
+    return t(spark, d, "part").select("p_partkey", F.array_join(text.password_problems(F.col("p_name")), ",").alias("problems"))
+
+
+@query("SELECT conv_id, string_agg('[' || role || ']: ' || text, chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id")
+def chat_prompt(spark, d):
+    return govern.chat_prompt(t(spark, d, "conversations"))
+
+
+@query("SELECT o_custkey, count(DISTINCT f) AS files FROM (SELECT o_custkey, unnest([o_orderpriority, o_orderstatus, o_orderpriority]) AS f FROM orders) GROUP BY o_custkey")
+def push_changed_files(spark, d):
+    o = t(spark, d, "orders").select("o_custkey", F.explode(F.array("o_orderpriority", "o_orderstatus", "o_orderpriority")).alias("f"))
+    return o.groupBy("o_custkey").agg(F.countDistinct("f").alias("files"))
+
+
+@query("SELECT o_orderkey, (rn / n)::DOUBLE AS progress FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)")
+def progress(spark, d):
+    w = Window.partitionBy("o_custkey")
+    return t(spark, d, "orders").select("o_orderkey", (F.row_number().over(w.orderBy("o_orderkey")) / F.count("*").over(w)).alias("progress"))
