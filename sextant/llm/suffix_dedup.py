@@ -20,6 +20,7 @@ remove, the hash of no bytes.  Repeated rows and null ids: the result depends on
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -344,13 +345,27 @@ def removed_spans(docs: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFra
         s = max(0, pos - LEFT)
         return h, th, pos, pos - s, x[s : pos + SPAN]
 
+    def once(th, rows):
+        """A context that a text holds twice covers itself: its places are merged here, and one goes on for other texts."""
+        key = lambda r: (r[0], r[3], r[4])
+        times = Counter(key(r) for r in rows if len(r[4]) >= SPAN)
+        own = [(r[2] - r[3], r[2] - r[3] + len(r[4])) for r in rows if times[key(r)] > 1]
+        sent = set()
+        for r in rows:
+            if key(r) not in sent:
+                yield r
+                sent.add(key(r))
+        salt = int.from_bytes(th[:8], "big", signed=True)
+        for s, e in merged(own):  # no context: start and length; dealt by a value of the text's own
+            yield salt, th, s, e - s, None
+
     def find(table):
         def run(batches):
             for held in _texts_in_blocks(batches):
                 rows = []
                 for (th, x), (p, h) in zip(held, anchors([t for _, t in held])):
                     keep = slice(None) if table is None else marked(h, table.value)
-                    rows += [around(th, x, i, j) for i, j in zip(p[keep].tolist(), h[keep].view(np.int64).tolist())]
+                    rows += once(th, [around(th, x, i, j) for i, j in zip(p[keep].tolist(), h[keep].view(np.int64).tolist())])
                 yield from _batched(iter(rows), lambda r: (r,), names, types)
 
         return run
@@ -366,7 +381,7 @@ def removed_spans(docs: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFra
 
         def cut(row):
             x = row[1].encode()
-            return [around(row[0], x, p["pos"], p["h"]) for p in row[2]]
+            return once(row[0], [around(row[0], x, p["pos"], p["h"]) for p in row[2]])
 
         contexts = texts.select("th", "text").join(places, "th").mapInArrow(lambda b: _batched(_rows(b), cut, names, types), context)
 
@@ -385,6 +400,8 @@ def removed_spans(docs: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFra
                 yield group
 
         def solve(group):
+            yield from ((r[1], r[2], r[2] + r[3]) for r in group if r[4] is None)
+            group = [r for r in group if r[4] is not None]
             if len(group) > 1:
                 for (_, th, pos, _, _), (a, b) in zip(group, covers([(r[4], r[3]) for r in group])):
                     if b:
