@@ -24,8 +24,8 @@ REJECT = 0.3
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 3) != 1)
-    scored = byte_cnn.score(docs, byte_cnn.fit(docs, labels), docs.columns)
-    return scored.where(F.col("score") >= REJECT).select(*docs.columns)
+    scored = byte_cnn.score(docs, byte_cnn.fit(docs, labels), docs.columns, "_quality")
+    return scored.where(F.col("_quality") >= REJECT).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,7 +77,7 @@ def train(sample: list[tuple[str, int]], seed: int = 7) -> dict:
     tables[:, PAD] = 0
     width = FILTERS + 2
     w, bias = rng.normal(0, 0.1, 2 * width), np.zeros(1)
-    texts, y = [t.encode()  for t, _ in sample], np.array([float(v) for _, v in sample])
+    texts, y = [t.encode() for t, _ in sample], np.array([float(v) for _, v in sample])
     if len(set(y)) < 2:  # nothing to learn: the prior
         return {"tables": tables, "w": np.zeros(2 * width), "b": np.array([4.0 * (y.mean() - 0.5) if len(y) else 0.0])}
     share = {0.0: (y == 0).mean(), 1.0: (y == 1).mean()}
@@ -130,13 +130,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     return train(labelled_sample(docs, labels, label, per_class, max_chars))
 
 
-def score(docs: DataFrame, model: dict, columns: list[str]) -> DataFrame:
-    """The named columns plus score, for every row."""
+def score(docs: DataFrame, model: dict, columns: list[str], name: str = "score") -> DataFrame:
+    """The given columns plus the score under a name, for every row."""
 
     def run(texts):
         return [np.concatenate([predict(model, texts[a : a + 64]) for a in range(0, len(texts), 64)]) if texts else np.zeros(0)]
 
-    return map_texts(docs, columns, run, "score double")
+    return map_texts(docs, columns, run, f"{name} double")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
