@@ -48,6 +48,8 @@ def base_counters(text: Column) -> dict[str, Column]:
 
 
 def with_counters(docs: DataFrame) -> DataFrame:
+    """docs plus the counters; columns of docs with their names give way."""
+    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept", "_w", "_ratios")
     c = base_counters(F.col("text"))
     out = docs.select("*", c["_words"].alias("_w"), c["n_symbols"].alias("n_symbols"), c["n_dup_lines"].alias("n_dup_lines"))
     out = out.select("*", *(F.col("_w").getField(k).alias(k) for k in ("n_words", "word_chars", "n_repeat_words"))).drop("_w")

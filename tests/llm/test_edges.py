@@ -55,7 +55,7 @@ def test_quality_rules(spark, frames):
     for df, ids in ((docs, labels.where("quality = 1")), (more, more.where("doc_id % 2 = 0"))):
         got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality_rules(df, ids).collect())
         assert got == Counter((r.doc_id, *brute_rules(r.text)) for r in df.collect())
-    out = quality_rules(docs, labels.limit(0)).collect()
+    out = quality_rules(docs.selectExpr("*", "1 AS n_symbols", "true AS kept"), labels.limit(0)).collect()
     assert all(not (r.kept and r.base_failed) for r in out)
     assert quality_rules(docs.limit(0), labels).count() == 0
 

@@ -65,7 +65,7 @@ def test_plan_places_everything_once(lengths):
             seen.add((s, k))
             load[s] += n
     assert max(load.values(), default=0) <= 2048 and set(load) == set(range(p["sequences"]))
-    assert len(load) <= max(1.3 * sum(lengths) / 2048 + 1, sum(n > 1024 for n in lengths))
+    assert len(load) <= 2 * sum(lengths) / 2048 + 1
 
 
 @settings(max_examples=40, deadline=None)
@@ -110,6 +110,8 @@ def test_ppm_edges(spark):
     for g, w in zip(got, want, strict=True):
         assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], abs=2e-3)
     assert ppm.scored(spark.createDataFrame([], DOCS)).count() == 0
+    clash = spark.createDataFrame([(1, "a b", 3, 4, 0.5), (2, "a", 3, 4, 0.5)], "doc_id long, text string, n int, k int, score double")
+    assert {(r.n, r.k, r.n_tokens) for r in ppm.lm_scores(clash, clash).collect()} == {(3, 4, 3), (3, 4, 2)}
 
 
 def test_ppm_whole_table(spark):
