@@ -11,7 +11,11 @@
    suffixes that start at the anchors are sorted deep-shallow: multikey quicksort to a shallow depth, then blind tries
    for groups that still agree.  On the LCP intervals of that order the longest common extension to the left is found
    by a second sort; left + right >= 200 covers the bytes between.
-4. Covers of a text are merged and cut out.
+4. Anchors that stand at more than CROWDED places aren't brought together by hash.  Their distinct contexts are divided
+   by halves of the windows around the anchor (0 to 150 bytes before it): a pair that shares a window shares all bytes
+   that every window of its half has, so each half is a cell keyed by those bytes.  Cells of one context go, cells of up
+   to CROWDED are solved as in 3, others are halved again, down to one window, whose bytes are then equal (by md5).
+5. Covers of a text are merged and cut out.
 
 Matching is exact (hashes only choose places to look at) and doesn't cross texts.  Null text is empty: nothing to
 remove, the hash of no bytes.  Repeated rows and null ids: the result depends on the text and its count.
@@ -27,9 +31,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sextant.llm.common import materialize
+
 SPAN, GRAM, SHALLOW = 200, 50, 96
 #: Bits of the broadcast table (8 MB).
 BITS = 1 << 26
+#: Most places of an anchor, or contexts of a cell, that are solved in one task (350 bytes each: 35 MB).
+CROWDED = 100_000
+#: Tasks that the rows of one join key are dealt to.
+SALTS = 16
 LEFT = SPAN - GRAM
 BLOCK = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -297,31 +307,35 @@ def _texts_in_blocks(batches: Iterator) -> Iterator[list[tuple[bytes, bytes]]]:
         yield held
 
 
-def repeated_hashes(keyed: DataFrame) -> DataFrame:
-    """(h): hashes of anchors found at two places, equal texts counting as one.  keyed: th, text."""
+def repeated_hashes(keyed: DataFrame, crowded: int) -> DataFrame:
+    """(h, hot): hashes of anchors found at two places, equal texts counting as one; hot: at more than crowded places,
+    counted in all rows.  keyed: th, text."""
     import pyarrow as pa
 
     def find(batches):
         for held in _texts_in_blocks(batches):
-            hs, ts, twos = [], [], []
+            hs, ts, ns = [], [], []
             for (k, _), (_, h) in zip(held, anchors([t for _, t in held])):
                 u, n = np.unique(h, return_counts=True)
                 hs.append(u.view(np.int64))
                 ts.append(np.full(len(u), int.from_bytes(k[:8], "big", signed=True), np.int64))
-                twos.append((n > 1).astype(np.int8))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, ts, twos)], names=["h", "t", "two"])
+                ns.append(n.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, ts, ns)], names=["h", "t", "n"])
 
-    found = keyed.mapInArrow(find, "h long, t long, two byte")
-    return found.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.max("two").alias("two")).where("lo <> hi or two > 0").select("h")
+    found = keyed.mapInArrow(find, "h long, t long, n int")
+    by = found.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.max("n").alias("most"), F.sum("n").alias("places"))
+    return by.where("lo <> hi or most > 1").select("h", (F.col("places") > crowded).alias("hot"))
 
 
-def bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
-    """Two bits for each hash, as 64-bit words; at most bits / 64 rows reach the driver."""
+def bit_tables(hashes: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits for each hash, as 64-bit words, and those of the hot ones; at most bits / 64 rows reach the driver."""
     at = F.explode(F.array(F.col("h").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(bits - 1)))).alias("i")
-    words = hashes.select(at).groupBy(F.shiftright("i", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(i & 63 as int))")).alias("v")).toArrow()
-    out = np.zeros(bits // 64, np.uint64)
-    out[words.column("w").to_numpy()] = words.column("v").to_numpy().view(np.uint64)
-    return out
+    bit = F.expr("shiftleft(1L, cast(i & 63 as int))")
+    words = hashes.select(at, "hot").groupBy(F.shiftright("i", 6).alias("w")).agg(F.bit_or(bit).alias("v"), F.bit_or(F.when(F.col("hot"), bit).otherwise(0)).alias("hot")).toArrow()
+    out = np.zeros((2, bits // 64), np.uint64)
+    for row, c in zip(out, ("v", "hot")):
+        row[words.column("w").to_numpy()] = words.column(c).to_numpy().view(np.uint64)
+    return out[0], out[1]
 
 
 def marked(h: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -330,7 +344,68 @@ def marked(h: np.ndarray, table: np.ndarray) -> np.ndarray:
     return (hit(h & bits) & hit((h >> np.uint64(32)) & bits)).astype(bool)
 
 
-def removed_spans(docs: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+def _runs(batches: Iterator) -> Iterator[list[tuple]]:
+    """Groups of rows that come sorted by their first column."""
+    key, group = None, []
+    for row in _rows(batches):
+        if row[0] != key and group:
+            yield group
+            group = []
+        key = row[0]
+        group.append(row)
+    if group:
+        yield group
+
+
+def _dealt(rows: DataFrame, small: DataFrame, key: str, *by: str) -> DataFrame:
+    """rows joined with small on key; the rows of one key are dealt to SALTS tasks by the columns by."""
+    small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS))).join(small, [key, "_salt"]).drop("_salt")
+
+
+def crowded_parts(contexts: DataFrame, crowded: int) -> DataFrame:
+    """(th, s, e) for the contexts of crowded anchors: the division by windows told above."""
+    import pyarrow as pa
+
+    def solve(batches):
+        def best(group):
+            for r, (a, b) in zip(group, covers([(r[3], r[2]) for r in group]) if len(group) > 1 else ()):
+                if b:
+                    yield r[1], a, b
+
+        yield from _batched(_runs(batches), best, ["ck", "a", "b"], [pa.binary(), pa.int32(), pa.int32()])
+
+    cell = lambda *parts: F.unhex(F.md5(F.concat(*parts)))
+    tag = lambda *cols: F.encode(F.concat_ws(":", *cols, F.lit("")), "UTF-8")
+    rows = materialize(contexts.withColumn("ck", cell(tag("h", "k"), F.col("ctx"))))
+    own = rows.where("ctx is null").select("th", F.col("pos").alias("s"), (F.col("pos") + F.col("k")).alias("e"))
+    places = rows.where("ctx is not null")
+    # Equal contexts meet in the map-side part of this aggregation.
+    classes = materialize(places.groupBy("ck").agg(F.first("h").alias("h"), F.first("k").alias("k"), F.first("ctx").alias("ctx"), F.count("*").alias("m")))
+    size = F.length("ctx")
+    found = classes.where((F.col("m") > 1) & (size >= SPAN)).select("ck", F.col("k").alias("a"), (size - F.col("k")).alias("b"))
+    cells = classes.select("ck", "k", "ctx", F.encode(F.col("h").cast("string"), "UTF-8").alias("cell"), F.lit(0).alias("lo"), F.lit(LEFT).alias("hi"))
+    while True:
+        sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+        cells = materialize(_dealt(cells, sizes, "cell", "ck"))
+        small = cells.where((F.col("n") <= crowded) & (F.col("lo") < F.col("hi"))).select("cell", "ck", "k", "ctx")
+        found = found.unionByName(small.repartition("cell").sortWithinPartitions("cell").mapInArrow(solve, "ck binary, a int, b int"))
+        found = found.unionByName(cells.where("lo = hi").select("ck", F.col("lo").alias("a"), (SPAN - F.col("lo")).alias("b")))
+        big = cells.where((F.col("n") > crowded) & (F.col("lo") < F.col("hi")))
+        if not big.limit(1).count():
+            break
+        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        halves = F.explode(F.array(F.struct(F.col("lo").alias("lo"), mid.alias("hi")), F.struct((mid + 1).alias("lo"), F.col("hi").alias("hi")))).alias("w")
+        big = big.select("ck", "k", "ctx", "cell", halves).select("ck", "k", "ctx", "cell", "w.lo", "w.hi")
+        big = big.where((F.col("k") >= F.col("lo")) & (size - F.col("k") >= SPAN - F.col("hi")))
+        shared = F.substring("ctx", F.col("k") - F.col("lo") + 1, SPAN - F.col("hi") + F.col("lo"))
+        cells = big.withColumn("cell", cell(F.col("cell"), tag("lo", "hi"), shared))
+    best = found.groupBy("ck").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    covered = _dealt(places.select("th", "pos", "ck"), best, "ck", "th", "pos")
+    return own.unionByName(covered.select("th", (F.col("pos") - F.col("a")).alias("s"), (F.col("pos") + F.col("b")).alias("e")))
+
+
+def removed_spans(docs: DataFrame, bits: int = BITS, crowded: int = CROWDED) -> tuple[DataFrame, DataFrame]:
     """(texts: th, text, n; spans: th, spans array of (s, e), unmerged) of the distinct texts of docs."""
     import pyarrow as pa
 
@@ -359,46 +434,51 @@ def removed_spans(docs: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFra
         for s, e in merged(own):  # no context: start and length; dealt by a value of the text's own
             yield salt, th, s, e - s, None
 
-    def find(table):
-        def run(batches):
+    twice = repeated_hashes(keyed, crowded)
+    table, hot = bit_tables(twice, bits)
+    share = lambda x: docs.sparkSession.sparkContext.broadcast(x)
+    shared_hot = share(hot)
+    if np.bitwise_count(table).sum() <= bits // 2:
+        shared = share(table)
+
+        def contexts(crowd):
+            def find(batches):
+                seen: set[bytes] = set()
+                for held in _texts_in_blocks(batches):
+                    if crowd:
+                        held = list({k: t for k, t in held if k not in seen}.items())
+                        seen.update(k for k, _ in held)
+                        if not held:
+                            continue
+                    rows = []
+                    for (th, x), (p, h) in zip(held, anchors([t for _, t in held])):
+                        keep = marked(h, shared.value) & (marked(h, shared_hot.value) == crowd)
+                        rows += once(th, [around(th, x, i, j) for i, j in zip(p[keep].tolist(), h[keep].view(np.int64).tolist())])
+                    yield from _batched(iter(rows), lambda r: (r,), names, types)
+
+            # The crowded ones are written in a job of their own, which reads the rows rather than shuffle all texts again.
+            rows = (keyed if crowd else texts.select("th", "text")).mapInArrow(find, context)
+            return rows.dropDuplicates(["h", "th", "pos", "k"]) if crowd else rows
+    else:
+
+        def places(batches):
             for held in _texts_in_blocks(batches):
-                rows = []
-                for (th, x), (p, h) in zip(held, anchors([t for _, t in held])):
-                    keep = slice(None) if table is None else marked(h, table.value)
-                    rows += once(th, [around(th, x, i, j) for i, j in zip(p[keep].tolist(), h[keep].view(np.int64).tolist())])
-                yield from _batched(iter(rows), lambda r: (r,), names, types)
+                rows = ((th, i, j) for (th, _), (p, h) in zip(held, anchors([t for _, t in held])) for i, j in zip(p.tolist(), h.view(np.int64).tolist()))
+                yield from _batched(rows, lambda r: (r,), ["th", "pos", "h"], [pa.binary(), pa.int32(), pa.int64()])
 
-        return run
+        every = texts.select("th", "text").mapInArrow(places, "th binary, pos int, h long")
 
-    twice = repeated_hashes(keyed)
-    table = bit_table(twice, bits)
-    if np.bitwise_count(table).sum() <= bits // 2:
-        shared = docs.sparkSession.sparkContext.broadcast(table)
-        contexts = texts.select("th", "text").mapInArrow(find(shared), context)
-    else:
-        every = texts.select("th", "text").mapInArrow(find(None), context).select("h", "th", "pos")
-        places = every.join(twice, "h").groupBy("th").agg(F.collect_list(F.struct("pos", "h")).alias("a"))
+        def contexts(crowd):
+            at = every.join(twice.select("h"), "h").groupBy("th").agg(F.collect_list(F.struct("pos", "h")).alias("a"))
 
-        def cut(row):
-            x = row[1].encode()
-            return once(row[0], [around(row[0], x, p["pos"], p["h"]) for p in row[2]])
+            def cut(row):
+                x = row[1].encode()
+                keep = marked(np.array([p["h"] for p in row[2]], np.int64).view(np.uint64), shared_hot.value) == crowd
+                return once(row[0], [around(row[0], x, p["pos"], p["h"]) for p, ok in zip(row[2], keep) if ok])
 
-        contexts = texts.select("th", "text").join(places, "th").mapInArrow(lambda b: _batched(_rows(b), cut, names, types), context)
+            return texts.select("th", "text").join(at, "th").mapInArrow(lambda b: _batched(_rows(b), cut, names, types), context)
 
     def meet(batches):
-        """Rows come sorted by hash; each run of one hash is a group."""
-
-        def runs():
-            key, group = None, []
-            for row in _rows(batches):
-                if row[0] != key and group:
-                    yield group
-                    group = []
-                key = row[0]
-                group.append(row)
-            if group:
-                yield group
-
         def solve(group):
             yield from ((r[1], r[2], r[2] + r[3]) for r in group if r[4] is None)
             group = [r for r in group if r[4] is not None]
@@ -407,16 +487,18 @@ def removed_spans(docs: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFra
                     if b:
                         yield th, pos - a, pos + b
 
-        yield from _batched(runs(), solve, ["th", "s", "e"], [pa.binary(), pa.int32(), pa.int32()])
+        yield from _batched(_runs(batches), solve, ["th", "s", "e"], [pa.binary(), pa.int32(), pa.int32()])
 
-    parts = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(meet, "th binary, s int, e int")
+    parts = contexts(False).repartition("h").sortWithinPartitions("h").mapInArrow(meet, "th binary, s int, e int")
+    if hot.any():
+        parts = parts.unionByName(crowded_parts(contexts(True), crowded))
     return texts, parts.groupBy("th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
-def _result(docs: DataFrame, with_text: bool, bits: int) -> DataFrame:
+def _result(docs: DataFrame, with_text: bool, bits: int, crowded: int) -> DataFrame:
     import pyarrow as pa
 
-    texts, spans = removed_spans(docs, bits)
+    texts, spans = removed_spans(docs, bits, crowded)
 
     def cut(row):
         th, t, n, a = row
@@ -439,8 +521,8 @@ def _result(docs: DataFrame, with_text: bool, bits: int) -> DataFrame:
     return texts.join(spans, "th", "left").select("th", "text", "n", "spans").mapInArrow(lambda b: _batched(_rows(b), cut, names, types, 500), ddl)
 
 
-def suffix_dedup(docs: DataFrame, with_text: bool = False, bits: int = BITS) -> DataFrame:
+def suffix_dedup(docs: DataFrame, with_text: bool = False, bits: int = BITS, crowded: int = CROWDED) -> DataFrame:
     """The rows of docs (without text) with n_bytes, n_removed, n_spans, kept_sha256 (and kept_text, valid UTF-8)."""
     extra = [c for c in docs.columns if c not in ("text", "th", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")]
     keyed = docs.select(*extra, F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("th"))
-    return keyed.join(_result(docs, with_text, bits), "th").drop("th")
+    return keyed.join(_result(docs, with_text, bits, crowded), "th").drop("th")

@@ -26,9 +26,9 @@ def brute_removed(texts):
     return out
 
 
-def check(spark, rows, bits=suffix_dedup.BITS):
+def check(spark, rows, bits=suffix_dedup.BITS, crowded=suffix_dedup.CROWDED):
     df = spark.createDataFrame(rows, DOCS)
-    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(df.select("doc_id", "text"), bits=bits).collect()), key=str)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(df.select("doc_id", "text"), bits=bits, crowded=crowded).collect()), key=str)
     want = sorted(((r[0], *w) for r, w in zip(rows, brute_removed([r[1] for r in rows]))), key=str)
     assert got == want
     return want
@@ -40,6 +40,7 @@ def test_suffix_edges(spark):
     rows = [(1, a, 1, "x", None), (1, a, 1, "x", None), (None, None, None, None, None), (2, "", 0, "", ""), (3, a[100:299], 0, "", ""), (4, "q" + a[250:450] + "z", 0, "", ""), (5, mid + "1", 0, "", ""), (6, "0" + mid, 0, "", ""), (7, "ab" * 400, 0, "", ""), (8, "word " * 100, 0, "", ""), (None, a[:199], 0, "", "")]
     want = check(spark, rows)
     check(spark, rows, 64)  # too small a bit table: the join instead
+    check(spark, rows, 64, 2)
     assert any(w[2] == 200 for w in want) and any(0 < w[2] < w[1] for w in want)
     assert suffix_dedup.suffix_dedup(spark.createDataFrame([], DOCS)).count() == 0
 
@@ -49,6 +50,25 @@ def test_suffix_whole_table(spark):
     check(spark, [(r.doc_id, r.text, None, None, None) for r in docs])
 
 
+def test_suffix_crowded_anchors(spark):
+    """A line in many contexts: some share 200 bytes around it, by chance or on purpose, most don't."""
+    import random
+
+    rng = random.Random(5)
+    line = "the very same line of some sixty bytes stands in every text"
+    rand = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    heads, tails = [rand(160) for _ in range(4)], [rand(220) for _ in range(4)]
+    rows = []
+    for i in range(60):
+        a, b = rng.randrange(160), rng.randrange(220)
+        rows.append((i, rand(rng.randrange(80)) + heads[i % 4][160 - a :] + line + tails[i // 4 % 4][:b] + rand(rng.randrange(80)), 0, "", ""))
+    for i in range(60, 75):
+        rows.append((i, rand(30) + heads[0] + line + tails[0] + rand(30), 0, "", ""))
+    for crowded in (1, 3, 10):
+        want = check(spark, rows, crowded=crowded)
+    assert 0 < sum(w[2] > 0 for w in want) < len(want)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text("ab", max_size=12).map(str.encode), max_size=12), st.integers(0, 6))
 def test_deep_shallow_sort(keys, shallow):
