@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.functions import scoring, text
-from sextant.operators import chunking, context, evaluate, filters, govern, graph, lexical, storage, vector
+from sextant.operators import chunking, context, evaluate, filters, govern, graph, lexical, metadata, report, storage, vector
 from sextant.plans import search
 from sextant.streaming import events as ev
+from sextant.streaming import webhook
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -429,3 +430,130 @@ def push_changed_files(spark, d):
 def progress(spark, d):
     w = Window.partitionBy("o_custkey")
     return t(spark, d, "orders").select("o_orderkey", (F.row_number().over(w.orderBy("o_orderkey")) / F.count("*").over(w)).alias("progress"))
+
+
+# --- webhooks ----------------------------------------------------------------------------------------------------
+
+SECRET = "not a secret"
+PADS = [bytes(b ^ pad for b in SECRET.encode().ljust(64, b"\0")).hex() for pad in (0x36, 0x5C)]
+
+
+@query(f"SELECT conv_id, turn, sha256(unhex('{PADS[1]}') || unhex(sha256(unhex('{PADS[0]}') || encode(text)))) AS signature FROM conversations")
+def webhook_signature(spark, d):
+    return t(spark, d, "conversations").select("conv_id", "turn", webhook.hmac_sha256(F.col("text"), SECRET).alias("signature"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'ping' ELSE 'push' END AS kind, 'b' || c_nationkey AS branch,
+array_to_string(list_sort(list_distinct(['a' || c_custkey % 3, 'a' || c_custkey % 2, 'a0'])), ',') AS files FROM customer""")
+def webhook_push(spark, d):
+    c, s = t(spark, d, "customer"), lambda n: F.concat(F.lit("a"), (F.col("c_custkey") % n).cast("string"))
+    commits = F.array(F.struct(F.array(s(3)).alias("added"), F.array(s(2)).alias("modified")), F.struct(F.array(F.lit("a0")).alias("added"), F.array(s(3)).alias("modified")))
+    body = F.to_json(F.struct(F.concat(F.lit("refs/heads/b"), F.col("c_nationkey").cast("string")).alias("ref"), commits.alias("commits")))
+    c = c.withColumn("push", webhook.push(body))
+    kind = webhook.event_kind(F.when(F.col("c_mktsegment") == "BUILDING", "ping").otherwise(F.col("c_mktsegment")))
+    return c.select("c_custkey", kind.alias("kind"), webhook.branch(F.col("push.ref")).alias("branch"), F.array_join(webhook.changed_files(F.col("push")), ",").alias("files"))
+
+
+# --- reports -----------------------------------------------------------------------------------------------------
+
+@query("""WITH p AS (SELECT l_returnflag || l_linestatus AS config, count(*) AS results, avg(CASE WHEN l_tax > 0 THEN l_tax ELSE l_quantity END) AS s, avg(l_extendedprice) AS a, min(l_extendedprice) AS min_latency, max(l_extendedprice) AS max_latency FROM lineitem GROUP BY 1)
+SELECT config, results, round(s, 4) AS avg_score, round(a, 4) AS avg_latency, min_latency, max_latency, (row_number() OVER (ORDER BY a, config) - 1) / greatest(count(*) OVER () - 1, 1)::DOUBLE AS latency_rank, row_number() OVER (ORDER BY a, config) = 1 AS fastest FROM p""")
+def benchmark_report(spark, d):
+    rows = t(spark, d, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("config"), F.col("l_extendedprice").alias("latency"), F.col("l_quantity").alias("score"), F.when(F.col("l_tax") > 0, F.col("l_tax")).alias("rerank_score"))
+    return report.benchmark_report(rows).withColumns({c: F.round(c, 4) for c in ("avg_score", "avg_latency")})
+
+
+@query("SELECT count(*) FILTER (o_orderstatus IN ('O', 'P')) AS active, count(*) FILTER (o_orderstatus = 'F' AND o_orderdate::DATE = (SELECT max(o_orderdate)::DATE FROM orders WHERE o_orderstatus = 'F')) AS completed_today, count(*) AS total FROM orders")
+def task_counts(spark, d):
+    o = t(spark, d, "orders")
+    status = F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "P", "running").otherwise("completed")
+    day = o.where("o_orderstatus = 'F'").agg(F.to_date(F.max("o_orderdate"))).scalar()
+    return report.task_counts(o.select(status.alias("status"), F.col("o_orderdate").alias("finished")), day)
+
+
+@query(f"""WITH {FILES}, k AS (SELECT *, NOT (path LIKE '%/node_modules/%' OR lower(path) NOT SIMILAR TO '.*[.](py|ts|md)' OR length > 900) AS ok FROM f)
+SELECT count(*) FILTER (ok) AS files_indexed, count(*) FILTER (NOT ok) AS files_skipped, (coalesce(sum(greatest(0, ceil((length - 500) / 450.0))::BIGINT + 1) FILTER (ok AND length > 0), 0))::BIGINT AS chunks_created FROM k""")
+def index_counters(spark, d):
+    from sextant.sources.files import skip_reason
+
+    f = t(spark, d, "pages").select("page_id", F.col("html").alias("text")).join(_files(spark, d).withColumn("page_id", F.regexp_extract("path", r"/f(\d+)\.", 1).cast("long")), "page_id")
+    f = f.withColumn("skip_reason", skip_reason(F.col("path"), F.col("length"), ["py", "ts", "md"], ["node_modules"], 900))
+    return report.index_counters(f, chunking.simple(f.where("skip_reason is null").select(F.col("page_id").alias("doc_id"), "text")))
+
+
+@query("""WITH c AS (SELECT CASE WHEN lang = 'fr' THEN 'added' WHEN lang = 'es' THEN 'deleted' WHEN source = 'src5' THEN 'modified' ELSE 'unchanged' END AS k, greatest(0, ceil((length(text) - 500) / 450.0))::BIGINT + 1 AS n FROM documents WHERE length(text) > 0)
+SELECT count(*) FILTER (k = 'added') AS files_added, count(*) FILTER (k = 'modified') AS files_updated, count(*) FILTER (k = 'deleted') AS files_deleted, (sum(n) FILTER (k IN ('added', 'modified')))::BIGINT AS chunks_added, (sum(n) FILTER (k IN ('deleted', 'modified')))::BIGINT AS chunks_removed FROM c""")
+def change_counters(spark, d):
+    docs = t(spark, d, "documents").where("length(text) > 0")
+    chunks = lambda x: chunking.simple(x).select(F.col("doc_id").alias("source"))
+    return report.change_counters(sync_diff(spark, d), chunks(docs.where("lang <> 'fr'")), chunks(docs.where("lang <> 'es'")))
+
+
+@query("SELECT l_suppkey AS source, arg_max(l_partkey::VARCHAR, l_orderkey * 10 + l_linenumber) AS content_hash FROM lineitem GROUP BY l_suppkey")
+def indexed_hashes(spark, d):
+    li = t(spark, d, "lineitem")
+    return report.indexed_hashes(li.select(F.col("l_suppkey").alias("source"), F.col("l_partkey").cast("string").alias("content_hash"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq")))
+
+
+@query("SELECT s_suppkey AS source, h IS NULL OR h <> (s_suppkey % 7)::VARCHAR AS changed FROM supplier LEFT JOIN (SELECT l_suppkey, arg_min((l_partkey % 7)::VARCHAR, l_orderkey * 10 + l_linenumber) AS h FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey")
+def content_changed(spark, d):
+    li = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % 7).cast("string").alias("content_hash"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return report.content_changed(li, t(spark, d, "supplier").select(F.col("s_suppkey").alias("source"), (F.col("s_suppkey") % 7).cast("string").alias("content_hash")))
+
+
+@query("SELECT count(*) AS collections, sum(n)::BIGINT AS documents, count(*) FILTER (n % 2 = 1) AS errors FROM (SELECT count(*) AS n FROM documents GROUP BY source)")
+def migration_report(spark, d):
+    per = t(spark, d, "documents").groupBy(F.col("source").alias("collection")).agg(F.count("*").alias("documents"))
+    return report.migration_report(per.withColumn("error", F.when(F.col("documents") % 2 == 1, "odd")))
+
+
+# --- metadata, input checks, pages of a table --------------------------------------------------------------------
+
+@query("SELECT doc_id, md5(text) AS h, 'lang=' || lang || ',source=' || source AS rest FROM documents")
+def payload_split(spark, d):
+    docs = t(spark, d, "documents").where("text is not null")
+    doc, rest = metadata.split_payload(F.create_map(F.lit("document"), "text", F.lit("lang"), "lang", F.lit("source"), "source"))
+    line = F.array_join(F.array_sort(F.transform(F.map_entries(rest), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return docs.select("doc_id", F.md5(doc).alias("h"), line.alias("rest"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN p_brand ELSE p_partkey::VARCHAR END AS doc_id, p_type AS kind FROM part")
+def metadata_merge(spark, d):
+    own = F.when(F.col("p_size") > 25, F.create_map(F.lit("doc_id"), "p_brand", F.lit("kind"), "p_type")).otherwise(F.create_map(F.lit("kind"), "p_type"))
+    m = t(spark, d, "part").withColumn("m", metadata.with_doc_id(F.col("p_partkey"), own))
+    return m.select("p_partkey", F.col("m")["doc_id"].alias("doc_id"), F.col("m")["kind"].alias("kind"))
+
+
+@query("""SELECT p_partkey, CASE WHEN trim(p_name) = '' THEN 'empty' WHEN NOT regexp_full_match(trim(p_name), '[a-zA-Z0-9_-]+') THEN 'characters' WHEN length(trim(p_name)) > 128 THEN 'length' END AS name_problem,
+CASE WHEN length(p_type) > 20 THEN 'length' END AS text_problem, CASE WHEN p_size < 5 OR p_size > 40 THEN 'range' END AS range_problem FROM part""")
+def input_checks(spark, d):
+    return t(spark, d, "part").select("p_partkey", metadata.name_problem(F.col("p_name")).alias("name_problem"), metadata.text_problem(F.col("p_type"), 20).alias("text_problem"), metadata.range_problem(F.col("p_size"), 5, 40).alias("range_problem"))
+
+
+@query("""WITH s AS (SELECT doc_id, unnest(range(0, greatest(0, ceil((length(text) - 500) / 450.0))::BIGINT + 1)) AS i, length(text) AS n FROM documents WHERE length(text) > 0)
+SELECT doc_id, 'chunk_' || i || ':' || i * 450 || ':' || least(i * 450 + 500, n) AS id, CASE WHEN i * 450 <= 700 AND least(i * 450 + 500, n) > 700 AND n > 700 THEN 'late' END AS name FROM s WHERE i * 450 > 0
+UNION ALL SELECT doc_id, 'chunk_0:0:' || least(500, n), 'early' FROM s WHERE i = 0""")
+def chunk_names(spark, d):
+    """Chunk ids by place, with the first of two names (at 0 and 700 characters) that starts inside each chunk."""
+    docs = t(spark, d, "documents")
+    chunks = chunking.simple(docs).select("doc_id", "chunk_index", "start", "end")
+    place = F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.lit("early").alias("name")), F.struct(F.lit(700).alias("pos"), F.lit("late").alias("name")))).alias("p")
+    found = metadata.first_within(chunks, docs.select("doc_id", F.length("text").alias("n"), place).where("p.pos < n").select("doc_id", "p.*"))
+    return found.select("doc_id", F.concat_ws(":", F.concat(F.lit("chunk_"), "chunk_index"), "start", "end").alias("id"), "name")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
+def page_scan(spark, d):
+    return storage.page(t(spark, d, "orders"), "o_orderkey", 50, 100).select("o_orderkey", "o_custkey")
+
+
+@query(f"WITH {FILES} SELECT path, path NOT LIKE '/repo/node_modules/%' AS allowed FROM f")
+def path_security(spark, d):
+    return _files(spark, d).select("path", text.path_allowed(F.col("path"), ["/repo"], ["/etc", "/repo/node_modules"]).alias("allowed"))
+
+
+@query("SELECT doc_id, source, 'old' AS version FROM documents WHERE source NOT IN ('src1', 'src2') UNION ALL SELECT doc_id, source, 'new' FROM documents WHERE source = 'src1'")
+def apply_changes(spark, d):
+    docs = t(spark, d, "documents").where("source is not null").select("doc_id", "source")
+    changes = spark.createDataFrame([("src1", "modified"), ("src2", "deleted")], "path string, event_type string")
+    return ev.apply_changes(docs.withColumn("version", F.lit("old")), changes, docs.withColumn("version", F.lit("new"))).select("doc_id", "source", "version")
