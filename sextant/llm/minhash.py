@@ -11,10 +11,11 @@ about once in a million pairs; each kept pair is confirmed on the full sets, whi
 No bucket is expanded into all its pairs.  First every class of a bucket is compared with the bucket's least class (its
 hub); the confirmed links give components.  Members of one component need no further comparison, so only buckets
 that still hold several components go on: the members outside a bucket's largest component are compared with the other
-components' members there, after crowded buckets have been divided by a further coordinate, which T allows.  So the
-components are those of all pairs, without the pairs of a large group of copies.  Each set also has an odd sketch: the
-parity of its elements in BITS cells.  Two sketches differ in no more cells than the sets do in elements, so a pair
-whose sketches differ in more cells than the threshold lets the sets differ is passed over without loss.
+components' members there, after crowded buckets have been divided by a further coordinate, which T allows, and what
+is crowded still into parts, of which each two meet in a task of their own.  So the components are those of all pairs,
+without the pairs of a large group of copies.  Each set also has an odd sketch: the parity of its elements in BITS
+cells.  Two sketches differ in no more cells than the sets do in elements, so a pair whose sketches differ in more cells
+than the threshold lets the sets differ is passed over without loss.
 
 Components come from label propagation with pointer jumping on checkpointed tables.  Null and empty texts have an empty
 set and stand alone; a class of rows with null ids only has a null component id; kept is false for null ids.  Equal
@@ -107,19 +108,22 @@ def may_link(s1: str, s2: str, n1: str, n2: str, o1: str, o2: str) -> Column:
     return size & (F.lit(100 + PERCENT) * apart <= F.lit(100 - PERCENT) * (F.col(n1) + F.col(n2))) & (agree >= T)
 
 
-def meeting(ck, comp, most, j1: int, j2: int, n, sig, odd) -> list[tuple[bytes, bytes]]:
-    """The pairs of one bucket: see cross_pairs.  Members outside the largest component against all, in blocks."""
+def meeting(ck, comp, most, js: list[int], n, sig, odd, part) -> list[tuple[bytes, bytes]]:
+    """The pairs of one bucket, whose first collisions are at js: see cross_pairs.  Members outside the largest component against all, in blocks.
+    Where two parts of a bucket meet, only pairs of both are of interest."""
     comp_id = np.unique(np.array(comp, object), return_inverse=True)[1]
     big = np.array([c == m for c, m in zip(comp, most)])
     rank = np.empty(len(ck), np.int64)
     rank[sorted(range(len(ck)), key=ck.__getitem__)] = np.arange(len(ck))
-    before = [i for i in range(j2) if i != j1]
+    before = [i for i in range(js[-1]) if i not in js]
     out = []
     probes = np.flatnonzero(~big)
     step = max(1, 4_000_000 // max(1, len(ck) * odd.shape[1]))
     for at in range(0, len(probes), step):
         p = probes[at : at + step]
         ok = (comp_id[p, None] != comp_id[None, :]) & (big[None, :] | (rank[p, None] < rank[None, :]))
+        if (part != part[0]).any():
+            ok &= part[p, None] != part[None, :]
         ok &= 100 * np.minimum(n[p, None], n[None, :]) >= PERCENT * np.maximum(n[p, None], n[None, :])
         apart = np.bitwise_count(odd[p, None, :] ^ odd[None, :, :]).sum(axis=2, dtype=np.int64)
         ok &= (100 + PERCENT) * apart <= (100 - PERCENT) * (n[p, None] + n[None, :])
@@ -201,15 +205,19 @@ def cross_pairs(posts: DataFrame, classes: DataFrame, labels: DataFrame) -> Data
 
     p = posts.join(info.select("ck", "comp"), "ck").select("key", "ck", "comp", F.array("last").alias("js"))
     level = materialize(p.join(mixed(p), "key").select("key", "ck", "comp", "js", "m", "most"))
-    level = level.join(info.select("ck", "n", "sig", "odd"), "ck")
-    calm = level.where(F.col("m") <= CROWDED)
-    # A pair's second collision lies among the next coordinates up to K - T + 1.
-    after = F.sequence(F.col("js")[0] + 1, F.lit(K - T + 1))
-    again = level.where(F.col("m") > CROWDED).withColumn("j", F.explode(after))
-    again = again.select(F.xxhash64("key", "j", F.get("sig", F.col("j"))).alias("key"), "ck", "comp", F.concat("js", F.array("j")).alias("js"), "n", "sig", "odd")
-    crowd = again.join(mixed(again), "key")
-    cols = ["key", "ck", "comp", "most", "n", "sig", "odd", F.col("js")[0].alias("j1"), F.element_at("js", -1).alias("j2")]
-    rows = calm.select(*cols).unionByName(crowd.select(*cols))
+    big = level.where(F.col("m") > CROWDED)
+    level = level.where(F.col("m") <= CROWDED).withColumn("part", F.lit(0).cast("long"))
+    if big.limit(1).count():
+        # A pair's second collision lies among the next coordinates up to K - T + 1.
+        after = F.explode(F.sequence(F.col("js")[0] + 1, F.lit(K - T + 1)))
+        big = big.join(info.select("ck", "sig"), "ck").withColumn("j", after)
+        p = materialize(big.select(F.xxhash64("key", "j", F.get("sig", F.col("j"))).alias("key"), "ck", "comp", F.concat("js", F.array("j")).alias("js")))
+        big = materialize(p.join(mixed(p), "key").withColumn("parts", F.ceil(F.col("m") / CROWDED)))
+        # What is crowded still is dealt to parts; each two of them meet in a task of their own.
+        big = big.withColumn("part", F.pmod(F.xxhash64("ck"), "parts")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        key = F.when(F.col("parts") > 1, F.xxhash64("key", F.least("part", "with"), F.greatest("part", "with"))).otherwise(F.col("key"))
+        level = level.unionByName(big.withColumn("key", key).select(*level.columns))
+    rows = level.join(info.select("ck", "n", "sig", "odd"), "ck").select("key", "ck", "comp", "most", "n", "sig", "odd", "js", "part")
 
     def meet(batches):
         """Rows come sorted by key; a run of one key is a bucket."""
@@ -234,7 +242,7 @@ def cross_pairs(posts: DataFrame, classes: DataFrame, labels: DataFrame) -> Data
             col = lambda i: [x for b in parts for x in b.column(i).to_pylist()]
             flat = lambda i, w: np.concatenate([b.column(i).flatten().to_numpy() for b in parts]).reshape(-1, w)
             n = np.concatenate([b.column(4).to_numpy() for b in parts])
-            yield from meeting(col(1), col(2), col(3), parts[0].column(7)[0].as_py(), parts[0].column(8)[0].as_py(), n, flat(5, K), flat(6, BITS // 64).view(np.uint64))
+            yield from meeting(col(1), col(2), col(3), parts[0].column(7)[0].as_py(), n, flat(5, K), flat(6, BITS // 64).view(np.uint64), np.array(col(8)))
 
         yield from _batched(runs(), solve, ["a", "b"], [pa.binary(), pa.binary()])
 
