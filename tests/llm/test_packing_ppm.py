@@ -78,7 +78,7 @@ def test_encoder_equals_tokenizers(text):
 
 
 def brute_ppm(rows, trained):
-    c, n_docs, trie = Counter(), 0, ppm.ByteTrie()
+    c, n_docs, trie = Counter(), 0, ppm.SegmentModel()
     for t in trained:
         b = (t or "").encode().lower()
         c.update(b.split())
@@ -117,7 +117,7 @@ def test_ppm_edges(spark):
 def test_ppm_whole_table(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(40)
     docs = spark.createDataFrame(docs.collect(), docs.schema)
-    got = {r.doc_id: r for r in ppm.lm_scores(docs.select("doc_id", "text"), docs.where("doc_id % 3 = 0"), common_words=50).collect()}
+    got = {r.doc_id: r for r in ppm.lm_scores(docs.select("doc_id", "text"), docs.where("doc_id % 3 = 0"), common=50).collect()}
     rows = docs.collect()
     for r, w in zip(rows, brute_ppm([r.text for r in rows], [r.text for r in rows if r.doc_id % 3 == 0])):
         g = got[r.doc_id]
@@ -132,3 +132,14 @@ def test_trie_probabilities_sum_to_one(text, past):
     t.train(text)
     assert sum(t.probability(past, s) for s in range(256)) == pytest.approx(1)
     assert ppm.ByteTrie().log10(text, adaptive=True) <= 0
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.text(alphabet="ab \n\t\u00e9", max_size=60))
+def test_segments_cover_the_text(text):
+    b = text.encode().lower()
+    found = ppm.segments(b)
+    assert b"".join(found) == b + ppm.END and [x[:-1] for x in found if len(x) > 1] == b.split()
+    m = ppm.SegmentModel()
+    assert m.log10(b, adaptive=True) < 0
+    assert sum(m.counts.values()) == len(found)
