@@ -243,6 +243,26 @@ def chunk_markdown_atx(spark, d):
     return chunking.markdown(docs).select("doc_id", "heading", "level", F.md5("text").alias("h"))
 
 
+#: Python's white space, and its heading patterns, for RE2.  A match ends where its line does, so what is between the matches gives their places.
+SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+ATX, SETEXT = rf"(?m)^#{{1,6}}{SPACE}+([^\n]+?)(?:{SPACE}+#+)?$", r"(?m)^([^\n]+?)\n[=-]{3,}$"
+
+
+@query(f"""WITH x AS (SELECT row_number() OVER () AS r, doc_id, concat_ws(chr(10), '# ' || source, lang || chr(10) || '---', text) AS x FROM documents),
+m AS (SELECT *, 1 AS kind, regexp_extract_all(x, '{ATX}') AS m, regexp_split_to_array(x, '{ATX}') AS p FROM x UNION ALL SELECT *, 2, regexp_extract_all(x, '{SETEXT}'), regexp_split_to_array(x, '{SETEXT}') FROM x),
+h AS (SELECT r, doc_id, x, kind, m[i] AS m, list_sum(list_transform(p[1:i], lambda w: length(w))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda w: length(w))), 0) AS s FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m)),
+g AS (SELECT doc_id, x, s, coalesce(lead(s) OVER w, length(x)) AS e, row_number() OVER w - 1 AS i, regexp_replace(CASE kind WHEN 1 THEN regexp_extract(m, '{ATX}', 1) ELSE regexp_extract(m, '{SETEXT}', 1) END, '^{SPACE}+|{SPACE}+$', '', 'g') AS heading,
+             CASE WHEN kind = 1 THEN length(regexp_extract(m, '^#+')) WHEN m[-1] = '=' THEN 1 ELSE 2 END AS level FROM h WINDOW w AS (PARTITION BY r ORDER BY s, kind)
+      UNION ALL SELECT doc_id, x, 0, length(x), 0, NULL, NULL FROM x WHERE length(x) > 0 AND r NOT IN (SELECT r FROM h)),
+c AS (SELECT *, s + j * 450 AS b, least(s + j * 450 + 500, e) AS f FROM (SELECT *, unnest(range(0, greatest(0, ceil((e - s - 500) / 450.0))::BIGINT + 1)) AS j FROM g))
+SELECT doc_id, CASE WHEN e - s > 500 THEN j ELSE i END::INTEGER AS chunk_index, b::INTEGER AS start, f::INTEGER AS "end", heading, CASE WHEN e - s <= 500 THEN level END::INTEGER AS level, md5(substring(x, (b + 1)::BIGINT, (f - b)::BIGINT)) AS h FROM c""")
+def chunk_markdown_text(spark, d):
+    """The whole texts under a heading of each style; without a source and a language there is none."""
+    docs = t(spark, d, "documents")
+    docs = docs.select("doc_id", F.concat_ws("\n", F.concat(F.lit("# "), "source"), F.concat("lang", F.lit("\n---")), "text").alias("text"))
+    return chunking.markdown(docs).select("doc_id", "chunk_index", "start", "end", "heading", "level", F.md5("text").alias("h"))
+
+
 @query("""WITH c AS (SELECT doc_id, i, substring(x, i * 180 + 1, 200) AS text, count(*) OVER (PARTITION BY doc_id) AS chunk_count FROM (SELECT doc_id, x, unnest(range(0, greatest(0, ceil((length(x) - 200) / 180.0))::BIGINT + 1)) AS i FROM
 (SELECT doc_id, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS x FROM documents) WHERE length(x) > 0)) SELECT doc_id || ':chunk:' || i AS id, doc_id, chunk_count, md5(text) AS h FROM c""")
 def ingest_chunks(spark, d):
