@@ -40,22 +40,27 @@ def paths(edges: DataFrame, start, end, cutoff: int) -> DataFrame:
     return out
 
 
-def shortest_path(edges: DataFrame, start, end, most: int = 32) -> DataFrame:
-    """One shortest path (the least of its length), grown breadth-first; a node is visited once."""
+def shortest_path(edges: DataFrame, start, end, most: int | None = None) -> DataFrame:
+    """One shortest path (the least of its length; if `most` is given, of at most that many edges), grown breadth-first; a node is visited once."""
     e = edges.select("source", "target").where("source <> target").distinct().persist()
     kind = e.schema["source"].dataType.simpleString()
+    # Plans are cut each round: else a round would hold the plans of all rounds before it.
+    cut = lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
     front = e.sparkSession.createDataFrame([(start, [start])], f"node {kind}, path array<{kind}>")
-    seen = front.select("node")
-    for _ in range(most):
+    seen, grown = front.select("node"), 0
+    while True:
         hit = front.where(F.col("node") == F.lit(end))
         if hit.limit(1).count():
             return hit.agg(F.min("path").alias("path"))
+        if grown == most:
+            break
         nxt = front.join(e, front.node == e.source).select(F.col("target").alias("node"), F.concat("path", F.array("target")).alias("path"))
-        nxt = nxt.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
-        front = nxt.checkpoint() if e.sparkSession.sparkContext.getCheckpointDir() else nxt.persist()
+        front = cut(nxt.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")))
         if not front.limit(1).count():
             break
-        seen = seen.unionByName(front.select("node"))
+        seen, grown = seen.unionByName(front.select("node")), grown + 1
+        if not grown % 8:
+            seen = cut(seen.repartition("node"))
     return front.where("false").select("path")
 
 

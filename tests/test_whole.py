@@ -3,7 +3,7 @@
 import hashlib
 
 from sextant import catalog
-from sextant.operators import chunking
+from sextant.operators import chunking, graph
 
 
 def rows(df, *cols):
@@ -33,3 +33,10 @@ def test_markdown_of_whole_texts(spark, tmp_path):
     assert sum(r[0] == 0 for r in got) > 4 and {r[4] for r in got if r[0] == 3} == {None} and {"A", "B", "C", "Set"} <= {r[4] for r in got}
 
 
+
+
+def test_shortest_path_has_no_bound(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(i, 1) for i in range(2, 40, 7)] + [(60, 61)], "source long, target long")
+    assert graph.shortest_path(chain, 1, 35).first().path == list(range(1, 36))
+    assert graph.shortest_path(chain, 60, 1).count() == 0
+    assert graph.shortest_path(chain, 1, 6, most=5).first().path == [1, 2, 3, 4, 5, 6] and graph.shortest_path(chain, 1, 6, most=4).count() == 0
