@@ -8,10 +8,10 @@ update exclusion it learns a segment only where it is new.  Both code adaptively
 (counts held fixed).  Probabilities of known segments aren't excluded from spelling: the sum stays below one.
 
 For whole corpora the pretrained model is gathered by Spark: counts of every segment of all training texts, which grow
-with them, and four-byte counts of the distinct ones.  The byte trie is compiled to a table of bounded size: the
-commonest contexts of orders 3 and 2 (two parameters) and all of orders 1 and 0, for each of which escapes and
-exclusions are worked out in advance as one row of 256 log probabilities.  A context that wasn't kept falls back to its
-longest kept suffix.
+with them, and four-byte counts of the distinct ones, all of which are kept (16 bytes each on the driver and in the
+broadcast).  The byte trie is compiled to a table: for the commonest contexts of order 3 (a parameter) and all of orders
+2, 1 and 0 escapes and exclusions are worked out in advance as one row of 256 log probabilities.  The rows of the other
+contexts of order 3 are worked out from the same counts where a text needs them, so the parameter changes no score.
 
 Base: word counts, summed from the same segments.  The commonest segments (a bounded table) are looked up where the
 text is read; the others are joined by word, and their sums joined back, so that every count is used.
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from sextant.llm.common import fold
 
 ORDER = 3
-#: Kept contexts of orders 3 and 2 (their sum with orders 1 and 0 stays below 65,536 rows), and segments looked up in place.
-CONTEXTS3, CONTEXTS2, COMMON = 32_768, 16_384, 60_000
+#: Contexts of order 3 with a row made in advance, and segments looked up in place.
+CONTEXTS3, COMMON = 32_768, 60_000
 #: Longest segment looked up in place.
 COMMON_BYTES = 64
 FLUSH, BLOCK = 300_000, 1 << 21
@@ -136,8 +136,9 @@ def four_grams(texts: list[bytes]) -> np.ndarray:
     return g[keep[3:]]
 
 
-def compile_table(g3: tuple, g2: tuple, g1: tuple) -> dict:
-    """Rows of log10 probabilities and the row of each three-byte context.  g*: (context.symbol keys, counts)."""
+def compile_table(g3: tuple, g2: tuple, g1: tuple, most: int = CONTEXTS3) -> dict:
+    """Rows of log10 probabilities and the row of each three-byte context; g*: (sorted context.symbol keys, counts).
+    Places from the number of rows on are contexts of order 3 whose rows `later` makes."""
 
     def dense(keys, counts):
         contexts, row = np.unique(keys >> 8, return_inverse=True)
@@ -145,7 +146,12 @@ def compile_table(g3: tuple, g2: tuple, g1: tuple) -> dict:
         m[row, keys & 255] = counts
         return contexts, m
 
-    (c3, m3), (c2, m2), (c1, m1) = dense(*g3), dense(*g2), dense(*g1)
+    (c2, m2), (c1, m1) = dense(*g2), dense(*g1)
+    keys, counts = g3
+    c3, first = np.unique(keys >> 8, return_index=True)
+    sizes = np.diff(np.append(first, len(keys)))
+    totals = np.bincount(np.repeat(np.arange(len(c3)), sizes), counts, len(c3))
+    kept = np.sort(np.lexsort((c3, -totals))[:most])
     m0 = m1.sum(axis=0, keepdims=True) if len(m1) else np.zeros((1, 256), np.float32)
 
     def suffix(contexts, kept, counts, mask):
@@ -172,26 +178,50 @@ def compile_table(g3: tuple, g2: tuple, g1: tuple) -> dict:
         p += np.where(~out, mass / np.maximum(left, 1), 0)
         return np.log10(np.maximum(p, 1e-300)).astype(np.float32)
 
+    def third(which):
+        """Rows of the contexts of order 3 at these places of c3."""
+        n, c = sizes[which], c3[which]
+        at = np.repeat(first[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        m3 = np.zeros((len(c), 256), np.float32)
+        m3[np.repeat(np.arange(len(c)), n), keys[at] & 255] = counts[at]
+        return resolve([m3, suffix(c, c2, m2, 0xFFFF), suffix(c, c1, m1, 0xFF), zero(len(c))])
+
     rows = []
     zero = lambda n: np.broadcast_to(m0, (n, 256))
-    for a in range(0, len(c3), 4096):
-        c = c3[a : a + 4096]
-        rows.append(resolve([m3[a : a + 4096], suffix(c, c2, m2, 0xFFFF), suffix(c, c1, m1, 0xFF), zero(len(c))]))
+    for a in range(0, len(kept), 4096):
+        rows.append(third(kept[a : a + 4096]))
     for a in range(0, len(c2), 4096):
         c = c2[a : a + 4096]
         rows.append(resolve([m2[a : a + 4096], suffix(c, c1, m1, 0xFF), zero(len(c))]))
     rows += [resolve([m1, zero(len(c1))])] * (len(c1) > 0) + [resolve([m0])]
-    where = np.full((256, 256, 256), len(c3) + len(c2) + len(c1), np.uint16)
-    where[:, :, c1.astype(int)] = len(c3) + len(c2) + np.arange(len(c1))
-    where[:, (c2 >> 8).astype(int), (c2 & 255).astype(int)] = len(c3) + np.arange(len(c2))
-    where.reshape(-1)[c3.astype(int)] = np.arange(len(c3))
-    return {"rows": np.concatenate(rows), "where": where.reshape(-1)}
+    where = np.full((256, 256, 256), len(kept) + len(c2) + len(c1), np.uint32)
+    where[:, :, c1.astype(int)] = len(kept) + len(c2) + np.arange(len(c1))
+    where[:, (c2 >> 8).astype(int), (c2 & 255).astype(int)] = len(kept) + np.arange(len(c2))
+    where.reshape(-1)[c3.astype(int)] = len(kept) + len(c2) + len(c1) + 1 + np.arange(len(c3))
+    where.reshape(-1)[c3[kept].astype(int)] = np.arange(len(kept))
+    return {"rows": np.concatenate(rows), "where": where.reshape(-1), "later": third}
+
+
+def look_up(model: dict, g: np.ndarray) -> np.ndarray:
+    """log10 probability of each byte with the three before it."""
+    w, s, n = model["where"][g >> 8].astype(np.int64), g & 255, len(model["rows"])
+    late = np.flatnonzero(w >= n)
+    if not len(late):
+        return model["rows"].reshape(-1)[(w << 8) | s]
+    contexts, row = np.unique(w[late] - n, return_inverse=True)
+    w[late] = 0
+    out = model["rows"].reshape(-1)[(w << 8) | s]
+    order = np.argsort(row, kind="stable")
+    cuts = np.searchsorted(row[order], np.arange(0, len(contexts) + 4096, 4096))
+    for a, i, j in zip(range(0, len(contexts), 4096), cuts, cuts[1:]):
+        at = order[i:j]
+        out[late[at]] = model["later"](contexts[a : a + 4096])[row[at] - a, s[late[at]]]
+    return out
 
 
 def table_scores(model: dict, texts: list[bytes]) -> np.ndarray:
     """log10 probability of each text."""
     out = np.zeros(len(texts))
-    flat, where = model["rows"].reshape(-1), model["where"]
     at = 0
     while at < len(texts):
         end, size = at, 0
@@ -202,7 +232,7 @@ def table_scores(model: dict, texts: list[bytes]) -> np.ndarray:
         g = four_grams(part)
         if len(g):
             # Parts of a very long text in turn; sums by text.
-            lp = np.concatenate([flat[(where[g[i : i + BLOCK] >> 8].astype(np.int64) << 8) | (g[i : i + BLOCK] & 255)] for i in range(0, len(g), BLOCK)])
+            lp = np.concatenate([look_up(model, g[i : i + BLOCK]) for i in range(0, len(g), BLOCK)])
             ends = np.cumsum([len(t) for t in part])
             sums = np.concatenate([[0.0], np.cumsum(lp, dtype=np.float64)])
             out[at:end] = sums[ends] - sums[ends - [len(t) for t in part]]
@@ -256,8 +286,8 @@ def gram_counts(words: DataFrame) -> DataFrame:
     return words.select("word", F.map_keys("by").alias("seps")).mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
 
-def gather(grams: DataFrame, contexts3: int = CONTEXTS3, contexts2: int = CONTEXTS2) -> tuple:
-    """The counts of the kept contexts of each order, as sorted arrays."""
+def gather(grams: DataFrame) -> tuple:
+    """The counts of every context of each order, as sorted arrays."""
 
     def arrays(df: DataFrame) -> tuple:
         t = df.toArrow()
@@ -265,19 +295,15 @@ def gather(grams: DataFrame, contexts3: int = CONTEXTS3, contexts2: int = CONTEX
         o = np.argsort(k)
         return k[o], c[o]
 
-    def kept(df: DataFrame, most: int) -> tuple:
-        top = df.groupBy(F.shiftright("g", 8).alias("x")).agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "x").limit(most).select("x")
-        return arrays(df.join(F.broadcast(top), F.shiftright("g", 8) == F.col("x")).select("g", "c"))
-
     shorter = lambda df, bits: df.groupBy(F.col("g").bitwiseAND(bits).alias("g")).agg(F.sum("c").alias("c"))
     two = shorter(grams, 0xFFFFFF)
-    return kept(grams, contexts3), kept(two, contexts2), arrays(shorter(two, 0xFFFF))
+    return arrays(grams), arrays(two), arrays(shorter(two, 0xFFFF))
 
 
 _models: dict = {}
 
 
-def lm_scores(docs: DataFrame, train: DataFrame, common: int = COMMON) -> DataFrame:
+def lm_scores(docs: DataFrame, train: DataFrame, common: int = COMMON, contexts3: int = CONTEXTS3) -> DataFrame:
     """docs (doc_id, text, ...) scored by a model of train (text): adds n_tokens, n_known, train_tokens, base_score, score."""
     import pyarrow as pa
 
@@ -321,7 +347,7 @@ def lm_scores(docs: DataFrame, train: DataFrame, common: int = COMMON) -> DataFr
         """The other segments of each text, each with its log10 probability as it is spelled."""
         if name not in _models:
             _models.clear()
-            _models[name] = compile_table(*shared.value[0])
+            _models[name] = compile_table(*shared.value[0], contexts3)
         common = shared.value[1]
         for b in batches:
             for k, t in zip(b.column(0).to_pylist(), b.column(1)):
