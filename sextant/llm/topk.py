@@ -10,8 +10,9 @@ Bounds carry a margin above the rounding error, and a tie with t is never pruned
 
 Queries and candidates are dealt by hash into blocks of fixed size; each pair of blocks is one group, whose k best per
 query are merged by a window.  A vector that is null, or holds a null or non-finite component, takes no part; nor does
-a null id.  A repeated id counts once, with its smallest vector.  Shorter vectors are padded with zeros.  k rows or
-fewer come back per query; an empty table gives an empty result.
+a null id.  Rows that share an id all take part: each is a candidate of every query with another id, and as queries they
+have one list together, as in the SQL.  Shorter vectors are padded with zeros.  k rows or fewer come back per query; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,8 +33,7 @@ def integers(vectors: DataFrame, id_col: str, vec_col: str, scale: int = 256) ->
     x = F.transform(F.col(vec_col), lambda e: e.cast("double"))
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x"))
     fine = F.forall("x", lambda e: F.coalesce(~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))), F.lit(False)))
-    whole = rows.where(fine).select("vec_id", F.transform("x", lambda e: F.floor(F.lit(scale) * e).cast("long")).alias("v"))
-    return whole.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.where(fine).select("vec_id", F.transform("x", lambda e: F.floor(F.lit(scale) * e).cast("long")).alias("v"))
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -102,7 +102,7 @@ def exact_topk(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFra
     dim, n_q = max(1, size.d or 1), queries.count()
     nq, nv = max(1, math.ceil(n_q / QUERY_BLOCK)), max(1, math.ceil((size.n or 0) / BLOCK))
     rot = rotation(candidates, dim)
-    block = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
+    block = lambda n, salt: F.pmod(F.xxhash64("vec_id", "v", F.lit(salt)), F.lit(n)).cast("int")
     left = queries.select("vec_id", "v", block(nq, 1).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).alias("vb"))
     right = candidates.select("vec_id", "v", block(nv, 2).alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
 

@@ -1,9 +1,9 @@
-"""No context is dropped from op10's trie."""
+"""No context is dropped from op10's trie and no row from op5."""
 
 import numpy as np
 import pytest
 
-from sextant.llm import ppm
+from sextant.llm import ppm, topk
 from tests.llm.test_packing_ppm import brute_ppm
 
 
@@ -35,3 +35,18 @@ def test_contexts_beyond_the_table_equal_the_trie(monkeypatch):
     for most in (0, 5, 10**6):
         model = ppm.compile_table((keys, counts), shorter(0xFFFFFF), shorter(0xFFFF), most)
         assert np.allclose(ppm.table_scores(model, probe), [trie.log10(t) for t in probe], rtol=1e-5)
+
+
+def test_topk_takes_every_row_of_an_id(spark):
+    """Two vectors of one id are both candidates and both queries; the query's SQL agrees."""
+    import duckdb
+
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 3.0]), (1, [0.0, 3.0]), (2, [2.0, 2.0]), (50, [1.0, 1.0]), (50, [5.0, -1.0]), (100, [0.0, 1.0]), (3, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    ints = topk.integers(df, "vec_id", "embedding")
+    got = sorted(tuple(r) for r in topk.exact_topk(ints, ints.where("vec_id % 50 = 0"), 5).collect())
+    con = duckdb.connect()
+    con.execute("create table embeddings (vec_id bigint, embedding float[])")
+    con.executemany("insert into embeddings values (?, ?)", rows)
+    assert got == sorted(con.execute(topk.SQL).fetchall())
+    assert [r[2] for r in got if r[0] == 100].count(1) == 3
