@@ -282,9 +282,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     g = groups(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
     one = g.where(F.col("grp").isNotNull()).groupBy("grp").agg(first.alias("m")).select(F.col("m.row_key").alias("_key"))
-    empty = g.where(F.col("grp").isNull()).select(F.col("row_key").alias("_key"))
-    keyed = docs.withColumn("_key", row_key())
-    return keyed.join(one.unionByName(empty).distinct(), "_key").dropDuplicates(["_key"]).drop("_key")
+    # Rows of an empty set, those without a word, are linked with nothing: equal ones aren't copies.
+    empty = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    keyed = docs.where(~empty).withColumn("_key", row_key())
+    return keyed.join(one.distinct(), "_key").dropDuplicates(["_key"]).select(*docs.columns).unionByName(docs.where(empty))
 
 
 SQL = r"""

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from sextant.llm import ppm, topk
+from sextant.llm import minhash, ppm, topk
 from tests.llm.test_packing_ppm import brute_ppm
 
 
@@ -50,3 +50,14 @@ def test_topk_takes_every_row_of_an_id(spark):
     con.executemany("insert into embeddings values (?, ?)", rows)
     assert got == sorted(con.execute(topk.SQL).fetchall())
     assert [r[2] for r in got if r[0] == 100].count(1) == 3
+
+
+def test_rows_of_empty_sets_all_stay(spark):
+    """Equal ids and equal texts without a word are no copies; rows of other texts are."""
+    empty = [(1, "", "a"), (1, "", "b"), (None, None, "a"), (None, None, "b"), (2, " \t\n\x0b", "a"), (2, " \t\n\x0b", "a")]
+    docs = spark.createDataFrame([*empty, (3, "one two three four", "a"), (3, "one two three four", "b"), (4, "ONE two  three four", "c"), (5, "\u00a0", "d")], "doc_id long, text string, source string")
+    kept = minhash.deduplicate(docs)
+    assert kept.columns == docs.columns
+    got = [tuple(r) for r in kept.collect()]
+    assert sorted(map(str, (r for r in got if r[0] not in (3, 4, 5)))) == sorted(map(str, empty))
+    assert [r[0] for r in got if r[0] in (3, 4)] == [3] and [r[0] for r in got if r[0] == 5] == [5]
