@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,10 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh path in the folder that spark.checkpoint.dir names; a temporary one only where it is unset."""
+    """A fresh path in the folder that spark.checkpoint.dir names.
+
+    Where it is unset a temporary folder is made, but only for a local master: on a cluster other machines can't read it.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sextant-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sextant-"))
     return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
@@ -31,7 +38,36 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write to the shared folder as Parquet and read back, so that a lost executor repeats nothing."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(taken, *names: str) -> list[str]:
+    """Names for private columns that aren't among those taken (Spark compares without regard to case)."""
+    held = {c.lower() for c in (taken.columns if isinstance(taken, DataFrame) else taken)}
+    out = []
+    for n in names:
+        while n.lower() in held:
+            n = f"_{n}"
+        held.add(n.lower())
+        out.append(n)
+    return out
+
+
+def row_id(*cols: str) -> Column:
+    """md5 of columns as text, as 16 bytes; null differs from every text, and lengths keep columns apart."""
+    text = lambda c: F.coalesce(F.encode(F.col(c).cast("string"), "UTF-8"), F.lit(b""))
+    size = lambda c: F.encode(F.coalesce(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit("-")), "UTF-8")
+    return F.unhex(F.md5(F.concat(*(x for c in cols for x in (size(c), F.lit(b":"), text(c))))))
 
 
 def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -57,36 +93,36 @@ def let(value: Column, body) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int) -> list[tuple[str, int]]:
     """Whole texts of at most per_class labelled documents of each class, in the order of a hash of the id.
 
-    labels: (doc_id, label) rows that may be learned from.  The two bounds are parameters of the fit alone.
-    Repeated texts count once.
+    labels: (doc_id, label) rows that may be learned from.  The two bounds are parameters of the fit alone: they bound
+    what is collected, also where an id has many rows (then one of its texts, the greatest by hash, is taken).
     """
     rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = rows.where("_y = 1").orderBy(*order).limit(per_class).unionByName(rows.where("_y = 0").orderBy(*order).limit(per_class))
-    texts = docs.select("doc_id", "text").where(F.length(F.coalesce("text", F.lit(""))) <= max_chars).join(F.broadcast(ids), "doc_id")
-    found = texts.select(F.xxhash64("text", "doc_id").alias("h"), F.coalesce("text", F.lit("")).alias("text"), "_y").collect()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= max_chars).join(F.broadcast(ids), "doc_id")
+    one = texts.groupBy("doc_id", "_y").agg(F.max(F.struct(F.xxhash64("text", "doc_id").alias("h"), "text")).alias("t"))
+    found = one.select("t.h", "t.text", "_y").collect()
     return list({r.text: (r.text, r._y) for r in sorted(found, key=lambda r: (r.h, r._y), reverse=True)}.values())
 
 
 def map_texts(docs: DataFrame, columns: list[str], score, schema: str) -> DataFrame:
-    """mapInArrow over (columns..., text): score(list of texts) gives a list of lists, the new columns."""
+    """mapInArrow over (columns..., text): score(list of texts) gives a list of lists, the new columns.
+
+    New columns replace given ones of the same name.
+    """
     import pyarrow as pa
+    from pyspark.sql.types import StructType
 
+    extra = StructType.fromDDL(schema)
+    columns = [c for c in columns if c.lower() not in {n.lower() for n in extra.names}]
     rows = docs.select(*columns, *(["text"] if "text" not in columns else []))
     kept, at = len(columns), rows.columns.index("text")
+    out = StructType([rows.schema[c] for c in columns] + extra.fields)
+    names = out.names
 
     def run(batches):
         for b in batches:
             new = score([t or "" for t in b.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns[:kept], *map(pa.array, new)], names=[str(i) for i in range(kept + len(new))])
-
-    def named(batches):
-        for b in run(batches):
-            yield b.rename_columns(names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:kept], *map(pa.array, new)], names=names)
 
-    from pyspark.sql.types import StructType
-
-    extra = StructType.fromDDL(schema)
-    out = StructType([rows.schema[c] for c in columns] + extra.fields)
-    names = out.names
-    return rows.mapInArrow(named, out)
+    return rows.mapInArrow(run, out)

@@ -7,6 +7,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from sextant.llm import byte_cnn, minhash, mixing, queries, topk, toxicity
 from sextant.llm.quality_rules import quality_rules
@@ -95,28 +97,77 @@ def test_minhash(spark, frames):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_minhash_crowded_buckets(spark):
+def family(rng, n, size, changes, tag=""):
+    """n texts of `size` words, each with one of the numbers of changed words."""
+    out = []
+    for _ in range(n):
+        w = [f"t{i}{tag}" for i in range(size)]
+        for _ in range(rng.choice(changes)):
+            w[rng.randrange(size)] = f"r{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_minhash_crowded_buckets(spark, monkeypatch):
     """Chains and families near the threshold, with every bucket counted as crowded."""
     import random
 
     rng = random.Random(5)
-    base = [f"t{i}" for i in range(150)]
-    rows = []
-    for f in range(3):
-        for i in range(25):
-            w = [x + str(f) for x in base]
-            for _ in range(rng.choice([1, 3, 5, 8])):
-                w[rng.randrange(len(w))] = f"r{rng.randrange(10**6)}"
-            rows.append((len(rows), " ".join(w)))
+    rows = list(enumerate(t for f in range(3) for t in family(rng, 25, 150, [1, 3, 5, 8], f"x{f}")))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = jaccard_components(rows)
-    old = minhash.CROWDED
-    try:
-        for minhash.CROWDED in (old, 2):
-            got = minhash.near_duplicates(docs).collect()
-            assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
-    finally:
-        minhash.CROWDED = old
+    for crowded in (minhash.CROWDED, 2):
+        monkeypatch.setattr(minhash, "CROWDED", crowded)
+        got = minhash.near_duplicates(docs).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
+def test_minhash_refused_pairs_end_in_full_sets(spark, monkeypatch):
+    """Long texts: sketches are full, and many pairs that reach T lie below the threshold."""
+    import random
+
+    rng = random.Random(11)
+    rows = list(enumerate(family(rng, 50, 2600, [60, 62, 64, 66, 68, 70, 72, 74])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want, seen, full = jaccard_components(rows), [], minhash.full_sets
+    monkeypatch.setattr(minhash, "full_sets", lambda *a: seen.append(1) or full(*a))
+    for elements in (minhash.ELEMENTS, 30_000):
+        monkeypatch.setattr(minhash, "ELEMENTS", elements)
+        seen.clear()
+        got = minhash.near_duplicates(docs).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+        assert len(seen) == 3  # hubs, forest, and the pairs confirmed inside buckets
+
+
+def test_minhash_pairs_grow_in_proportion(spark, monkeypatch):
+    """Twice the near copies around the threshold: about twice the pairs that are confirmed, not four times."""
+    import random
+
+    counts, confirm = [], minhash.confirmed
+    monkeypatch.setattr(minhash, "confirmed", lambda pairs, *a: counts.append(pairs.count()) or confirm(pairs, *a))
+    total = []
+    for n in (250, 500):
+        counts.clear()
+        docs = spark.createDataFrame(list(enumerate(family(random.Random(3), n, 150, range(1, 25)))), "doc_id long, text string")
+        minhash.near_duplicates(docs).count()
+        total.append(sum(counts))
+    assert total[1] <= 2.5 * total[0] and total[1] <= 500 * 2 * minhash.Rule().posts
+
+
+def test_minhash_rule():
+    assert (minhash.Rule(3, 85).t, minhash.Rule(5, 80).t) == (11, 9)
+    a, b = b"ab" * 300, b"ba" * 300  # long words are hashed another way than short ones
+    assert len(minhash.shingle_hashes(a + b" x " + b + b" x " + a + b" x")) == 4
+
+
+def test_near_dedup_stage_rule(spark):
+    """The stage's rule: five words, 80 %; names of its own that the table has too do no harm."""
+    base = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, base, 1), (2, base + " " + " ".join(f"x{i}" for i in range(20)), 2), (3, base + " " + " ".join(f"y{i}" for i in range(28)), 3), (4, None, 4), (4, None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int").withColumn("_row", F.lit("z")).withColumn("_key", F.lit(1))
+    got = corpus_pipeline.near_dedup(spark, docs, SMALL)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [1, 3, 4, 4]
+    assert sorted(r.doc_id for r in minhash.deduplicate(docs, minhash.Rule(3, 85)).collect()) == [1, 2, 3, 4, 4]
 
 
 def test_classifiers(spark, frames):
