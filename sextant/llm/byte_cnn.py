@@ -5,8 +5,14 @@ whole text is seen.  Each filter is max-pooled over a chunk and rectified; a fix
 it repeats at a short lag.  Mean and maximum over the chunks feed one logistic unit.  Filters and unit are trained
 together by Adam; the gradient of a filter reaches only the window that won the maximum.
 
+A score depends on its text alone: padding stands before and after every text, so that neither a window nor a lag
+reaches a neighbour.
+
 The fit uses a bounded sample (SAMPLE documents of each class, at most SAMPLE_CHARS characters each); scoring reads
-every whole text.  Empty and null texts are one chunk of padding and get a defined score.
+every whole text.  Empty and null texts are one chunk of padding and get a defined score; a very long text is scored
+STEP chunks at a time; equal texts have equal scores, and repeated rows and null ids are scored each; an empty table
+gives an empty result.  Without labels of both classes every score is the prior.  Given columns of the names it adds are
+replaced, others aren't read.
 """
 
 from __future__ import annotations
@@ -18,43 +24,47 @@ from pyspark.sql import functions as F
 from sextant.llm.common import fold, labelled_sample, map_texts
 
 FILTERS, WIDTH, CHUNK, PAD = 16, 6, 512, 256
-SAMPLE, SAMPLE_CHARS, EPOCHS, BATCH, RATE = 2500, 12_000, 8, 32, 0.01
+SAMPLE, SAMPLE_CHARS, EPOCHS, UPDATES, BATCH, RATE = 2500, 12_000, 8, 300, 32, 0.01
 LAGS, WINDOW = range(2, 26), 64
 #: Chunks in one step of a scoring pass (bounds its memory: about 512 x 512 x 16 floats).
 STEP = 512
 
 
-def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts padded to whole chunks in one array, and the number of chunks of each."""
+#: Padding around every text: no shorter than a filter or a lag.
+GAP = 32
+
+
+def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts in one array with padding around each, the start of every chunk, and the number of chunks of each text."""
     n = np.array([max(1, -(-len(t) // CHUNK)) for t in texts])
-    x = np.full(int(n.sum()) * CHUNK + WIDTH, PAD, np.int16)
-    at = 0
-    for t, k in zip(texts, n):
+    first = np.concatenate([[0], np.cumsum(n * CHUNK + GAP)[:-1]]) + GAP
+    x = np.full(int((n * CHUNK + GAP).sum()) + GAP, PAD, np.int16)
+    for t, at in zip(texts, first):
         x[at : at + len(t)] = np.frombuffer(t, np.uint8)
-        at += int(k) * CHUNK
-    return x, n
+    chunk = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return x, np.repeat(first, n) + chunk * CHUNK, n
 
 
-def convolve(x: np.ndarray, tables: np.ndarray) -> np.ndarray:
+def convolve(x: np.ndarray, starts: np.ndarray, tables: np.ndarray) -> np.ndarray:
     """Filter values of every window: (chunks, CHUNK, FILTERS).  A table holds a filter's weight for each byte."""
-    m = len(x) - WIDTH
-    y = tables[0].take(x[:m], axis=0)
+    rows = x[starts[:, None] + np.arange(CHUNK + WIDTH - 1)]
+    y = tables[0].take(rows[:, :CHUNK], axis=0)
     for j in range(1, WIDTH):
-        y += tables[j].take(x[j : m + j], axis=0)
-    return y.reshape(-1, CHUNK, tables.shape[2])
+        y += tables[j].take(rows[:, j : j + CHUNK], axis=0)
+    return y
 
 
-def repeats(x: np.ndarray) -> np.ndarray:
+def repeats(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """(chunks, 2): mean and maximum over windows of the best share of bytes that repeat at one lag."""
-    m = len(x) - WIDTH
-    b = x[:m]
-    best = np.zeros(m // WINDOW, np.int32)
+    most = LAGS[-1]
+    rows = x[starts[:, None] + np.arange(-most, CHUNK)]
+    here = rows[:, most:]
+    inside = here != PAD
+    best = np.zeros((len(starts), CHUNK // WINDOW), np.int32)
     for lag in LAGS:
-        same = np.zeros(m, np.uint8)
-        np.equal(b[lag:], b[:-lag], out=same[lag:].view(bool))
-        same[b == PAD] = 0
-        np.maximum(best, same.reshape(-1, WINDOW).sum(axis=1, dtype=np.int32), out=best)
-    share = best.reshape(-1, CHUNK // WINDOW) / WINDOW
+        same = (here == rows[:, most - lag : most - lag + CHUNK]) & inside
+        np.maximum(best, same.reshape(len(starts), -1, WINDOW).sum(axis=2, dtype=np.int32), out=best)
+    share = best / WINDOW
     return np.stack([share.mean(axis=1), share.max(axis=1)], axis=1)
 
 
@@ -83,15 +93,16 @@ def train(sample: list[tuple[str, int]], seed: int = 7) -> dict:
     share = {0.0: (y == 0).mean(), 1.0: (y == 1).mean()}
     params = [tables, w, bias]
     m1, m2, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for _ in range(EPOCHS):
+    # A small sample is gone through more often: at least UPDATES steps in all.
+    for _ in range(max(EPOCHS, -(-UPDATES // -(-len(texts) // BATCH)))):
         order = rng.permutation(len(texts))
         for a in range(0, len(order), BATCH):
             pick = order[a : a + BATCH]
-            x, n = layout([texts[i] for i in pick])
-            conv = convolve(x, tables)
+            x, starts, n = layout([texts[i] for i in pick])
+            conv = convolve(x, starts, tables)
             won = conv.argmax(axis=1)
             top = np.take_along_axis(conv, won[:, None], 1)[:, 0]
-            h = np.concatenate([np.maximum(top, 0), repeats(x)], axis=1)
+            h = np.concatenate([np.maximum(top, 0), repeats(x, starts)], axis=1)
             f, where = combine(h, n)
             weight = np.array([0.5 / share[v] for v in y[pick]])
             g = (sigmoid(f @ w + bias) - y[pick]) * weight / len(pick)
@@ -100,7 +111,7 @@ def train(sample: list[tuple[str, int]], seed: int = 7) -> dict:
             np.add.at(gh, (where, np.arange(width)[None, :]), g[:, None] * w[None, width:])
             gh = (gh[:, :FILTERS] * (top > 0)).astype(np.float32)
             gt = np.zeros_like(tables)
-            pos = np.arange(len(won))[:, None] * CHUNK + won
+            pos = starts[:, None] + won
             for j in range(WIDTH):
                 np.add.at(gt[j], (x[pos + j], np.arange(FILTERS)[None, :]), gh)
             gt[:, PAD] = 0
@@ -116,13 +127,13 @@ def predict(model: dict, texts: list[str]) -> np.ndarray:
     raw = [t.encode() for t in texts]
     if not raw:
         return np.zeros(0)
-    x, n = layout(raw)
+    x, starts, n = layout(raw)
     parts = []
-    for a in range(0, int(n.sum()), STEP):
-        part = x[a * CHUNK : min(a + STEP, int(n.sum())) * CHUNK + WIDTH]
-        parts.append(np.concatenate([np.maximum(convolve(part, model["tables"]).max(axis=1), 0), repeats(part)], axis=1))
+    for a in range(0, len(starts), STEP):
+        at = starts[a : a + STEP]
+        parts.append(np.concatenate([np.maximum(convolve(x, at, model["tables"]).max(axis=1), 0), repeats(x, at)], axis=1))
     f, _ = combine(np.concatenate(parts), n)
-    return sigmoid(f @ model["w"] + model["b"][0])
+    return sigmoid((f * model["w"]).sum(axis=1) + model["b"][0])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = SAMPLE, max_chars: int = SAMPLE_CHARS) -> dict:

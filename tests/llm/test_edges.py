@@ -188,19 +188,53 @@ def test_held_out_accuracy(spark):
         assert np.mean([r.predicted == r[label] for r in got]) >= least
 
 
+def brute_network(model, text):
+    """One forward pass by plain loops over one text."""
+    raw, c, w = list(text.encode()), byte_cnn.CHUNK, byte_cnn.WIDTH
+    at = lambda i: raw[i] if 0 <= i < len(raw) else byte_cnn.PAD
+    rows = []
+    for s in range(0, max(1, len(raw)), c):
+        top = [max(0.0, max(sum(float(model["tables"][j, at(i + j), f]) for j in range(w)) for i in range(s, s + c))) for f in range(byte_cnn.FILTERS)]
+        best = []
+        for v in range(s, s + c, byte_cnn.WINDOW):
+            best.append(max(sum(at(i) == at(i - lag) and i < len(raw) for i in range(v, v + byte_cnn.WINDOW)) for lag in byte_cnn.LAGS) / byte_cnn.WINDOW)
+        rows.append(top + [sum(best) / len(best), max(best)])
+    f = [sum(col) / len(rows) for col in zip(*rows)] + [max(col) for col in zip(*rows)]
+    z = sum(a * b for a, b in zip(f, model["w"])) + float(model["b"][0])
+    return 1 / (1 + np.exp(-z))
+
+
+def test_network_forward_pass(monkeypatch):
+    """A score is that of the text alone: brute force, any batch, any order, any step."""
+    import random
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefgh é\n") for _ in range(rng.choice([0, 1, 5, 511, 512, 513, 700, 1500]))) for _ in range(40)] + ["ab" * 700, "ba" * 3, "", "語" * 600]
+    model = byte_cnn.train([(t[:60], i % 2) for i, t in enumerate(texts)])
+    model["w"] = np.random.default_rng(0).normal(0, 0.4, len(model["w"]))
+    p = byte_cnn.predict(model, texts)
+    assert np.ptp(p) > 0.1 and np.allclose(p[-12:], [brute_network(model, t) for t in texts[-12:]], atol=1e-5)
+    assert np.abs(p - [byte_cnn.predict(model, [t])[0] for t in texts]).max() < 1e-12
+    assert np.abs(p - byte_cnn.predict(model, texts[::-1])[::-1]).max() < 1e-12
+    for step in (1, 7):
+        monkeypatch.setattr(byte_cnn, "STEP", step)
+        assert np.abs(p - byte_cnn.predict(model, texts)).max() < 1e-12
+
+
+def test_network_scores_don_t_depend_on_partitions(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    model = byte_cnn.fit(docs, labels)
+    a, b = ({r.doc_id: r.score for r in byte_cnn.score(d, model, ["doc_id"]).collect()} for d in (docs, docs.repartition(7)))
+    assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-12
+    clash = docs.limit(3).selectExpr("*", "'x' AS score", "1 AS held_out", "2 AS predicted")
+    assert byte_cnn.quality(clash, labels).columns == ["doc_id", "held_out", "score", "predicted"]
+
+
 def test_network_gradient():
-    """The trained network separates two byte patterns, and scoring in steps equals scoring at once."""
+    """The trained network separates two byte patterns."""
     sample = [("plain words here " * (5 + i), 1) for i in range(300)] + [("pl@@n w##ds h!!e " * (5 + i), 0) for i in range(300)]
-    model = byte_cnn.train(sample)
-    p = byte_cnn.predict(model, [t for t, _ in sample])
+    p = byte_cnn.predict(byte_cnn.train(sample), [t for t, _ in sample])
     assert all((x >= 0.5) == bool(y) for x, (_, y) in zip(p, sample))
-    old = byte_cnn.STEP
-    try:
-        byte_cnn.STEP = 1
-        assert np.allclose(byte_cnn.predict(model, [t for t, _ in sample] + ["", "é" * 4000]), byte_cnn.predict(model, [t for t, _ in sample] + ["", "é" * 4000]))
-        assert np.allclose(byte_cnn.predict(model, [t for t, _ in sample]), p, atol=1e-5)
-    finally:
-        byte_cnn.STEP = old
 
 
 def edits(a, b):
@@ -298,7 +332,9 @@ def test_pipeline_whole_table(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
     left = {r.doc_id for r in one.collect()}
     good = [i for i, q in labels.items() if q == 1]
-    assert one.columns == docs.columns and np.mean([i in left for i in good]) > 0.95
+    bad = [i for i, q in labels.items() if q == 0]
+    assert one.columns == docs.columns and np.mean([i in left for i in good]) > 0.95 and np.mean([i in left for i in bad]) < 0.1
+    assert corpus_pipeline.quality_classifier(spark, docs.limit(3).withColumn("_quality", F.lit(1)).withColumn("score", F.lit(1)), SMALL).columns == [*docs.columns, "_quality", "score"]
     out = corpus_pipeline.run(spark, SMALL)
     seqs = defaultdict(int)
     for r in out.collect():
