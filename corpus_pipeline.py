@@ -1,12 +1,18 @@
 """A corpus pipeline of five stages; each reads what the one before it wrote.
 
-quality_classifier  documents whose probability of good quality is below REJECT go
-near_dedup          one document of each near-duplicate group stays
+quality_classifier  documents that the classifier rejects (a probability of good quality below REJECT) go
+near_dedup          one document of each near-duplicate group (five words, 80 %) stays
 suffix_dedup        every repeated 200-byte string is cut from the texts (partial characters at a cut go with it)
 mixing              sources are brought to their target weights, documents repeated or left out
 packing             the mix is tokenised and packed into sequences of 2048 ids
 
 Stages 1 to 4 return the columns of documents; the last returns a row per piece.
+
+Null and empty texts and very long ones pass like any others: an empty text has a score, is nobody's duplicate, loses
+nothing, is mixed with size 0 (so it isn't emitted unless its rank crosses an integer) and packs as one id.  Null ids
+and sources are values of their own.  Of equal rows near_dedup keeps one, if they hold a word; ties go to the least id.
+An empty table gives an empty result of the same columns at each stage.  Further columns are carried along unchanged,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -16,20 +22,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.llm import byte_cnn, minhash, mixing, packing, suffix_dedup
-from sextant.llm.common import fold, scratch, table
+from sextant.llm.common import fold, fresh, scratch, table
 
-#: Below the query's 0.5: a filter should rather let a doubtful document pass.
-REJECT = 0.3
+#: The classifier's own decision.
+REJECT = 0.5
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 3) != 1)
-    scored = byte_cnn.score(docs, byte_cnn.fit(docs, labels), docs.columns, "_quality")
-    return scored.where(F.col("_quality") >= REJECT).select(*docs.columns)
+    name = fresh(docs, "quality")[0]
+    scored = byte_cnn.score(docs, byte_cnn.fit(docs, labels), docs.columns, name)
+    return scored.where(F.col(name) >= REJECT).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.deduplicate(docs).select(*docs.columns)
+    return minhash.deduplicate(docs, minhash.Rule(5, 80))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
