@@ -349,15 +349,15 @@ _ROW = ("key", "ck", "comp", "most", "n", "sig", "odd", "js", "part")
 def cross_links(posts: DataFrame, classes: DataFrame, links: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): confirmed links which, with those given, have the components of all links; steps 2 and 3 told above."""
 
-    def buckets(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-        info = classes.join(labels, "ck", "left").select("ck", "n", "sig", "odd", F.coalesce("comp", "ck").alias("comp"))
-        return open_buckets(posts, info, rule), info.drop("comp")
-
-    level, info = buckets(components(links))
-    tried = solved(level.join(info, "ck").select(*_ROW), lambda key, b, _: b.forest(rule), "a binary, b binary").distinct()
-    more = confirmed(tried, classes, docs, rule)
-    level, info = buckets(components(links.unionByName(more)))
-    level = materialize(level)
+    info = classes.select("ck", "n", "sig", "odd")
+    comp = lambda labels: classes.select("ck").join(labels, "ck", "left").select("ck", F.coalesce("comp", "ck").alias("comp"))
+    level = materialize(open_buckets(posts, info.join(comp(components(links)), "ck"), rule))
+    tried = materialize(solved(level.join(info, "ck").select(*_ROW), lambda key, b, _: ((key, x, y) for x, y in b.forest(rule)), "key long, a binary, b binary"))
+    more = confirmed(tried.select("a", "b").distinct(), classes, docs, rule)
+    # A bucket whose pairs were all confirmed has no two components left that any pair of it might join.
+    refused = tried.join(more, ["a", "b"], "left_anti").select("key").distinct()
+    level = level.drop("comp", "most").join(refused, "key", "left_semi").join(comp(components(links.unionByName(more))), "ck")
+    level = materialize(level.join(mixed(level).drop("m"), "key"))
     left = materialize(solved(level.join(info, "ck").select(*_ROW), lambda key, b, _: ((key, b.ck[i]) for i in b.open(rule)), "key long, ck binary").distinct())
     if not left.limit(1).count():
         return more

@@ -1,31 +1,35 @@
 """Language-model scoring: prediction by partial matching over bytes, next to a smoothed unigram base score.
 
-A text is cut after every separator byte into segments, a word (or none) with the byte that ends it; END closes the
-last.  SegmentModel is the model itself.  Its first context is the start of a segment: a segment that training holds
-is coded by its count, any other by an escape (method C: as many escapes as distinct segments) and byte for byte by
-ByteTrie.  That is a trie of the byte contexts within segments, with escape by method C and symbol exclusion; as in
-update exclusion it learns a segment only where it is new.  Both code adaptively (learning as they go) or pretrained
-(counts held fixed).  Probabilities of known segments aren't excluded from spelling: the sum stays below one.
-
-For whole corpora the pretrained model is gathered by Spark: counts of every segment of all training texts, which grow
-with them, and four-byte counts of the distinct ones, all of which are kept (16 bytes each on the driver and in the
-broadcast).  The byte trie is compiled to a table: for the commonest contexts of order 3 (a parameter) and all of orders
-2, 1 and 0 escapes and exclusions are worked out in advance as one row of 256 log probabilities.  The rows of the other
-contexts of order 3 are worked out from the same counts where a text needs them, so the parameter changes no score.
-
-Base: word counts, summed from the same segments.  The commonest segments (a bounded table) are looked up where the
-text is read; the others are joined by word, and their sums joined back, so that every count is used.
-
-Null texts are empty: one end token, scored as the segment END.  Null ids count as the empty string in the fold.  Repeated rows are
-scored each.  With no training text the base is log10 of 0.1 / 0.1 (that is 0) per token and the model
-is uniform over bytes.
+The model is a trie of byte contexts of up to ORDER bytes that run across words and lines; three things happen at each
+byte (END closes a text).  The longest context that training holds predicts the symbol by its count less a half; if it
+doesn't hold the symbol, it escapes with half a count for each kind of symbol it holds (method D), and the next shorter
+context predicts from what is left after the symbols just passed over are excluded.  Below order 0 all bytes not yet
+excluded are equally likely.  The code length of a text is the sum of its bytes' log10 probabilities.
+
+ByteTrie is the model in plain Python, adaptive (it learns each byte after coding it) or pretrained.  lm_scores is the
+pretrained model for whole corpora, where neither the counts nor the texts fit in one place:
+
+1. Counts.  Each task counts the strings of ORDER + 1 bytes of its training texts; they are dealt to parts by the last
+   LOW + 1 bytes of the context and summed there (in two levels, if there are many tasks).  A part so holds every longer
+   context whose shorter ones it holds, down to order LOW + 1.  Orders LOW and below are at most 256 ** (LOW + 1) counts
+   by construction, whatever the corpus: they are gathered and broadcast.  Word counts for the base are dealt to the same
+   parts by a hash of the word.
+2. Questions.  Documents are dealt to blocks of about BLOCK bytes.  A block asks each part for its distinct strings and
+   words; the part answers with their log probabilities and counts, worked out in numpy level by level.
+3. Scores.  A block's documents meet the answers, and the log probabilities are summed.
+Nothing that grows with the corpus is broadcast or collected, and no context is dropped.
+
+Null texts are empty: END alone is scored.  A null id counts as the empty text in the fold.  Repeated rows are scored
+each and equal texts score alike (a block is dealt by row, so that equal rows don't meet in one).  Very long texts are
+counted and scored SEGMENT bytes at a time.  An empty table gives an empty result.  With no training text the base is
+log10 of 0.1 / 0.1 (that is 0) per token and the model is uniform over bytes.  Given columns of the names that are added
+are replaced; all others are carried along.
 """
 
 from __future__ import annotations
 
 import math
-import re
-import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,21 +37,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import fold
+from sextant.llm.common import fold, fresh, materialize
 
-ORDER = 3
-#: Contexts of order 3 with a row made in advance, and segments looked up in place.
-CONTEXTS3, COMMON = 32_768, 60_000
-#: Longest segment looked up in place.
-COMMON_BYTES = 64
-FLUSH, BLOCK = 300_000, 1 << 21
+#: Bytes of the longest context (a string of ORDER + 1 bytes fills a 64-bit number at most), and of the broadcast ones.
+ORDER, LOW = 6, 2
+#: Bytes of text in a block, and in one step of counting or scoring.
+BLOCK, SEGMENT = 16 << 20, 2 << 20
+#: Distinct strings that a task holds before it gives them out, and tasks that a part hears directly.
+HELD, FAN_IN = 4_000_000, 64
 #: Closes a text; no byte of UTF-8.
-END = b"\xff"
-_SEGMENT = re.compile(rb"[^\x09-\x0D\x20\xff]*[\x09-\x0D\x20\xff]")
-
-
-def segments(text: bytes) -> list[bytes]:
-    return _SEGMENT.findall(text + END)
+END = 255
+ADDED = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 class ByteTrie:
@@ -57,7 +57,7 @@ class ByteTrie:
         self.order, self.counts = order, {}
 
     def _context(self, past: bytes) -> bytes:
-        return (b"\0" * self.order + past)[-self.order :]
+        return (b"\0" * self.order + past)[len(past) :]
 
     def learn(self, past: bytes, symbol: int) -> None:
         c = self._context(past)
@@ -66,7 +66,7 @@ class ByteTrie:
             node[symbol] = node.get(symbol, 0) + 1
 
     def train(self, text: bytes) -> None:
-        for i, s in enumerate(text):
+        for i, s in enumerate([*text, END]):
             self.learn(text[max(0, i - self.order) : i], s)
 
     def probability(self, past: bytes, symbol: int) -> float:
@@ -75,18 +75,18 @@ class ByteTrie:
             node = {s: n for s, n in self.counts.get(c[self.order - k :], {}).items() if s not in excluded}
             if not node:
                 continue
-            total, kinds = sum(node.values()), len(node)
-            escape = 0 if kinds + len(excluded) == 256 else kinds
+            # Where every byte has been seen there is nothing to escape to.
+            half = 0.0 if len(node) + len(excluded) == 256 else 0.5
             if symbol in node:
-                return mass * node[symbol] / (total + escape)
-            mass *= escape / (total + escape)
+                return mass * (node[symbol] - half) / sum(node.values())
+            mass *= half * len(node) / sum(node.values())
             excluded |= node.keys()
         return mass / (256 - len(excluded))
 
     def log10(self, text: bytes, adaptive: bool = False) -> float:
-        """log10 probability; adaptive: each byte is learned after it is coded."""
+        """log10 probability of a text and its end; adaptive: each byte is learned after it is coded."""
         total = 0.0
-        for i, s in enumerate(text):
+        for i, s in enumerate([*text, END]):
             past = text[max(0, i - self.order) : i]
             total += math.log10(self.probability(past, s))
             if adaptive:
@@ -94,288 +94,353 @@ class ByteTrie:
         return total
 
 
-class SegmentModel:
-    """Counts of whole segments; what they don't hold is spelled by a ByteTrie of the distinct ones."""
+def grams(texts: list[bytes], order: int = ORDER) -> Iterator[np.ndarray]:
+    """Every byte and END of the texts, with the `order` bytes before it, as numbers: at most SEGMENT of them at a time."""
+    end = bytes([END])
+    data = b"".join(b"\0" * order + t + end for t in texts)
+    x = np.frombuffer(data, np.uint8)
+    skip = np.zeros(len(x), bool)
+    starts = np.cumsum([0] + [len(t) + order + 1 for t in texts[:-1]]) if texts else np.zeros(0, int)
+    for k in range(order):
+        skip[starts + k] = True
+    for a in range(order, len(x), SEGMENT):
+        b = min(a + SEGMENT, len(x))
+        g = np.zeros(b - a, np.uint64)
+        for k in range(order, -1, -1):
+            g = (g << np.uint64(8)) | x[a - k : b - k]
+        yield g[~skip[a:b]]
 
-    def __init__(self, order: int = ORDER):
-        self.counts, self.total, self.spelling = Counter(), 0, ByteTrie(order)
 
-    def learn(self, segment: bytes) -> None:
-        if segment not in self.counts:
-            self.spelling.train(segment)
-        self.counts[segment] += 1
-        self.total += 1
+def add_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    u, row = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]), return_inverse=True)
+    return u, np.bincount(row, np.concatenate([np.zeros(0), *counts]), len(u)).astype(np.int64)
 
-    def train(self, text: bytes) -> None:
-        for s in segments(text):
-            self.learn(s)
 
-    def log10(self, text: bytes, adaptive: bool = False) -> float:
-        out = 0.0
-        for s in segments(text):
-            if s in self.counts:
-                out += math.log10(self.counts[s] / (self.total + len(self.counts)))
-            else:
-                escape = math.log10(len(self.counts) / (self.total + len(self.counts))) if self.total else 0.0
-                out += escape + self.spelling.log10(s)
-            if adaptive:
-                self.learn(s)
-        return out
+def pack(a: np.ndarray) -> bytes:
+    """Eight-byte (or four-byte) numbers by planes of their bytes, compressed."""
+    return zlib.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes(), 1)
 
 
-def four_grams(texts: list[bytes]) -> np.ndarray:
-    """Every byte with the three before it, as one number; three zero bytes stand before each text."""
-    x = np.frombuffer(b"".join(b"\0\0\0" + t for t in texts), np.uint8).astype(np.uint32)
-    if len(x) < 4:
-        return np.zeros(0, np.uint32)
-    g = (x[:-3] << 24) | (x[1:-2] << 16) | (x[2:-1] << 8) | x[3:]
-    keep = np.ones(len(g) + 3, bool)
-    ends = np.cumsum([len(t) + 3 for t in texts])
-    for k in range(3):  # windows that end in the padding of a text
-        keep[np.concatenate([[0], ends[:-1]]) + k] = False
-    return g[keep[3:]]
-
-
-def compile_table(g3: tuple, g2: tuple, g1: tuple, most: int = CONTEXTS3) -> dict:
-    """Rows of log10 probabilities and the row of each three-byte context; g*: (sorted context.symbol keys, counts).
-    Places from the number of rows on are contexts of order 3 whose rows `later` makes."""
-
-    def dense(keys, counts):
-        contexts, row = np.unique(keys >> 8, return_inverse=True)
-        m = np.zeros((len(contexts), 256), np.float32)
-        m[row, keys & 255] = counts
-        return contexts, m
-
-    (c2, m2), (c1, m1) = dense(*g2), dense(*g1)
-    keys, counts = g3
-    c3, first = np.unique(keys >> 8, return_index=True)
-    sizes = np.diff(np.append(first, len(keys)))
-    totals = np.bincount(np.repeat(np.arange(len(c3)), sizes), counts, len(c3))
-    kept = np.sort(np.lexsort((c3, -totals))[:most])
-    m0 = m1.sum(axis=0, keepdims=True) if len(m1) else np.zeros((1, 256), np.float32)
-
-    def suffix(contexts, kept, counts, mask):
-        """Counts of the shorter context of each, zero where it isn't kept."""
-        out = np.zeros((len(contexts), 256), np.float32)
-        if len(kept):
-            i = np.minimum(np.searchsorted(kept, contexts & mask), len(kept) - 1)
-            hit = kept[i] == contexts & mask
-            out[hit] = counts[i[hit]]
-        return out
+def unpack(b: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
-    def resolve(levels):
-        n = len(levels[0])
-        p, mass, out = np.zeros((n, 256)), np.ones((n, 1)), np.zeros((n, 256), bool)
-        for m in levels:
-            c = np.where(out, 0, m).astype(np.float64)
-            total, kinds = c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True)
-            escape = np.where(kinds + out.sum(axis=1, keepdims=True) == 256, 0, kinds)
-            live = kinds > 0
-            p += np.where(live, mass * c / np.maximum(total + escape, 1), 0)
-            mass = np.where(live, mass * escape / np.maximum(total + escape, 1), mass)
-            out |= c > 0
-        left = 256 - out.sum(axis=1, keepdims=True)
-        p += np.where(~out, mass / np.maximum(left, 1), 0)
-        return np.log10(np.maximum(p, 1e-300)).astype(np.float32)
-
-    def third(which):
-        """Rows of the contexts of order 3 at these places of c3."""
-        n, c = sizes[which], c3[which]
-        at = np.repeat(first[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        m3 = np.zeros((len(c), 256), np.float32)
-        m3[np.repeat(np.arange(len(c)), n), keys[at] & 255] = counts[at]
-        return resolve([m3, suffix(c, c2, m2, 0xFFFF), suffix(c, c1, m1, 0xFF), zero(len(c))])
-
-    rows = []
-    zero = lambda n: np.broadcast_to(m0, (n, 256))
-    for a in range(0, len(kept), 4096):
-        rows.append(third(kept[a : a + 4096]))
-    for a in range(0, len(c2), 4096):
-        c = c2[a : a + 4096]
-        rows.append(resolve([m2[a : a + 4096], suffix(c, c1, m1, 0xFF), zero(len(c))]))
-    rows += [resolve([m1, zero(len(c1))])] * (len(c1) > 0) + [resolve([m0])]
-    where = np.full((256, 256, 256), len(kept) + len(c2) + len(c1), np.uint32)
-    where[:, :, c1.astype(int)] = len(kept) + len(c2) + np.arange(len(c1))
-    where[:, (c2 >> 8).astype(int), (c2 & 255).astype(int)] = len(kept) + np.arange(len(c2))
-    where.reshape(-1)[c3.astype(int)] = len(kept) + len(c2) + len(c1) + 1 + np.arange(len(c3))
-    where.reshape(-1)[c3[kept].astype(int)] = np.arange(len(kept))
-    return {"rows": np.concatenate(rows), "where": where.reshape(-1), "later": third}
-
-
-def look_up(model: dict, g: np.ndarray) -> np.ndarray:
-    """log10 probability of each byte with the three before it."""
-    w, s, n = model["where"][g >> 8].astype(np.int64), g & 255, len(model["rows"])
-    late = np.flatnonzero(w >= n)
-    if not len(late):
-        return model["rows"].reshape(-1)[(w << 8) | s]
-    contexts, row = np.unique(w[late] - n, return_inverse=True)
-    w[late] = 0
-    out = model["rows"].reshape(-1)[(w << 8) | s]
-    order = np.argsort(row, kind="stable")
-    cuts = np.searchsorted(row[order], np.arange(0, len(contexts) + 4096, 4096))
-    for a, i, j in zip(range(0, len(contexts), 4096), cuts, cuts[1:]):
-        at = order[i:j]
-        out[late[at]] = model["later"](contexts[a : a + 4096])[row[at] - a, s[late[at]]]
-    return out
 
+def pack_sorted(a: np.ndarray) -> bytes:
+    return pack(np.diff(a, prepend=np.zeros(1, a.dtype)))
 
-def table_scores(model: dict, texts: list[bytes]) -> np.ndarray:
-    """log10 probability of each text."""
-    out = np.zeros(len(texts))
-    at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) < BLOCK):
-            size += len(texts[end])
-            end += 1
-        part = texts[at:end]
-        g = four_grams(part)
-        if len(g):
-            # Parts of a very long text in turn; sums by text.
-            lp = np.concatenate([look_up(model, g[i : i + BLOCK]) for i in range(0, len(g), BLOCK)])
-            ends = np.cumsum([len(t) for t in part])
-            sums = np.concatenate([[0.0], np.cumsum(lp, dtype=np.float64)])
-            out[at:end] = sums[ends] - sums[ends - [len(t) for t in part]]
-        at = end
-    return out
 
+def unpack_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(unpack(b, np.uint64), dtype=np.uint64)
 
-def segment_counts(docs: DataFrame) -> DataFrame:
-    """(word, sep, c) over the texts of docs: segments without and with the byte that ends them."""
-    import pyarrow as pa
 
-    def run(batches: Iterator):
-        c: Counter = Counter()
+def pack_words(words: list[bytes]) -> bytes:
+    return zlib.compress(b" ".join(words), 1)
 
-        def out():
-            cols = [pa.array([x[:-1] for x in c], pa.binary()), pa.array([x[-1] for x in c], pa.int32()), pa.array(c.values(), pa.int64())]
-            return pa.RecordBatch.from_arrays(cols, names=["word", "sep", "c"])
 
-        for b in batches:
-            for t in b.column(0):
-                c.update(segments(t.as_py().encode().lower()))
-                if len(c) > FLUSH:
-                    yield out()
-                    c.clear()
-        yield out()
+def unpack_words(b: bytes) -> list[bytes]:
+    return zlib.decompress(b).split()
 
-    return docs.select("text").mapInArrow(run, "word binary, sep int, c long").groupBy("word", "sep").agg(F.sum("c").alias("c"))
 
+def by_part(g: np.ndarray, parts: int) -> list[np.ndarray]:
+    """Places in g of the strings of each part, in their order."""
+    c = ((g >> np.uint64(8)) & np.uint64(256 ** (LOW + 1) - 1)) * np.uint64(0x9E3779B97F4A7C15)
+    part = ((c >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    return np.split(order, np.searchsorted(part[order], np.arange(1, parts)))
 
-def gram_counts(words: DataFrame) -> DataFrame:
-    """(g, c): four-byte counts over the distinct segments of words (word, seps)."""
-    import pyarrow as pa
 
-    def run(batches: Iterator):
-        held: list[bytes] = []
-        size = 0
+def words_by_part(words, parts: int) -> list[list[bytes]]:
+    out: list[list[bytes]] = [[] for _ in range(parts)]
+    for w in sorted(words):
+        out[zlib.crc32(w) % parts].append(w)
+    return out
 
-        def out():
-            k, n = np.unique(four_grams(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(n.astype(np.int64))], names=["g", "c"])
 
-        for b in batches:
-            for w, seps in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held += [w + bytes([s]) for s in seps]
-                size += (len(w) + 1) * len(seps)
-                if size > 2 * BLOCK:
-                    yield out()
-                    held, size = [], 0
-        yield out()
+class Level:
+    """Counts of (context, symbol) of one order: per context its total and its kinds of symbols."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys, self.counts = keys, counts.astype(np.float64)
+        self.contexts, self.row = np.unique(keys >> np.uint64(8), return_inverse=True)
+        self.total = np.bincount(self.row, self.counts, len(self.contexts))
+        self.kinds = np.bincount(self.row, minlength=len(self.contexts))
+
+    def shorter(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and counts of the next order down, to `order` bytes of context."""
+        return add_up([self.keys & np.uint64(256 ** (order + 1) - 1)], [self.counts])
+
+
+def place(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key stands, and whether it does."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
+
+
+def low_levels(keys: np.ndarray, counts: np.ndarray) -> list[Level]:
+    """Levels of orders 0 to LOW from the counts of order LOW."""
+    levels = [Level(keys, counts)]
+    for k in range(LOW - 1, -1, -1):
+        levels.insert(0, Level(*levels[0].shorter(k)))
+    return levels
+
+
+class PartialMatching:
+    """The levels of one part: its own orders above LOW, and the shared ones."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, low: list[Level], order: int = ORDER):
+        own = [Level(keys, counts)]
+        for k in range(order - 1, LOW, -1):
+            own.insert(0, Level(*own[0].shorter(k)))
+        self.levels = [*low, *own]
+        #: Counts in the next order down of the symbols that each context holds.
+        self.passed = []
+        for k in range(order):
+            upper, lower = self.levels[k + 1], self.levels[k]
+            at, _ = place(lower.keys, upper.keys & np.uint64(256 ** (k + 1) - 1))
+            self.passed.append(np.bincount(upper.row, lower.counts[at], len(upper.contexts)) if len(upper.keys) else np.zeros(0))
+
+    def log10(self, g: np.ndarray) -> np.ndarray:
+        """log10 probability of the last byte of each string after the bytes before it."""
+        out = np.zeros(len(g))
+        left = np.arange(len(g))
+        above = None  # places and hits in the contexts of the order above
+        for k in range(len(self.levels) - 1, -1, -1):
+            level = self.levels[k]
+            x = g[left] & np.uint64(256 ** (k + 1) - 1)
+            c, known = place(level.contexts, x >> np.uint64(8))
+            at, hit = place(level.keys, x)
+            if len(level.keys):
+                total, kinds, count = np.where(known, level.total[c], 0.0), np.where(known, level.kinds[c], 0), level.counts[at]
+            else:
+                total, kinds, count = np.zeros(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x))
+            half = np.where(kinds == 256, 0.0, 0.5)
+            if above is not None and len(self.levels[k + 1].keys):
+                total = total - np.where(above[1], self.passed[k][above[0]], 0.0)
+                kinds = kinds - np.where(above[1], self.levels[k + 1].kinds[above[0]], 0)
+            live = kinds > 0
+            with np.errstate(divide="ignore", invalid="ignore"):
+                step = np.where(hit, (count - half) / total, half * kinds / total)
+                out[left] += np.where(live, np.log10(step), 0.0)
+            if k == 0:
+                out[left[~hit]] -= np.log10(256 - (len(level.keys)))
+            left, above = left[~hit], (c[~hit], known[~hit])
+        return out
 
-    return words.select("word", F.map_keys("by").alias("seps")).mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
+def counted(train: DataFrame, parts: int) -> DataFrame:
+    """(part, g, gc, w, wc): packed strings and words with their counts; a row a part, as often as a task gives them out."""
+    import pyarrow as pa
 
-def gather(grams: DataFrame) -> tuple:
-    """The counts of every context of each order, as sorted arrays."""
+    def run(batches: Iterator):
+        keys, counts, words, texts, size = [], [], Counter(), [], 0
 
-    def arrays(df: DataFrame) -> tuple:
-        t = df.toArrow()
-        k, c = t.column("g").to_numpy().astype(np.int64), t.column("c").to_numpy().astype(np.int64)
-        o = np.argsort(k)
-        return k[o], c[o]
+        def count():
+            for g in grams(texts):
+                u, n = np.unique(g, return_counts=True)
+                keys.append(u)
+                counts.append(n)
+            for t in texts:
+                words.update(t.split())
 
-    shorter = lambda df, bits: df.groupBy(F.col("g").bitwiseAND(bits).alias("g")).agg(F.sum("c").alias("c"))
-    two = shorter(grams, 0xFFFFFF)
-    return arrays(grams), arrays(two), arrays(shorter(two, 0xFFFF))
+        def out():
+            u, n = add_up(keys, counts)
+            dealt = words_by_part(words, parts)
+            rows = [(i, pack_sorted(u[at]), pack(n[at]), pack_words(w), pack(np.array([words[x] for x in w], np.int64))) for i, (at, w) in enumerate(zip(by_part(u, parts), dealt)) if len(at) or w]
+            return _batch(rows)
 
+        for b in batches:
+            for t in b.column(0):
+                texts.append(t.as_py().encode().lower())
+                size += len(texts[-1])
+                if size >= SEGMENT:
+                    count()
+                    texts, size = [], 0
+                    if len(keys) > 1 and sum(map(len, keys)) > HELD:
+                        u, n = add_up(keys, counts)
+                        keys, counts = [u], [n]
+                    if sum(map(len, keys)) > HELD or len(words) > HELD // 8:
+                        yield out()
+                        keys, counts, words = [], [], Counter()
+        count()
+        yield out()
 
-_models: dict = {}
+    def _batch(rows):
+        cols = list(zip(*rows)) or [[]] * 5
+        types = [pa.int32(), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["part", "g", "gc", "w", "wc"])
+
+    def merge(batches: Iterator):
+        """Rows of one part come together; sums of them."""
+        held, part = [], None
+
+        def total():
+            keys, counts, words, n = [], [], Counter(), 0
+            for r in held:
+                keys.append(unpack_sorted(r[0]))
+                counts.append(unpack(r[1], np.int64))
+                n += len(keys[-1])
+                if n > HELD:
+                    u, c = add_up(keys, counts)
+                    keys, counts, n = [u], [c], 0
+                for x, m in zip(unpack_words(r[2]), unpack(r[3], np.int64).tolist()):
+                    words[x] += m
+            u, c = add_up(keys, counts)
+            w = sorted(words)
+            return _batch([(part, pack_sorted(u), pack(c), pack_words(w), pack(np.array([words[x] for x in w], np.int64)))])
 
+        for b in batches:
+            at = b.schema.get_field_index("part")
+            cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("g", "gc", "w", "wc")]
+            for p, *row in zip(b.column(at).to_pylist(), *cols):
+                if p != part:
+                    if held:
+                        yield total()
+                    held, part = [], p
+                held.append(row)
+        if held:
+            yield total()
+
+    schema = "part int, g binary, gc binary, w binary, wc binary"
+    rows = train.mapInArrow(run, schema)
+    salts = -(-train.rdd.getNumPartitions() // FAN_IN)
+    if salts > 1:
+        salted = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+        rows = salted.repartition("part", "salt").sortWithinPartitions("part", "salt").mapInArrow(merge, schema)
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(merge, schema)
+
+
+def totals(counts: DataFrame) -> tuple[int, int, list[Level]]:
+    """Words, distinct words, and the levels of the low orders: at most 256 ** (LOW + 1) rows reach the driver."""
+    import pyarrow as pa
 
-def lm_scores(docs: DataFrame, train: DataFrame, common: int = COMMON, contexts3: int = CONTEXTS3) -> DataFrame:
+    def run(batches: Iterator):
+        for b in batches:
+            for g, gc, wc in zip(*(b.column(i).to_pylist() for i in range(3))):
+                u, n = add_up([unpack_sorted(g) & np.uint64(256 ** (LOW + 1) - 1)], [unpack(gc, np.int64)])
+                m = unpack(wc, np.int64)
+                keys = pa.array([*u.astype(np.int64).tolist(), -1, -2], pa.int64())
+                yield pa.RecordBatch.from_arrays([keys, pa.array([*n.tolist(), int(m.sum()), len(m)], pa.int64())], names=["k", "n"])
+
+    t = counts.select("g", "gc", "wc").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    k, n = t.column("k").to_numpy(), t.column("n").to_numpy()
+    rest = {int(a): int(b) for a, b in zip(k[k < 0], n[k < 0])}
+    order = np.argsort(k[k >= 0])
+    return rest.get(-1, 0), rest.get(-2, 0), low_levels(k[k >= 0][order].astype(np.uint64), n[k >= 0][order])
+
+
+def distinct(texts: list[bytes]) -> np.ndarray:
+    out = np.zeros(0, np.uint64)
+    held, n = [], 0
+    for g in grams(texts):
+        held.append(np.unique(g))
+        n += len(held[-1])
+        if n > HELD // 4:
+            out, held, n = np.unique(np.concatenate([out, *held])), [], 0
+    return np.unique(np.concatenate([out, *held]))
+
+
+def lm_scores(docs: DataFrame, train: DataFrame, block: int = BLOCK, parts: int | None = None) -> DataFrame:
     """docs (doc_id, text, ...) scored by a model of train (text): adds n_tokens, n_known, train_tokens, base_score, score."""
     import pyarrow as pa
-
-    from sextant.llm.common import materialize
-
-    train = train.select(F.coalesce("text", F.lit("")).alias("text"))
-    # A word has at most seven separators: by holds the count of each.
-    by = F.map_from_entries(F.collect_list(F.struct("sep", "c"))).alias("by")
-    words = materialize(segment_counts(train).groupBy("word").agg(F.sum("c").alias("wc"), by))
-    grams = gather(materialize(gram_counts(words)))
-    n_docs = train.count()
-    real = F.octet_length("word") > 0
-    found = [F.sum(F.when(real, F.col("wc"))), F.count(F.when(real, 1)), F.sum("wc"), F.sum(F.size("by"))]
-    n, v, n_segments, v_segments = (x or 0 for x in words.agg(*found).collect()[0])
-    total, kinds = n + n_docs, v + (n_docs > 0)
+    from pyspark.sql.types import StructType
+
+    docs = docs.drop(*ADDED)
+    plain = F.coalesce("text", F.lit(""))
+    train = train.select(plain.alias("text"))
+    size = F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))
+    n_docs, trained = train.agg(F.count("*"), size).collect()[0]
+    # Parts grow as the root of the corpus, as its distinct strings do about: so a block's questions stay few.
+    parts = parts or max(1, round(math.sqrt(trained / (1 << 20))))
+    counts = materialize(counted(train, parts))
+    words, kinds, low = totals(counts)
+    total, kinds = words + n_docs, kinds + (n_docs > 0)
     bottom, ends = math.log10(total + 0.1 * (kinds + 1)), math.log10(n_docs + 0.1)
-    whole = math.log10(max(1, n_segments + v_segments))
-    escape = math.log10(v_segments) - whole if v_segments else 0.0
-    top = words.where(F.octet_length("word") < COMMON_BYTES).select("word", "wc", F.explode("by").alias("sep", "c")).orderBy(F.desc("c"), "word", "sep").limit(common).collect()
-    place = {bytes(r.word) + bytes([r.sep]): (math.log10(r.wc + 0.1) if r.word else 0.0, math.log10(r.c) - whole) for r in top}
-    shared = docs.sparkSession.sparkContext.broadcast((grams, place))
-    name = uuid.uuid4().hex
-
-    keyed = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_key", F.xxhash64("doc_id", "text"))
-
-    def near(batches: Iterator):
-        """Sums over the segments looked up in place, and the number of words."""
-        get = shared.value[1].get
-        for b in batches:
-            rows = []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1)):
-                found = segments(t.as_py().encode().lower())
-                hits = [x for x in map(get, found) if x is not None]
-                # The base log of a hit without a word is 0, and of one with a word above 0.
-                known = sum(x[0] != 0.0 for x in hits) + (n_docs > 0)
-                rows.append((k, sum(len(x) > 1 for x in found) + 1, known, math.fsum(x[0] for x in hits) + ends, math.fsum(x[1] for x in hits)))
-            a = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(a, [pa.int64()] * 3 + [pa.float64()] * 2)], names=["_key", *"nkbs"])
-
-    def rare(batches: Iterator):
-        """The other segments of each text, each with its log10 probability as it is spelled."""
-        if name not in _models:
-            _models.clear()
-            _models[name] = compile_table(*shared.value[0], contexts3)
-        common = shared.value[1]
+    shared = docs.sparkSession.sparkContext.broadcast(low)
+
+    key = fresh([*docs.columns, *ADDED], "block")[0]
+    n_blocks = max(1, -(-docs.select(plain.alias("text")).agg(size).collect()[0][0] // block))
+    keep = [c for c in docs.columns if c != "text"]
+    # Dealt by row: equal rows don't meet in one block.
+    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)).cast("long")
+    # No fewer partitions than other shuffles have: so the texts aren't shuffled again to meet the answers.
+    tasks = max(n_blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocks = docs.select(*keep, plain.alias("text"), dealt.alias(key)).repartition(tasks, key)
+    raw = lambda t: [x.as_py().encode().lower() for x in t.column("text")]
+
+    def ask(t: pa.Table) -> pa.Table:
+        texts = raw(t)
+        u, words = distinct(texts), set()
+        for x in texts:
+            words.update(x.split())
+        rows = [(i, t.column(key)[0].as_py(), pack_sorted(u[at]), pack_words(w)) for i, (at, w) in enumerate(zip(by_part(u, parts), words_by_part(words, parts))) if len(at) or w]
+        cols = list(zip(*rows)) or [[]] * 4
+        return pa.table([pa.array(c, k) for c, k in zip(cols, [pa.int32(), pa.int64(), pa.binary(), pa.binary()])], names=["part", "b", "g", "w"])
+
+    asked = blocks.groupBy(key).applyInArrow(ask, "part int, b long, g binary, w binary")
+    none = F.lit(None).cast("binary")
+    both = counts.select("part", F.lit(-1).cast("long").alias("b"), "g", "gc", "w", "wc").unionByName(asked.select("part", "b", "g", none.alias("gc"), "w", none.alias("wc")))
+
+    def answer(batches: Iterator):
+        """A part's counts come first (if it has any), then the questions."""
+        part, model, known = None, None, {}
         for b in batches:
-            for k, t in zip(b.column(0).to_pylist(), b.column(1)):
-                c = Counter(x for x in segments(t.as_py().encode().lower()) if x not in common)
-                seg = list(c)
-                cols = [pa.array([k] * len(seg), pa.int64()), pa.array([x[:-1] for x in seg], pa.binary()), pa.array([x[-1] for x in seg], pa.int32())]
-                cols += [pa.array(c.values(), pa.int64()), pa.array(table_scores(_models[name], seg), pa.float64())]
-                yield pa.RecordBatch.from_arrays(cols, names=["_key", "word", "sep", "tf", "spelled"])
-
-    extra = [c for c in docs.columns if c not in ("text", "_key", "n_tokens", "n_known", "train_tokens", "base_score", "score")]
-    main = keyed.select("_key", "text").mapInArrow(near, "_key long, n long, k long, b double, s double")
-    # Rows of equal id and text share a key; their sums are equal.
-    main = main.groupBy("_key").agg(*(F.first(c).alias(f"_{c}") for c in "nkbs"), F.count("*").alias("_m"))
-    tail = keyed.select("_key", "text").mapInArrow(rare, "_key long, word binary, sep int, tf long, spelled double").join(words, "word", "left")
-    count = F.try_element_at("by", F.col("sep"))
-    known = F.sum(F.when(real & (F.col("wc") > 0), F.col("tf")).otherwise(0)).alias("_rk")
-    base = F.sum(F.when(real, F.col("tf") * F.log10(F.coalesce("wc", F.lit(0)) + 0.1)).otherwise(0.0)).alias("_rb")
-    model = F.sum(F.col("tf") * F.coalesce(F.log10(count) - F.lit(whole), F.col("spelled") + F.lit(escape))).alias("_rs")
-    out = keyed.select(*extra, "_key").join(main, "_key").join(tail.groupBy("_key").agg(known, base, model), "_key", "left")
-    part = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("_m")  # noqa: E731 - equal rows each have their part of the sum
-    return out.select(
-        *extra,
-        F.col("_n").alias("n_tokens"),
-        F.round(F.col("_k") + part("_rk")).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("_b") + part("_rb") - F.col("_n") * F.lit(bottom)).alias("base_score"),
-        (F.col("_s") + part("_rs")).alias("score"),
-    )
+            out = []
+            for p, at, g, gc, w, wc in zip(*(b.column(i).to_pylist() for i in range(6))):
+                if p != part:
+                    part, model, known = p, None, {}
+                if at < 0:
+                    model = PartialMatching(unpack_sorted(g), unpack(gc, np.int64), shared.value)
+                    known = dict(zip(unpack_words(w), unpack(wc, np.int64).tolist()))
+                    continue
+                if model is None:
+                    model = PartialMatching(np.zeros(0, np.uint64), np.zeros(0, np.int64), shared.value)
+                lp = model.log10(unpack_sorted(g)).astype(np.float32)
+                n = np.array([known.get(x, 0) for x in unpack_words(w)], np.int64)
+                out.append((at, p, pack(lp), pack(n)))
+            cols = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int32(), pa.binary(), pa.binary()])], names=[key, "part", "lp", "n"])
+
+    told = both.repartition("part").sortWithinPartitions("part", "b").mapInArrow(answer, StructType().add(key, "long").add("part", "integer").add("lp", "binary").add("n", "binary"))
+
+    def score(t: pa.Table, answers: pa.Table) -> pa.Table:
+        texts = raw(t)
+        u, words = distinct(texts), set()
+        for x in texts:
+            words.update(x.split())
+        lp, count = np.zeros(len(u)), {}
+        at, dealt = by_part(u, parts), words_by_part(words, parts)
+        for p, x, n in zip(*(answers.column(c).to_pylist() for c in ("part", "lp", "n"))):
+            lp[at[p]] = unpack(x, np.float32)
+            count.update(zip(dealt[p], unpack(n, np.int64).tolist()))
+        logs = {w: math.log10(n + 0.1) for w, n in count.items()}
+        unknown = {w for w, n in count.items() if not n}
+        # Sums at every SEGMENT, and between by text.
+        lens = np.array([len(x) + 1 for x in texts], np.int64)
+        sums, done = np.zeros(len(texts)), 0
+        ends_at = np.cumsum(lens)
+        for g in grams(texts):
+            s, row = np.unique(g, return_inverse=True)
+            v = np.concatenate([[0.0], np.cumsum(lp[np.searchsorted(u, s)][row])])
+            first, last = np.searchsorted(ends_at, done, side="right"), np.searchsorted(ends_at, done + len(g), side="left")
+            i = np.arange(first, min(last, len(texts) - 1) + 1)
+            lo, hi = np.maximum(ends_at[i] - lens[i] - done, 0), np.minimum(ends_at[i] - done, len(g))
+            sums[i] += v[hi] - v[lo]
+            done += len(g)
+        rows = []
+        for x in texts:
+            w = x.split()
+            rows.append((len(w) + 1, len(w) - (sum(y in unknown for y in w) if unknown else 0) + (n_docs > 0), total, math.fsum(map(logs.__getitem__, w)) + ends - (len(w) + 1) * bottom))
+        a = list(zip(*rows))
+        new = [pa.array(a[0], pa.int64()), pa.array(a[1], pa.int64()), pa.array(a[2], pa.int64()), pa.array(a[3], pa.float64()), pa.array(sums)]
+        return pa.table([t.column(c) for c in keep] + new, names=[*keep, *ADDED])
+
+    schema = StructType([docs.schema[c] for c in keep])
+    for c in ADDED:
+        schema = schema.add(c, "double" if c.endswith("score") else "long")
+    return blocks.groupBy(key).cogroup(told.groupBy(key)).applyInArrow(score, schema)
 
 
 def scored(docs: DataFrame) -> DataFrame:

@@ -1,40 +1,6 @@
-"""No context is dropped from op10's trie and no row from op5."""
+"""No row is dropped from op5 and none without a word from near_dedup."""
 
-import numpy as np
-import pytest
-
-from sextant.llm import minhash, ppm, topk
-from tests.llm.test_packing_ppm import brute_ppm
-
-
-@pytest.mark.parametrize("most", [0, 3])
-def test_rare_contexts_keep_their_counts(spark, most):
-    """Hardly any context of order 3 has a row made in advance; scores are those of the whole model."""
-    words = [f"{a}{b}{c}" for a in ("ab", "é", "語x", "7") for b in ("q", "rs", "日本") for c in ("t", "0u", "ß")]
-    rows = [(i, " ".join(words[i % 36 :: 3] + words[i % 5 :: 7])) for i in range(12)] + [(90, "abqß érst 語x日本q 7rsrs new\tabab"), (91, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in ppm.lm_scores(docs, docs.where("doc_id < 8"), common=3, contexts3=most).collect()}
-    for r, w in zip(rows, brute_ppm([r[1] for r in rows], [r[1] for r in rows[:8]])):
-        assert got[r[0]].score == pytest.approx(w[4], rel=1e-5)
-
-
-def test_contexts_beyond_the_table_equal_the_trie(monkeypatch):
-    rng = np.random.default_rng(3)
-    texts = ["".join(rng.choice(list("abcdeé語 "), 30)).encode() for _ in range(300)]
-    trie = ppm.ByteTrie()
-    for t in texts:
-        trie.train(t)
-    keys, counts = np.unique(ppm.four_grams(texts).astype(np.int64), return_counts=True)
-
-    def shorter(bits):
-        k, row = np.unique(keys & bits, return_inverse=True)
-        return k, np.bincount(row, counts).astype(np.int64)
-
-    monkeypatch.setattr(ppm, "BLOCK", 700)
-    probe = texts[:40] + [b"zz\xffab", b"", "語語語éé".encode()]
-    for most in (0, 5, 10**6):
-        model = ppm.compile_table((keys, counts), shorter(0xFFFFFF), shorter(0xFFFF), most)
-        assert np.allclose(ppm.table_scores(model, probe), [trie.log10(t) for t in probe], rtol=1e-5)
+from sextant.llm import minhash, topk
 
 
 def test_topk_takes_every_row_of_an_id(spark):
