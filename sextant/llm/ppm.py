@@ -42,7 +42,7 @@ from sextant.llm.common import fold, fresh, materialize
 #: Bytes of the longest context (a string of ORDER + 1 bytes fills a 64-bit number at most), and of the broadcast ones.
 ORDER, LOW = 6, 2
 #: Bytes of text in a block, and in one step of counting or scoring.
-BLOCK, SEGMENT = 16 << 20, 2 << 20
+BLOCK, SEGMENT = 8 << 20, 2 << 20
 #: Distinct strings that a task holds before it gives them out, and tasks that a part hears directly.
 HELD, FAN_IN = 4_000_000, 64
 #: Closes a text; no byte of UTF-8.
@@ -331,15 +331,40 @@ def totals(counts: DataFrame) -> tuple[int, int, list[Level]]:
     return rest.get(-1, 0), rest.get(-2, 0), low_levels(k[k >= 0][order].astype(np.uint64), n[k >= 0][order])
 
 
+def unique(a: np.ndarray) -> np.ndarray:
+    """By sorting: np.unique without counts hashes, which takes ten times as long here."""
+    a = np.sort(a)
+    return a[np.concatenate([[True], a[1:] != a[:-1]])] if len(a) else a
+
+
 def distinct(texts: list[bytes]) -> np.ndarray:
-    out = np.zeros(0, np.uint64)
-    held, n = [], 0
+    held, n = [np.zeros(0, np.uint64)], 0
     for g in grams(texts):
-        held.append(np.unique(g))
+        held.append(unique(g))
         n += len(held[-1])
-        if n > HELD // 4:
-            out, held, n = np.unique(np.concatenate([out, *held])), [], 0
-    return np.unique(np.concatenate([out, *held]))
+        if n > HELD:
+            held, n = [unique(np.concatenate(held))], 0
+    return unique(np.concatenate(held))
+
+
+class Index:
+    """Places in a sorted array of keys that are all there: one look at a hashed table, a binary search for the rest."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.table = np.zeros(1 << bits, np.int32)
+        self.table[self._slot(keys)] = np.arange(len(keys))
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.table[self._slot(keys)]
+        miss = np.flatnonzero(self.keys[at] != keys)
+        at[miss] = np.searchsorted(self.keys, keys[miss])
+        return at
 
 
 def lm_scores(docs: DataFrame, train: DataFrame, block: int = BLOCK, parts: int | None = None) -> DataFrame:
@@ -399,31 +424,32 @@ def lm_scores(docs: DataFrame, train: DataFrame, block: int = BLOCK, parts: int
                     model = PartialMatching(np.zeros(0, np.uint64), np.zeros(0, np.int64), shared.value)
                 lp = model.log10(unpack_sorted(g)).astype(np.float32)
                 n = np.array([known.get(x, 0) for x in unpack_words(w)], np.int64)
-                out.append((at, p, pack(lp), pack(n)))
-            cols = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int32(), pa.binary(), pa.binary()])], names=[key, "part", "lp", "n"])
+                out.append((at, g, pack(lp), w, pack(n)))
+            cols = list(zip(*out)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), *[pa.binary()] * 4])], names=names)
 
-    told = both.repartition("part").sortWithinPartitions("part", "b").mapInArrow(answer, StructType().add(key, "long").add("part", "integer").add("lp", "binary").add("n", "binary"))
+    names = [key, *fresh([key], "g", "lp", "w", "n")]
+    told = StructType().add(key, "long")
+    for c in names[1:]:
+        told = told.add(c, "binary")
+    told = both.repartition("part").sortWithinPartitions("part", "b").mapInArrow(answer, told)
 
     def score(t: pa.Table, answers: pa.Table) -> pa.Table:
         texts = raw(t)
-        u, words = distinct(texts), set()
-        for x in texts:
-            words.update(x.split())
-        lp, count = np.zeros(len(u)), {}
-        at, dealt = by_part(u, parts), words_by_part(words, parts)
-        for p, x, n in zip(*(answers.column(c).to_pylist() for c in ("part", "lp", "n"))):
-            lp[at[p]] = unpack(x, np.float32)
-            count.update(zip(dealt[p], unpack(n, np.int64).tolist()))
-        logs = {w: math.log10(n + 0.1) for w, n in count.items()}
-        unknown = {w for w, n in count.items() if not n}
+        keys, lps, logs = [np.zeros(0, np.uint64)], [np.zeros(0)], {}
+        for g, lp, w, n in zip(*(answers.column(c).to_pylist() for c in names[1:])):
+            keys.append(unpack_sorted(g))
+            lps.append(unpack(lp, np.float32))
+            logs.update(zip(unpack_words(w), np.log10(unpack(n, np.int64) + 0.1).tolist()))
+        u = np.concatenate(keys)
+        order = np.argsort(u)
+        index, lp = Index(u[order]), np.concatenate(lps)[order]
         # Sums at every SEGMENT, and between by text.
         lens = np.array([len(x) + 1 for x in texts], np.int64)
         sums, done = np.zeros(len(texts)), 0
         ends_at = np.cumsum(lens)
         for g in grams(texts):
-            s, row = np.unique(g, return_inverse=True)
-            v = np.concatenate([[0.0], np.cumsum(lp[np.searchsorted(u, s)][row])])
+            v = np.concatenate([[0.0], np.cumsum(lp[index[g]])])
             first, last = np.searchsorted(ends_at, done, side="right"), np.searchsorted(ends_at, done + len(g), side="left")
             i = np.arange(first, min(last, len(texts) - 1) + 1)
             lo, hi = np.maximum(ends_at[i] - lens[i] - done, 0), np.minimum(ends_at[i] - done, len(g))
@@ -432,7 +458,8 @@ def lm_scores(docs: DataFrame, train: DataFrame, block: int = BLOCK, parts: int
         rows = []
         for x in texts:
             w = x.split()
-            rows.append((len(w) + 1, len(w) - (sum(y in unknown for y in w) if unknown else 0) + (n_docs > 0), total, math.fsum(map(logs.__getitem__, w)) + ends - (len(w) + 1) * bottom))
+            v = np.fromiter(map(logs.__getitem__, w), float, len(w))  # above zero for known words alone
+            rows.append((len(w) + 1, int((v > 0).sum()) + (n_docs > 0), total, v.sum() + ends - (len(w) + 1) * bottom))
         a = list(zip(*rows))
         new = [pa.array(a[0], pa.int64()), pa.array(a[1], pa.int64()), pa.array(a[2], pa.int64()), pa.array(a[3], pa.float64()), pa.array(sums)]
         return pa.table([t.column(c) for c in keep] + new, names=[*keep, *ADDED])
