@@ -1,12 +1,16 @@
 """License scans by diagonal voting.
 
 Every rolling k-gram of words of a text is hashed and joined with the k-grams of the templates (a small fixed table).
-A hit is checked word by word and votes for the diagonal (template, place in text - place in template).  Hits that
-follow each other on one diagonal or on neighbouring ones (an inserted or dropped word) form a span; a span whose
-k-grams cover enough of the template's words gives its label.  Base phrases are looked for exactly, all places.
-
-Everything is built-in expressions.  Hits are few, so only they are shuffled.  Null text is empty: no words, no labels,
-score 0.  Equal rows (id and text) give equal results; a null id is carried along.
+A hit is checked word by word and votes for its diagonal: (text, template, place in text - place in template).  Votes are
+counted per diagonal; each diagonal is merged with its neighbours up to SHIFT words away (words were inserted or dropped,
+or others stand in their place), whatever stray hits lie between.  The best of neighbouring merged diagonals is a span.
+It is verified by the share of the template's words that its hits cover; enough of them give the label.  Base phrases are
+looked for exactly, all places.
+
+Everything is built-in expressions.  Hits are few, so only they are shuffled; a text is never brought together in one row
+of hits, only the diagonals of one text and template are.  Null text is empty: no words, no labels, score 0.  Very long
+texts are one row each.  Rows of equal id and text give equal results; a null id is carried along; ties (two spans of one
+label) give the label once and the better share.  An empty table gives an empty result.  Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -16,30 +20,48 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import let
+from sextant.llm.common import let, row_id
 
-K, GAP, SHIFT, COVER = 3, 8, 2, 0.75
+#: Words of a gram; words by which merged diagonals may lie from the one in the middle.
+K, SHIFT = 3, 8
+#: Share of a template's words that gives its label, and words that must be covered in any case, if it has so many.
+COVER, LEAST = 0.75, 6
 #: Base phrases and labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Opening words of well-known licenses.
+#: Notices and names of well-known licenses, several of one label under label/number.
 TEMPLATES = {
+    "agpl-3.0": "gnu affero general public license version 3",
     "apache-2.0": "licensed under the apache license version 2 0",
+    "apache-2.0/2": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd/2": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "bsl-1.0": "boost software license version 1 0",
     "cc-by-4.0": "this work is licensed under a creative commons attribution 4 0 international license",
     "cc-by-nc-4.0": "licensed under cc by nc 4 0",
+    "cc-by-nc-4.0/2": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+    "cc-by-nd-4.0": "this work is licensed under a creative commons attribution noderivatives 4 0 international license",
     "cc-by-sa-4.0": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
-    "gpl-3.0": "this work is licensed under the gnu general public license version 3",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "cc0-1.0": "cc0 1 0 universal",
+    "cc0-1.0/2": "has waived all copyright and related or neighboring rights to this work",
+    "epl-2.0": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
+    "gpl-2.0": "gnu general public license version 2",
+    "gpl-3.0": "gnu general public license version 3",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "lgpl": "gnu lesser general public license",
     "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+    "mit/2": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "mit/3": "under the mit license",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "unlicense": "this is free and unencumbered software released into the public domain",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
 }
+#: The letters that are lower-cased; no others are.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def scan_words(text: Column) -> Column:
-    """Lower-cased words.  lower() also changes letters beyond ASCII, none of which becomes an ASCII word."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", -1), lambda w: w != "")
+    """Words with A-Z lower-cased."""
+    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", -1), lambda w: w != "")
 
 
 def template_table(spark: SparkSession, templates: dict[str, str], k: int) -> DataFrame:
@@ -56,38 +78,43 @@ def base_places(w: Column, phrase: str) -> Column:
     return F.when(F.contains(joined, F.lit(f" {phrase} ")), F.filter(F.sequence(F.lit(0), F.size(w) - 1), at)).otherwise(none)
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, base: dict[str, str] | None = None, k: int = K, cover: float = COVER) -> tuple[DataFrame, DataFrame]:
-    """(one row per document, one row per verified span: _key, tpl, first, last, covered)."""
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, base: dict[str, str] | None = None, k: int = K, cover: float = COVER, shift: int = SHIFT) -> tuple[DataFrame, DataFrame]:
+    """(one row per document, one row per verified span: key, tpl, first, last, votes, covered)."""
     templates, base = templates or TEMPLATES, base or BASE
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_key"), "text")
+    rows = docs.select("doc_id", row_id("doc_id", "text").alias("key"), "text")
 
     def counted(w: Column) -> Column:
         return F.struct(F.size(w).cast("long").alias("n_words"), *(base_places(w, p).alias(label) for p, label in sorted(base.items())))
 
-    per = rows.select("doc_id", "_key", let(scan_words(F.col("text")), counted).alias("_b"))
-    places = F.concat(*(F.col("_b").getField(v) for v in base.values()))
-    found = F.array_sort(F.filter(F.array(*(F.when(F.size(F.col("_b").getField(v)) > 0, F.lit(v)) for v in base.values())), lambda x: x.isNotNull()))
-    per = per.select("doc_id", "_key", F.col("_b.n_words").alias("n_words"), F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"), found.alias("_base"))
+    per = rows.select("doc_id", "key", let(scan_words(F.col("text")), counted).alias("b"))
+    places = F.concat(*(F.col("b").getField(v) for v in base.values()))
+    found = F.array_sort(F.filter(F.array(*(F.when(F.size(F.col("b").getField(v)) > 0, F.lit(v)) for v in base.values())), lambda x: x.isNotNull()))
+    per = per.select("doc_id", "key", F.col("b.n_words").alias("n_words"), F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"), found.alias("base"))
 
     grams = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.struct(F.xxhash64(*(F.get(w, i + j) for j in range(k))).alias("h"), F.array_join(F.slice(w, i + 1, F.lit(k)), " ").alias("gram")))
     some = F.filter(F.array(scan_words(F.col("text"))), lambda w: F.size(w) >= k)
     table = F.broadcast(template_table(spark, templates, k))  # as long as the templates
-    hits = rows.select("_key", F.posexplode(F.flatten(F.transform(some, grams))).alias("pos", "g")).join(table, F.col("g.h") == F.col("h"))
-    hits = hits.where(F.col("g.gram") == F.col("tgram")).select("_key", "tpl", "twords", "tpos", "pos", (F.col("pos") - F.col("tpos")).alias("diag")).distinct()
-    order = Window.partitionBy("_key", "tpl").orderBy("pos", "tpos")
-    fresh = (F.col("pos") - F.lag("pos").over(order) > GAP) | (F.abs(F.col("diag") - F.lag("diag").over(order)) > SHIFT)
-    island = F.sum(F.coalesce(fresh, F.lit(True)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    spans = hits.withColumn("_i", island).groupBy("_key", "tpl", "_i").agg(F.max("twords").alias("twords"), F.min("pos").alias("first"), (F.max("pos") + k - 1).alias("last"), F.collect_set("tpos").alias("t"))
-    words = F.size(F.array_distinct(F.flatten(F.transform("t", lambda t: F.sequence(t, t + k - 1)))))
-    spans = spans.select("_key", "tpl", "first", "last", (words / F.col("twords")).alias("covered")).where(F.col("covered") >= cover)
-    return per, spans
+    hits = rows.select("key", F.posexplode(F.flatten(F.transform(some, grams))).alias("pos", "g")).join(table, F.col("g.h") == F.col("h"))
+    hits = hits.where(F.col("g.gram") == F.col("tgram")).select("key", "tpl", "twords", "tpos", "pos", (F.col("pos") - F.col("tpos")).alias("diag"))
+    # On one diagonal the place in the text tells that in the template: it holds a template once at most.
+    votes = hits.distinct().groupBy("key", "tpl", "twords", "diag").agg(F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set("tpos").alias("t"))
+    # Each diagonal with its neighbours; a span is where no neighbour's share is better.
+    near = Window.partitionBy("key", "tpl").orderBy("diag").rangeBetween(-shift, shift)
+    words = F.size(F.array_distinct(F.flatten(F.transform(F.array_distinct(F.flatten(F.collect_list("t").over(near))), lambda t: F.sequence(t, t + k - 1)))))
+    merged = votes.select("key", "tpl", "twords", "diag", F.sum("votes").over(near).alias("votes"), F.min("first").over(near).alias("first"), (F.max("last").over(near) + k - 1).alias("last"), (words / F.col("twords")).alias("covered"))
+    strength = F.struct("covered", "votes", -F.col("diag"))
+    spans = merged.withColumn("best", F.max(strength).over(near) == strength).where("best")
+    spans = spans.where(F.col("covered") * F.col("twords") > F.least("twords", F.lit(LEAST)) - 0.5)
+    spans = spans.select("key", F.split("tpl", "/")[0].alias("tpl"), "first", "last", "votes", "covered")
+    return per, spans.where(F.col("covered") >= cover)
 
 
 def license_scan(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score: a row per row of docs."""
     per, spans = scan(docs, **options)
-    best = spans.groupBy("_key").agg(F.collect_set("tpl").alias("_tpl"), F.max("covered").alias("_covered"))
-    out = per.join(best, "_key", "left")
-    labels = F.array_sort(F.array_distinct(F.concat("_base", F.coalesce("_tpl", F.array().cast("array<string>")))))
-    score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("_covered", F.lit(0.0)))
-    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("_base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"))
+    best = spans.groupBy("key").agg(F.collect_set("tpl").alias("tpl"), F.max("covered").alias("covered"))
+    out = per.join(best, "key", "left")
+    labels = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("tpl", F.array().cast("array<string>")))))
+    score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("covered", F.lit(0.0)))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"))
