@@ -4,9 +4,9 @@
    twice and has 200 bytes is removed entirely, but still stands as a place where others' strings may occur).
 2. Anchors: over every 200-byte window the 50-byte grams with the smallest hash are chosen.  The choice depends on the
    window's bytes alone, so two equal windows choose the same grams at the same places: each repeated string holds an
-   anchor whose hash occurs at least twice.  Hashes that occur twice are marked in a bit table of fixed size, which is
-   broadcast and drops the other anchors where the texts are read.  If the table is over half full it isn't used: then
-   the anchors are joined with the hashes that occur twice.
+   anchor whose hash occurs at least twice.  The hashes of each text are written once; those that occur twice are joined
+   back and gathered by text, so that the other anchors are dropped where the texts are read.  Nothing that grows with the
+   corpus is broadcast or collected.
 3. The remaining anchors get their context, up to 150 bytes before and 200 from the anchor, and meet by hash.  The
    suffixes that start at the anchors are sorted deep-shallow: multikey quicksort to a shallow depth, then blind tries
    for groups that still agree.  On the LCP intervals of that order the longest common extension to the left is found
@@ -18,24 +18,26 @@
 5. Covers of a text are merged and cut out.
 
 Matching is exact (hashes only choose places to look at) and doesn't cross texts.  Null text is empty: nothing to
-remove, the hash of no bytes.  Repeated rows and null ids: the result depends on the text and its count.
+remove, the hash of no bytes.  Repeated rows and null ids: the result depends on the text and its count.  A very long text
+is one row; of the contexts that it holds often (a run of one letter) one is kept at a time.  Ties can't occur: a byte is
+covered or not.  An empty table gives an empty result.  Other columns are carried along, whatever their names; those of
+the names that are added are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import materialize
+from sextant.llm.common import fresh, materialize
 
 SPAN, GRAM, SHALLOW = 200, 50, 96
-#: Bits of the broadcast table (8 MB).
-BITS = 1 << 26
+#: Most crowded hashes that are broadcast (8 MB); if there are more, the texts are joined with them.
+HOT = 1_000_000
 #: Most places of an anchor, or contexts of a cell, that are solved in one task (350 bytes each: 35 MB).
 CROWDED = 100_000
 #: Tasks that the rows of one join key are dealt to.
@@ -278,10 +280,11 @@ def _batched(rows: Iterator, make, names: list[str], types: list, size: int = 40
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
     for row in rows:
-        held.extend(make(row))
-        if len(held) >= size:
-            yield out()
-            held = []
+        for made in make(row):
+            held.append(made)
+            if len(held) >= size:
+                yield out()
+                held = []
     yield out()
 
 
@@ -307,41 +310,31 @@ def _texts_in_blocks(batches: Iterator) -> Iterator[list[tuple[bytes, bytes]]]:
         yield held
 
 
-def repeated_hashes(keyed: DataFrame, crowded: int) -> DataFrame:
-    """(h, hot): hashes of anchors found at two places, equal texts counting as one; hot: at more than crowded places,
-    counted in all rows.  keyed: th, text."""
+def text_hashes(keyed: DataFrame) -> DataFrame:
+    """(h, th, n): the distinct hashes of each text's anchors and how often it has them.  keyed: th, text.
+    A text that comes again in the same task is passed over; in others it may be given again."""
     import pyarrow as pa
 
     def find(batches):
+        seen: set[bytes] = set()
         for held in _texts_in_blocks(batches):
-            hs, ts, ns = [], [], []
+            held = [x for x in dict(held).items() if x[0] not in seen]
+            seen.update(k for k, _ in held)
+            hs, ks, ns = [np.zeros(0, np.int64)], [], [np.zeros(0, np.int32)]
             for (k, _), (_, h) in zip(held, anchors([t for _, t in held])):
                 u, n = np.unique(h, return_counts=True)
                 hs.append(u.view(np.int64))
-                ts.append(np.full(len(u), int.from_bytes(k[:8], "big", signed=True), np.int64))
+                ks += [k] * len(u)
                 ns.append(n.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, ts, ns)], names=["h", "t", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(ks, pa.binary()), pa.array(np.concatenate(ns))], names=["h", "th", "n"])
 
-    found = keyed.mapInArrow(find, "h long, t long, n int")
-    by = found.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.max("n").alias("most"), F.sum("n").alias("places"))
-    return by.where("lo <> hi or most > 1").select("h", (F.col("places") > crowded).alias("hot"))
-
-
-def bit_tables(hashes: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two bits for each hash, as 64-bit words, and those of the hot ones; at most bits / 64 rows reach the driver."""
-    at = F.explode(F.array(F.col("h").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(bits - 1)))).alias("i")
-    bit = F.expr("shiftleft(1L, cast(i & 63 as int))")
-    words = hashes.select(at, "hot").groupBy(F.shiftright("i", 6).alias("w")).agg(F.bit_or(bit).alias("v"), F.bit_or(F.when(F.col("hot"), bit).otherwise(0)).alias("hot")).toArrow()
-    out = np.zeros((2, bits // 64), np.uint64)
-    for row, c in zip(out, ("v", "hot")):
-        row[words.column("w").to_numpy()] = words.column(c).to_numpy().view(np.uint64)
-    return out[0], out[1]
+    return keyed.mapInArrow(find, "h long, th binary, n int")
 
 
-def marked(h: np.ndarray, table: np.ndarray) -> np.ndarray:
-    bits = np.uint64(len(table) * 64 - 1)
-    hit = lambda i: (table[(i >> np.uint64(6)).astype(np.int64)] >> (i & np.uint64(63))) & np.uint64(1)
-    return (hit(h & bits) & hit((h >> np.uint64(32)) & bits)).astype(bool)
+def repeated_hashes(found: DataFrame, crowded: int) -> DataFrame:
+    """(h, hot): hashes of anchors found at two places, equal texts counting as one; hot: at more than crowded places."""
+    by = found.groupBy("h").agg(F.min("th").alias("lo"), F.max("th").alias("hi"), F.max("n").alias("most"), F.sum("n").alias("places"))
+    return by.where("lo <> hi or most > 1").select("h", (F.col("places") > crowded).alias("hot"))
 
 
 def _runs(batches: Iterator) -> Iterator[list[tuple]]:
@@ -405,13 +398,37 @@ def crowded_parts(contexts: DataFrame, crowded: int) -> DataFrame:
     return own.unionByName(covered.select("th", (F.col("pos") - F.col("a")).alias("s"), (F.col("pos") + F.col("b")).alias("e")))
 
 
-def removed_spans(docs: DataFrame, bits: int = BITS, crowded: int = CROWDED) -> tuple[DataFrame, DataFrame]:
+def once(th: bytes, rows: Iterator[tuple]) -> Iterator[tuple]:
+    """A context that a text holds twice covers itself: its places are merged here, and one goes on for other texts.
+    rows come by place; no more than the distinct contexts are held."""
+    seen: dict[tuple, bool] = {}
+    own: list[list[int]] = []
+    for r in rows:
+        key = (r[0], r[3], r[4])
+        if key not in seen:
+            seen[key] = r[2] - r[3]
+            yield r
+        elif len(r[4]) >= SPAN:
+            for s in (seen[key], r[2] - r[3]):
+                if s is None:
+                    continue
+                if own and own[-1][0] <= s <= own[-1][1]:
+                    own[-1][1] = max(own[-1][1], s + len(r[4]))
+                else:
+                    own.append([s, s + len(r[4])])
+            seen[key] = None  # the first place is told
+    salt = int.from_bytes(th[:8], "big", signed=True)
+    for s, e in merged([tuple(x) for x in own]):  # no context: start and length; dealt by a value of the text's own
+        yield salt, th, s, e - s, None
+
+
+def removed_spans(docs: DataFrame, crowded: int = CROWDED, most_hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(texts: th, text, n; spans: th, spans array of (s, e), unmerged) of the distinct texts of docs."""
     import pyarrow as pa
 
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.unhex(F.md5(text)).alias("th"), text.alias("text"))
-    # The text is shuffled once: both uses below read the same exchange.
+    # The text is shuffled once: both uses below read the same exchange, so both take the same columns.
     texts = keyed.groupBy("th").agg(F.first("text").alias("text"), F.count("*").alias("n"))
     names, types = ["h", "th", "pos", "k", "ctx"], [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
     context = "h long, th binary, pos int, k int, ctx binary"
@@ -420,63 +437,52 @@ def removed_spans(docs: DataFrame, bits: int = BITS, crowded: int = CROWDED) ->
         s = max(0, pos - LEFT)
         return h, th, pos, pos - s, x[s : pos + SPAN]
 
-    def once(th, rows):
-        """A context that a text holds twice covers itself: its places are merged here, and one goes on for other texts."""
-        key = lambda r: (r[0], r[3], r[4])
-        times = Counter(key(r) for r in rows if len(r[4]) >= SPAN)
-        own = [(r[2] - r[3], r[2] - r[3] + len(r[4])) for r in rows if times[key(r)] > 1]
-        sent = set()
-        for r in rows:
-            if key(r) not in sent:
-                yield r
-                sent.add(key(r))
-        salt = int.from_bytes(th[:8], "big", signed=True)
-        for s, e in merged(own):  # no context: start and length; dealt by a value of the text's own
-            yield salt, th, s, e - s, None
-
-    twice = repeated_hashes(keyed, crowded)
-    table, hot = bit_tables(twice, bits)
-    share = lambda x: docs.sparkSession.sparkContext.broadcast(x)
-    shared_hot = share(hot)
-    if np.bitwise_count(table).sum() <= bits // 2:
-        shared = share(table)
-
-        def contexts(crowd):
-            def find(batches):
-                seen: set[bytes] = set()
-                for held in _texts_in_blocks(batches):
-                    if crowd:
-                        held = list({k: t for k, t in held if k not in seen}.items())
-                        seen.update(k for k, _ in held)
-                        if not held:
-                            continue
-                    rows = []
-                    for (th, x), (p, h) in zip(held, anchors([t for _, t in held])):
-                        keep = marked(h, shared.value) & (marked(h, shared_hot.value) == crowd)
-                        rows += once(th, [around(th, x, i, j) for i, j in zip(p[keep].tolist(), h[keep].view(np.int64).tolist())])
-                    yield from _batched(iter(rows), lambda r: (r,), names, types)
-
-            # The crowded ones are written in a job of their own, which reads the rows rather than shuffle all texts again.
-            rows = (keyed if crowd else texts.select("th", "text")).mapInArrow(find, context)
-            return rows.dropDuplicates(["h", "th", "pos", "k"]) if crowd else rows
-    else:
-
-        def places(batches):
-            for held in _texts_in_blocks(batches):
-                rows = ((th, i, j) for (th, _), (p, h) in zip(held, anchors([t for _, t in held])) for i, j in zip(p.tolist(), h.view(np.int64).tolist()))
-                yield from _batched(rows, lambda r: (r,), ["th", "pos", "h"], [pa.binary(), pa.int32(), pa.int64()])
+    def cut(th, x, p, h, keep):
+        return once(th, (around(th, x, i, j) for i, j in zip(p[keep].tolist(), h[keep].view(np.int64).tolist())))
+
+    found = materialize(text_hashes(keyed))
+    twice = materialize(repeated_hashes(found, crowded))
+    listed = found.select("h", "th").join(twice, "h").groupBy("th")
 
-        every = texts.select("th", "text").mapInArrow(places, "th binary, pos int, h long")
+    def contexts(crowd):
+        """From the distinct texts, each with the hashes it should look for."""
+        at = listed.agg(F.collect_set(F.when(F.col("hot") == crowd, F.col("h"))).alias("a")).where(F.size("a") > 0)
 
-        def contexts(crowd):
-            at = every.join(twice.select("h"), "h").groupBy("th").agg(F.collect_list(F.struct("pos", "h")).alias("a"))
+        def block(held):
+            for (th, x, wanted), (p, h) in zip(held, anchors([x for _, x, _ in held])):
+                yield from cut(th, x, p, h, np.isin(h.view(np.int64), wanted))
 
-            def cut(row):
-                x = row[1].encode()
-                keep = marked(np.array([p["h"] for p in row[2]], np.int64).view(np.uint64), shared_hot.value) == crowd
-                return once(row[0], [around(row[0], x, p["pos"], p["h"]) for p, ok in zip(row[2], keep) if ok])
+        def blocks(batches):
+            held, size = [], 0
+            for b in batches:
+                for th, t, wanted in zip(b.column(0), b.column(1), b.column(3)):
+                    held.append((th.as_py(), t.as_py().encode(), wanted.values.to_numpy()))
+                    size += len(held[-1][1])
+                    if size >= BLOCK:
+                        yield held
+                        held, size = [], 0
+            yield held
+
+        def find(batches):
+            return _batched(blocks(batches), block, names, types)
+
+        return texts.where("n > 0").join(at, "th").select("th", "text", "n", "a").mapInArrow(find, context)
+
+    def hot_contexts(hot):
+        """Of the crowded hashes, read from the rows rather than from all texts shuffled again."""
+        shared = docs.sparkSession.sparkContext.broadcast(hot)
+
+        def find(batches):
+            seen: set[bytes] = set()
+            for held in _texts_in_blocks(batches):
+                held = [x for x in dict(held).items() if x[0] not in seen]
+                seen.update(k for k, _ in held)
+                for (th, x), (p, h) in zip(held, anchors([t for _, t in held])):
+                    keep = np.isin(h.view(np.int64), shared.value)
+                    if keep.any():
+                        yield from _batched(cut(th, x, p, h, keep), lambda r: (r,), names, types)
 
-            return texts.select("th", "text").join(at, "th").mapInArrow(lambda b: _batched(_rows(b), cut, names, types), context)
+        return keyed.mapInArrow(find, context).dropDuplicates(["h", "th", "pos", "k"])
 
     def meet(batches):
         def solve(group):
@@ -490,15 +496,16 @@ def removed_spans(docs: DataFrame, bits: int = BITS, crowded: int = CROWDED) ->
         yield from _batched(_runs(batches), solve, ["th", "s", "e"], [pa.binary(), pa.int32(), pa.int32()])
 
     parts = contexts(False).repartition("h").sortWithinPartitions("h").mapInArrow(meet, "th binary, s int, e int")
-    if hot.any():
-        parts = parts.unionByName(crowded_parts(contexts(True), crowded))
+    hot = [r.h for r in twice.where("hot").select("h").limit(most_hot + 1).collect()]
+    if hot:
+        parts = parts.unionByName(crowded_parts(hot_contexts(np.array(sorted(hot))) if len(hot) <= most_hot else contexts(True), crowded))
     return texts, parts.groupBy("th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
-def _result(docs: DataFrame, with_text: bool, bits: int, crowded: int) -> DataFrame:
+def _result(docs: DataFrame, with_text: bool, crowded: int, most_hot: int) -> DataFrame:
     import pyarrow as pa
 
-    texts, spans = removed_spans(docs, bits, crowded)
+    texts, spans = removed_spans(docs, crowded, most_hot)
 
     def cut(row):
         th, t, n, a = row
@@ -521,8 +528,9 @@ def _result(docs: DataFrame, with_text: bool, bits: int, crowded: int) -> DataFr
     return texts.join(spans, "th", "left").select("th", "text", "n", "spans").mapInArrow(lambda b: _batched(_rows(b), cut, names, types, 500), ddl)
 
 
-def suffix_dedup(docs: DataFrame, with_text: bool = False, bits: int = BITS, crowded: int = CROWDED) -> DataFrame:
+def suffix_dedup(docs: DataFrame, with_text: bool = False, crowded: int = CROWDED, most_hot: int = HOT) -> DataFrame:
     """The rows of docs (without text) with n_bytes, n_removed, n_spans, kept_sha256 (and kept_text, valid UTF-8)."""
-    extra = [c for c in docs.columns if c not in ("text", "th", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")]
-    keyed = docs.select(*extra, F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("th"))
-    return keyed.join(_result(docs, with_text, bits, crowded), "th").drop("th")
+    extra = [c for c in docs.columns if c not in ("text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")]
+    key = fresh([*docs.columns, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"], "th")[0]
+    keyed = docs.select(*extra, F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias(key))
+    return keyed.join(_result(docs, with_text, crowded, most_hot).withColumnRenamed("th", key), key).drop(key)

@@ -26,9 +26,9 @@ def brute_removed(texts):
     return out
 
 
-def check(spark, rows, bits=suffix_dedup.BITS, crowded=suffix_dedup.CROWDED):
+def check(spark, rows, crowded=suffix_dedup.CROWDED, most_hot=suffix_dedup.HOT):
     df = spark.createDataFrame(rows, DOCS)
-    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(df.select("doc_id", "text"), bits=bits, crowded=crowded).collect()), key=str)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(df, crowded=crowded, most_hot=most_hot).collect()), key=str)
     want = sorted(((r[0], *w) for r, w in zip(rows, brute_removed([r[1] for r in rows]))), key=str)
     assert got == want
     return want
@@ -39,8 +39,8 @@ def test_suffix_edges(spark):
     mid = "é" * 90 + a[:300]
     rows = [(1, a, 1, "x", None), (1, a, 1, "x", None), (None, None, None, None, None), (2, "", 0, "", ""), (3, a[100:299], 0, "", ""), (4, "q" + a[250:450] + "z", 0, "", ""), (5, mid + "1", 0, "", ""), (6, "0" + mid, 0, "", ""), (7, "ab" * 400, 0, "", ""), (8, "word " * 100, 0, "", ""), (None, a[:199], 0, "", "")]
     want = check(spark, rows)
-    check(spark, rows, 64)  # too small a bit table: the join instead
-    check(spark, rows, 64, 2)
+    check(spark, rows, 2)
+    check(spark, rows, 2, 0)  # more crowded hashes than are broadcast
     assert any(w[2] == 200 for w in want) and any(0 < w[2] < w[1] for w in want)
     assert suffix_dedup.suffix_dedup(spark.createDataFrame([], DOCS)).count() == 0
 
@@ -69,6 +69,16 @@ def test_suffix_crowded_anchors(spark):
     assert 0 < sum(w[2] > 0 for w in want) < len(want)
 
 
+def test_suffix_very_long_text(spark):
+    """Eight megabytes of one letter, and of a short period, hold few contexts; other texts share them."""
+    n = 8_000_000
+    rows = [(1, "a" * n), (2, "b" * 150 + "a" * 230), (3, "xyz" * (n // 3)), (4, "q" + "xyz" * 66 + "q"), (5, "c" * 199)]
+    got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans) for i in (1, 2, 3, 4, 5)] == [(n, n, 1), (380, 230, 1), (n // 3 * 3, n // 3 * 3, 1), (200, 0, 0), (199, 0, 0)]
+    rows = list(suffix_dedup.once(b"12345678", ((7, b"12345678", 150 + i, 150, b"a" * 350) for i in range(1000))))
+    assert [r[2:4] for r in rows] == [(150, 150), (0, 1349)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text("ab", max_size=12).map(str.encode), max_size=12), st.integers(0, 6))
 def test_deep_shallow_sort(keys, shallow):
@@ -99,19 +109,54 @@ def brute_license(text):
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
 
 
+def scan_words(text):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def brute_votes(text, k=license_scan.K, shift=license_scan.SHIFT, cover=license_scan.COVER):
+    """The method's labels and their best share, template by template with plain loops."""
+    w, best = scan_words(text), {}
+    for name, t in license_scan.TEMPLATES.items():
+        t = t.split()
+        hits = {(i - j, j) for i in range(len(w) - k + 1) for j in range(len(t) - k + 1) if w[i : i + k] == t[j : j + k]}
+        for d in {d for d, _ in hits}:
+            words = {j + x for e, j in hits if abs(e - d) <= shift for x in range(k)}
+            if len(words) / len(t) >= cover and len(words) >= min(len(t), license_scan.LEAST):
+                label = name.split("/")[0]
+                best[label] = max(best.get(label, 0), len(words) / len(t))
+    return set(best), max(best.values(), default=0.0)
+
+
 def test_license_scan(spark):
+    import random
+
+    t = license_scan.TEMPLATES
     rows = [(1, "Licensed under CC BY-NC 4.0.", 1, "", ""), (1, "Licensed under CC BY-NC 4.0.", 1, "", ""), (2, None, None, None, None), (3, "ALL RIGHTS RESERVED all rights reserved", 0, "", ""), (None, "this work is licensed, really, under the GNU General Public License version 3", 0, "", ""), (4, "", 0, "", ""), (5, "licensed under the apache licence version 2.0 " + "x " * 9000, 0, "", ""), (6, "ccby cc\nby", 0, "", "")]
+    mit = t["mit"].split()
+    rows.append((7, " ".join(mit[:9] + ["permission", "is", "hereby", "granted"] + mit[9:]), 0, "", ""))
+    rows.append((8, "Licensed under the Apache License, version 2.0; wor\u212a wor\u212a under the MIT license. CC0 1.0 Universal", 0, "", ""))
+    rows.append((9, "under the MIT license " * 400 + "é" * 300_000 + " GNU General Public License, version 2", 0, "", ""))
+    rng = random.Random(4)
+    for i in range(60):
+        w = []
+        for name in rng.sample(sorted(t), 2):
+            part = t[name].split()
+            for _ in range(rng.choice([0, 1, 1, 2])):  # insertions, deletions, replacements and stray pieces
+                j = rng.randrange(len(part))
+                part[j : j + rng.choice([0, 1, 3])] = rng.choice([[], ["zz"], ["of", "the", "software"], ["x"] * 5, part[:4]])
+            w += ["word"] * rng.randrange(12) + part
+        rows.append((20 + i, " ".join(w), 0, "", ""))
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
     rows += [(r.doc_id + 100, r.text, None, None, None) for r in docs]
     got = license_scan.license_scan(spark.createDataFrame(rows, DOCS)).collect()
-    want = defaultdict(list)
-    for r in rows:
-        want[r[0]].append(brute_license(r[1]))
-    assert len(got) == len(rows)
+    want = {r[0]: (brute_license(r[1]), *brute_votes(r[1])) for r in rows}
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
     for r in got:
-        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == want[r.doc_id][0]
-        assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
-        assert 0 <= r.score <= 1
+        base, method, share = want[r.doc_id]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == base
+        assert set(filter(None, r.labels.split(","))) == method | set(filter(None, r.base_labels.split(","))), r.doc_id
+        assert abs(r.score - (1.0 if r.n_base else share)) < 1e-12
     by = {r.doc_id: r for r in got}
     assert by[1].labels == "cc-by,cc-by-nc-4.0" and by[None].labels == "gpl,gpl-3.0" and by[5].labels == "apache-2.0" and by[2].labels == ""
+    assert by[7].labels == "mit" and by[8].labels == "apache-2.0,cc0-1.0,mit" and by[8].n_words == 18 and by[9].labels == "gpl,gpl-2.0,mit"
     assert license_scan.license_scan(spark.createDataFrame([], DOCS)).count() == 0
