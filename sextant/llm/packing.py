@@ -3,14 +3,16 @@
 1. Every document is tokenised (whole text, then id 0) and cut only if it is longer than a sequence: its first piece
    takes what the full pieces leave over.  Pieces (without ids) are written to the shared folder once.
 2. The histogram of lengths, at most one row per length, goes to the driver.  Patterns of one to three length bins that
-   fill a sequence are enumerated; non-negative least squares fits their repeat counts to the binned histogram; the counts
-   are rounded down so that no bin is used more often than it has pieces.
+   fill a sequence are enumerated; non-negative least squares (active sets) fits their repeat counts to the binned
+   histogram; the counts are rounded, and further patterns taken one by one, while no bin is used more often than it has
+   pieces.
 3. What remains is packed on the histogram by best fit, longest first, exact lengths, many equal sequences at a time.
 4. Each piece finds its place from its length and its rank among pieces of that length; the rank is counted in two
-   levels, so no length is gathered in one task.  The plan is bounded by the number of lengths, not by the data.
+   levels, a length being divided by a hash into cells of some CELL pieces, so no length is gathered in one task.  The plan is bounded by the number of lengths, not by the data.
 
 Null text is empty and gives one piece with the id 0 alone.  Repeated rows are packed each; a null id is carried along.
-An empty table gives an empty result.
+An empty table gives an empty result.  A very long text, with or without spaces, is tokenised whole in one task and cut;
+ties (pieces of one length) are ranked by a hash of id, piece and ids.  Columns beside doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import materialize
+from sextant.llm.common import checked_broadcast, materialize
 
-LENGTH, BIN, CELLS = 2048, 8, 16
+LENGTH, BIN = 2048, 8
+#: Pieces of one length that are numbered in one task.
+CELL = 50_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 _encoders: dict = {}
@@ -79,27 +83,69 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     return rows.mapInArrow(run, PIECE)
 
 
-def nnls(cols: np.ndarray, h: np.ndarray, steps: int = 400) -> np.ndarray:
-    """min ||A x - h||, x >= 0, by accelerated projected gradient; column p of A counts the bins in cols[p] (0: none)."""
-    n = len(h)
+def columns(cols: np.ndarray, n: int) -> np.ndarray:
+    """Patterns as columns: how often each bin stands in them."""
+    a = np.zeros((n, len(cols)))
+    for slot in cols.T:
+        np.add.at(a, (slot, np.arange(len(cols))), slot > 0)
+    return a
+
+
+def nnls(cols: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """min ||A x - h||, x >= 0, by active sets: column p of A counts the bins in cols[p] (0: none).
+
+    At most as many patterns as bins are above zero, so rounding loses little.
+    """
+    x, passive = np.zeros(len(cols)), []
     used = cols > 0
-    apply = lambda x: np.bincount(cols.ravel(), (x[:, None] * used).ravel(), n)
-    back = lambda r: (r[cols] * used).sum(axis=1)
-    v = np.ones(len(cols))
-    for _ in range(20):
-        v = back(apply(v))
-        lip = np.linalg.norm(v)
-        v /= max(lip, 1e-12)
-    x = y = np.zeros(len(cols))
-    t = 1.0
-    for _ in range(steps):
-        nxt = np.maximum(0, y - back(apply(y) - h) / max(lip, 1e-12))
-        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        y = nxt + (t - 1) / t2 * (nxt - x)
-        x, t = nxt, t2
+    free = np.ones(len(cols), bool)
+    tol = 1e-9 * max(1.0, float(np.abs(h).max(initial=0)))
+    for _ in range(4 * len(h)):
+        r = h - np.bincount(cols.ravel(), (x[:, None] * used).ravel(), len(h))
+        w = np.where(free, (r[cols] * used).sum(axis=1), -np.inf)
+        j = int(w.argmax()) if len(w) else 0
+        if not len(w) or w[j] <= tol:
+            break
+        passive.append(j)
+        free[j] = False
+        while passive:
+            s = np.linalg.lstsq(columns(cols[passive], len(h)), h, rcond=None)[0]
+            if s.min() > tol:
+                break
+            now = x[passive]
+            low = s <= tol
+            step = np.min(now[low] / np.maximum(now[low] - s[low], 1e-300))
+            x[passive] = np.maximum(now + step * (s - now), 0)
+            gone = {p for p, v, bad in zip(passive, x[passive], low) if bad and v <= tol} or {passive[int(s.argmin())]}
+            for p in gone:
+                x[p] = 0
+                free[p] = p != j
+            passive = [p for p in passive if p not in gone]
+        x[passive] = s if passive else 0
     return x
 
 
+def whole(cols: np.ndarray, fit: np.ndarray, binned: np.ndarray) -> np.ndarray:
+    """Whole repeat counts: the fitted ones rounded, greatest first, then one more of any pattern while its pieces last."""
+    left = binned.astype(np.int64).copy()
+    out = np.zeros(len(cols), np.int64)
+
+    def take(p: int, most: int) -> None:
+        bins, each = np.unique(cols[p][cols[p] > 0], return_counts=True)
+        n = min(most, int((left[bins] // each).min()))
+        if n > 0:
+            out[p] += n
+            left[bins] -= n * each
+
+    for p in np.lexsort((np.arange(len(cols)), -fit)):
+        if fit[p] <= 0:
+            break
+        take(p, int(fit[p] + 0.5))
+    for p in np.flatnonzero(np.all((cols == 0) | (left[cols] > 0), axis=1)):
+        take(p, int(left.max()))
+    return out
+
+
 def patterns(bins: int) -> np.ndarray:
     """Sets of one to three bins whose sizes add up to `bins`, padded with 0."""
     out = [(bins, 0, 0)] + [(a, bins - a, 0) for a in range(1, bins // 2 + 1)]
@@ -171,13 +217,7 @@ def plan(hist: np.ndarray, length: int = LENGTH, width: int = BIN) -> dict:
         binned[of(n)] += hist[n]
     pats = patterns(bins)
     pats = pats[np.all((pats == 0) | (binned[pats] > 0), axis=1)]
-    x = np.zeros(0, np.int64)
-    if len(pats):
-        fit = nnls(pats, binned)
-        use = np.bincount(pats.ravel(), (fit[:, None] * (pats > 0)).ravel(), bins + 1)
-        ratio = np.minimum(1, binned / np.maximum(use, 1e-12))
-        ratio[0] = 1
-        x = np.floor(fit * ratio[pats].min(axis=1) + 1e-9).astype(np.int64)
+    x = whole(pats, nnls(pats, binned), binned)
     segments: dict = {}
     seq = 0
     at = np.zeros(bins + 1, np.int64)
@@ -202,7 +242,7 @@ def plan(hist: np.ndarray, length: int = LENGTH, width: int = BIN) -> dict:
             pos[n] += count
         seq += count
     arrays = {k: tuple(np.array(c, np.int64) for c in zip(*v)) for k, v in segments.items()}
-    return {"segments": arrays, "planned": planned, "before": before, "width": width, "sequences": seq, "fitted": int(x.sum())}
+    return {"segments": arrays, "planned": planned, "before": before, "width": width, "sequences": seq, "fitted": int(planned.sum())}
 
 
 def place(p: dict, n: int, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,17 +261,20 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row per piece."""
     spark = docs.sparkSession
     found = materialize(pieces(docs, path, length))
-    key = F.xxhash64("doc_id", "piece", "ids_crc32")
-    rows = found.withColumn("_h", key).withColumn("_cell", F.pmod("_h", F.lit(CELLS)).cast("int"))
-    cells = rows.groupBy("length", "_cell").agg(F.count("*").alias("n"))
+    counts = found.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most `length` rows
     hist = np.zeros(length + 1, np.int64)
-    for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `length` rows
+    for r in counts:
         hist[r.length] = r.n
     p = spark.sparkContext.broadcast(plan(hist, length))
+    # A length has as many cells as it needs to have some CELL pieces in each.
+    cells = F.get(F.lit([max(1, -(-int(n) // CELL)) for n in hist]), F.col("length").cast("int"))
+    key = F.xxhash64("doc_id", "piece", "ids_crc32", "start")
+    rows = found.withColumn("_h", key).withColumn("_cell", F.pmod("_h", cells).cast("long"))
+    per = rows.groupBy("length", "_cell").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.select("length", "_cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    starts = per.select("length", "_cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
     number = F.row_number().over(Window.partitionBy("length", "_cell").orderBy("_h", "doc_id", "piece", "start"))
-    ranked = rows.withColumn("_r", number).join(F.broadcast(starts), ["length", "_cell"])  # at most length * CELLS rows
+    ranked = rows.withColumn("_r", number).join(checked_broadcast(starts), ["length", "_cell"])
 
     @F.pandas_udf("sequence_id long, slot long")
     def placed(n: pd.Series, rank: pd.Series) -> pd.DataFrame:

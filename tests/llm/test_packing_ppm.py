@@ -69,6 +69,33 @@ def test_plan_places_everything_once(lengths):
     assert len(load) <= 2 * sum(lengths) / 2048 + 1
 
 
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.integers(0, 30), min_size=17, max_size=17))
+def test_nnls_is_optimal(counts):
+    """The gradient is zero where a pattern is used and points outward where it isn't."""
+    cols, h = packing.patterns(16), np.array([0, *counts[1:]], float)
+    x = packing.nnls(cols, h)
+    r = packing.columns(cols, len(h)) @ x - h
+    r[0] = 0
+    grad = (r[cols] * (cols > 0)).sum(axis=1)
+    assert (x >= 0).all() and grad.min() > -1e-6 and np.abs(grad[x > 1e-9]).max(initial=0) < 1e-6
+
+
+def test_most_pieces_come_through_patterns(spark):
+    """At sf0.01 patterns fitted by least squares place most pieces, and the sequences are nearly full."""
+    lengths = [r.length for r in packing.pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json")).select("length").collect()]
+    hist = np.bincount(lengths, minlength=2049).astype(np.int64)
+    p = packing.plan(hist)
+    assert p["fitted"] >= 0.6 * len(lengths) and sum(lengths) / (2048 * p["sequences"]) > 0.98
+
+
+def test_cells_divide_a_length(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 50, "same text " * (i % 3)) for i in range(400)], "doc_id long, text string")
+    monkeypatch.setattr(packing, "CELL", 7)
+    rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    check_packing(rows, [(r.doc_id, r.text) for r in docs.collect()])
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.text(max_size=200))
 def test_encoder_equals_tokenizers(text):
