@@ -7,10 +7,13 @@ are summed along the rank, one offset per source is added, and a copy is emitted
 neighbours in rank have near-equal sizes, the taken words stay within about one long document of the target.
 
 The rank is found in two levels: rows are counted per (source, size, hash prefix), the counts are summed over this
-small table, and rows are numbered only within one such cell.  No source is gathered in one task.
+small table, and rows are numbered only within one such cell.  No source is gathered in one task, and the cells meet the
+rows in a join by cell, which the numbering is dealt by anyway.  The counts come from a table of (source, size, prefix)
+written once; the texts are read twice, to write it and to number the rows.
 
-Null text has size 0; a null source is a source of its own; repeated rows are sampled one by one; an empty table
-gives an empty result.  Other columns are carried along by mix(), except those it computes.
+Null text has size 0; a null source is a source of its own; repeated rows are sampled one by one, and ties (one size)
+are ordered by the md5 of the id and of the text; a very long text is one row that is taken at most CAP times; an empty
+table gives an empty result.  Other columns are carried along by mix(), whatever their names, except those it computes.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import checked_broadcast, words
+from sextant.llm.common import BROADCAST_ROWS, fresh, materialize, words
 
 #: The repeating weights.
 WEIGHTS = (5, 2, 1)
@@ -30,18 +33,18 @@ def n_words(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """sizes: one row per source with _src (ordered key) and source_size.  Adds target."""
-    order = Window.orderBy("_src")
+    """sizes: one row per source with src (ordered key) and source_size.  Adds target.  (A row a source: one task.)"""
+    order = Window.orderBy("src")
     cyc = (F.row_number().over(order) - 1) % len(weights)
-    t = sizes.withColumn("_w", F.element_at(F.array(*map(F.lit, weights)), (cyc + 1).cast("int")).cast("double"))
-    t = t.withColumn("_cap", cap * F.col("source_size")).withColumn("_q", F.col("_cap") / F.col("_w"))
-    up = Window.orderBy("_q", "_src")
+    t = sizes.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (cyc + 1).cast("int")).cast("double"))
+    t = t.withColumn("cap", cap * F.col("source_size")).withColumn("q", F.col("cap") / F.col("w"))
+    up = Window.orderBy("q", "src")
     everything = Window.partitionBy()
-    t = t.withColumn("_before", F.coalesce(F.sum("_cap").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    t = t.withColumn("_rest", F.sum("_w").over(up.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    t = t.withColumn("_level", (share * F.sum("source_size").over(everything) - F.col("_before")) / F.col("_rest"))
-    level = F.min(F.when(F.col("_level") <= F.col("_q"), F.struct("_q", "_src", "_level"))).over(everything).getField("_level")
-    return t.withColumn("target", F.coalesce(F.least(F.col("_cap"), level * F.col("_w")), F.col("_cap"))).select("_src", "source_size", "target")
+    t = t.withColumn("before", F.coalesce(F.sum("cap").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    t = t.withColumn("rest", F.sum("w").over(up.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    t = t.withColumn("level", (share * F.sum("source_size").over(everything) - F.col("before")) / F.col("rest"))
+    level = F.min(F.when(F.col("level") <= F.col("q"), F.struct("q", "src", "level"))).over(everything).getField("level")
+    return t.withColumn("target", F.coalesce(F.least(F.col("cap"), level * F.col("w")), F.col("cap"))).select("src", "source_size", "target")
 
 
 def source_key(source: Column) -> Column:
@@ -53,29 +56,40 @@ def offset(src: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed), src)), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
+#: Hex digits of the hash that divide the documents of one source and size.
+PREFIX = 2
+
+
 def mix(docs: DataFrame, *, seed: str = SEED, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """docs (doc_id, text, source, ...) plus size, source_size, target, copies and taken."""
-    docs = docs.drop("size", "source_size", "target", "copies", "taken")
-    rows = docs.withColumn("size", n_words(F.col("text"))).withColumn("_src", source_key(F.col("source")))
-    rows = rows.withColumn("_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("_cell", F.substring("_h", 1, 1))
-    cells = rows.groupBy("_src", "size", "_cell").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_src").orderBy("size", "_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    plan = targets(cells.groupBy("_src").agg(F.sum(F.col("size") * F.col("_n")).cast("long").alias("source_size")), weights, share, cap)
-    cells = cells.join(F.broadcast(plan) if plan.count() <= 100_000 else plan, "_src").drop("_n")
-    within = Window.partitionBy("_src", "size", "_cell").orderBy("_h", F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    ranked = rows.withColumn("_r", F.row_number().over(within)).join(checked_broadcast(cells), ["_src", "size", "_cell"])
-    rank = (F.col("_before") + F.col("_r")).cast("double")
+    added = ("size", "source_size", "target", "copies", "taken")
+    docs = docs.drop(*added)
+    src, h, cell, n, before, r = fresh([*docs.columns, *added], "src", "h", "cell", "n", "before", "r")
+    hashed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    own = [n_words(F.col("text")).alias("size"), source_key(F.col("source")).alias(src)]
+    slim = docs.select(*own, F.substring(hashed, 1, PREFIX).alias(cell)).groupBy(src, "size", cell).agg(F.count("*").alias(n))
+    cells = materialize(slim)
+    plan = targets(cells.groupBy(F.col(src).alias("src")).agg(F.sum(F.col("size") * F.col(n)).cast("long").alias("source_size")), weights, share, cap)
+    plan = materialize(plan.withColumnRenamed("src", src))
+    small = F.broadcast(plan) if plan.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else plan
+    ahead = Window.partitionBy(src).orderBy("size", cell).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn(before, F.coalesce(F.sum(n).over(ahead), F.lit(0))).drop(n)
+    rows = docs.select("*", *own, hashed.alias(h)).withColumn(cell, F.substring(h, 1, PREFIX))
+    within = Window.partitionBy(src, "size", cell).orderBy(h, F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    # The numbering deals the rows by cell; the join finds them there.
+    ranked = rows.withColumn(r, F.row_number().over(within)).join(cells.hint("merge"), [src, "size", cell]).join(small, src)
+    rank = (F.col(before) + F.col(r)).cast("double")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    u = offset(F.col("_src"), seed)
+    u = offset(F.col(src), seed)
     copies = F.floor(rank * rate + u) - F.floor((rank - 1) * rate + u)
     out = ranked.withColumn("copies", copies.cast("long")).withColumn("taken", (copies * F.col("size")).cast("long"))
-    return out.select(*docs.columns, "size", "source_size", "target", "copies", "taken")
+    return out.select(*docs.columns, *added)
 
 
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The documents of the mix, a row for each copy."""
-    return mixed.where("copies > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    i = fresh(mixed, "i")[0]
+    return mixed.where("copies > 0").withColumn(i, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
 
 
 #: DuckDB SQL for the query (same formulas, one window over each source).

@@ -304,6 +304,9 @@ def test_mixing(spark, frames):
     again = Counter((r.doc_id, r.size, r.taken) for r in mixing.mix(docs.repartition(7)).collect())
     assert again == Counter((r.doc_id, r.size, r.taken) for r in got)
     assert mixing.mix(docs.limit(0)).count() == 0
+    names = {c: F.lit(f"user {c}") for c in ("src", "_src", "h", "cell", "n", "before", "r", "i", "_cell")}
+    clash = mixing.mix(docs.drop(*names).withColumns(names))
+    assert all(r[c] == f"user {c}" for r in mixing.emit(clash, clash.columns).collect() for c in names)
     more = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     for r in mixing.mix(more).groupBy("source").agg({"taken": "sum", "target": "max", "size": "max"}).collect():
         assert abs(r["sum(taken)"] - r["max(target)"]) <= 2 * r["max(size)"]
