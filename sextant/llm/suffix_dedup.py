@@ -428,8 +428,9 @@ def removed_spans(docs: DataFrame, crowded: int = CROWDED, most_hot: int = HOT)
 
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.unhex(F.md5(text)).alias("th"), text.alias("text"))
-    # The text is shuffled once: both uses below read the same exchange, so both take the same columns.
-    texts = keyed.groupBy("th").agg(F.first("text").alias("text"), F.count("*").alias("n"))
+    # The text is shuffled once: both uses below read the same exchange, so both take the same columns and the same filter
+    # (an inner join would add this one to its own side alone).
+    texts = keyed.where("th is not null").groupBy("th").agg(F.first("text").alias("text"), F.count("*").alias("n"))
     names, types = ["h", "th", "pos", "k", "ctx"], [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
     context = "h long, th binary, pos int, k int, ctx binary"
 
