@@ -310,6 +310,72 @@ def upsert_latest(spark, d):
     return storage.upsert_latest(t(spark, d, "events"), "user_id", "event_id").select("user_id", "event_id", "event_type")
 
 
+@query(f"WITH {FILES} SELECT path FROM f WHERE path NOT LIKE '%/node_modules/%'")
+def exclude_dirs(spark, d):
+    return _files(spark, d).where(~text.excluded(F.col("path"), ["node_modules"])).select("path")
+
+
+@query(f"WITH {FILES} SELECT path, length::INTEGER AS length FROM f WHERE length <= 900 AND lower(path) SIMILAR TO '.*[.](py|ts|md)' AND path NOT LIKE '%/node_modules/%'")
+def size_filter(spark, d):
+    from sextant.sources.files import skip_reason
+
+    reason = skip_reason(F.col("path"), F.col("length"), ["py", "ts", "md"], ["node_modules"], 900)
+    return _files(spark, d).where(reason.isNull()).select("path", "length")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_nationkey < 5 THEN 'moved' ELSE c_mktsegment END AS segment, c_acctbal AS balance FROM customer")
+def update_rows(spark, d):
+    """A patch names the segment alone for some rows, and ids that the table doesn't hold."""
+    old = t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"), "c_nationkey")
+    known = old.where("c_nationkey < 5").select("id")
+    patch = known.unionByName(known.select((-F.col("id") - 1).alias("id"))).select("id", F.lit("moved").alias("segment"), F.lit(None).cast("double").alias("balance"))
+    return storage.update(old.drop("c_nationkey"), patch)
+
+
+@query("SELECT c_custkey AS id, c_nationkey < 5 AS fresh FROM customer")
+def insert_absent(spark, d):
+    """Rows of ids that are there already don't replace them."""
+    rows = t(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey")
+    old = rows.where("c_nationkey >= 5").select("id", F.lit(False).alias("fresh"))
+    return storage.insert_absent(old, rows.select("id", F.lit(True).alias("fresh")))
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_nationkey <> 3")
+def delete_ids(spark, d):
+    rows = t(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey")
+    return storage.delete_ids(rows, rows.where("c_nationkey = 3")).select("id")
+
+
+@query("SELECT source AS collection, count(*) AS documents FROM documents GROUP BY 1")
+def collections_listing(spark, d):
+    return storage.collections(t(spark, d, "documents"), "source")
+
+
+@query("SELECT doc_id, source FROM documents WHERE source IS DISTINCT FROM 'src0'")
+def clear_collection(spark, d):
+    return storage.clear(t(spark, d, "documents"), "source", "src0").select("doc_id", "source")
+
+
+@query("SELECT doc_id FROM documents WHERE text IS NULL OR NOT contains(text, 'the ')")
+def delete_by_document(spark, d):
+    return storage.delete(t(spark, d, "documents"), filters.delete_condition(document={"$contains": "the "})).select("doc_id")
+
+
+@query("SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_regionkey = 2")
+def get_node(spark, d):
+    """Ids of one region, and unknown ones."""
+    nodes = t(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), "n_regionkey")
+    ids = nodes.where("n_regionkey = 2").select("id")
+    return graph.get_node(nodes.select("id", "name"), ids.unionByName(ids.select((F.col("id") + 1000).alias("id"))))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 4 < 3 THEN p_size END::INTEGER AS major, CASE WHEN p_partkey % 4 < 3 THEN p_partkey % 4 END::INTEGER AS minor, CASE WHEN p_partkey % 4 < 3 THEN p_partkey END::INTEGER AS patch FROM part")
+def semver_parts(spark, d):
+    ends = F.element_at(F.array(*map(F.lit, ["", "-rc1", "+b7", ".x"])), (F.col("p_partkey") % 4 + 1).cast("int"))
+    version = F.concat(F.when(F.col("p_partkey") % 2 == 0, "v").otherwise(""), F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 4).cast("string"), F.lit("."), F.col("p_partkey").cast("string"), ends)
+    return t(spark, d, "part").select(F.col("p_partkey").alias("id"), metadata.semver(version).alias("v")).select("id", "v.major", "v.minor", "v.patch")
+
+
 @query("SELECT doc_id, source FROM documents WHERE source <> 'src3' OR source IS NULL")
 def delete_by_source(spark, d):
     return storage.delete(t(spark, d, "documents"), F.col("source") == "src3").select("doc_id", "source")

@@ -14,7 +14,8 @@ def where(spec: dict | None) -> Column:
     for key, v in (spec or {}).items():
         if key in ("$and", "$or"):
             subs = [where(s) for s in v]
-            parts.append(reduce((lambda a, b: a & b) if key == "$and" else (lambda a, b: a | b), subs))
+            if subs:  # an empty list restricts nothing
+                parts.append(reduce((lambda a, b: a & b) if key == "$and" else (lambda a, b: a | b), subs))
         elif not isinstance(v, dict):
             parts.append(F.col(key) == v)
         else:
@@ -31,3 +32,10 @@ def where(spec: dict | None) -> Column:
 
 def where_document(spec: dict | None, col: str = "text") -> Column:
     return F.col(col).contains(spec["$contains"]) if spec and "$contains" in spec else F.lit(True)
+
+
+def delete_condition(spec: dict | None = None, document: dict | None = None, col: str = "text") -> Column:
+    """The condition of a delete: on the fields or on the text, but not on both and not on neither."""
+    if bool(spec) == bool(document):
+        raise ValueError("give a condition on the fields or on the document, one of them")
+    return where(spec) if spec else where_document(document, col)

@@ -1,6 +1,8 @@
 """Graph tables: nodes (id, ...), edges (source, target, edge_type)."""
 
 import ast
+import re
+import tempfile
 from collections import deque
 
 from pyspark.sql import DataFrame
@@ -40,12 +42,28 @@ def paths(edges: DataFrame, start, end, cutoff: int) -> DataFrame:
     return out
 
 
+def _checkpoint_folder(spark) -> None:
+    """The folder that spark.checkpoint.dir names; one of our own only where it is unset and the master is local."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sextant-"))
+
+
+def get_node(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The nodes of the ids given; unknown ids have no row."""
+    return nodes.join(ids.select("id").distinct(), "id", "left_semi")
+
+
 def shortest_path(edges: DataFrame, start, end, most: int | None = None) -> DataFrame:
     """One shortest path (the least of its length; if `most` is given, of at most that many edges), grown breadth-first; a node is visited once."""
     e = edges.select("source", "target").where("source <> target").distinct().persist()
     kind = e.schema["source"].dataType.simpleString()
     # Plans are cut each round: else a round would hold the plans of all rounds before it.
-    cut = lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    _checkpoint_folder(e.sparkSession)
+    cut = lambda df: df.checkpoint()
     front = e.sparkSession.createDataFrame([(start, [start])], f"node {kind}, path array<{kind}>")
     seen, grown = front.select("node"), 0
     while True:

@@ -61,3 +61,10 @@ def first_within(spans: DataFrame, names: DataFrame) -> DataFrame:
     inside = spans.select("doc_id", "start", "end").distinct().join(n, "doc_id").where("_p >= start and _p < `end`")
     first = inside.groupBy("doc_id", "start", "end").agg(F.min_by("_n", "_p").alias("name"))
     return spans.join(first, ["doc_id", "start", "end"], "left")
+
+
+def semver(version: Column) -> Column:
+    """struct(major, minor, patch) of a version such as 1.2.3 or v1.2.3-rc1; null if it isn't one."""
+    pattern = r"^v?(\d+)\.(\d+)\.(\d+)(?:[-+].*)?$"
+    part = lambda i: F.regexp_extract(version, pattern, i).cast("int")
+    return F.when(version.rlike(pattern), F.struct(part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch")))

@@ -53,3 +53,13 @@ def verify_copy(source: DataFrame, target: DataFrame, name: str = "collection")
 def collection_stats(df: DataFrame, name: str) -> DataFrame:
     per = df.groupBy(name).agg(F.count("*").alias("n"))
     return per.agg(F.count("*").alias("collections"), F.coalesce(F.sum("n"), F.lit(0)).alias("documents"), F.coalesce(F.floor(F.avg("n") + 0.5), F.lit(0)).cast("long").alias("average"))
+
+
+def collections(df: DataFrame, name: str) -> DataFrame:
+    """The listing: each collection with its number of documents."""
+    return df.groupBy(F.col(name).alias("collection")).agg(F.count("*").alias("documents"))
+
+
+def clear(df: DataFrame, name: str, collection: str) -> DataFrame:
+    """The table without the rows of one collection."""
+    return delete(df, F.col(name) == collection)

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from sextant.functions.text import excluded, extension, language
 
-TYPES = ["py", "js", "ts", "md", "txt"]
-EXCLUDE = [".git", "node_modules", "__pycache__", ".venv", "dist"]
+#: The default file types and excluded folders.
+TYPES = ["py", "ts", "js", "md", "vue"]
+EXCLUDE = ["node_modules", ".git", "__pycache__", "venv", ".venv", "dist", "build"]
 
 
 def decode(content: Column) -> Column:
@@ -19,8 +20,14 @@ def skip_reason(path: Column, length: Column, types=TYPES, dirs=EXCLUDE, max_siz
     return F.when(excluded(path, dirs), "excluded").when(~extension(path).isin(types), "type").when(length > max_size, "size")
 
 
+FILE_SCHEMA = "path string, length long, modified timestamp, content_hash string, language string, text string, skip_reason string"
+
+
 def scan(spark: SparkSession, root: str, types=TYPES, dirs=EXCLUDE, max_size: int = 1 << 20) -> DataFrame:
-    """path, length, modified, content_hash, language, text, skip_reason of every file below root."""
+    """path, length, modified, content_hash, language, text, skip_reason of every file below root; none if it isn't there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], FILE_SCHEMA)
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     f = f.withColumn("skip_reason", skip_reason(F.col("path"), F.col("length"), types, dirs, max_size))
     text = F.when(F.col("skip_reason").isNull(), decode(F.col("content")))

@@ -56,3 +56,21 @@ def test_metadata(spark):
     spans = spark.createDataFrame([(1, 0, 5), (1, 5, 9), (2, 0, 5)], "doc_id int, start int, end int")
     found = spark.createDataFrame([(1, 4, "b"), (1, 2, "a"), (1, 9, "c"), (3, 0, "d")], "doc_id int, pos int, name string")
     assert rows(metadata.first_within(spans, found), "doc_id", "start", "name") == [(1, 0, "a"), (1, 5, None), (2, 0, None)]
+
+
+def test_filters_and_scan_edges(spark, tmp_path):
+    import pytest
+
+    from sextant.operators import filters
+    from sextant.sources import files
+
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "id int, text string")
+    assert df.where(filters.where({"$and": []})).count() == 2 and df.where(filters.where({"$or": [], "id": 1})).count() == 1
+    assert df.where(filters.delete_condition(document={"$contains": "a"})).count() == 1
+    for both in ((None, None), ({"id": 1}, {"$contains": "a"})):
+        with pytest.raises(ValueError):
+            filters.delete_condition(*both)
+    assert files.scan(spark, str(tmp_path / "missing")).count() == 0
+    (tmp_path / "x.py").write_text("a")
+    assert files.scan(spark, str(tmp_path)).columns == files.scan(spark, str(tmp_path / "missing")).columns
+
