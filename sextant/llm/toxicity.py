@@ -7,8 +7,10 @@ are usually whole words must end with the token, others may go on.  Each hit is
 marks, reporting verbs or a negation around it mark a quotation, words of address or a repeated hit mark abuse.  Counts of
 exact, misspelled, quoted and addressed hits per document feed one logistic unit.
 
-Every whole text is scored; empty and null texts have no hit and get the score of none.  Labels are used in the fit
-alone.
+Every whole text is scored, a very long one as one row of words; empty and null texts have no hit and get the score of
+none.  Equal texts have equal scores; repeated rows and null ids are scored each.  Labels are used in the fit alone;
+without labels of both classes there are no terms and every score is that of no hit.  An empty table gives an empty
+result.  Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sextant.llm.common import fold, labelled_sample, map_texts
 
-SAMPLE, SAMPLE_CHARS, MAX_TERMS, MIN_DOCS, MEMO, WINDOW = 3000, 12_000, 400, 8, 400_000, 6
+SAMPLE, SAMPLE_CHARS, MIN_DOCS, MEMO, WINDOW = 3000, 12_000, 8, 400_000, 6
 #: Fixed values.
 STRIP = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "«»“”„‘’…"
 QUOTES = set("\"'«»“”„‘’")
@@ -118,8 +120,9 @@ class Matcher:
         return [float(np.log1p(exact)), float(np.log1p(fuzzy)), float(exact > 1), float(np.log1p(per * exact)), (quoted - addressed) / (exact + fuzzy), float(np.log1p(len(seen)))]
 
 
-def learn_terms(sample: list[tuple[str, int]], most: int = MAX_TERMS) -> list[tuple[str, bool]]:
-    """Word beginnings of 4 to 10 characters that hardly occur outside toxic documents, by greedy cover."""
+def learn_terms(sample: list[tuple[str, int]]) -> list[tuple[str, bool]]:
+    """Word beginnings of 4 to 10 characters that hardly occur outside toxic documents, by greedy cover.  All of them: only the
+    sample bounds their number."""
     where: dict[str, set[int]] = defaultdict(set)
     clean: Counter = Counter()
     whole: Counter = Counter()
@@ -147,8 +150,6 @@ def learn_terms(sample: list[tuple[str, int]], most: int = MAX_TERMS) -> list[tu
         if gain >= MIN_DOCS and not any(b.startswith(t) or t.startswith(b) for t in terms):
             terms.append(b)
             left.subtract(where[b])
-            if len(terms) >= most:
-                break
     return [(t, whole[t] >= 0.8 * starts[t]) for t in terms]
 
 
