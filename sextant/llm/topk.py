@@ -12,7 +12,8 @@ Queries and candidates are dealt by hash into blocks of fixed size; each pair of
 query are merged by a window.  A vector that is null, or holds a null or non-finite component, takes no part; nor does
 a null id.  Rows that share an id all take part: each is a candidate of every query with another id, and as queries they
 have one list together, as in the SQL.  Shorter vectors are padded with zeros.  k rows or fewer come back per query; an
-empty table gives an empty result.
+empty table gives an empty result.  Scores of 2 ** 53 and more are worked out in 64-bit integers, those that may pass
+2 ** 62 in Python's and end at the limits of a long.  Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -60,6 +61,17 @@ def rotation(ints: DataFrame, dim: int) -> np.ndarray:
     return np.linalg.eigh(m)[1][:, ::-1]
 
 
+def products(q: np.ndarray, v: np.ndarray, most: float) -> np.ndarray:
+    """Inner products of whole numbers, exact; most bounds them and every partial sum (Cauchy-Schwarz)."""
+    if most < 2.0**53:
+        return q @ v.T
+    q, v = q.astype(np.int64), v.astype(np.int64)
+    if most < 2.0**62:
+        return q @ v.T
+    ends = 2**63 - 1
+    return np.clip(q.astype(object) @ v.astype(object).T, -ends, ends).astype(np.int64)
+
+
 def block_topk(qid, q, vid, v, rot, k):
     """k best of the candidates for each query of one block pair; arrays of whole numbers held as doubles."""
     order = np.argsort(-np.einsum("ij,ij->i", v, v), kind="stable")
@@ -68,7 +80,9 @@ def block_topk(qid, q, vid, v, rot, k):
     qr, vr = q @ rot, v @ rot
     qn, vn = np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1)
     q_rest, v_rest = np.linalg.norm(qr[:, head:], axis=1), np.linalg.norm(vr[:, head:], axis=1)
-    best = np.full((len(q), k), -np.inf)
+    most = float(qn.max(initial=0)) * float(vn.max(initial=0)) * (1 + 1e-9)
+    kind, none = (np.float64, -np.inf) if most < 2.0**53 else (np.int64, np.iinfo(np.int64).min)
+    best = np.full((len(q), k), none, kind)
     ids = np.full((len(q), k), np.iinfo(np.int64).max)
     active = np.arange(len(q))
     for a in range(0, len(v), STEP):
@@ -86,13 +100,13 @@ def block_topk(qid, q, vid, v, rot, k):
         if not len(cols):
             continue
         who = active[rows]
-        s = q[who] @ v[a + cols].T  # whole numbers below 2**53: exact
-        s[vid[a + cols][None, :] == qid[who][:, None]] = -np.inf
+        s = products(q[who], v[a + cols], most)
+        s[vid[a + cols][None, :] == qid[who][:, None]] = none
         s = np.concatenate([best[who], s], axis=1)
         i = np.concatenate([ids[who], np.broadcast_to(vid[a + cols], (len(who), len(cols)))], axis=1)
-        pick = np.lexsort((i, -s), axis=1)[:, :k]
+        pick = np.lexsort((i, -s if kind is np.float64 else ~s), axis=1)[:, :k]
         best[who], ids[who] = np.take_along_axis(s, pick, 1), np.take_along_axis(i, pick, 1)
-    keep = np.isfinite(best)
+    keep = best > none
     return np.repeat(qid, keep.sum(axis=1)), ids[keep], best[keep].astype(np.int64)
 
 

@@ -27,3 +27,20 @@ def test_rows_of_empty_sets_all_stay(spark):
     got = [tuple(r) for r in kept.collect()]
     assert sorted(map(str, (r for r in got if r[0] not in (3, 4, 5)))) == sorted(map(str, empty))
     assert [r[0] for r in got if r[0] in (3, 4)] == [3] and [r[0] for r in got if r[0] == 5] == [5]
+
+
+def test_topk_beyond_doubles():
+    """Scores that doubles can't tell apart are ordered exactly; those beyond a long end at its limits."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for size, n in ((10**6, 200), (2**28, 200), (2**40, 40)):
+        v = rng.integers(-3, 4, (n, 4)) + rng.choice([-size, size], (n, 4))
+        q = v[:9]
+        qid, vid, s = topk.block_topk(np.arange(9), q.astype(float), np.arange(n), v.astype(float), np.eye(4), 5)
+        want = []
+        for i in range(9):
+            every = [(max(min(sum(int(a) * int(b) for a, b in zip(q[i], v[j])), 2**63 - 1), 1 - 2**63), j) for j in range(n) if j != i]
+            want += [(i, j, x) for x, j in sorted(every, key=lambda e: (-e[0], e[1]))[:5]]
+        assert list(zip(qid.tolist(), vid.tolist(), s.tolist())) == want
+
