@@ -62,21 +62,22 @@ st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks),
 post AS (SELECT doc_id, len(t) AS dl, term, count(*) AS tf FROM (SELECT doc_id, t, unnest(t) AS term FROM toks) GROUP BY doc_id, len(t), term),
 dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 qt AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({TOK.format('text')}) AS term FROM benchmark) GROUP BY ALL),
-sc AS (SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
+sc AS (SELECT query_id, doc_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score
        FROM qt JOIN post USING (term) JOIN dfs USING (term), st GROUP BY query_id, doc_id),
-lex AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM sc)"""
+every AS (SELECT item_id AS query_id, documents.doc_id, coalesce(score, 0.0) AS score FROM benchmark CROSS JOIN documents LEFT JOIN sc ON sc.query_id = item_id AND sc.doc_id = documents.doc_id),
+lex AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, doc_id)::INTEGER AS rank, doc_id, round(score, 6) AS score FROM every)"""
 KNN = """
 vq AS (SELECT b.item_id AS query_id, e.embedding::DOUBLE[] AS v FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
-vd AS (SELECT query_id, vec_id AS doc_id, round(list_sum(list_transform(list_zip(v, embedding::DOUBLE[]), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS score FROM vq, embeddings),
-vec AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id)::INTEGER AS rank, doc_id, score FROM vd)"""
+vd AS (SELECT query_id, vec_id AS doc_id, list_sum(list_transform(list_zip(v, embedding::DOUBLE[]), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS score FROM vq, embeddings),
+vec AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10), doc_id)::INTEGER AS rank, doc_id, round(score, 6) AS score FROM vd)"""
 
 
 def fused(leg: int, a: float, b: float) -> str:
     return f"""
 fu AS (SELECT query_id, doc_id, v.rank AS v_rank, l.rank AS b_rank, v.score AS distance, l.score AS bm25_score,
-              round(coalesce({a} / (60 + v.rank), 0) + coalesce({b} / (60 + l.rank), 0), 6) AS score
+              coalesce({a}::DOUBLE / (60 + v.rank), 0) + coalesce({b}::DOUBLE / (60 + l.rank), 0) AS raw, round(raw, 6) AS score
        FROM (SELECT * FROM vec WHERE rank <= {leg}) v FULL JOIN (SELECT * FROM lex WHERE rank <= {leg}) l USING (query_id, doc_id)),
-fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v_rank NULLS LAST, b_rank NULLS LAST)::INTEGER AS rank FROM fu)"""
+fr AS (SELECT * EXCLUDE (raw), row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, v_rank NULLS LAST, b_rank NULLS LAST)::INTEGER AS rank FROM fu)"""
 
 
 LISTING = "ls AS (SELECT lang AS query_id, doc_id, text, source, n_chars::DOUBLE AS score, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id)::INTEGER AS pos FROM documents)"
@@ -100,8 +101,8 @@ def knn_l2_topk(spark, d):
 
 
 @query("""WITH vq AS (SELECT b.item_id AS query_id, e.embedding::DOUBLE[] AS v FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
-vd AS (SELECT query_id, vec_id AS doc_id, round(1 - list_cosine_similarity(v, embedding::DOUBLE[]), 6) + 0.0 AS score FROM vq, embeddings),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id)::INTEGER AS rank, doc_id, score FROM vd) SELECT * FROM r WHERE rank <= 10""")
+vd AS (SELECT query_id, vec_id AS doc_id, 1 - list_cosine_similarity(v, embedding::DOUBLE[]) AS score FROM vq, embeddings),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) + 0.0, doc_id)::INTEGER AS rank, doc_id, round(score, 6) + 0.0 AS score FROM vd) SELECT * FROM r WHERE rank <= 10""")
 def knn_cosine_topk(spark, d):
     return vector.knn(q_vec(spark, d), vectors(spark, d), 10, "cosine")
 
@@ -133,16 +134,12 @@ def vector_retriever(spark, d):
 
 
 @query(f"""WITH {BM25}, {KNN}, c AS (SELECT * FROM (VALUES ('fast', 3, 8), ('balanced', 5, 20), ('accurate', 10, 60)) c(config, k, leg)),
-fu AS (SELECT config, k, query_id, doc_id, round(coalesce(CASE WHEN config = 'accurate' THEN 0.6 ELSE 0.5 END / (60 + v.rank), 0) + coalesce(CASE WHEN config = 'accurate' THEN 0.4 ELSE 0.5 END / (60 + l.rank), 0), 6) AS score, v.rank AS vr, l.rank AS lr
+fu AS (SELECT config, k, query_id, doc_id, coalesce(CASE WHEN config = 'accurate' THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END / (60 + v.rank), 0) + coalesce(CASE WHEN config = 'accurate' THEN 0.4::DOUBLE ELSE 0.5::DOUBLE END / (60 + l.rank), 0) AS score, v.rank AS vr, l.rank AS lr
        FROM (SELECT * FROM vec, c WHERE rank <= leg) v FULL JOIN (SELECT * FROM lex, c WHERE rank <= leg) l USING (config, k, leg, query_id, doc_id)),
 fr AS (SELECT *, row_number() OVER (PARTITION BY config, query_id ORDER BY score DESC, vr NULLS LAST, lr NULLS LAST) AS rank FROM fu)
-SELECT config, count(*) AS results, round(avg(score), 6) AS avg_score FROM fr WHERE rank <= k GROUP BY config""")
+SELECT config, count(*) AS results, round(avg(round(score, 6)), 6) AS avg_score FROM fr WHERE rank <= k GROUP BY config""")
 def benchmark_configs(spark, d):
-    out = None
-    for name, p in search.PROFILES.items():
-        found = search.hybrid(q_both(spark, d), t(spark, d, "documents"), vectors(spark, d), p.top_k, p).withColumn("config", F.lit(name))
-        out = found if out is None else out.unionByName(found)
-    return out.groupBy("config").agg(F.count("*").alias("results"), F.round(F.avg("score"), 6).alias("avg_score"))
+    return search.compare(q_both(spark, d), t(spark, d, "documents"), vectors(spark, d), search.PROFILES)
 
 
 @query("SELECT * FROM (VALUES ('fast', 3, 4, 8), ('balanced', 5, 10, 20), ('accurate', 10, 30, 60)) t(profile, top_k, fused, per_leg)")

@@ -3,6 +3,9 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Places of a score that ranks go by: the order in which terms are summed shows only beyond them.
+PLACES = 10
+
 
 def ranked(df: DataFrame, *order: Column, name: str = "rank", k: int | None = None) -> DataFrame:
     """Position within a query, from 1; with k, the first k only (the limit is pushed below the window's shuffle)."""
@@ -25,11 +28,13 @@ def rank_norm(df: DataFrame, rank: str = "rank", out: str = "norm") -> DataFrame
     return df.withColumn(out, 1.0 - (F.col(rank) - 1) / F.greatest(n - 1, F.lit(1)))
 
 
-def rrf(vector: DataFrame, lexical: DataFrame, k: int = 60, alpha: float = 0.5, beta: float = 0.5) -> DataFrame:
-    """Weighted reciprocal rank fusion of two lists (query_id, doc_id, rank, score); ties keep the vector list's order."""
+def rrf(vector: DataFrame, lexical: DataFrame, k: int = 60, alpha: float | Column = 0.5, beta: float | Column = 0.5) -> DataFrame:
+    """Weighted reciprocal rank fusion of two lists (query_id, doc_id, rank, score); ties keep the vector list's order.
+
+    Weights may be columns of query_id.  Ranks go by the unrounded sums."""
     v = vector.select("query_id", "doc_id", F.col("rank").alias("v_rank"), F.col("score").alias("distance"))
     b = lexical.select("query_id", "doc_id", F.col("rank").alias("b_rank"), F.col("score").alias("bm25_score"))
     part = lambda w, r: F.coalesce(w / (k + F.col(r)), F.lit(0.0))
     out = v.join(b, ["query_id", "doc_id"], "full_outer")
-    out = out.withColumn("score", F.round(part(F.lit(alpha), "v_rank") + part(F.lit(beta), "b_rank"), 6))
-    return ranked(out, F.desc("score"), F.asc_nulls_last("v_rank"), F.asc_nulls_last("b_rank"))
+    out = out.withColumn("score", part(F.lit(alpha), "v_rank") + part(F.lit(beta), "b_rank"))
+    return ranked(out, F.desc("score"), F.asc_nulls_last("v_rank"), F.asc_nulls_last("b_rank")).withColumn("score", F.round("score", 6))

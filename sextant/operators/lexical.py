@@ -1,12 +1,16 @@
 """BM25 as tables: postings, documents and corpus statistics; queries are a table too."""
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.functions.scoring import ranked
+from sextant.functions.scoring import PLACES, ranked
 from sextant.functions.text import tokens
 
 K1, B = 1.5, 0.75
+#: Terms of all queries (a row each, under 100 bytes) that are broadcast at most.
+WEIGHTS = 500_000
 
 
 def index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -26,25 +30,80 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, pad: bool = False) -> DataFrame:
-    """query_id, rank, doc_id, score: k best documents; with pad, documents without a match fill up, least ids first."""
+@dataclass(frozen=True)
+class Index:
+    """A BM25 index as tables: documents (doc_id, dl), postings (doc_id, term, tf, dl), terms (term, df)."""
+
+    documents: DataFrame
+    postings: DataFrame
+    terms: DataFrame | None = None
+
+    def sizes(self):
+        """struct(n, avgdl) as a scalar subquery."""
+        return self.documents.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).select(F.struct("n", "avgdl").alias("s")).scalar()
+
+
+def build(docs: DataFrame) -> Index:
+    """The index of docs (doc_id, text), not yet computed; terms are counted when they are asked for."""
+    return Index(docs.select("doc_id", F.size(tokens(F.col("text"))).alias("dl")), index(docs)[0])
+
+
+def save(built: Index, path: str) -> None:
+    """Write the tables; postings lie in ranges of terms, so that a reader's files are pruned by term."""
+    built.documents.write.mode("overwrite").parquet(f"{path}/documents")
+    built.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    kept = built.documents.sparkSession.read.parquet(f"{path}/postings")
+    kept.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("documents", "postings", "terms")))
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Drop a saved index; whether there was one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def saved(spark: SparkSession, root: str) -> list[str]:
+    """Names of the indexes below root."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.listStatus(at) if fs.exists(at) else []
+    return sorted(f.getPath().getName() for f in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "terms")))
+
+
+def search(queries: DataFrame, built: Index, k: int = 10, pad: bool = True) -> DataFrame:
+    """query_id, rank, doc_id, score: the k best documents of each query (query_id, text).
+
+    Ranks go by scores of PLACES places, beyond which the order of a sum shows; the score given has 6.  With pad,
+    documents without a match fill up, least ids first.  Weights of the queries' terms are broadcast if they are few:
+    postings, gathered by document, then meet them where they lie, and only each task's k best rows of a query move on.
+    """
     wanted = query_terms(queries)
-    post, _ = index(docs)
-    # Only the queries' terms are kept before anything is shuffled by document.
-    post = post.join(wanted.select("term").distinct(), "term", "left_semi")
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    s = statistics(docs).select(F.struct("n", "avgdl").alias("s")).scalar()
-    hits = wanted.join(post.join(df, "term"), "term").withColumn("s", s)
+    post = built.postings.join(wanted.select("term").distinct(), "term", "left_semi")
+    df = (post.groupBy("term").agg(F.count("*").alias("df"))) if built.terms is None else built.terms
+    s = built.sizes()
     idf = F.log(1 + (F.col("s.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qtf") * idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("s.avgdl")))
-    found = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    top = ranked(found, F.desc("score"), F.col("doc_id"), k=k)
+    weights = wanted.join(df, "term").withColumn("s", s).select("query_id", "term", (F.col("qtf") * idf).alias("w"))
+    if wanted.limit(WEIGHTS + 1).count() <= WEIGHTS:
+        weights, post = F.broadcast(weights), built.postings.repartition("doc_id") if built.terms is not None else built.postings
+    hits = post.join(weights, "term").withColumn("s", s)
+    part = F.col("w") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("s.avgdl")))
+    found = hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    top = ranked(found, F.round("score", PLACES).desc(), F.col("doc_id"), k=k)
     if pad:  # at most k of the 2k least ids can be among the matches
-        low = docs.select("doc_id").orderBy("doc_id").limit(2 * k).agg(F.collect_list("doc_id").alias("ids"))
+        low = built.documents.select("doc_id").orderBy("doc_id").limit(2 * k).agg(F.collect_list("doc_id").alias("ids"))
         rest = queries.select("query_id").withColumn("ids", low.scalar()).select("query_id", F.explode("ids").alias("doc_id"))
         rest = rest.join(top.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
-        top = ranked(top.drop("rank").unionByName(rest), F.desc("score"), F.col("doc_id"), k=k)
-    return top.select("query_id", "rank", "doc_id", "score")
+        top = ranked(top.drop("rank").unionByName(rest), F.round("score", PLACES).desc(), F.col("doc_id"), k=k)
+    return top.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, pad: bool = True) -> DataFrame:
+    """search() in an index of docs (doc_id, text) that is made on the way."""
+    return search(queries, build(docs), k, pad)
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -42,6 +42,26 @@ def hybrid(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 5,
     return rrf(near, words, p.rrf_k, p.alpha, p.beta).where(F.col("rank") <= k)
 
 
+def compare(queries: DataFrame, docs: DataFrame, vectors: DataFrame, profiles: dict[str, Profile]) -> DataFrame:
+    """config, results, avg_score of several profiles by one run of both legs, at the largest size any of them asks for."""
+    sizes = {name: 2 * int(p.top_k * p.multiplier) for name, p in profiles.items()}
+    legs = F.explode(F.array(*(F.struct(F.lit(c).alias("config"), F.lit(n).alias("leg")) for c, n in sizes.items()))).alias("c")
+    leg = max(sizes.values())
+
+    def per_config(found: DataFrame) -> DataFrame:
+        held = found.select("*", legs).where(F.col("rank") <= F.col("c.leg"))
+        return held.withColumn("query_id", F.struct(F.col("c.config").alias("config"), "query_id"))
+
+    def of(name: str):
+        pick = F.create_map(*(F.lit(x) for c, p in profiles.items() for x in (c, getattr(p, name))))
+        return pick[F.col("query_id.config")]
+
+    near = knn(queries.select("query_id", "v"), vectors, leg)
+    words = bm25(queries.select("query_id", "text"), docs, leg)
+    fused = rrf(per_config(near), per_config(words), of("rrf_k"), of("alpha"), of("beta")).where(F.col("rank") <= of("top_k"))
+    return fused.groupBy("query_id.config").agg(F.count("*").alias("results"), F.round(F.avg("score"), 6).alias("avg_score"))
+
+
 def hydrate(found: DataFrame, docs: DataFrame) -> DataFrame:
     """Texts and sources of the found ids alone; unknown ids have an empty text."""
     return found.join(docs.select("doc_id", "text", "source"), "doc_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
