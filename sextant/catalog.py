@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sextant.functions import scoring, text
 from sextant.operators import chunking, context, evaluate, filters, govern, graph, lexical, metadata, report, storage, vector
-from sextant.plans import search
+from sextant.plans import providers, search
+from sextant.sources import files
 from sextant.streaming import events as ev
 from sextant.streaming import webhook
 
@@ -117,7 +118,7 @@ def rrf_fuse(spark, d):
     return scoring.rrf(knn_l2_topk(spark, d), bm25_topk(spark, d), 60, 0.7, 0.3)
 
 
-@query(f"""WITH {BM25}, {KNN}, {fused(40, 0.5, 0.5)},
+@query(f"""WITH {BM25}, {KNN}, {fused(20, 0.5, 0.5)},
 qd AS (SELECT item_id AS query_id, list_distinct({TOK.format('text')}) AS q FROM benchmark),
 rr AS (SELECT fr.query_id, fr.doc_id, fr.rank AS pos, coalesce(documents.text, '') AS text, documents.source, CASE WHEN len(q) > 0 THEN round(len(list_intersect(q, {TOK.format('documents.text')})) / len(q), 6) ELSE 0.0 END AS score
        FROM fr LEFT JOIN documents USING (doc_id) JOIN qd ON qd.query_id = fr.query_id WHERE fr.rank <= 10),
@@ -401,7 +402,7 @@ def collection_stats(spark, d):
 def _events(spark, d) -> DataFrame:
     kind = F.create_map(*map(F.lit, ["signup", "created", "error", "deleted"]))
     e = t(spark, d, "events").select("event_id", "ts", F.lit("w").alias("watcher"), F.col("user_id").cast("string").alias("path"), F.coalesce(F.try_element_at(kind, F.col("event_type")), F.lit("modified")).alias("event_type"), F.lit(False).alias("is_directory"))
-    return ev.debounce(e.withColumn("watcher", F.col("path")), "", 6 * 3600)
+    return ev.debounce(e.withColumn("watcher", F.col("path")), 6 * 3600)
 
 
 EVENTS = """e AS (SELECT event_id, ts, user_id::VARCHAR AS path, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'modified' END AS kind FROM events),
@@ -640,3 +641,204 @@ def apply_changes(spark, d):
     docs = t(spark, d, "documents").where("source is not null").select("doc_id", "source")
     changes = spark.createDataFrame([("src1", "modified"), ("src2", "deleted")], "path string, event_type string")
     return ev.apply_changes(docs.withColumn("version", F.lit("old")), changes, docs.withColumn("version", F.lit("new"))).select("doc_id", "source", "version")
+
+
+# --- kept indexes, padding, filtered search, embedders, entry points ---------------------------------------------
+
+@query(f"WITH {BM25} SELECT lex.* FROM lex SEMI JOIN sc USING (query_id, doc_id) WHERE rank <= 10")
+def bm25_matches(spark, d):
+    return lexical.bm25(q_text(spark, d), t(spark, d, "documents"), 10, pad=False)
+
+
+REGION_BM25 = BM25.replace("item_id", "r_regionkey").replace(f"unnest({TOK.format('text')}) AS term FROM benchmark", f"unnest({TOK.format('r_name')}) AS term FROM region").replace("FROM benchmark CROSS", "FROM region CROSS")
+
+
+@query(f"WITH {REGION_BM25} SELECT * FROM lex WHERE rank <= 10")
+def bm25_pad(spark, d):
+    """Names of regions as queries: most of their ten rows have no match."""
+    return lexical.bm25(t(spark, d, "region").select(F.col("r_regionkey").alias("query_id"), F.col("r_name").alias("text")), t(spark, d, "documents"), 10)
+
+
+@query(f"WITH {BM25} SELECT * FROM lex WHERE rank <= 10")
+def bm25_saved_index(spark, d):
+    path = files.scratch(spark)
+    lexical.save(lexical.build(t(spark, d, "documents")), path)
+    return lexical.search(q_text(spark, d), lexical.load(spark, path), 10)
+
+
+@query(f"WITH {KNN.replace('FROM vq, embeddings)', 'FROM vq, (SELECT * FROM embeddings SEMI JOIN (SELECT doc_id AS vec_id FROM documents WHERE n_chars > 400) USING (vec_id)))')} SELECT * FROM vec WHERE rank <= 10")
+def knn_filtered(spark, d):
+    held = storage.get(vectors(spark, d), t(spark, d, "documents").where(filters.query_condition({"n_chars": {"$gt": 400}})), key="doc_id")
+    return vector.knn(q_vec(spark, d), held, 10)
+
+
+HASHED = "(SELECT {id} AS {id}, b, count(*) AS n FROM (SELECT {id}, ('0x' || substr(md5(unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{{{2,}}}}'))), 1, 4))::INTEGER % 16 AS b FROM {table}) GROUP BY ALL)"
+EMBEDDED = "SELECT {id}, b, n / sqrt(sum(n * n) OVER (PARTITION BY {id})) AS v FROM " + HASHED.replace("{{{{", "{{").replace("}}}}", "}}")
+
+
+@query(f"SELECT doc_id, b AS dim, round(v, 6) AS value FROM ({EMBEDDED.format(id='doc_id', table='documents')})")
+def embed_hash(spark, d):
+    e = providers.embed(t(spark, d, "documents"), providers.get("embedding", "hash", dim=16))
+    return e.select("doc_id", F.posexplode("v").alias("dim", "value")).where("value > 0").withColumn("value", F.round("value", 6))
+
+
+@query(f"""WITH q AS ({EMBEDDED.format(id='item_id', table='benchmark')}), e AS ({EMBEDDED.format(id='doc_id', table='documents')}),
+g AS (SELECT item_id AS query_id, doc_id, i AS b FROM benchmark, documents, range(16) r(i)),
+x AS (SELECT query_id, g.doc_id, sum((coalesce(q.v, 0) - coalesce(e.v, 0)) ** 2) AS x FROM g LEFT JOIN q ON q.item_id = query_id AND q.b = g.b LEFT JOIN e ON e.doc_id = g.doc_id AND e.b = g.b GROUP BY ALL),
+r AS (SELECT query_id, doc_id, round(x, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round(x, 10), doc_id)::INTEGER AS rank FROM x)
+SELECT query_id, rank, doc_id, distance, md5(coalesce(text, '')) AS h, source FROM r JOIN documents USING (doc_id) WHERE rank <= 5""")
+def index_search(spark, d):
+    found = search.index_search(q_text(spark, d), t(spark, d, "documents"), providers.get("embedding", "hash", dim=16))
+    return found.select("query_id", "rank", "doc_id", "distance", F.md5("document").alias("h"), "source")
+
+
+@query(ORACLE_SQL["rag_pipeline"].replace("SELECT query_id, rank, doc_id, score, text, source FROM rk", "SELECT query_id, rank, doc_id, round(score, 4) AS score FROM rk"))
+def query_tool(spark, d):
+    return search.endpoint(q_both(spark, d), t(spark, d, "documents"), vectors(spark, d), "balanced", 5).select("query_id", "rank", "doc_id", "score")
+
+
+@query(f"""WITH {BM25}, {KNN}, {fused(8, 0.3, 0.7)}, h AS (SELECT fr.*, coalesce(text, '') AS text FROM fr LEFT JOIN documents USING (doc_id) WHERE rank <= 4),
+dd AS (SELECT *, row_number() OVER (PARTITION BY query_id, text ORDER BY rank) AS n FROM h)
+SELECT query_id, rank, doc_id, score FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank)::INTEGER AS rank FROM dd WHERE n = 1) WHERE rank <= 3""")
+def configured_pipeline(spark, d):
+    """The profile fast with other weights."""
+    return search.configured({"profile": "fast", "alpha": 0.3, "beta": 0.7})(q_both(spark, d), t(spark, d, "documents"), vectors(spark, d)).select("query_id", "rank", "doc_id", "score")
+
+
+@query("SELECT vec_id // 32 AS batch, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS ids FROM embeddings GROUP BY 1")
+def embedding_reorder(spark, d):
+    """Answers of a service that come in any order, 32 to a batch; the value here is the id."""
+    e = t(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 32).alias("batch"), F.struct((F.col("vec_id") % 32).alias("index"), F.col("vec_id").cast("string").alias("v")).alias("x"))
+    return e.groupBy("batch").agg(F.array_join(providers.reorder(F.collect_list("x")), ",").alias("ids"))
+
+
+@query("""SELECT p_partkey, substr(md5('{"brand":"' || p_brand || '","size":' || p_size || '}'), 1, 8) AS k FROM part""")
+def config_key(spark, d):
+    return t(spark, d, "part").select("p_partkey", providers.key_column(F.struct(F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))).alias("k"))
+
+
+# --- collections, roles, events, graph and code ------------------------------------------------------------------
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id % 7 = 3 AND lang = 'en'")
+def collection_get(spark, d):
+    docs = t(spark, d, "documents")
+    return storage.get(docs, docs.where("doc_id % 7 = 3"), filters.where({"lang": "en"}), "doc_id").select("doc_id", "source")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_nationkey >= 4 THEN c_mktsegment END AS segment FROM customer UNION ALL SELECT c_custkey + 100000000, 'new' FROM customer WHERE c_nationkey = 7")
+def upsert_payload(spark, d):
+    """A payload is replaced as a whole: what the new one lacks is gone."""
+    c = t(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_mktsegment").alias("segment"), "c_nationkey")
+    new = c.where("c_nationkey < 4").select("id", F.lit(None).cast("string").alias("segment")).unionByName(c.where("c_nationkey = 7").select((F.col("id") + 100_000_000).alias("id"), F.lit("new").alias("segment")))
+    return storage.upsert(c.drop("c_nationkey"), new)
+
+
+@query("SELECT source AS collection, count(*) AS source_count, count(*) AS target_count, true AS ok FROM documents WHERE source IS NOT NULL AND source <> '' GROUP BY 1")
+def migration_copy(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", "text", F.coalesce("source", F.lit("")).alias("collection"))
+    return storage.migrate(docs.where("collection <> ''"), files.scratch(spark))
+
+
+@query("SELECT doc_id, sha256(coalesce(source, '') || chr(1) || coalesce(text, '')) AS id FROM documents".replace("chr(1)", "chr(0)"))
+def surrogate_ids(spark, d):
+    return t(spark, d, "documents").select("doc_id", storage.surrogate_id("source", "text").alias("id"))
+
+
+@query("SELECT c_custkey, c_mktsegment IN ('BUILDING', 'MACHINERY') AS allowed FROM customer")
+def role_check(spark, d):
+    return t(spark, d, "customer").select("c_custkey", govern.has_role(F.col("c_mktsegment"), ["BUILDING", "MACHINERY"]).alias("allowed"))
+
+
+@query("SELECT p_partkey AS query_id, p_brand AS category FROM part WHERE p_brand = 'Brand#12'")
+def question_filter(spark, d):
+    return evaluate.questions(t(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_brand").alias("category")), "Brand#12")
+
+
+@query("""SELECT o_orderkey, '{"o_orderstatus":"' || o_orderstatus || '","o_custkey":' || o_custkey || ',"o_orderdate":"' || o_orderdate::VARCHAR || '"}' AS metadata FROM orders""")
+def metadata_sanitise(spark, d):
+    o = t(spark, d, "orders")
+    return o.select("o_orderkey", metadata.sanitised(o, "o_orderstatus", "o_custkey", "o_orderdate").alias("metadata"))
+
+
+@query("SELECT c_nationkey, done, total FROM (SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey)::INTEGER AS done, count(*) OVER (PARTITION BY c_nationkey) AS total FROM customer) WHERE done % 10 = 0 OR done = total")
+def progress_emits(spark, d):
+    return report.progress_marks(t(spark, d, "customer"), "c_nationkey", "c_custkey")
+
+
+@query(f"WITH {FILES} SELECT path, path NOT LIKE '%/node_modules/%' AND lower(path) SIMILAR TO '.*[.](py|ts|md)' AS watched FROM f")
+def watch_filter(spark, d):
+    return _files(spark, d).select("path", ev.accepted(F.col("path"), ["py", "ts", "md"], ["node_modules"]).alias("watched"))
+
+
+@query("SELECT event_id, '/r/' || user_id || '.py' AS path, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'modified' END AS event_type FROM events WHERE event_type <> 'purchase' AND user_id % 3 > 0")
+def watch_events(spark, d):
+    """Raw paths with empty, dot and parent steps; purchases stand for moves, every third user's file is a text."""
+    kind = F.create_map(*map(F.lit, ["signup", "created", "error", "deleted", "purchase", "moved"]))
+    raw = t(spark, d, "events").select(
+        "event_id", F.concat(F.lit("/r//x/.././"), F.col("user_id").cast("string"), F.when(F.col("user_id") % 3 > 0, ".py").otherwise(".txt")).alias("path"),
+        F.coalesce(F.try_element_at(kind, F.col("event_type")), F.lit("modified")).alias("event_type"))
+    return ev.watched(raw, ["py"], ["node_modules"])
+
+
+@query("""WITH e AS (SELECT event_id, ts, user_id % 5 AS watcher FROM events), g AS (SELECT *, coalesce(ts - lag(ts) OVER w > INTERVAL 20 MINUTE, false)::INT AS f FROM e WINDOW w AS (PARTITION BY watcher ORDER BY ts, event_id))
+SELECT watcher, session, count(*) AS events FROM (SELECT *, sum(f) OVER (PARTITION BY watcher ORDER BY ts, event_id)::BIGINT AS session FROM g) GROUP BY ALL""")
+def debounce_watchers(spark, d):
+    """A watcher's silence is that of all its paths."""
+    e = t(spark, d, "events").select("event_id", "ts", (F.col("user_id") % 5).alias("watcher"))
+    return ev.debounce(e, 1200).groupBy("watcher", "session").agg(F.count("*").alias("events"))
+
+
+@query(f"WITH {GRAPH} SELECT source, target, edge_type FROM ed WHERE edge_type = 'imports' AND target IN (SELECT id FROM n)")
+def edges_between(spark, d):
+    n, e = _graph(spark, d)
+    return graph.edges_between(n, graph.of_type(e, "imports", "edge_type"))
+
+
+@query("SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey % 2 = 0 THEN 'new' ELSE n_name END AS name FROM nation UNION ALL SELECT n_nationkey + 1000, 'new' FROM nation WHERE n_nationkey % 2 = 0")
+def graph_add_nodes(spark, d):
+    n = t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
+    new = n.where("id % 2 = 0").select(F.explode(F.array("id", F.col("id") + 1000)).alias("id"), F.lit("new").alias("name"))
+    return graph.add_nodes(n, new)
+
+
+@query(f"WITH {GRAPH} SELECT DISTINCT source, target, edge_type FROM ed")
+def graph_merge_edges(spark, d):
+    _, e = _graph(spark, d)
+    return graph.add_edges(e, e.where("source % 2 = 0"), merge=True)
+
+
+#: Sources in three languages that carry a document's whole text as a comment.
+CODE = {
+    0: ("python", "import os.path as p, json\nfrom re import sub\n\n\ndef head():\n    tail()\n\n\ndef tail():\n    return None\n# "),
+    1: ("typescript", "class Shape {\n  area() {\n    return tail(1);\n  }\n}\nfunction tail(x) { return x; }\n// "),
+    2: ("golang", "package m\n\nfunc head() int {\n\treturn x.tail(1)\n}\nfunc (s T) tail(x int) int { return x }\nfunc tail(x int) int { return x }\n// "),
+}
+
+
+def _code(spark, d) -> DataFrame:
+    third = F.col("doc_id") % 3
+    pick = lambda i: F.when(third == 0, CODE[0][i]).when(third == 1, CODE[1][i]).otherwise(CODE[2][i])
+    return t(spark, d, "documents").select("doc_id", pick(0).alias("language"), F.concat(pick(1), F.regexp_replace(F.coalesce("text", F.lit("")), r"[\p{Z}\p{C}]+", " ")).alias("text"))
+
+
+@query("""SELECT doc_id, kind, name, other, line::INTEGER AS line FROM documents JOIN (VALUES (0, 'node', 'head', 'function', 5), (0, 'node', 'tail', 'function', 9), (0, 'edge', 'head', 'tail', 6),
+(1, 'node', 'Shape', 'class', 1), (1, 'node', 'Shape.area', 'method', 2), (1, 'node', 'tail', 'function', 6), (1, 'edge', 'area', 'tail', 3),
+(2, 'node', 'head', 'function', 3), (2, 'node', 'receiver.tail', 'method', 6), (2, 'node', 'tail', 'function', 7), (2, 'edge', 'head', 'tail', 4)) c(third, kind, name, other, line) ON doc_id % 3 = third""")
+def call_graph_code(spark, d):
+    return graph.call_graph(_code(spark, d), F.col("language"))
+
+
+@query("SELECT doc_id, module, level::INTEGER AS level, line::INTEGER AS line FROM documents, (VALUES ('os.path', 0, 1), ('json', 0, 1), ('re', 0, 2)) c(module, level, line) WHERE doc_id % 3 = 0")
+def imports_code(spark, d):
+    return graph.imports(_code(spark, d).where("language = 'python'")).select("doc_id", "module", "level", "line")
+
+
+@query("SELECT doc_id, 'json,os,re' AS modules FROM documents WHERE doc_id % 3 = 0")
+def module_dependencies_code(spark, d):
+    found = graph.module_dependencies(_code(spark, d).where("language = 'python'"), exclude_stdlib=False)
+    return found.select("doc_id", F.array_join("modules", ",").alias("modules"))
+
+
+@query("SELECT doc_id, i::INTEGER AS chunk_index, name, line::INTEGER AS start_line FROM documents, (VALUES (0, 'head', 5), (1, 'tail', 9)) c(i, name, line) WHERE doc_id % 3 = 0")
+def code_chunks(spark, d):
+    return chunking.code(_code(spark, d).where("language = 'python'"), "python").select("doc_id", "chunk_index", "name", "start_line")

@@ -176,3 +176,12 @@ def ingest(docs: DataFrame, chunk_size: int = 500) -> DataFrame:
         F.concat_ws(":chunk:", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("id"), "doc_id", "chunk_index",
         F.count("*").over(Window.partitionBy("doc_id")).alias("chunk_count"), "text",
     )
+
+
+#: Languages of each chunker; one that names none takes all.
+LANGUAGES = {"simple": [], "line": [], "markdown": ["markdown", "md"], "code": ["python", "typescript", "go"]}
+
+
+def supports(chunker: str, language: str) -> bool:
+    known = LANGUAGES.get(chunker, [])
+    return not known or language.lower() in known

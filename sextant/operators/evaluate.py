@@ -25,3 +25,9 @@ def evaluate(queries: DataFrame, results: DataFrame, k: int = 10) -> DataFrame:
     j = queries.join(agg, "query_id", "left")
     hit = hit_rate(F.col("expected"), F.coalesce("got", F.array().cast(dict(queries.dtypes)["expected"])), k)
     return j.agg(F.round(F.avg(hit), 6).alias("hit_rate"), F.round(F.avg(F.coalesce("rel", F.lit(0.0))), 6).alias("relevance"), F.round(F.avg(F.coalesce("noise", F.lit(0.0))), 6).alias("noise_ratio"), F.count("*").alias("queries"))
+
+
+def questions(df: DataFrame, category: str | None = None, ids: list | None = None) -> DataFrame:
+    """The questions of a category, of some ids, or both."""
+    df = df if category is None else df.where(F.col("category") == category)
+    return df if ids is None else df.where(F.col("query_id").isin(ids))

@@ -39,3 +39,8 @@ def delete_condition(spec: dict | None = None, document: dict | None = None, col
     if bool(spec) == bool(document):
         raise ValueError("give a condition on the fields or on the document, one of them")
     return where(spec) if spec else where_document(document, col)
+
+
+def query_condition(spec: dict | None = None, document: dict | None = None, col: str = "text") -> Column:
+    """The condition of a query: fields and text must both agree, as far as they are given."""
+    return where(spec) & where_document(document, col)

@@ -23,3 +23,24 @@ def chat_prompt(messages: DataFrame) -> DataFrame:
     line = F.concat(F.lit("["), F.coalesce("role", F.lit("")), F.lit("]: "), F.coalesce("text", F.lit("")))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"])
     return messages.groupBy("conv_id").agg(F.array_join(rows, "\n").alias("prompt"))
+
+
+def has_role(role, allowed: list[str]):
+    """Whether a role is among those allowed; none has no access."""
+    return F.coalesce(role.isin(allowed), F.lit(False))
+
+
+def generate(prompts: DataFrame, model) -> DataFrame:
+    """prompts (conv_id, prompt) with answer: model(list of prompts) gives a list of texts, batch by batch."""
+
+    def run(batches):
+        for b in batches:
+            yield b.assign(answer=model(list(b["prompt"])))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema)
+    return prompts.mapInPandas(run, f"{fields}, answer string")
+
+
+def pieces(answer: str):
+    """A model without a stream of its own gives its whole answer as one piece."""
+    yield answer

@@ -1,14 +1,15 @@
 """Graph tables: nodes (id, ...), edges (source, target, edge_type)."""
 
 import ast
-import re
-import tempfile
 from collections import deque
+from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sextant.functions.source import brace_calls
 from sextant.operators.chunking import _table
+from sextant.sources.files import checkpoint_folder
 
 
 def neighbors(nodes: DataFrame, edges: DataFrame, edge_type: str | None = None) -> DataFrame:
@@ -42,16 +43,6 @@ def paths(edges: DataFrame, start, end, cutoff: int) -> DataFrame:
     return out
 
 
-def _checkpoint_folder(spark) -> None:
-    """The folder that spark.checkpoint.dir names; one of our own only where it is unset and the master is local."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sextant-"))
-
-
 def get_node(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """The nodes of the ids given; unknown ids have no row."""
     return nodes.join(ids.select("id").distinct(), "id", "left_semi")
@@ -62,7 +53,7 @@ def shortest_path(edges: DataFrame, start, end, most: int | None = None) -> Data
     e = edges.select("source", "target").where("source <> target").distinct().persist()
     kind = e.schema["source"].dataType.simpleString()
     # Plans are cut each round: else a round would hold the plans of all rounds before it.
-    _checkpoint_folder(e.sparkSession)
+    checkpoint_folder(e.sparkSession)
     cut = lambda df: df.checkpoint()
     front = e.sparkSession.createDataFrame([(start, [start])], f"node {kind}, path array<{kind}>")
     seen, grown = front.select("node"), 0
@@ -82,20 +73,86 @@ def shortest_path(edges: DataFrame, start, end, most: int | None = None) -> Data
     return front.where("false").select("path")
 
 
+def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, component (its greatest id): strongly connected, by trimming and colours; nothing grows beyond the edges.
+
+    Vertices without an edge in or out are components of their own and go, round by round.  Then the greatest id that
+    reaches a vertex is its colour; those of a colour that reach back to the vertex it is named after are a component.
+    """
+    checkpoint_folder(vertices.sparkSession)
+    cut = lambda df: df.checkpoint()
+    e = cut(edges.select("source", "target").where("source <> target").distinct())
+    v = cut(vertices.select("id").distinct())
+    end = lambda df, c: df.select(F.col(c).alias("id")).distinct()
+    done, size = v.where("false").withColumn("component", F.col("id")), v.count()
+    while size:
+        while True:
+            keep = cut(v.join(end(e, "source"), "id", "left_semi").join(end(e, "target"), "id", "left_semi"))
+            left = keep.count()
+            done = done.unionByName(v.join(keep, "id", "left_anti").withColumn("component", F.col("id")))
+            v = keep
+            if left == size:
+                break
+            size, e = left, cut(_between(v, e))
+        if not size:
+            break
+        color = v.withColumn("color", F.col("id"))
+        while True:
+            best = color.join(e, color.id == e.source).groupBy(F.col("target").alias("id")).agg(F.max("color").alias("more"))
+            nxt = cut(color.join(best, "id", "left").select("id", F.greatest("color", "more").alias("color"), (F.col("more") > F.col("color")).alias("new")))
+            color = nxt.select("id", "color")
+            if not nxt.where("new").limit(1).count():
+                break
+        back = e.join(color.withColumnRenamed("id", "source"), "source").select("source", F.col("target").alias("id"), "color")
+        front = cut(color.where("id = color"))
+        found = front
+        while front.limit(1).count():
+            step = front.join(back, ["id", "color"]).select(F.col("source").alias("id"), "color").distinct()
+            front = cut(step.join(found, ["id", "color"], "left_anti"))
+            found = found.unionByName(front)
+        found = cut(found)
+        done = done.unionByName(found.withColumnRenamed("color", "component"))
+        v = cut(v.join(found, "id", "left_anti"))
+        size, e = v.count(), cut(_between(v, e))
+    return done
+
+
+def _between(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    for c in ("source", "target"):
+        edges = edges.join(nodes.select(F.col("id").alias(c)), c, "left_semi")
+    return edges.select("source", "target", *(c for c in edges.columns if c not in ("source", "target")))
+
+
+def edges_between(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges both of whose ends are known."""
+    return _between(nodes, edges)
+
+
+def of_type(df: DataFrame, kind: str | None, col: str) -> DataFrame:
+    """All rows, or those of one node_type or edge_type."""
+    return df if kind is None else df.where(F.col(col) == kind)
+
+
+def add_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """New nodes take the place of those with their ids."""
+    return nodes.join(new.select("id"), "id", "left_anti").unionByName(new)
+
+
+def add_edges(edges: DataFrame, new: DataFrame, merge: bool = False) -> DataFrame:
+    """New edges are appended; with merge, one edge of a type stays between two nodes."""
+    both = edges.unionByName(new)
+    return both.dropDuplicates(["source", "target", "edge_type"]) if merge else both
+
+
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes, edges (distinct), is_dag, components (strongly connected), from the transitive closure (small graphs)."""
+    """nodes, edges (distinct), is_dag, components (strongly connected): one row."""
     spark = nodes.sparkSession
     e = edges.select("source", "target").distinct()
     every = nodes.select("id").unionByName(e.select(F.col("source").alias("id"))).unionByName(e.select(F.col("target").alias("id"))).distinct()
-    reach, size = e, -1
-    while reach.count() != size:  # paths double in length each round
-        size = reach.count()
-        longer = reach.alias("a").join(reach.alias("b"), F.col("a.target") == F.col("b.source")).select("a.source", "b.target")
-        reach = reach.unionByName(longer).distinct().persist()
-    mutual = reach.alias("a").join(reach.alias("b"), (F.col("a.source") == F.col("b.target")) & (F.col("a.target") == F.col("b.source"))).groupBy(F.col("a.source").alias("id")).agg(F.min("a.target").alias("least"))
-    scc = every.join(mutual, "id", "left").select(F.least("id", F.coalesce("least", "id")).alias("scc")).agg(F.countDistinct("scc")).scalar()
-    loops = reach.where("source = target").agg(F.count("*")).scalar()
-    return spark.range(1).select(every.agg(F.count("*")).scalar().alias("nodes"), e.agg(F.count("*")).scalar().alias("edges"), (loops == 0).alias("is_dag"), scc.alias("components"))
+    scc = components(every, e).agg(F.countDistinct("component")).scalar()
+    loops = e.where("source = target").agg(F.count("*")).scalar()
+    n = every.agg(F.count("*")).scalar()
+    return spark.range(1).select(n.alias("nodes"), e.agg(F.count("*")).scalar().alias("edges"), ((loops == 0) & (scc == n)).alias("is_dag"), scc.alias("components"))
 
 
 def import_rows(code: str):
@@ -158,6 +215,26 @@ def call_rows(code: str):
             yield "edge", s, t, line
 
 
-def call_graph(docs: DataFrame) -> DataFrame:
-    """doc_id, kind, name, other, line: nodes with their type, edges from caller to a callee that is defined."""
-    return _table(docs, call_rows, "kind string, name string, other string, line int")
+#: Names that a language goes by.
+CALL_LANGUAGES = {"python": ["python", "py"], "typescript": ["typescript", "ts", "tsx"], "go": ["go", "golang"]}
+
+
+def call_graph(docs: DataFrame, language: str | Column = "python") -> DataFrame:
+    """doc_id, kind, name, other, line: nodes with their type, edges from caller to a callee that is defined.
+
+    The language may be a column; sources of other languages give no rows.
+    """
+    name = F.lower(F.lit(language))
+    out = None
+    for known, aliases in CALL_LANGUAGES.items():
+        rows = call_rows if known == "python" else partial(brace_calls, language=known)
+        found = _table(docs.where(name.isin(aliases)), rows, "kind string, name string, other string, line int")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def graph_tables(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (doc_id, id, name, node_type, line_number) and edges (doc_id, source, target, edge_type, line) of call graphs."""
+    nodes = calls.where("kind = 'node'").select("doc_id", F.col("name").alias("id"), F.element_at(F.split("name", r"\."), -1).alias("name"), F.col("other").alias("node_type"), F.col("line").alias("line_number"))
+    edges = calls.where("kind = 'edge'").select("doc_id", F.col("name").alias("source"), F.col("other").alias("target"), F.lit("calls").alias("edge_type"), "line")
+    return nodes, edges

@@ -15,16 +15,12 @@ WEIGHTS = 500_000
 
 def index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(postings: doc_id, term, tf, dl; terms: term, df).  docs: doc_id, text."""
-    t = docs.select("doc_id", tokens(F.col("text")).alias("t"))
+    # Dealt by document once: counting a document's terms and summing its scores then move nothing.
+    t = docs.select("doc_id", tokens(F.col("text")).alias("t")).repartition("doc_id")
     post = t.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     return post, post.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """One row: n, avgdl."""
-    return docs.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-
-
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, qtf) of queries (query_id, text)."""
     return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))

@@ -37,7 +37,7 @@ def range_problem(value: Column, low: int, high: int) -> Column:
     return F.when(value.isNull(), "required").when((value < low) | (value > high), "range")
 
 
-def depth_problem(metadata, most: int = 10) -> str | None:
+def depth_problem(metadata, most: int = 3) -> str | None:
     """Of one decoded JSON value: nesting beyond most, keys that aren't strings or types that JSON lacks."""
     todo = [(metadata, 0)]
     while todo:
@@ -68,3 +68,10 @@ def semver(version: Column) -> Column:
     pattern = r"^v?(\d+)\.(\d+)\.(\d+)(?:[-+].*)?$"
     part = lambda i: F.regexp_extract(version, pattern, i).cast("int")
     return F.when(version.rlike(pattern), F.struct(part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch")))
+
+
+def sanitised(df: DataFrame, *cols: str) -> Column:
+    """A JSON object of the columns: texts, numbers, booleans and nulls stay, everything else becomes its text."""
+    plain = ("string", "tinyint", "smallint", "int", "bigint", "float", "double", "boolean")
+    kinds = dict(df.dtypes)
+    return F.to_json(F.struct(*(F.col(c) if kinds[c] in plain else F.col(c).cast("string").alias(c) for c in cols)), {"ignoreNullFields": "false"})

@@ -63,3 +63,10 @@ def content_changed(index: DataFrame, scanned: DataFrame, order: str = "seq") ->
 def migration_report(collections: DataFrame) -> DataFrame:
     """One row of per-collection results (collection, documents, error): totals, and how many failed."""
     return collections.agg(F.count("*").alias("collections"), F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.count("error").alias("errors"))
+
+
+def progress_marks(df: DataFrame, group: str, order: str, every: int = 10) -> DataFrame:
+    """group, done, total at each `every` rows of a group and at its end."""
+    w = Window.partitionBy(group)
+    out = df.select(group, F.row_number().over(w.orderBy(order)).alias("done"), F.count("*").over(w).alias("total"))
+    return out.where((F.col("done") % every == 0) | (F.col("done") == F.col("total")))

@@ -1,15 +1,19 @@
 """Search over a table of queries: both legs, fusion, late join of texts, rerank, context."""
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.functions.scoring import distance_to_score, ranked, rrf
 from sextant.functions.text import tokens
 from sextant.operators import context
 from sextant.operators.lexical import bm25
+from sextant.operators.metadata import text_problem
 from sextant.operators.vector import knn
+from sextant.plans.providers import embed
 
 
 @dataclass(frozen=True)
@@ -30,12 +34,13 @@ def profile(name: str) -> Profile:
     return PROFILES.get(name, PROFILES["balanced"])
 
 
-def hybrid(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 5, p: Profile = PROFILES["balanced"], where=None) -> DataFrame:
+def hybrid(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 5, p: Profile = PROFILES["balanced"], where=None, leg: int | None = None) -> DataFrame:
     """query_id, rank, doc_id, score, v_rank, b_rank, distance, bm25_score.
 
-    queries: query_id, text, v.  Each leg brings twice int(k * multiplier); where filters the vector leg alone.
+    queries: query_id, text, v.  Each leg brings `leg` rows, else twice int(k * multiplier); where filters the vector leg
+    alone.
     """
-    leg = 2 * int(k * p.multiplier)
+    leg = leg or 2 * int(k * p.multiplier)
     pool = vectors if where is None else vectors.join(docs.where(where).select("doc_id"), "doc_id", "left_semi")
     near = knn(queries.select("query_id", "v"), pool, leg)
     words = bm25(queries.select("query_id", "text"), docs, leg)
@@ -76,15 +81,105 @@ def lexical_rerank(found: DataFrame, queries: DataFrame, k: int | None = None) -
     return ranked(out.withColumnRenamed("rank", "pos"), F.desc("score"), F.col("pos"), k=k)
 
 
-def run(queries: DataFrame, docs: DataFrame, vectors: DataFrame, name: str = "balanced", k: int | None = None) -> DataFrame:
+def no_rerank(found: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """The order as it is, as far as k."""
+    out = found.withColumn("pos", F.col("rank"))
+    return out if k is None else out.where(F.col("rank") <= k)
+
+
+def with_fallback(first, second=no_rerank):
+    """A reranker that falls back where the first one's plan can't be built."""
+
+    def rerank(found, queries, k=None):
+        try:
+            return first(found, queries, k)
+        except Exception:  # noqa: BLE001 - any failure of a model's own code
+            return second(found, queries, k)
+
+    return rerank
+
+
+def model_rerank(score):
+    """A reranker of a model: score(queries' texts, documents' texts) gives numbers, batch by batch."""
+
+    @F.pandas_udf("double")
+    def scored(q: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series(score(list(q), list(text)), dtype=float)
+
+    def rerank(found, queries, k=None):
+        q = queries.select("query_id", F.coalesce("text", F.lit("")).alias("_q"))
+        out = found.drop("score").join(q, "query_id").withColumn("rerank_score", scored("_q", "text")).withColumn("score", F.col("rerank_score")).drop("_q")
+        return ranked(out.withColumnRenamed("rank", "pos"), F.desc("score"), F.col("pos"), k=k)
+
+    return rerank
+
+
+def or_empty(make, schema: str, spark: SparkSession) -> DataFrame:
+    """A leg's table, or an empty one where it can't be read; a ValueError (an unknown collection) is passed on."""
+    try:
+        return make()
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def run(queries: DataFrame, docs: DataFrame, vectors: DataFrame, name: str | Profile = "balanced", k: int | None = None, reranker=lexical_rerank) -> DataFrame:
     """The whole pipeline for a table of queries: query_id, rank, doc_id, score, text, source."""
-    p = profile(name)
+    p = name if isinstance(name, Profile) else profile(name)
     k = k or p.top_k
-    found = hydrate(hybrid(queries, docs, vectors, int(k * p.multiplier), p), docs)
-    found = lexical_rerank(found, queries).drop("rank") if p.rerank else found.withColumnRenamed("rank", "pos")
+    size = int(k * p.multiplier)  # fused rows; each leg brings twice as many
+    found = hydrate(hybrid(queries, docs, vectors, size, p, leg=2 * size), docs)
+    found = reranker(found, queries).drop("rank") if p.rerank else found.withColumnRenamed("rank", "pos")
     return context.build(found, k).select("query_id", "rank", "doc_id", "score", "text", "source")
 
 
+#: A setting's name and the profile's field it overrides.
+OVERRIDES = {"topK": "top_k", "retrieval_multiplier": "multiplier", "rerank": "rerank", "alpha": "alpha", "beta": "beta"}
+
+
+def configured(config: dict):
+    """A pipeline (queries, docs, vectors, k) of a configuration: a profile, overrides, retriever and reranker by type."""
+    if (kind := config.get("type", "default")) != "default":
+        raise ValueError(f"unknown pipeline type {kind}")
+    p = replace(profile(config.get("profile", "balanced")), **{field: config[c] for c, field in OVERRIDES.items() if c in config})
+    retriever, rerank = config.get("retriever", {}), config.get("rerank_config", {})
+    p = replace(p, **{c: retriever[c] for c in ("alpha", "beta", "rrf_k") if c in retriever})
+    kind, how = retriever.get("type", "hybrid"), rerank.get("type", "lexical")
+    if kind not in ("hybrid", "vector"):
+        raise ValueError(f"unknown retriever type {kind}")
+    if how not in ("lexical", "none", "disabled", "model"):
+        raise ValueError(f"unknown reranker type {how}")
+    reranker = model_rerank(rerank["score"]) if how == "model" else lexical_rerank if how == "lexical" else no_rerank
+
+    def pipeline(queries, docs, vectors, k: int | None = None):
+        if kind == "hybrid":
+            return run(queries, docs, vectors, p, k, reranker)
+        near = hydrate(vector_only(queries, vectors, int((k or p.top_k) * p.multiplier)), docs)
+        near = reranker(near, queries).drop("rank") if p.rerank else near.withColumnRenamed("rank", "pos")
+        return context.build(near, k or p.top_k).select("query_id", "rank", "doc_id", "score", "text", "source")
+
+    return pipeline
+
+
+def query_tool(queries: DataFrame, docs: DataFrame, vectors: DataFrame, strategy: str = "balanced", top_k: int = 5) -> DataFrame:
+    """run() with checked arguments: unknown strategies are balanced, sizes below 1 are 5, blank queries have no rows; scores of 4 places."""
+    asked = queries.where(text_problem(F.col("text")).isNull())
+    out = run(asked, docs, vectors, strategy if strategy in PROFILES else "balanced", top_k if top_k > 0 else 5)
+    return out.withColumn("score", F.round("score", 4))
+
+
+def endpoint(queries: DataFrame, docs: DataFrame, vectors: DataFrame, strategy: str = "balanced", top_k: int = 5) -> DataFrame:
+    """query_tool() for 1 to 100 results."""
+    if not 1 <= top_k <= 100:
+        raise ValueError("top_k must be from 1 to 100")
+    return query_tool(queries, docs, vectors, strategy, top_k)
+
+
+def index_search(queries: DataFrame, docs: DataFrame, embedder, n: int = 5) -> DataFrame:
+    """query_id, rank, doc_id, distance, document, source: the nearest documents of queries (query_id, text) by an embedder."""
+    near = knn(embed(queries, embedder, "query_id"), embed(docs, embedder), n).withColumnRenamed("score", "distance")
+    return hydrate(near, docs).withColumnRenamed("text", "document")
+
+
 def vector_only(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     near = knn(queries.select("query_id", "v"), vectors, k)
     return near.withColumn("score", F.round(distance_to_score(F.col("score")), 6))

@@ -1,5 +1,9 @@
 """Files, indexes and graphs as tables, and back."""
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +14,22 @@ TYPES = ["py", "ts", "js", "md", "vue"]
 EXCLUDE = ["node_modules", ".git", "__pycache__", "venv", ".venv", "dist", "build"]
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of our own only where it is unset and the master is local."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sextant-"))
+    return sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh path in that folder."""
+    return f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def decode(content: Column) -> Column:
     """UTF-8, else Latin-1."""
     return F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(F.decode(content, "ISO-8859-1"))
@@ -47,3 +67,14 @@ def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a JSON file with two lists."""
     g = spark.read.option("multiLine", True).json(path)
     return g.select(F.explode("nodes").alias("n")).select("n.*"), g.select(F.explode("edges").alias("e")).select("e.*")
+
+
+def save_graph(path: str, nodes: DataFrame, edges: DataFrame, statistics: DataFrame) -> None:
+    """Three folders of JSON lines."""
+    for name, df in (("nodes", nodes), ("edges", edges), ("statistics", statistics)):
+        df.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def load_graph_folders(spark: SparkSession, path: str, nodes: str, edges: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) as save_graph wrote them, with their schemas."""
+    return spark.read.schema(nodes).json(f"{path}/nodes"), spark.read.schema(edges).json(f"{path}/edges")

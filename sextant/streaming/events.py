@@ -1,15 +1,24 @@
-"""File events: debounce sessions and the fold of a path's events, in batch and as a stream."""
+"""File events: their source and filter, debounce sessions and the fold of a path's events, in batch and as a stream."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sextant.functions.text import excluded, extension
 
-def debounce(events: DataFrame, gap: str, seconds: int) -> DataFrame:
-    """Adds session (from 0) by watcher: a new one after `seconds` of silence."""
-    w = Window.partitionBy("watcher").orderBy("ts", "event_id")
-    since = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))
-    fresh = F.coalesce(since > seconds * 1_000_000, F.lit(False)).cast("int")
-    return events.withColumn("_f", fresh).withColumn("session", F.sum("_f").over(w)).drop("_f")
+
+def debounce(events: DataFrame, seconds: int) -> DataFrame:
+    """Adds session (from 0) by watcher: a new one after `seconds` of silence.
+
+    Events of one interval of that length belong together, so that only the intervals of a busy watcher meet in a window.
+    """
+    gap = seconds * 1_000_000
+    e = events.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("_slot", F.floor(F.col("_at") / gap))
+    slots = e.groupBy("watcher", "_slot").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    w = Window.partitionBy("watcher").orderBy("_slot")
+    fresh = F.coalesce(F.col("_first") - F.lag("_last").over(w) > gap, F.lit(False)).cast("int")
+    slots = slots.withColumn("_f", fresh).select(F.col("watcher").alias("_w"), F.col("_slot").alias("_s"), F.sum("_f").over(w).alias("session"))
+    same = e["watcher"].eqNullSafe(slots["_w"]) & e["_slot"].eqNullSafe(slots["_s"])
+    return e.join(slots, same).drop("_at", "_slot", "_w", "_s")
 
 
 def step(state: Column, kind: Column) -> Column:
@@ -31,10 +40,17 @@ def coalesce_events(events: DataFrame) -> DataFrame:
 
 
 def stream_fold(stream: DataFrame, delay: str = "1 hour", gap: str = "1 second") -> DataFrame:
-    """The same fold on a stream: session windows per watcher and path with a watermark."""
-    kinds = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"])
-    grouped = stream.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), "watcher", "path").agg(kinds.alias("kinds"))
-    out = grouped.select("watcher", "path", F.col("session_window.start").alias("start"), F.aggregate("kinds", F.lit(None).cast("string"), step).alias("event_type"))
+    """The same fold on a stream: session windows per watcher with a watermark, folded path by path."""
+    every = F.array_sort(F.collect_list(F.struct("path", "ts", "event_id", "event_type")))
+    grouped = stream.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), "watcher").agg(every.alias("every"))
+    # In the order of path and time, a path's fold ends where the next path begins.
+    start = F.array().cast("array<struct<path:string,event_type:string>>")
+    last = lambda acc: F.try_element_at(acc, F.lit(-1))
+    one = lambda path, kind: F.array(F.struct(path.alias("path"), kind.alias("event_type")))
+    fold = F.aggregate("every", start, lambda acc, x: F.when(
+        last(acc)["path"].eqNullSafe(x["path"]) & (F.size(acc) > 0), F.concat(F.slice(acc, 1, F.size(acc) - 1), one(x["path"], step(last(acc)["event_type"], x["event_type"])))
+    ).otherwise(F.concat(acc, one(x["path"], step(F.lit(None).cast("string"), x["event_type"])))))
+    out = grouped.select("watcher", F.col("session_window.start").alias("start"), F.explode(fold).alias("x")).select("watcher", "x.path", "start", "x.event_type")
     return out.where("event_type is not null")
 
 
@@ -43,3 +59,54 @@ def apply_changes(index: DataFrame, changes: DataFrame, chunks: DataFrame) -> Da
     gone = index.join(changes.select(F.col("path").alias("source")), "source", "left_anti")
     fresh = chunks.join(changes.where("event_type <> 'deleted'").select(F.col("path").alias("source")), "source", "left_semi")
     return gone.unionByName(fresh)
+
+
+def resolve(path: Column) -> Column:
+    """An absolute path without empty, `.` and `..` steps."""
+    start = F.array().cast("array<string>")
+    up = lambda acc: F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+    parts = F.aggregate(F.split(path, "/"), start, lambda acc, x: F.when(x.isin("", "."), acc).when(x == "..", up(acc)).otherwise(F.concat(acc, F.array(x))))
+    return F.concat(F.lit("/"), F.array_join(parts, "/"))
+
+
+def accepted(path: Column, types: list[str], dirs: list[str]) -> Column:
+    """Whether a watcher looks at a path: no part of it is an excluded folder, and its type is listed (if any is)."""
+    ok = ~excluded(path, dirs) if dirs else F.lit(True)
+    return ok & extension(path).isin(types) if types else ok
+
+
+def watched(raw: DataFrame, types: list[str], dirs: list[str]) -> DataFrame:
+    """Raw events (path, event_type, ...) that count: created, modified and deleted (moves aren't handled), paths resolved."""
+    out = raw.where(F.col("event_type").isin("created", "modified", "deleted")).withColumn("path", resolve(F.col("path")))
+    return out.where(accepted(F.col("path"), types, dirs))
+
+
+def files_stream(spark: SparkSession, root: str, types: list[str], dirs: list[str]) -> DataFrame:
+    """A stream of created events (watcher, path, ts, event_type) of the files that come to lie below root."""
+    kind = "path string, modificationTime timestamp, length long, content binary"
+    f = spark.readStream.format("binaryFile").schema(kind).option("recursiveFileLookup", True).load(root)
+    return f.select(F.lit(root).alias("watcher"), "path", F.col("modificationTime").alias("ts"), F.lit("created").alias("event_type")).where(accepted(F.col("path"), types, dirs))
+
+
+class Watcher:
+    """One stream that is started once and stopped."""
+
+    def __init__(self, start):
+        self._start, self._query = start, None
+
+    @property
+    def running(self) -> bool:
+        return self._query is not None and self._query.isActive
+
+    def start(self) -> bool:
+        if self.running:
+            return False
+        self._query = self._start()
+        return True
+
+    def stop(self) -> bool:
+        was = self.running
+        if was:
+            self._query.stop()
+        self._query = None
+        return was

@@ -2,7 +2,7 @@
 
 import hashlib
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The events that have a handler of their own; others count as pushes.
@@ -41,3 +41,21 @@ def changed_files(pushed: Column) -> Column:
     none = F.array().cast("array<string>")
     per = F.transform(pushed["commits"], lambda c: F.concat(*(F.coalesce(c[x], none) for x in ("added", "modified", "removed"))))
     return F.array_sort(F.array_distinct(F.flatten(F.coalesce(per, F.array(none)))))
+
+
+HANDLERS: dict = {}
+
+
+def on(kind: str):
+    """Register a handler of one kind of event: DataFrame -> DataFrame."""
+
+    def add(f):
+        HANDLERS[kind] = f
+        return f
+
+    return add
+
+
+def dispatch(events: DataFrame, col: str = "kind") -> dict[str, DataFrame]:
+    """Each registered handler's result for the events of its kind; other kinds are left out."""
+    return {kind: handle(events.where(F.col(col) == kind)) for kind, handle in HANDLERS.items()}
