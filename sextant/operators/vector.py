@@ -88,12 +88,13 @@ def _blocks(queries: DataFrame, vectors: DataFrame, k: int, metric: str, ddl: st
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.withColumn("block", deal("query_id", blocks)).withColumn("part", every(parts))
-    right = vectors.withColumn("part", deal("doc_id", parts)).withColumn("block", every(blocks))
+    # A name of its own: both tables may come from the same one, whose columns a cogroup would take for each other.
+    right = vectors.select("doc_id", F.col("v").alias("u")).withColumn("part", deal("doc_id", parts)).withColumn("block", every(blocks))
 
     def nearest(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         best = Best(q["query_id"].to_numpy(), _matrix(q["v"]), k, metric)
         for at in range(0, len(v) if len(q) else 0, 8192):
-            best.add(v["doc_id"].to_numpy()[at : at + 8192], _matrix(v["v"][at : at + 8192]))
+            best.add(v["doc_id"].to_numpy()[at : at + 8192], _matrix(v["u"][at : at + 8192]))
         return best.frame()
 
     return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(nearest, ddl)

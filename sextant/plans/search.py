@@ -177,7 +177,7 @@ def endpoint(queries: DataFrame, docs: DataFrame, vectors: DataFrame, strategy:
 def index_search(queries: DataFrame, docs: DataFrame, embedder, n: int = 5) -> DataFrame:
     """query_id, rank, doc_id, distance, document, source: the nearest documents of queries (query_id, text) by an embedder."""
     near = knn(embed(queries, embedder, "query_id"), embed(docs, embedder), n).withColumnRenamed("score", "distance")
-    return hydrate(near, docs).withColumnRenamed("text", "document")
+    return hydrate(near, docs).select("query_id", "rank", "doc_id", "distance", F.col("text").alias("document"), "source")
 
 
 def vector_only(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
