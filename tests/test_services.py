@@ -165,16 +165,13 @@ def test_events_and_rest(spark, tmp_path):
     raw = [("w", "/a", 0, 1, "created"), ("w", "/b", 1, 2, "modified"), ("w", "/a", 2, 3, "deleted"), ("w", "/b", 9, 4, "deleted"), ("x", "/a", 3, 5, "modified")]
     rows = spark.createDataFrame([(w, p, f"2024-01-01 00:00:0{s}", i, k) for w, p, s, i, k in raw], "watcher string, path string, ts string, event_id int, event_type string").withColumn("ts", F.col("ts").cast("timestamp"))
     assert sorted((r.event_id, r.session) for r in events.debounce(rows, 2).collect()) == [(1, 0), (2, 0), (3, 0), (4, 1), (5, 0)]
-    rows.write.parquet(str(tmp_path / "in"))
     late = spark.createDataFrame([("z", "/z", "2024-01-02", 9, "modified")], "watcher string, path string, ts string, event_id int, event_type string").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows.unionByName(late).coalesce(1).write.parquet(str(tmp_path / "in"))
     s = events.stream_fold(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "1 hour", "2 seconds")
-    start = lambda: s.writeStream.format("memory").queryName("per_watcher").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    start().awaitTermination(60)
-    late.write.mode("append").parquet(str(tmp_path / "in"))
-    w = events.Watcher(start)
-    assert w.start() and not w.running or not w.start()
+    w = events.Watcher(lambda: s.writeStream.format("memory").queryName("per_watcher").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    assert w.start()
     w._query.awaitTermination(60)
-    assert not w.stop()
+    assert not w.running and not w.stop()
     # /a of w is created and deleted within one session of its watcher, although /b comes between.
     assert sorted((r.watcher, r.path, r.event_type) for r in spark.table("per_watcher").collect()) == [("w", "/b", "created"), ("w", "/b", "deleted"), ("x", "/a", "created")]
     paths = spark.createDataFrame([("/a/../b//./c.PY",), ("/../x.md",), ("/node_modules/a.py",)], "p string")
