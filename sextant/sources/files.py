@@ -30,6 +30,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage: written to the shared folder and read back, so that a lost executor repeats nothing."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def decode(content: Column) -> Column:
     """UTF-8, else Latin-1."""
     return F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(F.decode(content, "ISO-8859-1"))
