@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import byte_cnn, license_scan, minhash, mixing, packing, ppm, ranked, suffix_dedup, topk
+from sextant.llm import align, bpe, byte_cnn, license_scan, minhash, mixing, packing, ppm, ranked, suffix_dedup, topk
 from sextant.llm import toxicity as tox
 from sextant.llm.common import table
 from sextant.llm.quality_rules import quality_rules
@@ -57,9 +57,22 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_suffix_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = [public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return align.digests(table(spark, sf_dir, "documents"), *paths)
+
+
 def op12_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.ranked(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 20)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_minhash, op4_byte_cnn, op5_exact_topk, op6_license_scan, op7_mixing, op8_packing, op9_suffix_dedup, op10_ppm, op12_block_max_wand)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_minhash, op4_byte_cnn, op5_exact_topk, op6_license_scan, op7_mixing, op8_packing, op9_suffix_dedup, op10_ppm, op11_tree_bpe, op12_block_max_wand, op13_suffix_transducer)}
 ORACLE_SQL = {"op3_minhash": minhash.SQL, "op5_exact_topk": topk.SQL, "op7_mixing": mixing.SQL, "op12_block_max_wand": ranked.SQL}
