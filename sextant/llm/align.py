@@ -104,6 +104,7 @@ class Aligner:
             raise ValueError(f"{b_path} holds pieces with a space inside, or too many")
         piece = lambda i, n: bytes([int(n[3:-1], 16)]) if self.b.is_byte(i) else n.replace("▁", " ").encode()
         self.transducer = Transducer(self.a.tokens, [piece(i, n) for i, n in enumerate(names)])
+        self.space = self.b.piece_to_id("▁")  # of a text that ends with a space; an empty stretch is encoded as nothing
         self.cache: dict[str, tuple] = {}
 
     def b_bytes(self, ids: list[int]) -> bytes:
@@ -111,7 +112,7 @@ class Aligner:
 
     def stretch(self, text: str) -> tuple | None:
         """(tokens of A, of B, groups, their string, links) of space + text; None if a side doesn't give it back."""
-        a, b, given = self.a.plain(" " + text), self.b.encode(text), (" " + text).encode()
+        a, b, given = self.a.plain(" " + text), self.b.encode(text) or [self.space], (" " + text).encode()
         if self.a.bytes_of(a) != given or self.b_bytes(b) != given:
             return None
         found = self.transducer.groups(a.tolist(), b)
@@ -126,12 +127,15 @@ class Aligner:
         for s in _CUT.split(text):
             row = cache.get(s)
             if row is None:
-                if (row := self.stretch(s)) is None:
-                    return none
+                if (row := self.stretch(s)) is None:  # then the whole text decides
+                    rows = [self.stretch(text)]
+                    break
                 if len(cache) >= STRETCHES:
                     cache.clear()
                 cache[s] = row
             rows.append(row)
+        if rows[0] is None:
+            return none
         n_a, n_b, n, told, links = zip(*rows)
         pairs, counts = np.unique(np.fromiter((p for x in links for p in x), "i8", sum(n)), return_counts=True)
         return sum(n_a), sum(n_b), sum(n), ";".join(told), pairs, counts.astype("i4")
