@@ -36,6 +36,11 @@ def q_text(spark, d) -> DataFrame:
     return t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def lexicon(spark, d) -> lexical.Index:
+    """The kept index of documents."""
+    return lexical.of_table(spark, f"{d}/documents.parquet")
+
+
 def vectors(spark, d) -> DataFrame:
     return t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
 
@@ -88,7 +93,7 @@ LISTING = "ls AS (SELECT lang AS query_id, doc_id, text, source, n_chars::DOUBLE
 
 @query(f"WITH {BM25} SELECT * FROM lex WHERE rank <= 10")
 def bm25_topk(spark, d):
-    return lexical.bm25(q_text(spark, d), t(spark, d, "documents"), 10)
+    return lexical.search(q_text(spark, d), lexicon(spark, d), 10)
 
 
 @query(f"WITH {BM25} SELECT term, df FROM dfs")
@@ -110,7 +115,7 @@ def knn_cosine_topk(spark, d):
 
 @query(f"WITH {BM25}, {KNN}, {fused(20, 0.5, 0.5)} SELECT query_id, doc_id, v_rank, b_rank, distance, bm25_score, score, rank FROM fr WHERE rank <= 5")
 def hybrid_search(spark, d):
-    return search.hybrid(q_both(spark, d), t(spark, d, "documents"), vectors(spark, d), 5)
+    return search.hybrid(q_both(spark, d), t(spark, d, "documents"), vectors(spark, d), 5, lexicon=lexicon(spark, d))
 
 
 @query(f"WITH {BM25}, {KNN}, {fused(10, 0.7, 0.3)} SELECT query_id, doc_id, v_rank, b_rank, distance, bm25_score, score, rank FROM fr")
@@ -126,7 +131,7 @@ dd AS (SELECT *, row_number() OVER (PARTITION BY query_id, text ORDER BY pos) AS
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos)::INTEGER AS rank FROM dd WHERE n = 1)
 SELECT query_id, rank, doc_id, score, text, source FROM rk WHERE rank <= 5""")
 def rag_pipeline(spark, d):
-    return search.run(q_both(spark, d), t(spark, d, "documents"), vectors(spark, d), "balanced")
+    return search.run(q_both(spark, d), t(spark, d, "documents"), vectors(spark, d), "balanced", lexicon=lexicon(spark, d))
 
 
 @query(f"WITH {KNN} SELECT query_id, rank, doc_id, round(CASE WHEN score <= 0 THEN 1.0 ELSE 1 / (1 + score) END, 6) AS score FROM vec WHERE rank <= 5")
@@ -140,7 +145,7 @@ fu AS (SELECT config, k, query_id, doc_id, coalesce(CASE WHEN config = 'accurate
 fr AS (SELECT *, row_number() OVER (PARTITION BY config, query_id ORDER BY score DESC, vr NULLS LAST, lr NULLS LAST) AS rank FROM fu)
 SELECT config, count(*) AS results, round(avg(round(score, 6)), 6) AS avg_score FROM fr WHERE rank <= k GROUP BY config""")
 def benchmark_configs(spark, d):
-    return search.compare(q_both(spark, d), t(spark, d, "documents"), vectors(spark, d), search.PROFILES)
+    return search.compare(q_both(spark, d), t(spark, d, "documents"), vectors(spark, d), search.PROFILES, lexicon(spark, d))
 
 
 @query("SELECT * FROM (VALUES ('fast', 3, 4, 8), ('balanced', 5, 10, 20), ('accurate', 10, 30, 60)) t(profile, top_k, fused, per_leg)")
@@ -647,7 +652,7 @@ def apply_changes(spark, d):
 
 @query(f"WITH {BM25} SELECT lex.* FROM lex SEMI JOIN sc USING (query_id, doc_id) WHERE rank <= 10")
 def bm25_matches(spark, d):
-    return lexical.bm25(q_text(spark, d), t(spark, d, "documents"), 10, pad=False)
+    return lexical.search(q_text(spark, d), lexicon(spark, d), 10, pad=False)
 
 
 REGION_BM25 = BM25.replace("item_id", "r_regionkey").replace(f"unnest({TOK.format('text')}) AS term FROM benchmark", f"unnest({TOK.format('r_name')}) AS term FROM region").replace("FROM benchmark CROSS", "FROM region CROSS")
@@ -694,7 +699,7 @@ def index_search(spark, d):
 
 @query(ORACLE_SQL["rag_pipeline"].replace("SELECT query_id, rank, doc_id, score, text, source FROM rk", "SELECT query_id, rank, doc_id, round(score, 4) AS score FROM rk"))
 def query_tool(spark, d):
-    return search.endpoint(q_both(spark, d), t(spark, d, "documents"), vectors(spark, d), "balanced", 5).select("query_id", "rank", "doc_id", "score")
+    return search.endpoint(q_both(spark, d), t(spark, d, "documents"), vectors(spark, d), "balanced", 5, lexicon(spark, d)).select("query_id", "rank", "doc_id", "score")
 
 
 @query(f"""WITH {BM25}, {KNN}, {fused(8, 0.3, 0.7)}, h AS (SELECT fr.*, coalesce(text, '') AS text FROM fr LEFT JOIN documents USING (doc_id) WHERE rank <= 4),
@@ -702,7 +707,7 @@ dd AS (SELECT *, row_number() OVER (PARTITION BY query_id, text ORDER BY rank) A
 SELECT query_id, rank, doc_id, score FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank)::INTEGER AS rank FROM dd WHERE n = 1) WHERE rank <= 3""")
 def configured_pipeline(spark, d):
     """The profile fast with other weights."""
-    return search.configured({"profile": "fast", "alpha": 0.3, "beta": 0.7})(q_both(spark, d), t(spark, d, "documents"), vectors(spark, d)).select("query_id", "rank", "doc_id", "score")
+    return search.configured({"profile": "fast", "alpha": 0.3, "beta": 0.7})(q_both(spark, d), t(spark, d, "documents"), vectors(spark, d), lexicon=lexicon(spark, d)).select("query_id", "rank", "doc_id", "score")
 
 
 @query("SELECT vec_id // 32 AS batch, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS ids FROM embeddings GROUP BY 1")

@@ -87,7 +87,7 @@ def _shard_lists(rows: pa.Table, impact, top_type: pa.DataType) -> pa.Table:
     df = np.diff(new, append=len(codes))
     place = np.arange(len(codes)) - np.repeat(new, df)
     at = np.flatnonzero(place % BLOCK == 0)
-    ends = np.append(at[1:], len(codes))
+    ends = np.append(at[1:], len(codes))[: len(at)]  # none in a shard without terms
     data = [pack(ords[i:j], tfs[i:j]) for i, j in zip(at.tolist(), ends.tolist())]
     offsets = pa.array(np.append(np.searchsorted(at, new), len(at)), pa.int32())
     blocks = lambda x, kind: pa.ListArray.from_arrays(offsets, pa.array(x, kind))

@@ -1,16 +1,21 @@
-"""BM25 as tables: postings, documents and corpus statistics; queries are a table too."""
+"""BM25 as tables: postings and statistics, and ranked search in a block index; queries are a table too."""
 
-from dataclasses import dataclass
+import hashlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.functions.scoring import PLACES, ranked
 from sextant.functions.text import tokens
+from sextant.operators import blockmax
+from sextant.operators.blockmax import Index, load, save
+from sextant.sources.files import checkpoint_folder
+
+__all__ = ["Index", "bm25", "build", "delete", "index", "load", "of_table", "query_terms", "save", "saved", "search", "upsert"]
 
 K1, B = 1.5, 0.75
-#: Terms of all queries (a row each, under 100 bytes) that are broadcast at most.
-WEIGHTS = 500_000
 
 
 def index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -26,34 +31,55 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-@dataclass(frozen=True)
-class Index:
-    """A BM25 index as tables: documents (doc_id, dl), postings (doc_id, term, tf, dl), terms (term, df)."""
+def counted(docs: DataFrame) -> DataFrame:
+    """doc_id, n, terms, tfs of docs (doc_id, text): each document's terms, counted where it lies."""
+    rows = docs.select("doc_id", tokens(F.col("text")).alias("t"))
 
-    documents: DataFrame
-    postings: DataFrame
-    terms: DataFrame | None = None
+    def run(batches):
+        for b in batches:
+            t = b.column(1)
+            words = t.flatten().dictionary_encode()
+            size = max(len(words.dictionary), 1)
+            n = np.asarray(t.value_lengths()).astype("i8")
+            at, tf = np.unique(np.repeat(np.arange(len(n)), n) * size + np.asarray(words.indices), return_counts=True)
+            ends = pa.array(np.searchsorted(at, np.arange(len(n) + 1) * size), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (words.dictionary.take(pa.array(at % size)), pa.array(tf, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), *lists], names=["doc_id", "n", "terms", "tfs"])
 
-    def sizes(self):
-        """struct(n, avgdl) as a scalar subquery."""
-        return self.documents.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).select(F.struct("n", "avgdl").alias("s")).scalar()
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {blockmax.COUNTED}")
 
 
-def build(docs: DataFrame) -> Index:
-    """The index of docs (doc_id, text), not yet computed; terms are counted when they are asked for."""
-    return Index(docs.select("doc_id", F.size(tokens(F.col("text"))).alias("dl")), index(docs)[0])
+def impact(rows: int, full: int, total: int):
+    """A term's share before its weight, of arrays (tf, length)."""
+    mean = total / rows if rows else 1.0
+    return lambda tf, n: tf / (tf + K1 * (1 - B + B * n / mean))
+
+
+def weight(df: int, rows: int, full: int, total: int) -> float:
+    return float(np.log(1 + (rows - df + 0.5) / (df + 0.5)))
 
 
-def save(built: Index, path: str) -> None:
-    """Write the tables; postings lie in ranges of terms, so that a reader's files are pruned by term."""
-    built.documents.write.mode("overwrite").parquet(f"{path}/documents")
-    built.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    kept = built.documents.sparkSession.read.parquet(f"{path}/postings")
-    kept.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+def build(docs: DataFrame) -> Index:
+    """The block index of docs (doc_id, text), as written tables."""
+    return blockmax.build(counted(docs), impact)
+
 
+def of_table(spark: SparkSession, path: str) -> Index:
+    """The index of a Parquet table (doc_id, text): built and saved at its first use, and again when its files change.
 
-def load(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("documents", "postings", "terms")))
+    It lies in the checkpoint folder under a name made of the table's path and its files' sizes and times.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+    seen = [path, spark.sparkContext.applicationId]
+    while files.hasNext():
+        f = files.next()
+        seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    to = f"{checkpoint_folder(spark)}/lexicon-{hashlib.md5(chr(10).join(sorted(seen)).encode()).hexdigest()}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{to}/lists/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        save(build(spark.read.parquet(path)), to)
+    return load(spark, to)
 
 
 def delete(spark: SparkSession, path: str) -> bool:
@@ -67,33 +93,23 @@ def saved(spark: SparkSession, root: str) -> list[str]:
     at = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     found = fs.listStatus(at) if fs.exists(at) else []
-    return sorted(f.getPath().getName() for f in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "terms")))
+    return sorted(f.getPath().getName() for f in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "lists")))
 
 
 def search(queries: DataFrame, built: Index, k: int = 10, pad: bool = True) -> DataFrame:
     """query_id, rank, doc_id, score: the k best documents of each query (query_id, text).
 
     Ranks go by scores of PLACES places, beyond which the order of a sum shows; the score given has 6.  With pad,
-    documents without a match fill up, least ids first.  Weights of the queries' terms are broadcast if they are few:
-    postings, gathered by document, then meet them where they lie, and only each task's k best rows of a query move on.
+    documents without a match fill up, least ids first.  The blocks that can't hold one of the k best aren't unpacked.
     """
-    wanted = query_terms(queries)
-    post = built.postings.join(wanted.select("term").distinct(), "term", "left_semi")
-    df = (post.groupBy("term").agg(F.count("*").alias("df"))) if built.terms is None else built.terms
-    s = built.sizes()
-    idf = F.log(1 + (F.col("s.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = wanted.join(df, "term").withColumn("s", s).select("query_id", "term", (F.col("qtf") * idf).alias("w"))
-    if wanted.limit(WEIGHTS + 1).count() <= WEIGHTS:
-        weights, post = F.broadcast(weights), built.postings.repartition("doc_id") if built.terms is not None else built.postings
-    hits = post.join(weights, "term").withColumn("s", s)
-    part = F.col("w") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("s.avgdl")))
-    found = hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
-    top = ranked(found, F.round("score", PLACES).desc(), F.col("doc_id"), k=k)
+    found = blockmax.search(query_terms(queries), built, k, impact, weight, "double", PLACES)
+    found = found.withColumn("query_id", F.col("query_id").cast(queries.schema["query_id"].dataType))
+    top = ranked(found, F.desc("score"), F.col("doc_id"), k=k)
     if pad:  # at most k of the 2k least ids can be among the matches
         low = built.documents.select("doc_id").orderBy("doc_id").limit(2 * k).agg(F.collect_list("doc_id").alias("ids"))
         rest = queries.select("query_id").withColumn("ids", low.scalar()).select("query_id", F.explode("ids").alias("doc_id"))
         rest = rest.join(top.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
-        top = ranked(top.drop("rank").unionByName(rest), F.round("score", PLACES).desc(), F.col("doc_id"), k=k)
+        top = ranked(top.drop("rank").unionByName(rest), F.desc("score"), F.col("doc_id"), k=k)
     return top.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions.scoring import distance_to_score, ranked, rrf
 from sextant.functions.text import tokens
-from sextant.operators import context
-from sextant.operators.lexical import bm25
+from sextant.operators import context, lexical
 from sextant.operators.metadata import text_problem
 from sextant.operators.vector import knn
 from sextant.plans.providers import embed
@@ -34,20 +33,20 @@ def profile(name: str) -> Profile:
     return PROFILES.get(name, PROFILES["balanced"])
 
 
-def hybrid(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 5, p: Profile = PROFILES["balanced"], where=None, leg: int | None = None) -> DataFrame:
+def hybrid(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 5, p: Profile = PROFILES["balanced"], where=None, leg: int | None = None, lexicon: lexical.Index | None = None) -> DataFrame:
     """query_id, rank, doc_id, score, v_rank, b_rank, distance, bm25_score.
 
     queries: query_id, text, v.  Each leg brings `leg` rows, else twice int(k * multiplier); where filters the vector leg
-    alone.
+    alone.  lexicon: a kept index of docs, else one is built.
     """
     leg = leg or 2 * int(k * p.multiplier)
     pool = vectors if where is None else vectors.join(docs.where(where).select("doc_id"), "doc_id", "left_semi")
     near = knn(queries.select("query_id", "v"), pool, leg)
-    words = bm25(queries.select("query_id", "text"), docs, leg)
+    words = lexical.search(queries.select("query_id", "text"), lexicon or lexical.build(docs), leg)
     return rrf(near, words, p.rrf_k, p.alpha, p.beta).where(F.col("rank") <= k)
 
 
-def compare(queries: DataFrame, docs: DataFrame, vectors: DataFrame, profiles: dict[str, Profile]) -> DataFrame:
+def compare(queries: DataFrame, docs: DataFrame, vectors: DataFrame, profiles: dict[str, Profile], lexicon: lexical.Index | None = None) -> DataFrame:
     """config, results, avg_score of several profiles by one run of both legs, at the largest size any of them asks for."""
     sizes = {name: 2 * int(p.top_k * p.multiplier) for name, p in profiles.items()}
     legs = F.explode(F.array(*(F.struct(F.lit(c).alias("config"), F.lit(n).alias("leg")) for c, n in sizes.items()))).alias("c")
@@ -62,7 +61,7 @@ def compare(queries: DataFrame, docs: DataFrame, vectors: DataFrame, profiles: d
         return pick[F.col("query_id.config")]
 
     near = knn(queries.select("query_id", "v"), vectors, leg)
-    words = bm25(queries.select("query_id", "text"), docs, leg)
+    words = lexical.search(queries.select("query_id", "text"), lexicon or lexical.build(docs), leg)
     fused = rrf(per_config(near), per_config(words), of("rrf_k"), of("alpha"), of("beta")).where(F.col("rank") <= of("top_k"))
     return fused.groupBy("query_id.config").agg(F.count("*").alias("results"), F.round(F.avg("score"), 6).alias("avg_score"))
 
@@ -122,12 +121,12 @@ def or_empty(make, schema: str, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def run(queries: DataFrame, docs: DataFrame, vectors: DataFrame, name: str | Profile = "balanced", k: int | None = None, reranker=lexical_rerank) -> DataFrame:
+def run(queries: DataFrame, docs: DataFrame, vectors: DataFrame, name: str | Profile = "balanced", k: int | None = None, reranker=lexical_rerank, lexicon: lexical.Index | None = None) -> DataFrame:
     """The whole pipeline for a table of queries: query_id, rank, doc_id, score, text, source."""
     p = name if isinstance(name, Profile) else profile(name)
     k = k or p.top_k
     size = int(k * p.multiplier)  # fused rows; each leg brings twice as many
-    found = hydrate(hybrid(queries, docs, vectors, size, p, leg=2 * size), docs)
+    found = hydrate(hybrid(queries, docs, vectors, size, p, leg=2 * size, lexicon=lexicon), docs)
     found = reranker(found, queries).drop("rank") if p.rerank else found.withColumnRenamed("rank", "pos")
     return context.build(found, k).select("query_id", "rank", "doc_id", "score", "text", "source")
 
@@ -150,9 +149,9 @@ def configured(config: dict):
         raise ValueError(f"unknown reranker type {how}")
     reranker = model_rerank(rerank["score"]) if how == "model" else lexical_rerank if how == "lexical" else no_rerank
 
-    def pipeline(queries, docs, vectors, k: int | None = None):
+    def pipeline(queries, docs, vectors, k: int | None = None, lexicon: lexical.Index | None = None):
         if kind == "hybrid":
-            return run(queries, docs, vectors, p, k, reranker)
+            return run(queries, docs, vectors, p, k, reranker, lexicon)
         near = hydrate(vector_only(queries, vectors, int((k or p.top_k) * p.multiplier)), docs)
         near = reranker(near, queries).drop("rank") if p.rerank else near.withColumnRenamed("rank", "pos")
         return context.build(near, k or p.top_k).select("query_id", "rank", "doc_id", "score", "text", "source")
@@ -160,18 +159,18 @@ def configured(config: dict):
     return pipeline
 
 
-def query_tool(queries: DataFrame, docs: DataFrame, vectors: DataFrame, strategy: str = "balanced", top_k: int = 5) -> DataFrame:
+def query_tool(queries: DataFrame, docs: DataFrame, vectors: DataFrame, strategy: str = "balanced", top_k: int = 5, lexicon: lexical.Index | None = None) -> DataFrame:
     """run() with checked arguments: unknown strategies are balanced, sizes below 1 are 5, blank queries have no rows; scores of 4 places."""
     asked = queries.where(text_problem(F.col("text")).isNull())
-    out = run(asked, docs, vectors, strategy if strategy in PROFILES else "balanced", top_k if top_k > 0 else 5)
+    out = run(asked, docs, vectors, strategy if strategy in PROFILES else "balanced", top_k if top_k > 0 else 5, lexicon=lexicon)
     return out.withColumn("score", F.round("score", 4))
 
 
-def endpoint(queries: DataFrame, docs: DataFrame, vectors: DataFrame, strategy: str = "balanced", top_k: int = 5) -> DataFrame:
+def endpoint(queries: DataFrame, docs: DataFrame, vectors: DataFrame, strategy: str = "balanced", top_k: int = 5, lexicon: lexical.Index | None = None) -> DataFrame:
     """query_tool() for 1 to 100 results."""
     if not 1 <= top_k <= 100:
         raise ValueError("top_k must be from 1 to 100")
-    return query_tool(queries, docs, vectors, strategy, top_k)
+    return query_tool(queries, docs, vectors, strategy, top_k, lexicon)
 
 
 def index_search(queries: DataFrame, docs: DataFrame, embedder, n: int = 5) -> DataFrame:

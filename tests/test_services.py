@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sextant import config
 from sextant.functions.source import brace_calls
-from sextant.operators import chunking, govern, graph, lexical, metadata, storage, vector
+from sextant.operators import blockmax, chunking, govern, graph, lexical, metadata, storage, vector
 from sextant.plans import providers, search
 from sextant.sources import files
 from sextant.streaming import events, webhook
@@ -96,7 +96,7 @@ def test_index_kept(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "ix" / "a")
     lexical.save(lexical.build(docs), path)
     assert rows(lexical.search(q, lexical.load(spark, path), 3)) == want
-    monkeypatch.setattr(lexical, "WEIGHTS", 0)
+    monkeypatch.setattr(blockmax, "WEIGHTS", 1)  # a part for each term of the queries
     assert rows(lexical.search(q, lexical.load(spark, path), 3)) == want == rows(lexical.bm25(q, docs, 3))
     assert lexical.saved(spark, str(tmp_path / "ix")) == ["a"] and lexical.delete(spark, path) and not lexical.delete(spark, path)
     assert lexical.saved(spark, str(tmp_path / "none")) == []
