@@ -847,3 +847,41 @@ def module_dependencies_code(spark, d):
 @query("SELECT doc_id, i::INTEGER AS chunk_index, name, line::INTEGER AS start_line FROM documents, (VALUES (0, 'head', 5), (1, 'tail', 9)) c(i, name, line) WHERE doc_id % 3 = 0")
 def code_chunks(spark, d):
     return chunking.code(_code(spark, d).where("language = 'python'"), "python").select("doc_id", "chunk_index", "name", "start_line")
+
+
+# --- failures at run time ----------------------------------------------------------------------------------------
+
+def _sometimes(queries: list[str], texts: list[str]) -> list[float]:
+    """A model that can't take queries whose length divides by 3."""
+    if any(len(q) % 3 == 0 for q in queries):
+        raise RuntimeError("the model is down")
+    return [len(x) % 97 / 97 for x in texts]
+
+
+@query(f"""WITH {BM25}, {KNN}, {fused(20, 0.5, 0.5)},
+h AS (SELECT fr.query_id, fr.doc_id, fr.rank AS pos, length(b.text) % 3 = 0 AS failed, length(coalesce(documents.text, '')) % 97 / 97.0::DOUBLE AS m FROM fr JOIN benchmark b ON b.item_id = fr.query_id LEFT JOIN documents USING (doc_id) WHERE fr.rank <= 10)
+SELECT query_id, doc_id, failed, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN failed THEN 0 ELSE m END DESC, pos)::INTEGER AS rank FROM h""")
+def rerank_fallback(spark, d):
+    """A model that fails for some queries: those keep the order of the fusion, the others have the model's."""
+    q, docs = q_both(spark, d), t(spark, d, "documents")
+    found = search.hydrate(search.hybrid(q, docs, vectors(spark, d), 10, leg=20, lexicon=lexicon(spark, d)), docs)
+    out = search.with_fallback(search.model_rerank(_sometimes))(found, q)
+    return out.select("query_id", "doc_id", F.col("rerank_score").isNull().alias("failed"), "rank")
+
+
+def _part_time(texts: list[str]):
+    if any(len(x) % 3 == 0 and len(x) > 0 for x in texts):
+        raise RuntimeError("the embedder is down")
+    return providers.get("embedding", "hash", dim=16)(texts)
+
+
+@query(f"""WITH {BM25}, q AS ({EMBEDDED.format(id='item_id', table='benchmark')}), e AS ({EMBEDDED.format(id='doc_id', table='documents')}),
+g AS (SELECT item_id AS query_id, doc_id, i AS b FROM benchmark, documents, range(16) r(i) WHERE length(benchmark.text) % 3 <> 0),
+x AS (SELECT query_id, g.doc_id, sum((coalesce(q.v, 0) - coalesce(e.v, 0)) ** 2) AS x FROM g LEFT JOIN q ON q.item_id = query_id AND q.b = g.b LEFT JOIN e ON e.doc_id = g.doc_id AND e.b = g.b GROUP BY ALL),
+vec AS (SELECT query_id, doc_id, round(x, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(x, 10), doc_id)::INTEGER AS rank FROM x), {fused(20, 0.5, 0.5)}
+SELECT query_id, rank, doc_id, v_rank, b_rank FROM fr WHERE rank <= 5""")
+def embedder_failures(spark, d):
+    """An embedder that fails for some queries: those are answered by the lexical leg alone."""
+    asked = providers.embed(q_text(spark, d), _part_time, "query_id", guard=True).drop("failure").join(q_text(spark, d), "query_id")
+    held = providers.embed(t(spark, d, "documents"), providers.get("embedding", "hash", dim=16))
+    return search.hybrid(asked, t(spark, d, "documents"), held, 5, leg=20, lexicon=lexicon(spark, d)).select("query_id", "rank", "doc_id", "v_rank", "b_rank")

@@ -92,17 +92,34 @@ def hashing(dim: int = 64) -> Embedder:
     return embed
 
 
-def embed(texts: DataFrame, embedder: Embedder, id_col: str = "doc_id", batch: int = 32) -> DataFrame:
-    """id, v of texts (id, text), batch by batch in their order; a null text counts as empty."""
+def embed(texts: DataFrame, embedder: Embedder, id_col: str = "doc_id", batch: int = 32, guard: bool = False) -> DataFrame:
+    """id, v of texts (id, text), batch by batch in their order; a null text counts as empty.
+
+    With guard there is a column failure: where a batch fails its texts are asked one by one, and one that fails again has
+    no vector and the error's text.
+    """
     import pandas as pd
 
+    def call(held: list[str]) -> tuple[list, list]:
+        try:
+            return list(embedder(held)), [None] * len(held)
+        except Exception as e:  # noqa: BLE001 - any failure of a model's own code
+            if not guard:
+                raise
+            if len(held) == 1:
+                return [None], [f"{type(e).__name__}: {e}"]
+            parts = [call([t]) for t in held]
+            return [v for p in parts for v in p[0]], [f for p in parts for f in p[1]]
+
     def run(frames):
         for b in frames:
             for at in range(0, len(b), batch):
                 part = b[at : at + batch]
-                yield pd.DataFrame({id_col: part[id_col], "v": list(embedder([t or "" for t in part["text"]]))})
+                v, failure = call([t or "" for t in part["text"]])
+                yield pd.DataFrame({id_col: part[id_col], "v": pd.Series(v, part.index, dtype=object)} | ({"failure": pd.Series(failure, part.index, dtype=object)} if guard else {}))
 
-    return texts.select(id_col, "text").mapInPandas(run, f"{id_col} {texts.schema[id_col].dataType.simpleString()}, v array<double>")
+    schema = f"{id_col} {texts.schema[id_col].dataType.simpleString()}, v array<double>{', failure string' * guard}"
+    return texts.select(id_col, "text").mapInPandas(run, schema)
 
 
 def reorder(answers: Column) -> Column:

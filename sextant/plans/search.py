@@ -3,7 +3,8 @@
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from sextant.operators import context, lexical
 from sextant.operators.metadata import text_problem
 from sextant.operators.vector import knn
 from sextant.plans.providers import embed
+from sextant.sources.files import materialize
 
 
 @dataclass(frozen=True)
@@ -37,12 +39,15 @@ def hybrid(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 5,
     """query_id, rank, doc_id, score, v_rank, b_rank, distance, bm25_score.
 
     queries: query_id, text, v.  Each leg brings `leg` rows, else twice int(k * multiplier); where filters the vector leg
-    alone.  lexicon: a kept index of docs, else one is built.
+    alone.  lexicon: a kept index of docs, else one is built.  A leg that can't be read is empty, and a query without a
+    vector (its embedder failed) has the lexical leg alone.
     """
     leg = leg or 2 * int(k * p.multiplier)
     pool = vectors if where is None else vectors.join(docs.where(where).select("doc_id"), "doc_id", "left_semi")
-    near = knn(queries.select("query_id", "v"), pool, leg)
-    words = lexical.search(queries.select("query_id", "text"), lexicon or lexical.build(docs), leg)
+    id_type, doc_type = (df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (docs, "doc_id")))
+    shape = f"query_id {id_type}, rank int, doc_id {doc_type}, score double"
+    near = or_empty(lambda: knn(queries.select("query_id", "v"), pool, leg), shape, queries.sparkSession)
+    words = or_empty(lambda: lexical.search(queries.select("query_id", "text"), lexicon or lexical.build(docs), leg), shape, queries.sparkSession)
     return rrf(near, words, p.rrf_k, p.alpha, p.beta).where(F.col("rank") <= k)
 
 
@@ -86,38 +91,84 @@ def no_rerank(found: DataFrame, queries: DataFrame, k: int | None = None) -> Dat
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def with_fallback(first, second=no_rerank):
-    """A reranker that falls back where the first one's plan can't be built."""
+def model_scores(score):
+    """found, queries -> found with rerank_score and failure, by a model: score(queries' texts, documents' texts) gives numbers.
 
-    def rerank(found, queries, k=None):
+    Where a call fails, each query of the batch is called for itself; rows of one that fails again have no score, and failure
+    says why.  The other queries' rows aren't touched.
+    """
+
+    def call(q: pd.Series, text: pd.Series) -> pd.DataFrame:
         try:
-            return first(found, queries, k)
-        except Exception:  # noqa: BLE001 - any failure of a model's own code
-            return second(found, queries, k)
+            return pd.DataFrame({"score": pd.Series(score(list(q), list(text)), dtype=float), "failure": None})
+        except Exception as e:  # noqa: BLE001 - any failure of a model's own code
+            parts = [list(at) for at in q.groupby(q).groups.values()]
+            if len(parts) == 1:
+                return pd.DataFrame({"score": [None] * len(q), "failure": f"{type(e).__name__}: {e}"})
+            each = [call(q[at].reset_index(drop=True), text[at].reset_index(drop=True)).set_index(pd.Index(at)) for at in parts]
+            return pd.concat(each).sort_index()
+
+    @F.pandas_udf("score double, failure string")
+    def scored(q: pd.Series, text: pd.Series) -> pd.DataFrame:
+        return call(q, text)
+
+    def scores(found: DataFrame, queries: DataFrame) -> DataFrame:
+        q = queries.select("query_id", F.coalesce("text", F.lit("")).alias("_q"))
+        out = found.join(q, "query_id").withColumn("_s", scored("_q", "text"))
+        return out.withColumns({"rerank_score": F.col("_s.score"), "failure": F.col("_s.failure")}).drop("_q", "_s")
+
+    return scores
 
-    return rerank
+
+def _by_model(scored: DataFrame, k: int | None) -> DataFrame:
+    out = scored.drop("failure").withColumn("score", F.col("rerank_score"))
+    return ranked(out.withColumnRenamed("rank", "pos"), F.desc("score"), F.col("pos"), k=k)
 
 
 def model_rerank(score):
-    """A reranker of a model: score(queries' texts, documents' texts) gives numbers, batch by batch."""
+    """A reranker of a model (see model_scores); a failure ends the query, unless it stands in with_fallback."""
+    scores = model_scores(score)
 
-    @F.pandas_udf("double")
-    def scored(q: pd.Series, text: pd.Series) -> pd.Series:
-        return pd.Series(score(list(q), list(text)), dtype=float)
+    def rerank(found, queries, k=None):
+        out = scores(found, queries)
+        held = F.when(F.col("failure").isNull(), F.col("rerank_score")).otherwise(F.raise_error(F.col("failure")).cast("double"))
+        return _by_model(out.withColumn("rerank_score", held), k)
+
+    rerank.scores = scores
+    return rerank
+
+
+def with_fallback(first, second=no_rerank):
+    """A reranker that gives each query for which the first one fails to the second.
+
+    A model's answers are written once, so that it isn't called again by the second branch: queries without a failure are
+    ranked by them, the others go to the second reranker as they were found.  For a reranker without a model only building
+    its plan can fail; then all queries go to the second.
+    """
 
     def rerank(found, queries, k=None):
-        q = queries.select("query_id", F.coalesce("text", F.lit("")).alias("_q"))
-        out = found.drop("score").join(q, "query_id").withColumn("rerank_score", scored("_q", "text")).withColumn("score", F.col("rerank_score")).drop("_q")
-        return ranked(out.withColumnRenamed("rank", "pos"), F.desc("score"), F.col("pos"), k=k)
+        if not hasattr(first, "scores"):
+            try:
+                return first(found, queries, k)
+            except Exception:  # noqa: BLE001 - any failure of a reranker's own code
+                return second(found, queries, k)
+        scored = materialize(first.scores(found, queries))
+        failed = scored.where("failure is not null").select("query_id").distinct()
+        good = _by_model(scored.join(failed, "query_id", "left_anti"), k)
+        rest = second(scored.drop("rerank_score", "failure").join(failed, "query_id", "left_semi"), queries, k)
+        return good.unionByName(rest, allowMissingColumns=True)
 
     return rerank
 
 
 def or_empty(make, schema: str, spark: SparkSession) -> DataFrame:
-    """A leg's table, or an empty one where it can't be read; a ValueError (an unknown collection) is passed on."""
+    """A leg's table, or an empty one where it can't be read, by its plan or by a job of its own.
+
+    A ValueError (an unknown collection) is passed on.
+    """
     try:
         return make()
-    except AnalysisException:
+    except (PySparkException, Py4JJavaError):
         return spark.createDataFrame([], schema)
 
 
@@ -147,7 +198,7 @@ def configured(config: dict):
         raise ValueError(f"unknown retriever type {kind}")
     if how not in ("lexical", "none", "disabled", "model"):
         raise ValueError(f"unknown reranker type {how}")
-    reranker = model_rerank(rerank["score"]) if how == "model" else lexical_rerank if how == "lexical" else no_rerank
+    reranker = with_fallback(model_rerank(rerank["score"])) if how == "model" else lexical_rerank if how == "lexical" else no_rerank
 
     def pipeline(queries, docs, vectors, k: int | None = None, lexicon: lexical.Index | None = None):
         if kind == "hybrid":
