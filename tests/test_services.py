@@ -167,7 +167,7 @@ def test_events_and_rest(spark, tmp_path):
     assert sorted((r.event_id, r.session) for r in events.debounce(rows, 2).collect()) == [(1, 0), (2, 0), (3, 0), (4, 1), (5, 0)]
     late = spark.createDataFrame([("z", "/z", "2024-01-02", 9, "modified")], "watcher string, path string, ts string, event_id int, event_type string").withColumn("ts", F.col("ts").cast("timestamp"))
     rows.unionByName(late).coalesce(1).write.parquet(str(tmp_path / "in"))
-    s = events.stream_fold(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "1 hour", "2 seconds")
+    s = events.stream_fold(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "1 hour", 2)
     w = events.Watcher(lambda: s.writeStream.format("memory").queryName("per_watcher").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
     assert w.start()
     w._query.awaitTermination(60)
