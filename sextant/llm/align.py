@@ -9,23 +9,17 @@ The transducer reads whichever side lags.  Its state is the side that leads and
 suffix; a transition takes a state and the next token to the next state and is computed once in a worker.  Where the
 suffix is empty a group closes.  The last tokens of a group's sides end together and are its link.
 
-Texts are taken in stretches that begin with a space after something else.  Neither side has a token across such a place
-(A's pattern always splits there; no piece of B holds a space after another character, which is checked when it is loaded), so
-both end a token there and a group closes.  Frequent stretches are encoded and aligned once in a worker and looked up.
-
 Two tokens are linked only if the bytes of one end with those of the other, so there are at most as many different pairs as
 both vocabularies have bytes together (some 600,000).  Their corpus-wide counts are summed from counts a document and then
 fit a broadcast at any size of the corpus.
 
 Texts that are null or empty, or that either side doesn't give back byte by byte (B writes spaces for U+2581), have no tokens:
 zeros and an empty string of groups.  Repeated rows count each; null ids are carried along; an empty table gives an empty
-result.  Very long texts are aligned in one task, a stretch at a time.  Columns beside doc_id and text aren't read.
+result.  Very long texts are aligned whole, in one task.  Columns beside doc_id and text aren't read.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,24 +28,23 @@ from pyspark.sql import functions as F
 from sextant.llm.bpe import Bpe, bpe
 from sextant.llm.common import materialize
 
-#: Stretches that a worker keeps; a full cache begins anew.
-STRETCHES = 200_000
 #: Characters of text after which a batch is given back.
 OUT = 1 << 21
 #: A pair (a, b) is a * WIDTH + b.
 WIDTH = 1 << 16
 
-_CUT = re.compile(r"(?<=\S) ")
-
 
 class Transducer:
     """Groups of two token sequences over the same bytes."""
 
     def __init__(self, a_tokens: list[bytes], b_tokens: list[bytes]):
         self.tokens = a_tokens, b_tokens
-        self.states: list[tuple[int, bytes]] = [(0, b"")]  # (the side that leads, what it leads by); 0: even
-        self.numbers = {(0, b""): 0}
-        self.moves: tuple[dict, dict] = {}, {}
+        self.states: list[tuple[int, bytes]] = [(1, b"")]  # (the side that leads, the bytes that it leads by); 0: even, A is next
+        self.numbers = {(1, b""): 0}
+        self.lags = [0]  # the side that is read in a state
+        self.moves: tuple[dict[int, int], dict[int, int]] = {}, {}  # state and next token to state
+        self.told: dict[int, str] = {}  # groups of one token a side
+        self.words = [str(i) for i in range(max(len(a_tokens), len(b_tokens)))]
 
     def move(self, state: int, side: int, token: int) -> int:
         lead, rest = self.states[state]
@@ -64,35 +57,56 @@ class Transducer:
             lead, rest = side, new[len(rest) :]
         else:
             raise ValueError("the sides hold different bytes")
-        key = (lead, rest) if rest else (0, b"")
+        key = (lead, rest) if rest else (1, b"")
         if key not in self.numbers:
             self.numbers[key] = len(self.states)
             self.states.append(key)
-        self.moves[side][state, token] = self.numbers[key]
+            self.lags.append(1 - lead)
+        self.moves[side][state * WIDTH + token] = self.numbers[key]
         return self.numbers[key]
 
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]]:
-        out, i, j, i0, j0, state = [], 0, 0, 0, 0, 0
-        to_a, to_b = self.moves
-        while i < len(a) or j < len(b):
-            side = 0 if not state else 1 - self.states[state][0]
-            if side == 0:
-                key = state, a[i]
+    def groups(self, a: list[int], b: list[int]) -> tuple[list[str], list[int]]:
+        """Each group as `a1,a2|b1,b2`, and its link, the pair of its last tokens.
+
+        The two moves of a group of one token a side are kept as one.
+        """
+        told, links, known, lags, words = [], [], self.told, self.lags, self.words
+        to_a, to_b = (m.get for m in self.moves)
+        i = j = 0
+        n_a, n_b = len(a), len(b)
+        while i < n_a and j < n_b:
+            link = a[i] * WIDTH + b[j]
+            if link in known:
+                told.append(known[link])
+                links.append(link)
                 i += 1
-                new = to_a.get(key)
-            else:
-                key = state, b[j]
                 j += 1
-                new = to_b.get(key)
-            state = self.move(state, side, key[1]) if new is None else new
-            if not state:
-                out.append((a[i0:i], b[j0:j]))
-                i0, j0 = i, j
-        return out
+                continue
+            i0, j0, state = i, j, 0
+            while True:
+                if lags[state]:
+                    new = to_b(state * WIDTH + b[j])
+                    if new is None:
+                        new = self.move(state, 1, b[j])
+                    j += 1
+                else:
+                    new = to_a(state * WIDTH + a[i])
+                    if new is None:
+                        new = self.move(state, 0, a[i])
+                    i += 1
+                state = new
+                if not state:
+                    break
+            group = f"{','.join([words[x] for x in a[i0:i]])}|{','.join([words[x] for x in b[j0:j]])}"
+            if i - i0 == 1 and j - j0 == 1:
+                known[link] = group
+            told.append(group)
+            links.append(a[i - 1] * WIDTH + b[j - 1])
+        return told, links
 
 
 class Aligner:
-    """Both tokenizers, the transducer and the cache of a worker."""
+    """Both tokenizers and the transducer of a worker."""
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
@@ -100,45 +114,21 @@ class Aligner:
         self.a: Bpe = bpe(a_path)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        if any("▁" in n.lstrip("▁") for n in names) or len(names) > WIDTH:
-            raise ValueError(f"{b_path} holds pieces with a space inside, or too many")
+        if max(len(names), len(self.a.tokens)) > WIDTH:
+            raise ValueError("a vocabulary holds too many tokens")
         piece = lambda i, n: bytes([int(n[3:-1], 16)]) if self.b.is_byte(i) else n.replace("▁", " ").encode()
         self.transducer = Transducer(self.a.tokens, [piece(i, n) for i, n in enumerate(names)])
-        self.space = self.b.piece_to_id("▁")  # of a text that ends with a space; an empty stretch is encoded as nothing
-        self.cache: dict[str, tuple] = {}
-
-    def b_bytes(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.transducer.tokens[1].__getitem__, ids))
-
-    def stretch(self, text: str) -> tuple | None:
-        """(tokens of A, of B, groups, their string, links) of space + text; None if a side doesn't give it back."""
-        a, b, given = self.a.plain(" " + text), self.b.encode(text) or [self.space], (" " + text).encode()
-        if self.a.bytes_of(a) != given or self.b_bytes(b) != given:
-            return None
-        found = self.transducer.groups(a.tolist(), b)
-        told = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in found)
-        return len(a), len(b), len(found), told, [x[-1] * WIDTH + y[-1] for x, y in found]
 
     def document(self, text: str | None) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
         none = 0, 0, 0, "", np.zeros(0, "i8"), np.zeros(0, "i4")
-        if not text or "▁" in text:
+        if not text:
             return none
-        cache, rows = self.cache, []
-        for s in _CUT.split(text):
-            row = cache.get(s)
-            if row is None:
-                if (row := self.stretch(s)) is None:  # then the whole text decides
-                    rows = [self.stretch(text)]
-                    break
-                if len(cache) >= STRETCHES:
-                    cache.clear()
-                cache[s] = row
-            rows.append(row)
-        if rows[0] is None:
+        a, b, given = self.a.plain(" " + text), self.b.encode(text), (" " + text).encode()
+        if self.a.bytes_of(a) != given or b"".join(map(self.transducer.tokens[1].__getitem__, b)) != given:
             return none
-        n_a, n_b, n, told, links = zip(*rows)
-        pairs, counts = np.unique(np.fromiter((p for x in links for p in x), "i8", sum(n)), return_counts=True)
-        return sum(n_a), sum(n_b), sum(n), ";".join(told), pairs, counts.astype("i4")
+        told, links = self.transducer.groups(a.tolist(), b)
+        pairs, counts = np.unique(np.array(links), return_counts=True)
+        return len(a), len(b), len(told), ";".join(told), pairs, counts.astype("i4")
 
 
 _loaded: dict = {}
