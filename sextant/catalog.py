@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions import scoring, text
 from sextant.operators import chunking, context, evaluate, filters, govern, graph, lexical, metadata, report, storage, vector
+from sextant.operators.buckets import Buckets
 from sextant.plans import providers, search
 from sextant.sources import files
 from sextant.streaming import events as ev
@@ -148,9 +149,11 @@ def benchmark_configs(spark, d):
     return search.compare(q_both(spark, d), t(spark, d, "documents"), vectors(spark, d), search.PROFILES, lexicon(spark, d))
 
 
-@query("SELECT * FROM (VALUES ('fast', 3, 4, 8), ('balanced', 5, 10, 20), ('accurate', 10, 30, 60)) t(profile, top_k, fused, per_leg)")
+@query("""SELECT item_id AS query_id, profile, least(top_k, n)::INTEGER AS top_k, least(fused, n)::INTEGER AS fused, least(per_leg, n)::INTEGER AS per_leg
+FROM benchmark, (VALUES ('fast', 3, 4, 8), ('balanced', 5, 10, 20), ('accurate', 10, 30, 60)) t(profile, top_k, fused, per_leg), (SELECT count(*) AS n FROM documents)""")
 def profile_sizing(spark, d):
-    return spark.createDataFrame([(n, p.top_k, int(p.top_k * p.multiplier), 2 * int(p.top_k * p.multiplier)) for n, p in search.PROFILES.items()], "profile string, top_k int, fused int, per_leg int")
+    """How many rows each profile asks for, for every query, as far as there are documents."""
+    return search.sizing(q_text(spark, d), t(spark, d, "documents"), search.PROFILES)
 
 
 # --- scoring -----------------------------------------------------------------------------------------------------
@@ -481,9 +484,39 @@ x AS (SELECT lex.query_id, lex.rank, lex.doc_id, len(list_filter(kw, lambda k: c
 a AS (SELECT query_id, avg(CASE WHEN n > 0 THEN m / n ELSE 0 END) AS rel, avg((m = 0)::INT) AS noise, max((doc_id = query_id AND rank <= 5)::INT) AS hit FROM x GROUP BY query_id)
 SELECT round(avg(100.0 * coalesce(hit, 0)), 6) AS hit_rate, round(avg(coalesce(rel, 0)), 6) AS relevance, round(avg(coalesce(noise, 0)), 6) AS noise_ratio, count(*) AS queries FROM q LEFT JOIN a USING (query_id)""")
 def evaluate_pipeline(spark, d):
+    return evaluate.evaluate(*_judged(spark, d), 5)
+
+
+def _judged(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The questions with their keywords and expected ids, and the results of the lexical search."""
     q = q_text(spark, d).select("query_id", F.array_distinct(text.tokens(F.col("text"))).alias("keywords"), F.array("query_id").alias("expected"))
-    found = bm25_topk(spark, d).withColumnRenamed("rank", "pos").join(t(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    return evaluate.evaluate(q, found, 5)
+    return q, bm25_topk(spark, d).withColumnRenamed("rank", "pos").join(t(spark, d, "documents").select("doc_id", "text"), "doc_id")
+
+
+JUDGED = ORACLE_SQL["evaluate_pipeline"].split("SELECT round(avg(100.0")[0]
+
+
+@query(JUDGED + "SELECT query_id, 100.0::DOUBLE * coalesce(hit, 0) AS hit_rate FROM q LEFT JOIN a USING (query_id)")
+def hit_rate(spark, d):
+    return evaluate.per_query(*_judged(spark, d), 5).select("query_id", "hit_rate")
+
+
+@query(JUDGED + "SELECT query_id, round(coalesce(rel, 0), 9) AS relevance FROM q LEFT JOIN a USING (query_id)")
+def relevance(spark, d):
+    return evaluate.per_query(*_judged(spark, d), 5).select("query_id", F.round("relevance", 9).alias("relevance"))
+
+
+@query(JUDGED + "SELECT query_id, round(coalesce(noise, 0), 9) AS noise_ratio FROM q LEFT JOIN a USING (query_id)")
+def noise_ratio(spark, d):
+    return evaluate.per_query(*_judged(spark, d), 5).select("query_id", F.round("noise_ratio", 9).alias("noise_ratio"))
+
+
+@query(f"""WITH {BM25}, q AS (SELECT item_id AS query_id, list_distinct({TOK.format('text')}) AS kw FROM benchmark),
+r AS (SELECT lex.query_id, lex.doc_id, lex.rank AS pos, CASE WHEN len(kw) > 0 THEN round(len(list_intersect(kw, {TOK.format('documents.text')})) / len(kw), 6) ELSE 0.0 END AS rerank_score FROM lex JOIN q USING (query_id) JOIN documents USING (doc_id) WHERE lex.rank <= 10)
+SELECT query_id, doc_id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, pos)::INTEGER AS rank FROM r""")
+def lexical_rerank(spark, d):
+    found = search.hydrate(bm25_topk(spark, d), t(spark, d, "documents"))
+    return search.lexical_rerank(found, q_text(spark, d)).select("query_id", "doc_id", "rerank_score", "rank")
 
 
 @query("SELECT c_custkey, coalesce(CASE WHEN c_nationkey % 3 = 0 THEN 't' || c_nationkey END, 'default-tenant') AS tenant FROM customer")
@@ -633,7 +666,7 @@ def chunk_names(spark, d):
 
 @query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
 def page_scan(spark, d):
-    return storage.page(t(spark, d, "orders"), "o_orderkey", 50, 100).select("o_orderkey", "o_custkey")
+    return storage.Pages.write(t(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", files.scratch(spark)).page(50, 100)
 
 
 @query(f"WITH {FILES} SELECT path, path NOT LIKE '/repo/node_modules/%' AS allowed FROM f")
@@ -812,43 +845,69 @@ def graph_merge_edges(spark, d):
     return graph.add_edges(e, e.where("source % 2 = 0"), merge=True)
 
 
-#: Sources in three languages that carry a document's whole text as a comment.
+#: Sources in three languages, their names made of columns (a, b, c, h), with a document's whole text as a comment.
 CODE = {
-    0: ("python", "import os.path as p, json\nfrom re import sub\n\n\ndef head():\n    tail()\n\n\ndef tail():\n    return None\n# "),
-    1: ("typescript", "class Shape {\n  area() {\n    return tail(1);\n  }\n}\nfunction tail(x) { return x; }\n// "),
-    2: ("golang", "package m\n\nfunc head() int {\n\treturn x.tail(1)\n}\nfunc (s T) tail(x int) int { return x }\nfunc tail(x int) int { return x }\n// "),
+    0: ("python", "import os.path as p, json, mod{b}\nfrom .near{c} import x\nfrom pkg{a}.sub import y\n\n\ndef f{a}(v):\n    def g{b}():\n        return h{c}(v)\n    return g{b}() + k9()\n\n\nclass C{a}:\n    def m{b}(self):\n        return f{c}(self.h{c}())\n\n\ndef h{h}():\n    return print(1)\n# "),
+    1: ("typescript", "class C{a} {\n  m{b}(x) {\n    return f{c}(1);\n  }\n}\nfunction f{a}(x) { return h{c}(x); }\n// "),
+    2: ("golang", "package m\n\nfunc f{a}() int {\n\treturn x.h{c}(1) + k9(2)\n}\nfunc (s T) h{b}(x int) int { return f{c}() }\n// "),
 }
+NAMED = "n AS (SELECT doc_id, doc_id % 3 AS third, doc_id % 7 AS a, doc_id % 5 AS b, coalesce(n_chars, 0) % 3 AS c, doc_id % 2 AS h FROM documents)"
 
 
 def _code(spark, d) -> DataFrame:
     third = F.col("doc_id") % 3
-    pick = lambda i: F.when(third == 0, CODE[0][i]).when(third == 1, CODE[1][i]).otherwise(CODE[2][i])
-    return t(spark, d, "documents").select("doc_id", pick(0).alias("language"), F.concat(pick(1), F.regexp_replace(F.coalesce("text", F.lit("")), r"[\p{Z}\p{C}]+", " ")).alias("text"))
-
-
-@query("""SELECT doc_id, kind, name, other, line::INTEGER AS line FROM documents JOIN (VALUES (0, 'node', 'head', 'function', 5), (0, 'node', 'tail', 'function', 9), (0, 'edge', 'head', 'tail', 6),
-(1, 'node', 'Shape', 'class', 1), (1, 'node', 'Shape.area', 'method', 2), (1, 'node', 'tail', 'function', 6), (1, 'edge', 'area', 'tail', 3),
-(2, 'node', 'head', 'function', 3), (2, 'node', 'receiver.tail', 'method', 6), (2, 'node', 'tail', 'function', 7), (2, 'edge', 'head', 'tail', 4)) c(third, kind, name, other, line) ON doc_id % 3 = third""")
+    names = {"a": F.col("doc_id") % 7, "b": F.col("doc_id") % 5, "c": F.coalesce("n_chars", F.lit(0)) % 3, "h": F.col("doc_id") % 2}
+
+    def source(i: int):
+        out = F.lit(CODE[i][1])
+        for n, value in names.items():
+            out = F.replace(out, F.lit("{" + n + "}"), value.cast("string"))
+        return out
+
+    pick = lambda f: F.when(third == 0, f(0)).when(third == 1, f(1)).otherwise(f(2))
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\p{Z}\p{C}]+", " ")
+    return t(spark, d, "documents").select("doc_id", pick(lambda i: F.lit(CODE[i][0])).alias("language"), F.concat(pick(source), body).alias("text"))
+
+
+@query(f"""WITH {NAMED}, every AS (
+SELECT doc_id, 'node' AS kind, unnest(['f' || a, 'g' || b, 'C' || a, 'C' || a || '.m' || b, 'h' || h]) AS name, unnest(['function', 'function', 'class', 'method', 'function']) AS other, unnest([6, 7, 12, 13, 17]) AS line FROM n WHERE third = 0
+UNION ALL SELECT doc_id, 'edge', 'f' || a, 'g' || b, 9 FROM n WHERE third = 0 UNION ALL SELECT doc_id, 'edge', 'g' || b, 'h' || c, 8 FROM n WHERE third = 0 AND c = h
+UNION ALL SELECT doc_id, 'edge', 'm' || b, 'f' || c, 14 FROM n WHERE third = 0 AND c = a UNION ALL SELECT doc_id, 'edge', 'm' || b, 'h' || c, 14 FROM n WHERE third = 0 AND c = h
+UNION ALL SELECT doc_id, 'node', unnest(['C' || a, 'C' || a || '.m' || b, 'f' || a]), unnest(['class', 'method', 'function']), unnest([1, 2, 6]) FROM n WHERE third = 1
+UNION ALL SELECT doc_id, 'edge', 'm' || b, 'f' || c, 3 FROM n WHERE third = 1 AND c = a
+UNION ALL SELECT doc_id, 'node', unnest(['f' || a, 'receiver.h' || b]), unnest(['function', 'method']), unnest([3, 6]) FROM n WHERE third = 2
+UNION ALL SELECT doc_id, 'edge', 'h' || b, 'f' || c, 6 FROM n WHERE third = 2 AND c = a) SELECT doc_id, kind, name, other, line::INTEGER AS line FROM every""")
 def call_graph_code(spark, d):
+    """Methods, nested functions and calls of names that may be defined or not, by columns."""
     return graph.call_graph(_code(spark, d), F.col("language"))
 
 
-@query("SELECT doc_id, module, level::INTEGER AS level, line::INTEGER AS line FROM documents, (VALUES ('os.path', 0, 1), ('json', 0, 1), ('re', 0, 2)) c(module, level, line) WHERE doc_id % 3 = 0")
+@query(f"WITH {NAMED} SELECT doc_id, unnest(['os.path', 'json', 'mod' || b, 'near' || c, 'pkg' || a || '.sub']) AS module, unnest([0, 0, 0, 1, 0])::INTEGER AS level, unnest([1, 1, 1, 2, 3])::INTEGER AS line FROM n WHERE third = 0")
 def imports_code(spark, d):
     return graph.imports(_code(spark, d).where("language = 'python'")).select("doc_id", "module", "level", "line")
 
 
-@query("SELECT doc_id, 'json,os,re' AS modules FROM documents WHERE doc_id % 3 = 0")
+@query(f"WITH {NAMED} SELECT doc_id, 'mod' || b || ',pkg' || a AS modules FROM n WHERE third = 0")
 def module_dependencies_code(spark, d):
-    found = graph.module_dependencies(_code(spark, d).where("language = 'python'"), exclude_stdlib=False)
+    """Without the standard library's modules and relative ones."""
+    found = graph.module_dependencies(_code(spark, d).where("language = 'python'"))
     return found.select("doc_id", F.array_join("modules", ",").alias("modules"))
 
 
-@query("SELECT doc_id, i::INTEGER AS chunk_index, name, line::INTEGER AS start_line FROM documents, (VALUES (0, 'head', 5), (1, 'tail', 9)) c(i, name, line) WHERE doc_id % 3 = 0")
+@query(f"WITH {NAMED} SELECT doc_id, unnest(range(5))::INTEGER AS chunk_index, unnest(['f' || a, 'g' || b, 'C' || a, 'm' || b, 'h' || h]) AS name, unnest([6, 7, 12, 13, 17])::INTEGER AS start_line FROM n WHERE third = 0")
 def code_chunks(spark, d):
     return chunking.code(_code(spark, d).where("language = 'python'"), "python").select("doc_id", "chunk_index", "name", "start_line")
 
 
+@query(f"""WITH {NAMED} SELECT doc_id, unnest(range(2))::INTEGER AS chunk_index, unnest(['class_declaration', 'function_declaration']) AS type, unnest(['C' || a, 'f' || a]) AS name, unnest([1, 6])::INTEGER AS start_line, unnest([5, 6])::INTEGER AS end_line FROM n WHERE third = 1
+UNION ALL SELECT doc_id, unnest(range(2))::INTEGER, unnest(['function_declaration', 'function_declaration']), unnest(['f' || a, 'h' || b]), unnest([3, 6])::INTEGER, unnest([5, 6])::INTEGER FROM n WHERE third = 2""")
+def code_chunks_braces(spark, d):
+    """TypeScript and Go."""
+    held = _code(spark, d)
+    out = [chunking.code(held.where(F.col("language") == name), kind) for name, kind in (("typescript", "typescript"), ("golang", "go"))]
+    return out[0].unionByName(out[1]).select("doc_id", "chunk_index", "type", "name", "start_line", "end_line")
+
+
 # --- failures at run time ----------------------------------------------------------------------------------------
 
 def _sometimes(queries: list[str], texts: list[str]) -> list[float]:
@@ -885,3 +944,109 @@ def embedder_failures(spark, d):
     asked = providers.embed(q_text(spark, d), _part_time, "query_id", guard=True).drop("failure").join(q_text(spark, d), "query_id")
     held = providers.embed(t(spark, d, "documents"), providers.get("embedding", "hash", dim=16))
     return search.hybrid(asked, t(spark, d, "documents"), held, 5, leg=20, lexicon=lexicon(spark, d)).select("query_id", "rank", "doc_id", "v_rank", "b_rank")
+
+
+# --- events of folders, written tables, pages, graphs of orders ----------------------------------------------------
+
+@query("""WITH f AS (SELECT event_id, ts, user_id % 5 AS watcher, user_id::VARCHAR AS path, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'modified' END AS kind FROM events WHERE event_id % 7 <> 0),
+g AS (SELECT *, coalesce(ts - lag(ts) OVER w > INTERVAL 20 MINUTE, false)::INT AS f FROM f WINDOW w AS (PARTITION BY watcher ORDER BY ts, event_id)),
+s AS (SELECT *, sum(f) OVER (PARTITION BY watcher ORDER BY ts, event_id)::BIGINT AS session FROM g),
+k AS (SELECT watcher, path, session, list(kind ORDER BY ts, event_id) AS ks FROM s GROUP BY ALL),
+r AS (SELECT watcher, path, session, list_reduce(list_prepend('', ks), lambda st, x: CASE WHEN st = '' THEN CASE WHEN x = 'modified' THEN 'created' ELSE x END WHEN x = 'created' THEN 'created'
+ WHEN x = 'modified' THEN CASE WHEN st = 'deleted' THEN 'created' ELSE 'modified' END WHEN st = 'created' THEN '' ELSE 'deleted' END) AS event_type FROM k) SELECT watcher, session, path, event_type FROM r WHERE event_type <> ''""")
+def folder_events(spark, d):
+    """Events of folders (every seventh) neither count nor prolong a session."""
+    kind = F.create_map(*map(F.lit, ["signup", "created", "error", "deleted"]))
+    e = t(spark, d, "events").select("event_id", "ts", (F.col("user_id") % 5).alias("watcher"), F.col("user_id").cast("string").alias("path"),
+        F.coalesce(F.try_element_at(kind, F.col("event_type")), F.lit("modified")).alias("event_type"), (F.col("event_id") % 7 == 0).alias("is_directory"))
+    return ev.coalesce_events(ev.debounce(e, 1200)).select("watcher", "session", "path", "event_type")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'new' ELSE lang END AS lang, CASE WHEN doc_id % 4 = 1 THEN NULL WHEN doc_id % 4 = 2 THEN 'patched' ELSE source END AS source FROM documents WHERE doc_id % 4 <> 3
+UNION ALL SELECT -doc_id - 1, 'new', NULL FROM documents WHERE doc_id % 4 = 1""")
+def bucket_writes(spark, d):
+    """A table in buckets after an upsert of whole rows, an update of known keys and a deletion."""
+    docs = t(spark, d, "documents").select("doc_id", "lang", "source")
+    held = Buckets(spark, files.scratch(spark), "doc_id")
+    held.create(docs, 16)
+    fresh = docs.where("doc_id % 4 = 1").select("doc_id", F.lit("new").alias("lang"), F.lit(None).cast("string").alias("source"))
+    held.upsert(fresh.unionByName(fresh.withColumn("doc_id", -F.col("doc_id") - 1)))
+    patch = docs.where("doc_id % 4 = 2").select("doc_id", F.lit(None).cast("string").alias("lang"), F.lit("patched").alias("source"))
+    held.update(patch.unionByName(patch.withColumn("doc_id", -F.col("doc_id") - 1)))
+    held.delete(docs.where("doc_id % 4 = 3"))
+    return held.read()
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN md5(coalesce(text, '') || '!') ELSE md5(coalesce(text, '')) END AS content_hash, CASE WHEN doc_id % 5 = 1 OR doc_id % 10 = 2 THEN 'new' ELSE 'old' END AS version
+FROM documents WHERE NOT (doc_id % 5 = 2 AND doc_id % 2 = 1)""")
+def change_batches(spark, d):
+    """Batches of changes, each applied once: modified, deleted and unchanged files, a batch that is given again, new files."""
+    docs = t(spark, d, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("content_hash"), F.lit("old").alias("version"), "text")
+    held = Buckets(spark, files.scratch(spark), "doc_id")
+    held.create(docs.drop("text"), 16)
+    new = docs.withColumn("content_hash", F.when(F.col("doc_id") % 5 == 1, F.md5(F.concat(F.coalesce("text", F.lit("")), F.lit("!")))).otherwise(F.col("content_hash"))).drop("text").withColumn("version", F.lit("new"))
+    kind = lambda rest, name: docs.where(rest).select("doc_id", F.lit(name).alias("event_type"))
+    first = kind("doc_id % 5 in (1, 3)", "modified").unionByName(kind("doc_id % 5 = 2", "deleted"))
+    held.apply(first, new, "q:0")
+    held.apply(kind("doc_id % 5 in (0, 1)", "deleted"), new, "q:0")  # given again, and ignored
+    held.apply(kind("doc_id % 10 = 2", "created"), new, "q:1")
+    return held.read()
+
+
+@query("SELECT o_orderkey, o_custkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 4000 AS page FROM orders")
+def page_batches(spark, d):
+    """Every page of a table in turn, each from its own ranges."""
+    pages = storage.Pages.write(t(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", files.scratch(spark))
+    held = [p.withColumn("page", F.lit(i).cast("long")) for i, p in enumerate(pages.batches(4000))]
+    out = held[0]
+    for p in held[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'json' WHEN p_partkey % 11 = 1 THEN 'type' WHEN p_size % 7 > 3 THEN 'depth' END AS problem FROM part""")
+def json_checks(spark, d):
+    """Metadata as JSON texts nested by a column, with brackets inside strings and empty containers."""
+    deep, n = F.lit('"x{[\\"{"'), F.col("p_size") % 7
+    body = F.concat(F.repeat(F.lit('{"k[": '), n), F.when(F.col("p_partkey") % 2 == 0, deep).otherwise(F.lit("12")), F.repeat(F.lit("}"), n))
+    whole = F.when(F.col("p_partkey") % 11 == 0, F.concat(F.lit("{"), body)).when(F.col("p_partkey") % 11 == 1, F.lit('["a"]')).when(n == 0, F.lit('{"e": [ ], "f": {}}')).otherwise(body)
+    return t(spark, d, "part").select("p_partkey", metadata.json_problem(whole).alias("problem"))
+
+
+ORDERED = """e AS (SELECT DISTINCT 'p' || l_partkey AS source, 's' || l_suppkey AS target FROM lineitem UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem),
+l0 AS (SELECT 'p1' AS node, ['p1'] AS path), l1 AS (SELECT target AS node, min(list_append(path, target)) AS path FROM l0 JOIN e ON node = source GROUP BY target),
+l2 AS (SELECT target AS node, min(list_append(path, target)) AS path FROM l1 JOIN e ON node = source GROUP BY target), l3 AS (SELECT target AS node, min(list_append(path, target)) AS path FROM l2 JOIN e ON node = source GROUP BY target),
+l4 AS (SELECT target AS node, min(list_append(path, target)) AS path FROM l3 JOIN e ON node = source GROUP BY target)"""
+
+
+def _ordered(spark, d) -> DataFrame:
+    """Parts and the suppliers that they were ordered from, both ways."""
+    li = t(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("source"), F.concat(F.lit("s"), "l_suppkey").alias("target")).distinct()
+    return li.unionByName(li.select(F.col("target").alias("source"), F.col("source").alias("target")))
+
+
+@query(f"WITH {ORDERED} SELECT array_to_string(path, '>') AS path FROM (SELECT path FROM l2 WHERE node = 'p150' UNION ALL SELECT path FROM l4 WHERE node = 'p150' UNION ALL SELECT NULL WHERE false) ORDER BY len(path) LIMIT 1")
+def shortest_order_path(spark, d):
+    """The least shortest way between two parts over suppliers, from both ends."""
+    return graph.shortest_path(_ordered(spark, d), "p1", "p150").select(F.array_join("path", ">").alias("path"))
+
+
+@query(f"""WITH {ORDERED}, w AS (SELECT DISTINCT [x.target, y.target, z.target] AS m FROM e x JOIN e y ON x.target = y.source JOIN e z ON y.target = z.source JOIN e v ON z.target = v.source WHERE x.source = 'p1' AND v.target = 'p150' AND y.target NOT IN ('p1', 'p150') AND x.target <> z.target
+UNION ALL SELECT DISTINCT [x.target] FROM e x JOIN e y ON x.target = y.source WHERE x.source = 'p1' AND y.target = 'p150')
+SELECT array_to_string(list_filter(list_append(list_prepend('p1', m), 'p150'), lambda x: x[1] = 'p' OR substr(x, 2)::INTEGER % 3 > 0), '>') AS path FROM w""")
+def order_paths(spark, d):
+    """All simple ways of at most four edges between two parts, without the suppliers that aren't known nodes."""
+    e = _ordered(spark, d)
+    nodes = e.select(F.col("source").alias("id")).distinct().where("id like 'p%' or substr(id, 2) % 3 > 0")
+    return graph.known(graph.paths(e, "p1", "p150", 4), nodes).select(F.array_join("path", ">").alias("path"))
+
+
+@query("""WITH x AS (SELECT doc_id, i * 200 AS start, least((i + 1) * 200, length(text)) AS "end" FROM documents, range(0, 2000) r(i) WHERE i * 200 < length(text)),
+n AS (SELECT doc_id, j * 350 + 7 AS pos, 'n' || j AS name FROM documents, range(0, 1200) r(j) WHERE j * 350 + 7 < length(text))
+SELECT x.doc_id, x.start::INTEGER AS start, min_by(name, pos) AS name FROM x LEFT JOIN n ON n.doc_id = x.doc_id AND pos >= start AND pos < "end" GROUP BY ALL""")
+def names_within(spark, d):
+    """Spans of 200 characters of every text with the first of the names (every 350 characters) that starts inside."""
+    docs = t(spark, d, "documents").where("length(text) > 0").select("doc_id", F.length("text").alias("n"))
+    spans = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(200))).alias("start"), "n").select("doc_id", "start", F.least(F.col("start") + 200, "n").alias("end"))
+    names = docs.where("n > 7").select("doc_id", F.posexplode(F.sequence(F.lit(7), F.col("n") - 1, F.lit(350))).alias("j", "pos")).select("doc_id", "pos", F.concat(F.lit("n"), "j").alias("name"))
+    return metadata.first_within(spans, names, 200).select("doc_id", "start", "name")

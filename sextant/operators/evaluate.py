@@ -15,16 +15,25 @@ def matched(keywords: Column, text: Column) -> Column:
     return F.size(F.filter(keywords, lambda x: F.contains(F.lower(text), F.lower(x))))
 
 
-def evaluate(queries: DataFrame, results: DataFrame, k: int = 10) -> DataFrame:
-    """One row of means over all queries (query_id, keywords, expected) with results (query_id, pos, doc_id, text)."""
+def per_query(queries: DataFrame, results: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, hit_rate, relevance, noise_ratio of each query (query_id, keywords, expected), 0 where it has no result.
+
+    results: query_id, pos, doc_id, text.
+    """
     per = results.join(queries.select("query_id", "keywords"), "query_id")
     n, m = F.size("keywords"), matched(F.col("keywords"), F.col("text"))
     per = per.withColumn("rel", F.when(n > 0, m / n).otherwise(0.0)).withColumn("noise", (m == 0).cast("double"))
     got = F.transform(F.array_sort(F.collect_list(F.struct("pos", "doc_id"))), lambda x: x["doc_id"])
     agg = per.groupBy("query_id").agg(F.avg("rel").alias("rel"), F.avg("noise").alias("noise"), got.alias("got"))
-    j = queries.join(agg, "query_id", "left")
     hit = hit_rate(F.col("expected"), F.coalesce("got", F.array().cast(dict(queries.dtypes)["expected"])), k)
-    return j.agg(F.round(F.avg(hit), 6).alias("hit_rate"), F.round(F.avg(F.coalesce("rel", F.lit(0.0))), 6).alias("relevance"), F.round(F.avg(F.coalesce("noise", F.lit(0.0))), 6).alias("noise_ratio"), F.count("*").alias("queries"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return queries.join(agg, "query_id", "left").select("query_id", hit.alias("hit_rate"), zero("rel").alias("relevance"), zero("noise").alias("noise_ratio"))
+
+
+def evaluate(queries: DataFrame, results: DataFrame, k: int = 10) -> DataFrame:
+    """One row of means over all queries."""
+    mean = (F.round(F.avg(c), 6).alias(c) for c in ("hit_rate", "relevance", "noise_ratio"))
+    return per_query(queries, results, k).agg(*mean, F.count("*").alias("queries"))
 
 
 def questions(df: DataFrame, category: str | None = None, ids: list | None = None) -> DataFrame:

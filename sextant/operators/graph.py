@@ -27,20 +27,51 @@ def callees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return neighbors(nodes, edges, "calls").withColumnRenamed("neighbor", "callee")
 
 
-def paths(edges: DataFrame, start, end, cutoff: int) -> DataFrame:
-    """path: all simple paths of at most cutoff edges; a frontier grows by one join per step."""
+def reaching(edges: DataFrame, end) -> DataFrame:
+    """id, distance of every node from which end can be reached, end included; a round for each edge of the longest distance."""
+    checkpoint_folder(edges.sparkSession)
     e = edges.select("source", "target").where("source <> target").distinct()
+    front = edges.sparkSession.createDataFrame([(end, 0)], f"id {e.schema['source'].dataType.simpleString()}, distance int")
+    found, away = front, 0
+    while True:
+        away += 1
+        step = e.join(front.withColumnRenamed("id", "target"), "target").select(F.col("source").alias("id")).distinct()
+        front = step.join(found, "id", "left_anti").withColumn("distance", F.lit(away)).checkpoint()
+        if not front.limit(1).count():
+            return found
+        found = found.unionByName(front).checkpoint()
+
+
+def paths(edges: DataFrame, start, end, cutoff: int | None = None) -> DataFrame:
+    """path: all simple paths of at most cutoff edges (by default of any length).
+
+    A frontier grows by one join a step until it is empty, over the edges alone that lead to a node from which end can be
+    reached, and within the edges that are left.  There can be as many simple paths as subsets of nodes; what bounds them is
+    the cutoff.
+    """
+    e = edges.select("source", "target").where("source <> target").distinct()
+    e = e.join(reaching(e, end).withColumnRenamed("id", "target"), "target").select("source", "target", "distance").persist()
     front = e.sparkSession.createDataFrame([([start],)], f"path array<{e.schema['source'].dataType.simpleString()}>")
-    found = []
-    for _ in range(cutoff):
-        front = front.withColumn("source", F.element_at("path", -1)).join(e, "source").where(~F.array_contains("path", F.col("target")))
-        front = front.select(F.concat("path", F.array("target")).alias("path"))
-        found.append(front.where(F.element_at("path", -1) == F.lit(end)))
+    found, grown = front.where("false"), 0
+    while cutoff is None or grown < cutoff:
+        grown += 1
+        near = e if cutoff is None else e.where(F.col("distance") <= cutoff - grown)
+        front = front.withColumn("source", F.element_at("path", -1)).join(near, "source").where(~F.array_contains("path", F.col("target")))
+        front = front.select(F.concat("path", F.array("target")).alias("path")).checkpoint()
+        found = found.unionByName(front.where(F.element_at("path", -1) == F.lit(end)))
         front = front.where(F.element_at("path", -1) != F.lit(end))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+        if not front.limit(1).count():
+            break
+    e.unpersist()
+    return found
+
+
+def known(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The paths without the nodes that aren't in nodes (id), each in its order."""
+    one = paths.withColumn("_n", F.monotonically_increasing_id()).checkpoint()
+    kept = one.select("_n", F.posexplode("path").alias("_at", "id")).join(nodes.select("id"), "id", "left_semi")
+    back = kept.groupBy("_n").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "id"))), lambda x: x["id"]).alias("_path"))
+    return one.join(back, "_n", "left").select(F.coalesce("_path", F.array().cast(paths.schema["path"].dataType)).alias("path"))
 
 
 def get_node(nodes: DataFrame, ids: DataFrame) -> DataFrame:
@@ -49,40 +80,88 @@ def get_node(nodes: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def shortest_path(edges: DataFrame, start, end, most: int | None = None) -> DataFrame:
-    """One shortest path (the least of its length; if `most` is given, of at most that many edges), grown breadth-first; a node is visited once."""
+    """One shortest path (the least of its length; if `most` is given, of at most that many edges).
+
+    Searched from both ends: the smaller front grows by a join, a node is visited once from each side, and the first nodes that
+    both fronts hold are the middles of the shortest paths.
+    """
     e = edges.select("source", "target").where("source <> target").distinct().persist()
     kind = e.schema["source"].dataType.simpleString()
     # Plans are cut each round: else a round would hold the plans of all rounds before it.
     checkpoint_folder(e.sparkSession)
-    cut = lambda df: df.checkpoint()
-    front = e.sparkSession.createDataFrame([(start, [start])], f"node {kind}, path array<{kind}>")
-    seen, grown = front.select("node"), 0
+    one = lambda x: e.sparkSession.createDataFrame([(x, [x])], f"node {kind}, path array<{kind}>")
+    fronts = [one(start), one(end)]
+    seen, sizes, grown, out = [f.select("node") for f in fronts], [1, 1], 0, None
     while True:
-        hit = front.where(F.col("node") == F.lit(end))
-        if hit.limit(1).count():
-            return hit.agg(F.min("path").alias("path"))
-        if grown == most:
+        a, b = fronts[0].withColumnRenamed("path", "_a"), fronts[1].withColumnRenamed("path", "_b")
+        out = a.join(b, "node").agg(F.min(F.concat("_a", F.expr("slice(_b, 2, size(_b))"))).alias("path")).where("path is not null").checkpoint()
+        if out.limit(1).count() or grown == most:
             break
-        nxt = front.join(e, front.node == e.source).select(F.col("target").alias("node"), F.concat("path", F.array("target")).alias("path"))
-        front = cut(nxt.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")))
-        if not front.limit(1).count():
+        side = 0 if sizes[0] <= sizes[1] else 1
+        at, to = ("source", "target") if side == 0 else ("target", "source")
+        step = fronts[side].join(e, F.col("node") == F.col(at)).withColumn("node", F.col(to))
+        path = F.concat("path", F.array("node")) if side == 0 else F.concat(F.array("node"), "path")
+        step = step.select("node", path.alias("path")).join(seen[side], "node", "left_anti")
+        fronts[side] = step.groupBy("node").agg(F.min("path").alias("path")).checkpoint()
+        sizes[side], grown = fronts[side].count(), grown + 1
+        if not sizes[side]:
+            break
+        seen[side] = seen[side].unionByName(fronts[side].select("node")).checkpoint()
+    e.unpersist()
+    return out
+
+
+def _contract(v: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """Vertices, edges, single vertices and the steps by which chains were shortened.
+
+    A vertex with one edge in and one out is in the component of its neighbours if they share one, and else its own.  So it
+    can go, its edges becoming one.  Those go at once whose coin falls so and whose predecessor stays: a quarter of a chain in
+    a round, and vertices without an edge in or out go as they are found.
+    """
+    done, steps, size, turn = v.where("false"), [], v.count(), 0
+    while size:
+        into = e.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n_in"), F.min("source").alias("u"))
+        out = e.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n_out"), F.min("target").alias("w"))
+        d = v.join(into, "id", "left").join(out, "id", "left").checkpoint()
+        lone = d.where("n_in is null or n_out is null").select("id")
+        coin = d.where("n_in = 1 and n_out = 1").where(F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0).select("id", "u", "w")
+        gone = coin.join(coin.select(F.col("id").alias("u")), "u", "left_anti").select("id", "u", "w").checkpoint()
+        done = done.unionByName(lone)
+        v = d.select("id").join(lone, "id", "left_anti").join(gone, "id", "left_anti").checkpoint()
+        short = gone.where("u <> w").select(F.col("u").alias("source"), F.col("w").alias("target"))
+        e = _between(v, e.unionByName(short).distinct()).checkpoint()
+        steps.append(gone)
+        left, turn = v.count(), turn + 1
+        if size - left <= size // 50:
             break
-        seen, grown = seen.unionByName(front.select("node")), grown + 1
-        if not grown % 8:
-            seen = cut(seen.repartition("node"))
-    return front.where("false").select("path")
+        size = left
+    return v, e, done, steps
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, component (its greatest id): strongly connected, by trimming and colours; nothing grows beyond the edges.
+    """id, component (its greatest id): strongly connected; nothing grows beyond the edges.
+
+    Chains are shortened first, in rounds that grow with the logarithm of their length, and put back at the end.
+    """
+    checkpoint_folder(vertices.sparkSession)
+    v = vertices.select("id").distinct().checkpoint()
+    v, e, lone, steps = _contract(v, edges.select("source", "target").where("source <> target").distinct().checkpoint())
+    found = _by_colours(v, e).unionByName(lone.withColumn("component", F.col("id"))).checkpoint()
+    for gone in reversed(steps):
+        of = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))  # noqa: B023, E731
+        both = gone.join(of("u"), "u", "left").join(of("w"), "w", "left")
+        found = found.unionByName(both.select("id", F.when(F.col("of_u") == F.col("of_w"), F.col("of_u")).otherwise(F.col("id")).alias("component"))).checkpoint()
+    name = found.groupBy("component").agg(F.max("id").alias("name"))
+    return found.join(name, "component").select("id", F.col("name").alias("component"))
+
+
+def _by_colours(v: DataFrame, e: DataFrame) -> DataFrame:
+    """id, component by trimming and colours.
 
     Vertices without an edge in or out are components of their own and go, round by round.  Then the greatest id that
     reaches a vertex is its colour; those of a colour that reach back to the vertex it is named after are a component.
     """
-    checkpoint_folder(vertices.sparkSession)
     cut = lambda df: df.checkpoint()
-    e = cut(edges.select("source", "target").where("source <> target").distinct())
-    v = cut(vertices.select("id").distinct())
     end = lambda df, c: df.select(F.col(c).alias("id")).distinct()
     done, size = v.where("false").withColumn("component", F.col("id")), v.count()
     while size:

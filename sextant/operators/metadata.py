@@ -55,10 +55,34 @@ def depth_problem(metadata, most: int = 3) -> str | None:
     return None
 
 
-def first_within(spans: DataFrame, names: DataFrame) -> DataFrame:
-    """spans (doc_id, start, end, ...) with the first name (doc_id, pos, name) that starts inside; null if there is none."""
-    n = names.select("doc_id", F.col("pos").alias("_p"), F.col("name").alias("_n"))
-    inside = spans.select("doc_id", "start", "end").distinct().join(n, "doc_id").where("_p >= start and _p < `end`")
+def json_problem(text: Column, most: int = 3) -> Column:
+    """The same of a column of JSON texts: json (not valid), type (not an object), depth, or null.
+
+    Strings and empty containers are taken out of a text's structure; the open brackets that are left at a time are its depth.
+    """
+    bare = F.regexp_replace(F.regexp_replace(text, r'"(\\.|[^"\\])*"', "s"), r"\s+", "")
+    marks = F.regexp_replace(F.regexp_replace(bare, r"\{\}|\[\]", "v"), r"[^{}\[\]]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
+
+    def step(acc: Column, mark: Column) -> Column:
+        now = acc["now"] + F.when(mark.isin("{", "["), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(acc["top"], now).alias("top"))
+
+    depth = F.aggregate(F.filter(F.split(marks, ""), lambda x: x != ""), start, step)["top"]
+    kind = F.schema_of_variant(F.try_parse_json(text))
+    return F.when(kind.isNull(), "json").when(~kind.startswith("OBJECT"), "type").when(depth > most, "depth")
+
+
+def first_within(spans: DataFrame, names: DataFrame, width: int = 1024) -> DataFrame:
+    """spans (doc_id, start, end, ...) with the first name (doc_id, pos, name) that starts inside; null if there is none.
+
+    Both sides are dealt to bins of `width` places, a span to each bin that it touches: what meets is a bin's spans and names,
+    however many a document has.  Spans much longer than width stand in many bins, so take about their mean length.
+    """
+    n = names.select("doc_id", F.col("pos").alias("_p"), F.col("name").alias("_n"), F.floor(F.col("pos") / width).alias("_bin"))
+    bins = F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))
+    inside = spans.select("doc_id", "start", "end").where("`end` > start").distinct().withColumn("_bin", F.explode(bins))
+    inside = inside.join(n, ["doc_id", "_bin"]).where("_p >= start and _p < `end`")
     first = inside.groupBy("doc_id", "start", "end").agg(F.min_by("_n", "_p").alias("name"))
     return spans.join(first, ["doc_id", "start", "end"], "left")
 

@@ -31,9 +31,49 @@ def delete_ids(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
 
 
 def page(df: DataFrame, key: str, limit: int, offset: int) -> DataFrame:
+    """One page, by sorting; for several pages of a large table write Pages once."""
     return df.orderBy(key).offset(offset).limit(limit)
 
 
+class Pages:
+    """A table laid out for pages: in ranges of its key, each with the number of rows before it.
+
+    A page is the rows of the ranges that it touches, cut by their numbers: nothing is sorted again and no other file is
+    read.  Rows of one key are ordered by a hash of the row, which also divides a key that many rows share.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        counts = spark.read.parquet(f"{path}/ranges").orderBy("_range").collect()  # one row a range
+        self.starts, self.total = [], 0
+        for r in counts:
+            self.starts.append((r["_range"], self.total, r["n"]))
+            self.total += r["n"]
+
+    @classmethod
+    def write(cls, df: DataFrame, key: str, path: str, ranges: int | None = None) -> "Pages":
+        keyed = df.withColumn("_h", F.xxhash64(*df.columns))
+        keyed = keyed.repartitionByRange(*([ranges] if ranges else []), key, "_h").sortWithinPartitions(key, "_h")
+        number = F.monotonically_increasing_id()  # the partition, and 33 bits of the row's place in it
+        rows = keyed.drop("_h").withColumn("_at", number.bitwiseAND(F.lit((1 << 33) - 1))).withColumn("_range", F.shiftright(number, 33).cast("int"))
+        rows.write.mode("overwrite").partitionBy("_range").parquet(f"{path}/rows")
+        kept = df.sparkSession.read.parquet(f"{path}/rows")
+        kept.groupBy("_range").agg(F.count("*").alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{path}/ranges")
+        return cls(df.sparkSession, path)
+
+    def page(self, limit: int, offset: int = 0) -> DataFrame:
+        rows = self.spark.read.parquet(f"{self.path}/rows")
+        held = [(r, max(0, offset - at), min(n, offset + limit - at)) for r, at, n in self.starts if at < offset + limit and at + n > offset]
+        cond = F.lit(False)
+        for r, low, high in held:
+            cond = cond | ((F.col("_range") == r) & (F.col("_at") >= low) & (F.col("_at") < high))
+        return rows.where(F.col("_range").isin([r for r, _, _ in held]) & cond).drop("_range", "_at")
+
+    def batches(self, size: int):
+        """Every page of a given size in turn, for a copy batch by batch."""
+        return (self.page(size, at) for at in range(0, self.total, size))
+
+
 def sync_diff(indexed: DataFrame, scanned: DataFrame) -> DataFrame:
     """source, change_type of (source, content_hash) tables: added, modified, deleted or unchanged, by one full join."""
     i = indexed.select("source", F.col("content_hash").alias("old"), F.lit(True).alias("i"))

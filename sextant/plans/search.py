@@ -35,6 +35,15 @@ def profile(name: str) -> Profile:
     return PROFILES.get(name, PROFILES["balanced"])
 
 
+def sizing(queries: DataFrame, docs: DataFrame, profiles: dict[str, Profile]) -> DataFrame:
+    """query_id, profile, top_k, fused, per_leg: rows that each profile asks for, as far as there are documents."""
+    n = docs.agg(F.count("*")).scalar()
+    size = lambda x: F.least(F.lit(x), n).cast("int")
+    sizes = [(name, p.top_k, int(p.top_k * p.multiplier)) for name, p in profiles.items()]
+    each = F.array(*(F.struct(F.lit(name).alias("profile"), size(k).alias("top_k"), size(fused).alias("fused"), size(2 * fused).alias("per_leg")) for name, k, fused in sizes))
+    return queries.select("query_id", F.explode(each).alias("p")).select("query_id", "p.*")
+
+
 def hybrid(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 5, p: Profile = PROFILES["balanced"], where=None, leg: int | None = None, lexicon: lexical.Index | None = None) -> DataFrame:
     """query_id, rank, doc_id, score, v_rank, b_rank, distance, bm25_score.
 
