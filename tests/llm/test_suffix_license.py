@@ -115,23 +115,91 @@ def scan_words(text):
 
 def brute_votes(text, k=license_scan.K, shift=license_scan.SHIFT, cover=license_scan.COVER):
     """The method's labels and their best share, template by template with plain loops."""
-    w, best = scan_words(text), {}
-    for name, t in license_scan.TEMPLATES.items():
-        t = t.split()
+    w, spans = scan_words(text), []
+    for name, marked in license_scan.TEMPLATES.items():
+        t = re.sub(r"[*\[\]]", "", marked).split()
+        whole = [m.split() for m in re.findall(r"\[(.*?)\]", marked)]
+        stars = [x[1:] for x in marked.split() if x[0] == "*"]
         hits = {(i - j, j) for i in range(len(w) - k + 1) for j in range(len(t) - k + 1) if w[i : i + k] == t[j : j + k]}
-        for d in {d for d, _ in hits}:
-            words = {j + x for e, j in hits if abs(e - d) <= shift for x in range(k)}
-            if len(words) / len(t) >= cover and len(words) >= min(len(t), license_scan.LEAST):
-                label = name.split("/")[0]
-                best[label] = max(best.get(label, 0), len(words) / len(t))
+        near = {d: {(e, j) for e, j in hits if abs(e - d) <= shift} for d, _ in hits}
+        words = {d: {j + x for _, j in h for x in range(k)} for d, h in near.items()}
+        strength = {d: (len(words[d]) / len(t), len(near[d]), -d) for d in near}
+        for d, h in near.items():
+            if strength[d] < max(strength[e] for e in near if abs(e - d) <= shift) or len(words[d]) / len(t) < cover or len(words[d]) < min(len(t), license_scan.LEAST):
+                continue
+            held = {tuple(t[j : j + k]) for _, j in h}
+            if all(tuple(m[i : i + k]) in held for m in whole for i in range(len(m) - k + 1)) and all(t.index(x) in words[d] for x in stars):
+                spans.append((min(e + j for e, j in h), -max(e + j + k - 1 for e, j in h), -len(words[d]), name, len(words[d]) / len(t)))
+    best, outer = {}, -1
+    for first, last, _, name, share in sorted(spans):
+        if -last > outer:
+            best[name.split("/")[0]] = max(best.get(name.split("/")[0], 0), share)
+        outer = max(outer, -last)
     return set(best), max(best.values(), default=0.0)
 
 
+#: Real notices and the labels that they must get, base labels aside.
+NOTICES = [
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "cc-by-nd-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "cc-by-nc-sa-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "cc-by-nc-nd-4.0"),
+    ("This work is licensed under a Creative Commons Attribution 3.0 Unported License.", ""),
+    ("Licensed under CC BY-NC 4.0.", "cc-by-nc-4.0"),
+    ("Licensed under CC BY-NC-SA 4.0.", ""),
+    ("licensed under the terms of the GNU Lesser General Public License version 2.1", "lgpl-2.1"),
+    ("the terms of the GNU Lesser General Public License, version 3", "lgpl-3.0"),
+    ("it comes under the GNU Lesser General Public License", "lgpl"),
+    ("under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gpl-3.0"),
+    ("under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "gpl-2.0"),
+    ("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "lgpl-2.1"),
+    ("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "lgpl-3.0"),
+    ("under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "agpl-3.0"),
+    ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "agpl-3.0"),
+    ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "gpl-2.0"),
+    ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "gpl-3.0"),
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl-3.0"),
+    ("Licensed under the Apache License, Version 2.0 (the License)", "apache-2.0"),
+    ("Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", "apache-2.0"),
+    ("Licensed under the Apache License, Version 1.1", ""),
+    ("licensed under the Academic Free License version 2.0", ""),
+    ("Released under the MIT License.", "mit"),
+    ("MIT License\n\nCopyright (c) 2020 Some Body", "mit"),
+    ("The MIT License (MIT)", "mit"),
+    ("BSD 3-Clause License\n\nCopyright (c) 2019, Some Body", "bsd"),
+    ("BSD 2-Clause License", "bsd"),
+    ("SPDX-License-Identifier: Apache-2.0", "apache-2.0"),
+    ("SPDX-License-Identifier: MIT", "mit"),
+    ("SPDX-License-Identifier: MIT-0", "mit-0"),
+    ("SPDX-License-Identifier: GPL-2.0-only", "gpl-2.0"),
+    ("SPDX-License-Identifier: LGPL-2.1-or-later", "lgpl-2.1"),
+    ("SPDX-License-Identifier: CC-BY-NC-SA-4.0", "cc-by-nc-sa-4.0"),
+    ("SPDX-License-Identifier: CC-BY-4.0", "cc-by-4.0"),
+    ("CC0 1.0 Universal", "cc0-1.0"),
+    ("Boost Software License - Version 1.0 - August 17th, 2003", "bsl-1.0"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2.0"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.", ""),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("Licensed under the Apache License, Version 2.0 or under the MIT License, at your option", "apache-2.0,mit"),
+    ("the license of this software is to be decided, all copies and the following conditions are met", ""),
+]
+
+
+def test_notices_get_their_labels_alone(spark):
+    rows = [(i, t, 0, "", "") for i, (t, _) in enumerate(NOTICES)]
+    got = {r.doc_id: set(filter(None, r.labels.split(","))) - set(license_scan.BASE.values()) for r in license_scan.license_scan(spark.createDataFrame(rows, DOCS)).collect()}
+    wrong = [(t, want, sorted(got[i])) for i, (t, want) in enumerate(NOTICES) if got[i] != set(filter(None, want.split(",")))]
+    assert not wrong, wrong
+
+
 def test_license_scan(spark):
     import random
 
     t = license_scan.TEMPLATES
     rows = [(1, "Licensed under CC BY-NC 4.0.", 1, "", ""), (1, "Licensed under CC BY-NC 4.0.", 1, "", ""), (2, None, None, None, None), (3, "ALL RIGHTS RESERVED all rights reserved", 0, "", ""), (None, "this work is licensed, really, under the GNU General Public License version 3", 0, "", ""), (4, "", 0, "", ""), (5, "licensed under the apache licence version 2.0 " + "x " * 9000, 0, "", ""), (6, "ccby cc\nby", 0, "", "")]
+    t = {name: re.sub(r"[*\[\]]", "", x) for name, x in t.items()}
     mit = t["mit"].split()
     rows.append((7, " ".join(mit[:9] + ["permission", "is", "hereby", "granted"] + mit[9:]), 0, "", ""))
     rows.append((8, "Licensed under the Apache License, version 2.0; wor\u212a wor\u212a under the MIT license. CC0 1.0 Universal", 0, "", ""))
