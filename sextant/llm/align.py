@@ -72,36 +72,33 @@ class Transducer:
         """
         told, links, known, lags, words = [], [], self.told, self.lags, self.words
         to_a, to_b = (m.get for m in self.moves)
-        i = j = 0
-        n_a, n_b = len(a), len(b)
-        while i < n_a and j < n_b:
-            link = a[i] * WIDTH + b[j]
-            if link in known:
-                told.append(known[link])
-                links.append(link)
-                i += 1
-                j += 1
-                continue
-            i0, j0, state = i, j, 0
-            while True:
-                if lags[state]:
-                    new = to_b(state * WIDTH + b[j])
-                    if new is None:
-                        new = self.move(state, 1, b[j])
-                    j += 1
-                else:
-                    new = to_a(state * WIDTH + a[i])
-                    if new is None:
-                        new = self.move(state, 0, a[i])
-                    i += 1
-                state = new
+        rest_a, rest_b, one_of, tell, add = iter(a), iter(b), known.get, told.append, links.append
+        for x, y in zip(rest_a, rest_b):  # even: A is next, and then leads until B has moved
+            link = x * WIDTH + y
+            group = one_of(link)
+            if group is None:
+                state = to_a(x)
+                state = self.move(0, 0, x) if state is None else state
+                new = to_b(state * WIDTH + y)
+                state = self.move(state, 1, y) if new is None else new
                 if not state:
-                    break
-            group = f"{','.join([words[x] for x in a[i0:i]])}|{','.join([words[x] for x in b[j0:j]])}"
-            if i - i0 == 1 and j - j0 == 1:
-                known[link] = group
-            told.append(group)
-            links.append(a[i - 1] * WIDTH + b[j - 1])
+                    group = known[link] = f"{words[x]}|{words[y]}"
+                else:
+                    xs, ys = [words[x]], [words[y]]
+                    while state:
+                        if lags[state]:
+                            y = next(rest_b)
+                            ys.append(words[y])
+                            new = to_b(state * WIDTH + y)
+                            state = self.move(state, 1, y) if new is None else new
+                        else:
+                            x = next(rest_a)
+                            xs.append(words[x])
+                            new = to_a(state * WIDTH + x)
+                            state = self.move(state, 0, x) if new is None else new
+                    link, group = x * WIDTH + y, f"{','.join(xs)}|{','.join(ys)}"
+            tell(group)
+            add(link)
         return told, links
 
 
@@ -123,8 +120,8 @@ class Aligner:
         none = 0, 0, 0, "", np.zeros(0, "i8"), np.zeros(0, "i4")
         if not text:
             return none
-        a, b, given = self.a.plain(" " + text), self.b.encode(text), (" " + text).encode()
-        if self.a.bytes_of(a) != given or b"".join(map(self.transducer.tokens[1].__getitem__, b)) != given:
+        a, b = self.a.plain(" " + text), self.b.encode(text)  # A's tokens are the text's bytes, however they are merged
+        if b"".join(map(self.transducer.tokens[1].__getitem__, b)) != (" " + text).encode():
             return none
         told, links = self.transducer.groups(a.tolist(), b)
         pairs, counts = np.unique(np.array(links), return_counts=True)
