@@ -44,7 +44,8 @@ class Pages:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        counts = spark.read.parquet(f"{path}/ranges").orderBy("_range").collect()  # one row a range
+        counts = spark.read.schema("_range int, n long").parquet(f"{path}/ranges").orderBy("_range").collect()  # one row a range
+        self.schema = spark.read.parquet(f"{path}/schema").schema
         self.starts, self.total = [], 0
         for r in counts:
             self.starts.append((r["_range"], self.total, r["n"]))
@@ -57,12 +58,13 @@ class Pages:
         number = F.monotonically_increasing_id()  # the partition, and 33 bits of the row's place in it
         rows = keyed.drop("_h").withColumn("_at", number.bitwiseAND(F.lit((1 << 33) - 1))).withColumn("_range", F.shiftright(number, 33).cast("int"))
         rows.write.mode("overwrite").partitionBy("_range").parquet(f"{path}/rows")
-        kept = df.sparkSession.read.parquet(f"{path}/rows")
+        rows.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{path}/schema")
+        kept = df.sparkSession.read.schema(rows.schema).parquet(f"{path}/rows")
         kept.groupBy("_range").agg(F.count("*").alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{path}/ranges")
         return cls(df.sparkSession, path)
 
     def page(self, limit: int, offset: int = 0) -> DataFrame:
-        rows = self.spark.read.parquet(f"{self.path}/rows")
+        rows = self.spark.read.schema(self.schema).parquet(f"{self.path}/rows")
         held = [(r, max(0, offset - at), min(n, offset + limit - at)) for r, at, n in self.starts if at < offset + limit and at + n > offset]
         cond = F.lit(False)
         for r, low, high in held:
