@@ -12,12 +12,11 @@ DEFAULTS = {
 }
 
 
-def merge(base: dict, update: dict | None) -> dict:
-    """Both, objects merged at every depth; else the update's value wins.  Neither is changed."""
-    out = dict(base)
-    for key, value in (update or {}).items():
-        out[key] = merge(out[key], value) if isinstance(value, dict) and isinstance(out.get(key), dict) else value
-    return out
+def merge(old: dict, new: dict | None) -> dict:
+    """The union of the keys; where both hold objects these are merged, else the new value stands.  Neither is changed."""
+    new = new or {}
+    nested = {k for k in old.keys() & new.keys() if isinstance(old[k], dict) and isinstance(new[k], dict)}
+    return {**old, **new, **{k: merge(old[k], new[k]) for k in nested}}
 
 
 def load(path: str) -> dict:

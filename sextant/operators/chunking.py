@@ -38,6 +38,7 @@ def lines(docs: DataFrame, size: int = 20, overlap: int = 0) -> DataFrame:
     return rows.select("doc_id", "chunk_index", (start + 1).alias("line_start"), F.least(start + size, n).alias("line_end"), F.array_join(F.slice("_l", start + 1, F.lit(size)), "").alias("text"))
 
 
+#: What counts as a heading.
 _ATX = re.compile(r"^(#{1,6})\s+(.+?)(?:\s+#+)?$", re.M)
 _SETEXT = re.compile(r"^(.+?)\n([=-]{3,})$", re.M)
 
