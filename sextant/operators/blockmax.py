@@ -54,6 +54,11 @@ class Index:
         return self.lists.groupBy("term").agg(F.sum("df").alias("df"))
 
 
+def _tasks(shards: int) -> int:
+    """Partitions for so many shards: more, as long as they are few, so that a hash rarely puts two shards into one."""
+    return max(shards, min(4 * shards, 2000))
+
+
 def pack(ords: np.ndarray, tfs: np.ndarray) -> bytes:
     """A block: two bytes of widths, the gaps between numbers, the counts."""
     gaps = np.diff(ords)
@@ -117,11 +122,11 @@ def build(counted: DataFrame, impact: Callable, kind: str = "double") -> Index:
     # A hash of the terms too, so that rows of one id spread.
     dealt = kept.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n", "terms"), F.lit(shards)).cast("int"))
     # A shard's work isn't told by its bytes: the number of partitions is given, so that they aren't merged.
-    dealt = dealt.select("doc_id", "n", "terms", "tfs", "shard").repartition(shards, "shard")
+    dealt = dealt.select("doc_id", "n", "terms", "tfs", "shard").repartition(_tasks(shards), "shard")
     schema = f"doc_id {counted.schema['doc_id'].dataType.simpleString()}, {COUNTED}, shard int, ord int"
     numbered = materialize(dealt.groupBy("shard").applyInArrow(number, schema))
     out = f"shard int, term string, df long, first array<int>, last array<int>, top array<{kind}>, data array<binary>"
-    lists = numbered.select("shard", "ord", "n", "terms", "tfs").repartition(shards, "shard").groupBy("shard").applyInArrow(lambda t: _shard_lists(t, measure, top_type), out)
+    lists = numbered.select("shard", "ord", "n", "terms", "tfs").repartition(_tasks(shards), "shard").groupBy("shard").applyInArrow(lambda t: _shard_lists(t, measure, top_type), out)
     return Index(numbered.select("shard", "ord", "doc_id", "n"), materialize(lists))
 
 
@@ -273,7 +278,7 @@ def search(wanted: DataFrame, built: Index, k: int, impact: Callable, weight: Ca
         terms = spark.createDataFrame([(x,) for x in sorted({r.term for r in rows})], "term string")
 
         lists = built.lists.join(F.broadcast(terms), "term", "left_semi").select("shard", "term", "first", "last", "top", "data")
-        docs = built.documents.repartition(shards, "shard")
-        one = lists.repartition(shards, "shard").groupBy("shard").cogroup(docs.groupBy("shard")).applyInArrow(_searcher(asked, k, measure, kind, places), schema)
+        docs = built.documents.repartition(_tasks(shards), "shard")
+        one = lists.repartition(_tasks(shards), "shard").groupBy("shard").cogroup(docs.groupBy("shard")).applyInArrow(_searcher(asked, k, measure, kind, places), schema)
         found = one if found is None else found.unionByName(one)
     return found
