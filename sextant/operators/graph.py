@@ -91,11 +91,11 @@ def shortest_path(edges: DataFrame, start, end, most: int | None = None) -> Data
     checkpoint_folder(e.sparkSession)
     one = lambda x: e.sparkSession.createDataFrame([(x, [x])], f"node {kind}, path array<{kind}>")
     fronts = [one(start), one(end)]
-    seen, sizes, grown, out = [f.select("node") for f in fronts], [1, 1], 0, None
+    seen, sizes, grown, best = [f.select("node") for f in fronts], [1, 1], 0, None
     while True:
         a, b = fronts[0].withColumnRenamed("path", "_a"), fronts[1].withColumnRenamed("path", "_b")
-        out = a.join(b, "node").agg(F.min(F.concat("_a", F.expr("slice(_b, 2, size(_b))"))).alias("path")).where("path is not null").checkpoint()
-        if out.limit(1).count() or grown == most:
+        best = a.join(b, "node").agg(F.min(F.concat("_a", F.expr("slice(_b, 2, size(_b))")))).first()[0]
+        if best is not None or grown == most:
             break
         side = 0 if sizes[0] <= sizes[1] else 1
         at, to = ("source", "target") if side == 0 else ("target", "source")
@@ -106,9 +106,11 @@ def shortest_path(edges: DataFrame, start, end, most: int | None = None) -> Data
         sizes[side], grown = fronts[side].count(), grown + 1
         if not sizes[side]:
             break
-        seen[side] = seen[side].unionByName(fronts[side].select("node")).checkpoint()
+        seen[side] = seen[side].unionByName(fronts[side].select("node"))
+        if not grown % 8:
+            seen = [x.repartition("node").checkpoint() for x in seen]
     e.unpersist()
-    return out
+    return e.sparkSession.createDataFrame([] if best is None else [(best,)], f"path array<{kind}>")
 
 
 def _contract(v: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
