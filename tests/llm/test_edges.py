@@ -290,6 +290,33 @@ def test_topk_blocks_equal_brute_force():
     assert (vid.reshape(60, 5) == want).all() and (s.reshape(60, 5) == np.take_along_axis(full, want, 1)).all()
 
 
+def test_topk_ranges(spark, monkeypatch):
+    """Several ranges of length: the result of all pairs, with most of the table never entered by a query."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(0, 1, (4000, 8)) * rng.gamma(0.5, 1, (4000, 1))
+    v[7:40] = v[7]
+    v[50] = v[100] = 0
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    ints = topk.integers(df, "vec_id", "embedding")
+    monkeypatch.setattr(topk, "ELEMENTS", 8 * 100)
+    bands = topk.ranges(ints, 4000, 8)[1]
+    assert len(bands) == 4 and [b[1] for b in bands[:3]] == sorted(b[1] for b in bands[:3]) and [b[2] for b in bands] == sorted((b[2] for b in bands), reverse=True)
+    got = sorted(tuple(r) for r in topk.exact_topk(ints, ints.where("vec_id % 50 = 0"), 5).collect())
+    x = np.floor(256 * v).astype(np.int64)
+    want = []
+    for q in range(0, 4000, 50):
+        s = x @ x[q]
+        order = [i for i in np.lexsort((np.arange(4000), -s)) if i != q][:5]
+        want += [(q, r + 1, int(i), int(s[i])) for r, i in enumerate(order)]
+    assert got == sorted(want)
+    scored = []
+    order = np.argsort(-np.linalg.norm(x, axis=1))
+    rest = x[order[100:]].astype(float)
+    floor = np.sort(x[::50] @ x[order[:100]].T, axis=1)[:, -5].astype(float)
+    topk.block_topk(np.arange(0, 4000, 50), x[::50].astype(float), order[100:], rest, np.linalg.eigh(rest.T @ rest)[1][:, ::-1], 5, floor, scored)
+    assert sum(scored) < 80 * 3900 / 4
+
+
 def test_mixing(spark, frames):
     docs, _ = frames
     got = mixing.mix(docs).collect()
