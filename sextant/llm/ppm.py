@@ -9,14 +9,19 @@ excluded are equally likely.  The code length of a text is the sum of its bytes'
 ByteTrie is the model in plain Python, adaptive (it learns each byte after coding it) or pretrained.  lm_scores is the
 pretrained model for whole corpora, where neither the counts nor the texts fit in one place:
 
-1. Counts.  Each task counts the strings of ORDER + 1 bytes of its training texts; they are dealt to parts by the last
+1. Low orders.  Orders LOW and below are at most 256 ** (LOW + 1) counts by construction, whatever the corpus: they are
+   counted first, gathered and broadcast.
+2. Counts.  Each task counts the strings of ORDER + 1 bytes of its training texts; they are dealt to parts by the last
    LOW + 1 bytes of the context and summed there (in two levels, if there are many tasks).  A part so holds every longer
-   context whose shorter ones it holds, down to order LOW + 1.  Orders LOW and below are at most 256 ** (LOW + 1) counts
-   by construction, whatever the corpus: they are gathered and broadcast.  Word counts for the base are dealt to the same
-   parts by a hash of the word.
-2. Questions.  Documents are dealt to blocks of about BLOCK bytes.  A block asks each part for its distinct strings and
+   context whose shorter ones it holds, down to order LOW + 1.  A context of LOW + 1 bytes that occurs more often than
+   1 / SHARE of a part's mean (so there are fewer of them than SHARE * parts) is divided: its strings are dealt by one
+   more byte, which leaves at most 256 ** (ORDER - LOW - 1) strings together, and the counts of the divided contexts at
+   order LOW + 1, at most 256 each, are broadcast beside the low orders.  Word counts for the base are dealt to the same parts by a hash of the word.
+   A part is given out in rows of at most HELD strings.
+3. Questions.  Documents are dealt to blocks of about BLOCK bytes.  A block asks each part for its distinct strings and
    words; the part answers with their log probabilities and counts, worked out in numpy level by level.
-3. Scores.  A block's documents meet the answers, and the log probabilities are summed.
+4. Scores.  A block's documents meet the answers, and the log probabilities are summed.  A string without an answer is
+   an error: documents that read differently the second time don't get wrong scores.
 Nothing that grows with the corpus is broadcast or collected, and no context is dropped.
 
 Null texts are empty: END alone is scored.  A null id counts as the empty text in the fold.  Repeated rows are scored
@@ -45,6 +50,8 @@ ORDER, LOW = 6, 2
 BLOCK, SEGMENT = 8 << 20, 2 << 20
 #: Distinct strings that a task holds before it gives them out, and tasks that a part hears directly.
 HELD, FAN_IN = 4_000_000, 64
+#: A context is divided from 1 / SHARE of a part's mean on: strings repeat, so a frequent one may hold more than its share.
+SHARE = 4
 #: Closes a text; no byte of UTF-8.
 END = 255
 ADDED = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -142,10 +149,13 @@ def unpack_words(b: bytes) -> list[bytes]:
     return zlib.decompress(b).split()
 
 
-def by_part(g: np.ndarray, parts: int) -> list[np.ndarray]:
-    """Places in g of the strings of each part, in their order."""
-    c = ((g >> np.uint64(8)) & np.uint64(256 ** (LOW + 1) - 1)) * np.uint64(0x9E3779B97F4A7C15)
-    part = ((c >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+def by_part(g: np.ndarray, parts: int, divided: np.ndarray) -> list[np.ndarray]:
+    """Places in g of the strings of each part, in their order; divided: sorted contexts of LOW + 1 bytes."""
+    context = g >> np.uint64(8)
+    c = context & np.uint64(256 ** (LOW + 1) - 1)
+    if len(divided):
+        c = np.where(place(divided, c)[1], context & np.uint64(256 ** (LOW + 2) - 1), c)
+    part = (((c * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     return np.split(order, np.searchsorted(part[order], np.arange(1, parts)))
 
@@ -188,12 +198,16 @@ def low_levels(keys: np.ndarray, counts: np.ndarray) -> list[Level]:
 
 
 class PartialMatching:
-    """The levels of one part: its own orders above LOW, and the shared ones."""
+    """The levels of one part: its own orders above LOW, the shared ones, and order LOW + 1 of divided contexts."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, low: list[Level], order: int = ORDER):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, low: list[Level], divided: Level | None = None, order: int = ORDER):
         own = [Level(keys, counts)]
         for k in range(order - 1, LOW, -1):
             own.insert(0, Level(*own[0].shorter(k)))
+        if divided is not None and len(divided.keys):
+            # Of a divided context the part holds some strings only.
+            rest = ~place(divided.contexts, own[0].keys >> np.uint64(8))[1]
+            own[0] = Level(*add_up([own[0].keys[rest], divided.keys], [own[0].counts[rest], divided.counts]))
         self.levels = [*low, *own]
         #: Counts in the next order down of the symbols that each context holds.
         self.passed = []
@@ -230,8 +244,45 @@ class PartialMatching:
         return out
 
 
-def counted(train: DataFrame, parts: int) -> DataFrame:
-    """(part, g, gc, w, wc): packed strings and words with their counts; a row a part, as often as a task gives them out."""
+def low_counts(train: DataFrame) -> list[Level]:
+    """The levels of the low orders: at most 256 ** (LOW + 1) rows reach the driver."""
+    import pyarrow as pa
+
+    def run(batches: Iterator):
+        keys, counts, texts, size = [], [], [], 0
+
+        def count():
+            nonlocal keys, counts, texts, size
+            for g in grams(texts, LOW):
+                u, n = np.unique(g.astype(np.uint32), return_counts=True)
+                keys.append(u.astype(np.uint64))
+                counts.append(n)
+            u, n = add_up(keys, counts)
+            keys, counts, texts, size = [u], [n], [], 0
+
+        for b in batches:
+            for t in b.column(0):
+                texts.append(t.as_py().encode().lower())
+                size += len(texts[-1])
+                if size >= SEGMENT:
+                    count()
+        count()
+        yield pa.RecordBatch.from_arrays([pa.array(keys[0].astype(np.int64)), pa.array(counts[0])], names=["k", "n"])
+
+    t = train.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    k, n = t.column("k").to_numpy(), t.column("n").to_numpy()
+    order = np.argsort(k)
+    return low_levels(k[order].astype(np.uint64), n[order])
+
+
+def frequent(low: list[Level], parts: int) -> np.ndarray:
+    """The contexts of LOW + 1 bytes to divide, sorted: the strings of order LOW are those contexts."""
+    top = low[LOW]
+    return top.keys[top.counts * parts * SHARE > top.counts.sum()] if parts > 1 else top.keys[:0]
+
+
+def counted(train: DataFrame, parts: int, divided: np.ndarray) -> DataFrame:
+    """(part, g, gc, w, wc): packed strings and words with their counts; a part has a row for every HELD strings."""
     import pyarrow as pa
 
     def run(batches: Iterator):
@@ -248,7 +299,7 @@ def counted(train: DataFrame, parts: int) -> DataFrame:
         def out():
             u, n = add_up(keys, counts)
             dealt = words_by_part(words, parts)
-            rows = [(i, pack_sorted(u[at]), pack(n[at]), pack_words(w), pack(np.array([words[x] for x in w], np.int64))) for i, (at, w) in enumerate(zip(by_part(u, parts), dealt)) if len(at) or w]
+            rows = [(i, pack_sorted(u[at]), pack(n[at]), pack_words(w), pack(np.array([words[x] for x in w], np.int64))) for i, (at, w) in enumerate(zip(by_part(u, parts, divided), dealt)) if len(at) or w]
             return _batch(rows)
 
         for b in batches:
@@ -289,7 +340,9 @@ def counted(train: DataFrame, parts: int) -> DataFrame:
                     words[x] += m
             u, c = add_up(keys, counts)
             w = sorted(words)
-            return _batch([(part, pack_sorted(u), pack(c), pack_words(w), pack(np.array([words[x] for x in w], np.int64)))])
+            for i in range(max(1, -(-len(u) // HELD), -(-len(w) // (HELD // 8)))):
+                a, b = slice(i * HELD, (i + 1) * HELD), slice(i * (HELD // 8), (i + 1) * (HELD // 8))
+                yield _batch([(part, pack_sorted(u[a]), pack(c[a]), pack_words(w[b]), pack(np.array([words[x] for x in w[b]], np.int64)))])
 
         for b in batches:
             at = b.schema.get_field_index("part")
@@ -297,11 +350,11 @@ def counted(train: DataFrame, parts: int) -> DataFrame:
             for p, *row in zip(b.column(at).to_pylist(), *cols):
                 if p != part:
                     if held:
-                        yield total()
+                        yield from total()
                     held, part = [], p
                 held.append(row)
         if held:
-            yield total()
+            yield from total()
 
     schema = "part int, g binary, gc binary, w binary, wc binary"
     rows = train.mapInArrow(run, schema)
@@ -312,15 +365,19 @@ def counted(train: DataFrame, parts: int) -> DataFrame:
     return rows.repartition("part").sortWithinPartitions("part").mapInArrow(merge, schema)
 
 
-def totals(counts: DataFrame) -> tuple[int, int, list[Level]]:
-    """Words, distinct words, and the levels of the low orders: at most 256 ** (LOW + 1) rows reach the driver."""
+def totals(counts: DataFrame, divided: np.ndarray) -> tuple[int, int, Level]:
+    """Words, distinct words, and order LOW + 1 of the divided contexts: at most 256 rows a context reach the driver."""
     import pyarrow as pa
 
     def run(batches: Iterator):
         for b in batches:
             for g, gc, wc in zip(*(b.column(i).to_pylist() for i in range(3))):
-                u, n = add_up([unpack_sorted(g) & np.uint64(256 ** (LOW + 1) - 1)], [unpack(gc, np.int64)])
                 m = unpack(wc, np.int64)
+                u, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                if len(divided):
+                    u = unpack_sorted(g)
+                    of = place(divided, (u >> np.uint64(8)) & np.uint64(256 ** (LOW + 1) - 1))[1]
+                    u, n = add_up([u[of] & np.uint64(256 ** (LOW + 2) - 1)], [unpack(gc, np.int64)[of]])
                 keys = pa.array([*u.astype(np.int64).tolist(), -1, -2], pa.int64())
                 yield pa.RecordBatch.from_arrays([keys, pa.array([*n.tolist(), int(m.sum()), len(m)], pa.int64())], names=["k", "n"])
 
@@ -328,7 +385,7 @@ def totals(counts: DataFrame) -> tuple[int, int, list[Level]]:
     k, n = t.column("k").to_numpy(), t.column("n").to_numpy()
     rest = {int(a): int(b) for a, b in zip(k[k < 0], n[k < 0])}
     order = np.argsort(k[k >= 0])
-    return rest.get(-1, 0), rest.get(-2, 0), low_levels(k[k >= 0][order].astype(np.uint64), n[k >= 0][order])
+    return rest.get(-1, 0), rest.get(-2, 0), Level(k[k >= 0][order].astype(np.uint64), n[k >= 0][order])
 
 
 def unique(a: np.ndarray) -> np.ndarray:
@@ -361,9 +418,14 @@ class Index:
         return (keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
 
     def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys) and len(keys):
+            raise KeyError("no answers at all")
         at = self.table[self._slot(keys)]
         miss = np.flatnonzero(self.keys[at] != keys)
-        at[miss] = np.searchsorted(self.keys, keys[miss])
+        found, there = place(self.keys, keys[miss])
+        if not there.all():
+            raise KeyError("strings without an answer: the documents were read twice and differ")
+        at[miss] = found
         return at
 
 
@@ -379,11 +441,13 @@ def lm_scores(docs: DataFrame, train: DataFrame, block: int = BLOCK, parts: int
     n_docs, trained = train.agg(F.count("*"), size).collect()[0]
     # Parts grow as the root of the corpus, as its distinct strings do about: so a block's questions stay few.
     parts = parts or max(1, round(math.sqrt(trained / (1 << 20))))
-    counts = materialize(counted(train, parts))
-    words, kinds, low = totals(counts)
+    low = low_counts(train)
+    divided = frequent(low, parts)
+    counts = materialize(counted(train, parts, divided))
+    words, kinds, split = totals(counts, divided)
     total, kinds = words + n_docs, kinds + (n_docs > 0)
     bottom, ends = math.log10(total + 0.1 * (kinds + 1)), math.log10(n_docs + 0.1)
-    shared = docs.sparkSession.sparkContext.broadcast(low)
+    shared = docs.sparkSession.sparkContext.broadcast((low, split))
 
     key = fresh([*docs.columns, *ADDED], "block")[0]
     n_blocks = max(1, -(-docs.select(plain.alias("text")).agg(size).collect()[0][0] // block))
@@ -400,7 +464,7 @@ def lm_scores(docs: DataFrame, train: DataFrame, block: int = BLOCK, parts: int
         u, words = distinct(texts), set()
         for x in texts:
             words.update(x.split())
-        rows = [(i, t.column(key)[0].as_py(), pack_sorted(u[at]), pack_words(w)) for i, (at, w) in enumerate(zip(by_part(u, parts), words_by_part(words, parts))) if len(at) or w]
+        rows = [(i, t.column(key)[0].as_py(), pack_sorted(u[at]), pack_words(w)) for i, (at, w) in enumerate(zip(by_part(u, parts, divided), words_by_part(words, parts))) if len(at) or w]
         cols = list(zip(*rows)) or [[]] * 4
         return pa.table([pa.array(c, k) for c, k in zip(cols, [pa.int32(), pa.int64(), pa.binary(), pa.binary()])], names=["part", "b", "g", "w"])
 
@@ -410,18 +474,20 @@ def lm_scores(docs: DataFrame, train: DataFrame, block: int = BLOCK, parts: int
 
     def answer(batches: Iterator):
         """A part's counts come first (if it has any), then the questions."""
-        part, model, known = None, None, {}
+        part, model, known, held = None, None, {}, []
         for b in batches:
             out = []
             for p, at, g, gc, w, wc in zip(*(b.column(i).to_pylist() for i in range(6))):
                 if p != part:
-                    part, model, known = p, None, {}
+                    part, model, known, held = p, None, {}, []
                 if at < 0:
-                    model = PartialMatching(unpack_sorted(g), unpack(gc, np.int64), shared.value)
-                    known = dict(zip(unpack_words(w), unpack(wc, np.int64).tolist()))
+                    held.append((unpack_sorted(g), unpack(gc, np.int64)))
+                    known.update(zip(unpack_words(w), unpack(wc, np.int64).tolist()))
                     continue
                 if model is None:
-                    model = PartialMatching(np.zeros(0, np.uint64), np.zeros(0, np.int64), shared.value)
+                    held.sort(key=lambda r: r[0][0] if len(r[0]) else np.uint64(0))
+                    keys = np.concatenate([np.zeros(0, np.uint64), *(r[0] for r in held)])
+                    model, held = PartialMatching(keys, np.concatenate([np.zeros(0, np.int64), *(r[1] for r in held)]), *shared.value), []
                 lp = model.log10(unpack_sorted(g)).astype(np.float32)
                 n = np.array([known.get(x, 0) for x in unpack_words(w)], np.int64)
                 out.append((at, g, pack(lp), w, pack(n)))

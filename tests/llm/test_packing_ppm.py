@@ -181,13 +181,34 @@ def test_ppm_whole_table(spark, monkeypatch):
     docs = spark.createDataFrame(docs.collect(), docs.schema).repartition(5)
     rows = docs.collect()
     trained = [r.text for r in rows if r.doc_id % 3 == 0]
-    for block, parts, segment, most, tasks in ((1 << 24, None, ppm.SEGMENT, ppm.HELD, ppm.FAN_IN), (3000, 7, 999, 2000, 2)):
+    for block, parts, segment, most, tasks in ((1 << 24, None, ppm.SEGMENT, ppm.HELD, ppm.FAN_IN), (3000, 7, 999, 2000, 2), (9000, 150, 5000, 300, 64)):
         for name, value in (("SEGMENT", segment), ("HELD", most), ("FAN_IN", tasks)):
             monkeypatch.setattr(ppm, name, value)
         got = ppm.lm_scores(docs.select("doc_id", "text"), docs.where("doc_id % 3 = 0").select("text"), block, parts).collect()
         same_scores(got, [(r.doc_id, r.text) for r in rows], trained)
 
 
+def test_ppm_divided_contexts(spark):
+    """Frequent contexts are dealt by one more byte: no group that stays together exceeds a part's mean, and strings without an answer are an error."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").na.drop()
+    low = ppm.low_counts(docs)
+    texts = [r.text.encode().lower() for r in docs.collect()]
+    assert low[ppm.LOW].counts.sum() == sum(len(t) + 1 for t in texts)
+    u, divided = ppm.distinct(texts), ppm.frequent(low, 400)
+    assert 0 < len(divided) < 400 * ppm.SHARE
+    before, after = (max(map(len, ppm.by_part(u, 400, d))) * 400 / len(u) for d in (divided[:0], divided))
+    assert after < before
+    three, four = (u >> np.uint64(8)) & np.uint64(256**3 - 1), (u >> np.uint64(8)) & np.uint64(256**4 - 1)
+    held = np.isin(three, divided)
+    together = [np.unique(x, return_counts=True)[1].max() * 400 / len(u) for x in (three, three[~held], four[held])]
+    assert together[0] > 3 and max(together[1:]) < 1
+    index = ppm.Index(u[:50])
+    assert (index[u[10:30]] == np.arange(10, 30)).all()
+    for keys, asked in ((u[:50], u[45:60]), (u[:0], u[:1])):
+        with pytest.raises(KeyError):
+            ppm.Index(keys)[asked]
+
+
 def test_ppm_very_long_text(spark):
     rows = [(1, "ab" * 1_500_000 + "c"), (2, "ab"), (3, "xyz " * 10)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
