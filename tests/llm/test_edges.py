@@ -370,3 +370,61 @@ def test_pipeline_whole_table(spark):
     for r in out.collect():
         seqs[r.sequence_id] += r.length
     assert max(seqs.values()) <= 2048
+
+
+def within_one(a, b):
+    """Edits between a and b, if one at most."""
+    if a == b:
+        return 0
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return 1 if a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:] else None
+
+
+def brute_toxicity(model, text, memo):
+    """The score by comparing every token with every term, and every hit with every word of its window."""
+
+    def nearest(token):
+        if token not in memo:
+            found = []
+            for term, whole in model["terms"]:
+                d = [within_one(x, term) for x in ([token] if whole else [token[:n] for n in range(len(term) - 1, len(term) + 2)])]
+                found += [(x, term) for x in d if x == 0 or (x == 1 and len(term) >= 5)]
+            memo[token] = min(found, default=None)
+        return memo[token]
+
+    raw = (text or "").lower().split()
+    bare = [w.strip(toxicity.STRIP) for w in raw]
+    hits = [nearest(w) for w in bare]
+    at = [i for i, h in enumerate(hits) if h]
+    if not at:
+        x = [0.0] * 6
+    else:
+        exact = sum(hits[i][0] == 0 for i in at)
+        quoted = addressed = 0
+        for i in at:
+            around = [j for j in range(len(raw)) if abs(i - j) <= 6]
+            quoted += any({raw[j][0], raw[j][-1]} & toxicity.QUOTES or bare[j] in toxicity.REPORTING for j in around)
+            addressed += any(bare[j] in toxicity.ADDRESS or (hits[j] and raw[j] != raw[i]) for j in around)
+        rate = 100 * exact / max(20, len(raw))
+        x = [np.log1p(exact), np.log1p(len(at) - exact), exact > 1, np.log1p(rate), (quoted - addressed) / len(at), np.log1p(len({hits[i][1] for i in at}))]
+    return 1 / (1 + np.exp(-np.dot(model["w"], [*x, 1.0])))
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    """Every document of a whole table, and awkward ones: misspelled, quoted, addressed and repeated terms, a text of megabytes."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4
+    learned = spark.createDataFrame([tuple(r) for r in labels.collect() if fold(r.doc_id) != 2], labels.schema)
+    model = toxicity.train(toxicity.labelled_sample(docs, learned, "toxic", toxicity.SAMPLE, toxicity.SAMPLE_CHARS))
+    term, other = (model["terms"][i][0] for i in (0, -1))
+    words = [f"you {term}", f'he said "{term}" once', f"{term[0]}{term[2:]} {other}x {other}", f"{term[:2]}0{term[3:]}!!", f"«{term}»", f"{term} " * 40, "", None, f"{'plain words ' * 150_000}{term} you", f"x{term}", f"{term}{term}"]
+    more = spark.createDataFrame([(10**7 + i, t) for i, t in enumerate(words)], "doc_id long, text string")
+    rows, memo = docs.select("doc_id", "text").unionByName(more).collect(), {}
+    got = {r.doc_id: r for r in toxicity.toxicity(docs.select("doc_id", "text").unionByName(more), labels).collect()}
+    assert len(got) == len(rows) and len(model["terms"]) > 2
+    for r in rows:
+        g, want = got[r.doc_id], brute_toxicity(model, r.text, memo)
+        assert g.score == pytest.approx(want, abs=1e-9), (r.doc_id, r.text and r.text[:200])
+        assert g.held_out == (fold(r.doc_id) == 2) and g.predicted == (g.score >= 0.3)
+    assert sum(v is not None and v[0] == 1 for v in memo.values()) > 2
