@@ -210,6 +210,22 @@ def merge_consecutive(spark, d):
     return context.merge_consecutive(listing(spark, d)).select("query_id", "source", "pos", "doc_id", "score", F.md5("text").alias("h"), "chunks_merged")
 
 
+SPANS = """l AS (SELECT l_suppkey AS query_id, l_orderkey AS doc_id, l_returnflag AS source, nullif(l_linenumber, 1)::INTEGER AS "start", nullif(l_linenumber, 3)::INTEGER AS "end", row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice)::INTEGER AS pos FROM lineitem),
+c AS (SELECT *, coalesce((source IS DISTINCT FROM lag(source) OVER (PARTITION BY query_id ORDER BY pos))::INT, 1) AS c FROM l),
+g AS (SELECT *, sum(c) OVER (PARTITION BY query_id ORDER BY pos) AS g FROM c),
+n AS (SELECT *, count(*) OVER (PARTITION BY query_id, g) AS n, row_number() OVER (PARTITION BY query_id, g ORDER BY pos) AS i, last_value("end") OVER (PARTITION BY query_id, g ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last FROM g)"""
+
+
+@query(f"""WITH {SPANS} SELECT query_id, pos, doc_id, source, n AS chunks_merged, CASE WHEN n > 1 THEN coalesce("start", 0) ELSE "start" END AS "start", CASE WHEN n > 1 THEN coalesce(last, 0) ELSE "end" END AS "end" FROM n WHERE i = 1""")
+def merge_spans(spark, d):
+    """Lines of each supplier in turn; those of one return flag that follow each other become one span."""
+    l = t(spark, d, "lineitem").withColumnsRenamed({"l_suppkey": "query_id", "l_orderkey": "doc_id", "l_returnflag": "source"})  # noqa: E741
+    l = scoring.ranked(l, *map(F.col, ("doc_id", "l_linenumber", "l_partkey", "l_extendedprice")), name="pos")  # noqa: E741
+    line = F.col("l_linenumber").cast("int")
+    l = l.select("query_id", "doc_id", "pos", "source", F.lit("").alias("text"), F.lit(0.0).alias("score"), F.nullif(line, F.lit(1)).alias("start"), F.nullif(line, F.lit(3)).alias("end"))  # noqa: E741
+    return context.merge_consecutive(l).select("query_id", "pos", "doc_id", "source", "chunks_merged", "start", "end")
+
+
 @query(MERGE + """, u AS (SELECT *, row_number() OVER (PARTITION BY query_id, text ORDER BY pos) AS n FROM m),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos)::INTEGER AS rank FROM u WHERE n = 1) SELECT query_id, rank, doc_id, score, chunks_merged FROM r WHERE rank <= 5""")
 def context_build(spark, d):
@@ -277,7 +293,7 @@ def ingest_chunks(spark, d):
 
 @query("SELECT source, sum(greatest(1, n_chars // 500))::BIGINT AS chunks FROM documents GROUP BY source")
 def estimated_chunks(spark, d):
-    return t(spark, d, "documents").groupBy("source").agg(F.sum(F.greatest(F.lit(1), F.floor(F.col("n_chars") / 500))).alias("chunks"))
+    return chunking.estimated(t(spark, d, "documents"), "source")
 
 
 # --- files, sync, storage ----------------------------------------------------------------------------------------
@@ -550,8 +566,7 @@ def push_changed_files(spark, d):
 
 @query("SELECT o_orderkey, (rn / n)::DOUBLE AS progress FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)")
 def progress(spark, d):
-    w = Window.partitionBy("o_custkey")
-    return t(spark, d, "orders").select("o_orderkey", (F.row_number().over(w.orderBy("o_orderkey")) / F.count("*").over(w)).alias("progress"))
+    return report.progress_ratio(t(spark, d, "orders"), "o_custkey", "o_orderkey").select("o_orderkey", "progress")
 
 
 # --- webhooks ----------------------------------------------------------------------------------------------------

@@ -166,6 +166,12 @@ def for_language(docs: DataFrame, language: str, size: int = 500, overlap: int =
     return out.select(*cols).unionByName(simple(rest, size, overlap).select(*cols))
 
 
+def estimated(docs: DataFrame, per: str, size: Column | str = "n_chars", chunk_size: int = 500) -> DataFrame:
+    """per, chunks: how many chunks its documents are estimated to give, one each at least; a null size counts as none."""
+    length = F.coalesce(F.col(size) if isinstance(size, str) else size, F.lit(0))
+    return docs.groupBy(per).agg(F.sum(F.greatest(F.lit(1), F.floor(length / chunk_size))).alias("chunks"))
+
+
 def ingest(docs: DataFrame, chunk_size: int = 500) -> DataFrame:
     """Trimmed texts chunked by characters, with ids and counts: id, doc_id, chunk_index, chunk_count, text."""
     from pyspark.sql import Window

@@ -34,8 +34,13 @@ def task_counts(tasks: DataFrame, day: Column) -> DataFrame:
 
 
 def index_counters(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One row: files indexed (no skip_reason), files skipped, chunks made."""
-    f = files.agg(F.count_if(F.col("skip_reason").isNull()).alias("files_indexed"), F.count_if(F.col("skip_reason").isNotNull()).alias("files_skipped"))
+    """One row: files indexed (no skip_reason), files skipped, chunks made.
+
+    Where files have an error column, those with an error are neither indexed nor skipped, and `errors` counts them.
+    """
+    failed = F.col("error").isNotNull() if "error" in files.columns else F.lit(False)
+    skipped = F.col("skip_reason").isNotNull()
+    f = files.agg(F.count_if(~failed & ~skipped).alias("files_indexed"), F.count_if(~failed & skipped).alias("files_skipped"), *([F.count_if(failed).alias("errors")] if "error" in files.columns else []))
     return f.withColumn("chunks_created", chunks.agg(F.count("*")).scalar())
 
 
@@ -65,6 +70,12 @@ def migration_report(collections: DataFrame) -> DataFrame:
     return collections.agg(F.count("*").alias("collections"), F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.count("error").alias("errors"))
 
 
+def progress_ratio(df: DataFrame, group: str, order: str) -> DataFrame:
+    """df with progress: which share of its group is done at each row."""
+    w = Window.partitionBy(group)
+    return df.withColumn("progress", F.row_number().over(w.orderBy(order)) / F.count("*").over(w))
+
+
 def progress_marks(df: DataFrame, group: str, order: str, every: int = 10) -> DataFrame:
     """group, done, total at each `every` rows of a group and at its end."""
     w = Window.partitionBy(group)

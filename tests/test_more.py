@@ -74,3 +74,29 @@ def test_filters_and_scan_edges(spark, tmp_path):
     (tmp_path / "x.py").write_text("a")
     assert files.scan(spark, str(tmp_path)).columns == files.scan(spark, str(tmp_path / "missing")).columns
 
+
+
+def test_merged_spans(spark):
+    """A merged row spans its neighbours, 0 standing for null; a row on its own keeps what it has."""
+    from sextant.operators import context
+
+    ddl = "query_id int, pos int, doc_id string, text string, score double, source string, start int, end int"
+    df = spark.createDataFrame([(1, 1, "a", "x", 0.9, "s", None, 5), (1, 2, "b", None, 0.8, "s", 5, None), (1, 3, "c", "z", 0.7, "t", None, None), (1, 4, "d", "x", 0.6, "s", 7, 9), (2, 1, "e", "x", 0.5, None, 1, 2), (2, 2, "f", "y", 0.4, None, 3, 8)], ddl)
+    assert rows(context.merge_consecutive(df), "doc_id", "chunks_merged", "start", "end") == [("a", 2, 0, 0), ("c", 1, None, None), ("d", 1, 7, 9), ("e", 2, 1, 8)]
+    assert "start" not in context.merge_consecutive(df.drop("start")).columns
+    assert context.merge_consecutive(df.limit(0)).count() == 0
+
+
+def test_index_errors_progress_and_estimates(spark):
+    from sextant.operators import chunking
+
+    files = spark.createDataFrame([("a", None, None), ("b", "size", None), ("c", None, "unreadable"), ("d", "type", "unreadable")], "path string, skip_reason string, error string")
+    chunks = spark.createDataFrame([(1,), (2,)], "chunk int")
+    assert report.index_counters(files, chunks).first().asDict() == {"files_indexed": 1, "files_skipped": 1, "errors": 2, "chunks_created": 2}
+    assert report.index_counters(files.drop("error"), chunks).first().asDict() == {"files_indexed": 2, "files_skipped": 2, "chunks_created": 2}
+    assert report.index_counters(files.limit(0), chunks.limit(0)).first().asDict() == {"files_indexed": 0, "files_skipped": 0, "errors": 0, "chunks_created": 0}
+    df = spark.createDataFrame([("g", 1), ("g", 2), ("g", 3), ("h", 1)], "g string, i int")
+    assert [(r.g, r.i, round(r.progress, 3)) for r in report.progress_ratio(df, "g", "i").orderBy("g", "i").collect()] == [("g", 1, 0.333), ("g", 2, 0.667), ("g", 3, 1.0), ("h", 1, 1.0)]
+    docs = spark.createDataFrame([("s", 1200), ("s", 0), ("s", None), (None, 499)], "source string, n_chars long")
+    assert rows(chunking.estimated(docs, "source"), "source", "chunks") == [("s", 4), (None, 1)]
+    assert rows(chunking.estimated(docs, "source", F.col("n_chars") * 2, 100), "source", "chunks") == [("s", 26), (None, 9)]
