@@ -71,8 +71,14 @@ class Pages:
             cond = cond | ((F.col("_range") == r) & (F.col("_at") >= low) & (F.col("_at") < high))
         return rows.where(F.col("_range").isin([r for r, _, _ in held]) & cond).drop("_range", "_at")
 
+    def paged(self, size: int) -> DataFrame:
+        """All rows, each with the number of its page (from 0): one plan, however many pages there are."""
+        starts = self.spark.createDataFrame([(r, at) for r, at, _ in self.starts], "_range int, _before long")
+        rows = self.spark.read.schema(self.schema).parquet(f"{self.path}/rows").join(F.broadcast(starts), "_range")  # one row a range
+        return rows.withColumn("page", F.floor((F.col("_before") + F.col("_at")) / F.lit(size))).drop("_range", "_at", "_before")
+
     def batches(self, size: int):
-        """Every page of a given size in turn, for a copy batch by batch."""
+        """Every page of a given size in turn, for a copy batch by batch; a plan a page (paged() is one for all)."""
         return (self.page(size, at) for at in range(0, self.total, size))
 
 
