@@ -27,30 +27,45 @@ def callees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return neighbors(nodes, edges, "calls").withColumnRenamed("neighbor", "callee")
 
 
-def reaching(edges: DataFrame, end) -> DataFrame:
-    """id, distance of every node from which end can be reached, end included; a round for each edge of the longest distance."""
+#: Rows of a written table that are sent to all tasks, so that the edges stay where they are.
+SMALL = 100_000
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """A written table (whose size the planner doesn't know) with a hint, if it has few rows."""
+    return F.broadcast(df) if rows <= SMALL else df
+
+
+def reaching(edges: DataFrame, end, most: int | None = None) -> DataFrame:
+    """id, distance of every node from which end can be reached, by `most` edges if given, end included.
+
+    A round for each edge of the longest distance.  A round joins the edges as they are: only what it finds is made distinct.
+    """
     checkpoint_folder(edges.sparkSession)
-    e = edges.select("source", "target").where("source <> target").distinct()
+    e = edges.select("source", "target").where("source <> target")
     front = edges.sparkSession.createDataFrame([(end, 0)], f"id {e.schema['source'].dataType.simpleString()}, distance int")
-    found, away = front, 0
-    while True:
+    found, away, size = front, 0, 1
+    while most is None or away < most:
         away += 1
-        step = e.join(front.withColumnRenamed("id", "target"), "target").select(F.col("source").alias("id")).distinct()
+        step = e.join(_small(front.withColumnRenamed("id", "target").select("target"), size), "target").select(F.col("source").alias("id")).distinct()
         front = step.join(found, "id", "left_anti").withColumn("distance", F.lit(away)).checkpoint()
-        if not front.limit(1).count():
-            return found
+        size = front.count()
+        if not size:
+            break
         found = found.unionByName(front).checkpoint()
+    return found
 
 
 def paths(edges: DataFrame, start, end, cutoff: int | None = None) -> DataFrame:
     """path: all simple paths of at most cutoff edges (by default of any length).
 
     A frontier grows by one join a step until it is empty, over the edges alone that lead to a node from which end can be
-    reached, and within the edges that are left.  There can be as many simple paths as subsets of nodes; what bounds them is
-    the cutoff.
+    reached within the edges that are left.  Only those edges are made distinct and kept; repeated ones may come in.  There can
+    be as many simple paths as subsets of nodes; what bounds them is the cutoff.
     """
-    e = edges.select("source", "target").where("source <> target").distinct()
-    e = e.join(reaching(e, end).withColumnRenamed("id", "target"), "target").select("source", "target", "distance").persist()
+    e = edges.select("source", "target").where("source <> target")
+    near = reaching(e, end, None if cutoff is None else cutoff - 1).withColumnRenamed("id", "target")
+    e = e.join(_small(near, near.count()), "target").select("source", "target", "distance").distinct().persist()
     front = e.sparkSession.createDataFrame([([start],)], f"path array<{e.schema['source'].dataType.simpleString()}>")
     found, grown = front.where("false"), 0
     while cutoff is None or grown < cutoff:
@@ -67,9 +82,12 @@ def paths(edges: DataFrame, start, end, cutoff: int | None = None) -> DataFrame:
 
 
 def known(paths: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The paths without the nodes that aren't in nodes (id), each in its order."""
+    """The paths without the nodes that aren't in nodes (id), each in its order.  nodes is read once, for those of the paths."""
     one = paths.withColumn("_n", F.monotonically_increasing_id()).checkpoint()
-    kept = one.select("_n", F.posexplode("path").alias("_at", "id")).join(nodes.select("id"), "id", "left_semi")
+    each = one.select("_n", F.posexplode("path").alias("_at", "id"))
+    held = each.select("id").distinct().checkpoint()
+    there = nodes.select("id").join(_small(held, held.count()), "id", "left_semi").distinct()
+    kept = each.join(there, "id", "left_semi")
     back = kept.groupBy("_n").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "id"))), lambda x: x["id"]).alias("_path"))
     return one.join(back, "_n", "left").select(F.coalesce("_path", F.array().cast(paths.schema["path"].dataType)).alias("path"))
 
