@@ -1,6 +1,7 @@
 """Chunkers: one text to many rows."""
 
 import re
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,6 +79,10 @@ def markdown_rows(text: str, size: int, overlap: int):
                 yield j, s + a, s + b, text[s + a : s + b], title, None
 
 
+#: Rows that a table function gives out at once, so that a batch of long texts isn't held with all its rows.
+ROWS = 4096
+
+
 def _table(docs: DataFrame, make, ddl: str) -> DataFrame:
     """A Python table function by Arrow batches: make(text) gives the rows of one text."""
     import pandas as pd
@@ -86,7 +91,9 @@ def _table(docs: DataFrame, make, ddl: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame([(d, *r) for d, t in zip(b["doc_id"], b["text"]) if t is not None for r in make(t)], columns=names)
+            rows = ((d, *r) for d, t in zip(b["doc_id"], b["text"]) if t is not None for r in make(t))
+            while part := list(islice(rows, ROWS)):
+                yield pd.DataFrame(part, columns=names)
 
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {ddl}")
 
