@@ -7,6 +7,7 @@ import pytest
 
 from sextant import catalog
 from sextant.operators import blockmax, lexical
+from sextant.plans import search
 
 
 def tables(spark, seed, words=30):
@@ -59,9 +60,17 @@ def test_many_queries_go_to_an_index(spark, monkeypatch, most):
     assert key(lexical.bm25(queries, docs, 5)) == want and built
 
 
-@pytest.mark.parametrize("name", ["hybrid_search"])
+@pytest.mark.parametrize("name", ["hybrid_search", "configured_pipeline"])
 def test_queries_cost_the_same_in_each_run(spark, monkeypatch, tmp_path, name):
     """Before, the first query of a session built an index that the others found; its shuffles were those of all texts."""
     os.symlink("/root/testdata/sf0.001", tmp_path / "d")
     monkeypatch.setattr(blockmax, "build", no_index)
     assert catalog.QUERIES[name](spark, str(tmp_path / "d")).count() > 0
+
+
+def test_texts_that_were_not_found_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", "s") for i in range(50)], "doc_id int, text string, source string")
+    found = spark.createDataFrame([(1, 3, 1, 0.5), (1, 99, 2, 0.4), (2, 3, 1, 0.3)], "query_id int, doc_id int, rank int, score double")
+    out = search.hydrate(found, docs)
+    assert sorted((r.query_id, r.doc_id, r.text, r.source) for r in out.collect()) == [(1, 3, "text 3", "s"), (1, 99, "", None), (2, 3, "text 3", "s")]
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
