@@ -60,7 +60,7 @@ def test_many_queries_go_to_an_index(spark, monkeypatch, most):
     assert key(lexical.bm25(queries, docs, 5)) == want and built
 
 
-@pytest.mark.parametrize("name", ["hybrid_search", "configured_pipeline", "lexical_rerank"])
+@pytest.mark.parametrize("name", ["hybrid_search", "configured_pipeline", "lexical_rerank", "query_tool"])
 def test_queries_cost_the_same_in_each_run(spark, monkeypatch, tmp_path, name):
     """Before, the first query of a session built an index that the others found; its shuffles were those of all texts."""
     os.symlink("/root/testdata/sf0.001", tmp_path / "d")
